@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, packing, quality_rules
+from millrace.llm import decontamination, packing, quality_rules, shared, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -26,6 +26,12 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared.fresh(spark, "warc")
+    records = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
+    return records.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -38,6 +44,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op5_warc": op5_warc,
     "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
 }
@@ -58,6 +65,19 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+#: Base32 of a SHA-1: five hexadecimal digits make four characters.
+OP5_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+d AS (SELECT page_id, CAST(octet_length(encode(html)) AS BIGINT) AS payload_bytes, sha1(html) AS sha, min(page_id) OVER (PARTITION BY html) AS best FROM p)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((CAST(('0x' || substr(sha, CAST(5 * (k // 4) + 1 AS BIGINT), 5)) AS BIGINT) // (32 ** (3 - k % 4))::BIGINT) % 32 + 1 AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> best THEN best END AS refers_to
+FROM d
+"""
+
 ORACLES: dict[str, str] = {
+    "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
 }
