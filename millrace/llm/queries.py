@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, packing, quality_rules, shared, warc
+from millrace.llm import decontamination, line_dedup, packing, quality_rules, shared, token_counts, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
+PIECES = "piece_bpe_32k.model"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +27,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = line_dedup.marked(table(spark, sf_dir, "documents"))
+    return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", F.sha2("rest", 256).alias("text_sha256"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.fresh(spark, "warc")
     records = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
@@ -38,15 +44,21 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
     "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
+    "op10_token_counts": op10_token_counts,
 }
 
 OP7_SQL = r"""
@@ -77,7 +89,20 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP3_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS at FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+w AS (SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS copy FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY no)),
+r AS (SELECT *, l2 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, no) > 1 AS run FROM w),
+g AS (SELECT doc_id, no, (copy > 1 AND length(line) >= 60) OR bool_or(run) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM r),
+t AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (NOT coalesce(gone, false)), '') AS rest
+      FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
+SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, sha256(rest) AS text_sha256
+FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
+"""
+
 ORACLES: dict[str, str] = {
+    "op3_line_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
 }
