@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, line_dedup, packing, quality_rules, shared, token_counts, warc
+from millrace.llm import decontamination, line_dedup, packing, pii, quality_rules, shared, token_counts, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -38,6 +38,12 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("page").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = pii.spans(table(spark, sf_dir, "documents"))
+    counts = [pii.counted(kind).alias(f"n_{kind}") for kind in pii.KINDS]
+    return done.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontamination.hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     items = F.sha2(F.array_join(F.array_sort("items"), ","), 256)
@@ -56,6 +62,7 @@ QUERIES = {
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
+    "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
