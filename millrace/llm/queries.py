@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, line_dedup, packing, pii, quality_rules, shared, token_counts, warc
+from millrace.llm import decontamination, line_dedup, packing, pii, quality_rules, shared, token_counts, url_filters, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -22,6 +22,39 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def derived_entries(pages: DataFrame) -> DataFrame:
+    """A dated list over the hosts, domains and first path segments of the pages, chosen by their MD5."""
+
+    def draw(text: str | Column) -> Column:
+        return F.conv(F.substring(F.md5(text), 1, 6), 16, 10).cast("long")
+
+    host = F.regexp_extract("url", "^[a-z]+://([^/:?#]+)", 1)
+    first = F.regexp_extract("url", "^[a-z]+://([^/:?#]+/[^/?#]+)", 1)
+    sites = pages.select(host.alias("host"), first.alias("first"))
+    hosts = sites.select("host").distinct().withColumn("n", draw("host"))
+    domains = hosts.select(F.substring_index("host", ".", -2).alias("key")).distinct().withColumn("n", draw("key"))
+    prefixes = sites.where("first <> ''").select(F.col("first").alias("key")).distinct().withColumn("n", draw("key"))
+
+    def entries(of: DataFrame, kind: str, key: str, chosen: str, action: str, day: str) -> DataFrame:
+        return of.where(chosen).select(F.lit("derived").alias("list"), F.lit(kind).alias("kind"), F.col(key).alias("key"), F.lit(action).alias("action"), F.expr(f"date_add(DATE '2024-01-01', CAST({day} AS INT))").alias("day"))
+
+    return (
+        entries(hosts, "host", "host", "n % 3 = 0", "block", "n % 200")
+        .union(entries(hosts, "host", "host", "n % 6 = 0", "remove", "n % 200 + 60"))
+        .union(entries(hosts, "host", "host", "n % 12 = 0", "block", "n % 200 + 120"))
+        .union(entries(hosts, "domain", "host", "n % 5 = 1", "allow", "n % 100"))
+        .union(entries(domains, "domain", "key", "n % 2 = 0", "block", "150 + n % 50"))
+        .union(entries(prefixes, "prefix", "key", "n % 4 = 0", "allow", "n % 300"))
+        .union(entries(prefixes, "prefix", "key", "n % 8 = 0", "block", "n % 300 + 30"))
+    )
+
+
+def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.expr("date_add(DATE '2024-01-01', CAST(page_id % 366 AS INT))").alias("fetched"))
+    done = url_filters.decide(pages, derived_entries(pages))
+    return done.select(F.col("row.page_id").alias("page_id"), F.col("row.fetched").alias("fetched"), "verdict", "kind", "key", "since")
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
     return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -59,6 +92,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
     "op5_warc": op5_warc,
@@ -96,6 +130,31 @@ SELECT page_id, payload_bytes,
 FROM d
 """
 
+OP1_SQL = r"""
+WITH p AS (SELECT page_id, url, CAST(DATE '2024-01-01' + CAST(page_id % 366 AS INTEGER) AS DATE) AS fetched, regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1) AS host,
+  regexp_extract(url, '^[a-z]+://([^/:?#]+/[^/?#]+)', 1) AS first, list_filter(string_split(regexp_extract(url, '^[^/]*//[^/?#]*(/[^?#]*)', 1), '/'), lambda x: x <> '') AS parts FROM pages),
+h AS (SELECT DISTINCT host AS key, CAST('0x' || substr(md5(host), 1, 6) AS BIGINT) AS n FROM p),
+d AS (SELECT DISTINCT array_to_string(list_slice(string_split(key, '.'), -2, -1), '.') AS key FROM h),
+dn AS (SELECT key, CAST('0x' || substr(md5(key), 1, 6) AS BIGINT) AS n FROM d),
+f AS (SELECT DISTINCT first AS key, CAST('0x' || substr(md5(first), 1, 6) AS BIGINT) AS n FROM p WHERE first <> ''),
+e AS (SELECT 'host' AS kind, key, 2 AS rank, n % 200 AS day FROM h WHERE n % 3 = 0
+  UNION ALL SELECT 'host', key, 0, n % 200 + 60 FROM h WHERE n % 6 = 0
+  UNION ALL SELECT 'host', key, 2, n % 200 + 120 FROM h WHERE n % 12 = 0
+  UNION ALL SELECT 'domain', key, 1, n % 100 FROM h WHERE n % 5 = 1
+  UNION ALL SELECT 'domain', key, 2, 150 + n % 50 FROM dn WHERE n % 2 = 0
+  UNION ALL SELECT 'prefix', key, 1, n % 300 FROM f WHERE n % 4 = 0
+  UNION ALL SELECT 'prefix', key, 2, n % 300 + 30 FROM f WHERE n % 8 = 0),
+u AS (SELECT kind, key, day, max(rank) AS rank FROM e GROUP BY kind, key, day),
+v AS (SELECT *, lead(day) OVER (PARTITION BY kind, key ORDER BY day) AS until FROM u),
+k AS (SELECT page_id, 'host' AS kind, host AS key, 1000000 AS weight FROM p
+  UNION ALL SELECT page_id, 'domain', array_to_string(list_slice(l, i, len(l)), '.'), len(l) - i + 1 FROM (SELECT page_id, string_split(host, '.') AS l, unnest(range(1, len(string_split(host, '.')) + 1)) AS i FROM p)
+  UNION ALL SELECT page_id, 'prefix', host || '/' || parts[1], 1000001 FROM p WHERE len(parts) > 0),
+a AS (SELECT p.page_id, p.fetched, k.weight, v.rank, k.kind, k.key, CAST(DATE '2024-01-01' + CAST(v.day AS INTEGER) AS DATE) AS since FROM p JOIN k ON p.page_id = k.page_id
+  JOIN v ON v.kind = k.kind AND v.key = k.key AND v.rank > 0 AND p.page_id % 366 >= v.day AND (v.until IS NULL OR p.page_id % 366 < v.until)),
+b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, rank DESC, kind DESC, key DESC) AS r FROM a)
+SELECT p.page_id, p.fetched, CASE b.rank WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict, b.kind, b.key, b.since FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.r = 1
+"""
+
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
 s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS at FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
@@ -109,6 +168,7 @@ FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
 ORACLES: dict[str, str] = {
+    "op1_url_filters": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
