@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, line_dedup, packing, pii, quality_rules, shared, token_counts, url_filters, warc
+from millrace.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality_rules, shared, token_counts, url_filters, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -87,6 +87,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.counts(table(spark, sf_dir, "documents"), tokenizer_path(PIECES))
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return lm_scoring.scores(documents, lm_scoring.fit(documents))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
@@ -98,6 +103,7 @@ QUERIES = {
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
+    "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
 }

@@ -1,10 +1,13 @@
-"""Folders that the driver and all executors share."""
+"""Folders that the driver and all executors share, and sums of arrays over all tasks."""
 
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 from uuid import uuid4
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -34,3 +37,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = fresh(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def summed(parts: DataFrame, dtype: str) -> DataFrame:
+    """Sum of arrays in blocks: rows of block (int) and data (binary of ``dtype``), one row per block.
+
+    Blocks are added as they arrive, so a task holds one array for each of its blocks.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
+                own = np.frombuffer(data.as_buffer(), dtype)
+                total[block] = total[block] + own if block in total else own
+        if total:
+            yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
+
+    return parts.select("block", "data").repartition("block").mapInArrow(run, "block int, data binary")
+
+
+def in_blocks(values: np.ndarray, size: int) -> pa.RecordBatch:
+    """An array as rows for ``summed``."""
+    cut = range(0, len(values), size)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(cut)), pa.int32()), pa.array([values[k : k + size].tobytes() for k in cut], pa.binary())], names=["block", "data"])
+
+
+def joined_blocks(sums: DataFrame, dtype: str) -> np.ndarray | None:
+    """The whole array on the driver; its length is a parameter of the caller and not of the data."""
+    rows = sorted(sums.collect())
+    return np.concatenate([np.frombuffer(r[1], dtype) for r in rows]) if rows else None
