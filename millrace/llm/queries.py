@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, line_dedup, lm_scoring, packing, pii, quality_rules, shared, token_counts, url_filters, warc
+from millrace.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, shared, token_counts, url_filters, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -65,6 +65,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(F.col("row.doc_id").alias("doc_id"), "n_lines", "n_deleted", F.sha2("rest", 256).alias("text_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.joined(table(spark, sf_dir, "documents"))
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shared.fresh(spark, "warc")
     records = warc.read(warc.write(table(spark, sf_dir, "pages"), folder), folder)
@@ -100,6 +104,7 @@ QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
     "op3_line_dedup": op3_line_dedup,
+    "op4_jaccard_join": op4_jaccard_join,
     "op5_warc": op5_warc,
     "op6_pii": op6_pii,
     "op7_decontamination": op7_decontamination,
@@ -124,6 +129,18 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit ON d.doc_id = hit.doc_id LEFT JOIN it ON d.doc_id = it.doc_id
 """
 
+OP4_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 5, 0) + 2)) AS i FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS shared FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM o JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * shared >= 80 * (a.n + b.n - shared)),
+e AS (SELECT x, y FROM l UNION SELECT y, x FROM l),
+r AS (SELECT doc_id AS v, doc_id AS c FROM w UNION SELECT e.y, r.c FROM r JOIN e ON e.x = r.v WHERE r.c < e.y)
+SELECT w.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, c.component_id
+FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT v AS doc_id, min(c) AS component_id FROM r GROUP BY v) c USING (doc_id)
+"""
+
 #: Base32 of a SHA-1: five hexadecimal digits make four characters.
 OP5_SQL = """
 WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -176,6 +193,7 @@ FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
+    "op4_jaccard_join": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
 }

@@ -39,8 +39,8 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def summed(parts: DataFrame, dtype: str) -> DataFrame:
-    """Sum of arrays in blocks: rows of block (int) and data (binary of ``dtype``), one row per block.
+def summed(parts: DataFrame, dtype: str, combine: np.ufunc = np.add) -> DataFrame:
+    """Sum (or another ufunc) of arrays in blocks: rows of block (int) and data (binary of ``dtype``), one row per block.
 
     Blocks are added as they arrive, so a task holds one array for each of its blocks.
     """
@@ -50,7 +50,7 @@ def summed(parts: DataFrame, dtype: str) -> DataFrame:
         for batch in batches:
             for block, data in zip(batch.column("block").to_pylist(), batch.column("data")):
                 own = np.frombuffer(data.as_buffer(), dtype)
-                total[block] = total[block] + own if block in total else own
+                total[block] = combine(total[block], own) if block in total else own
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([x.tobytes() for x in total.values()], pa.binary())], names=["block", "data"])
 
