@@ -67,11 +67,16 @@ def spread(df: DataFrame, lat: str, lng: str) -> DataFrame:
     return box.crossJoin(far).select(F.round("spread_km", 4).alias("spread_km"), F.round("mean_km", 4).alias("mean_km"), F.round(F.col("n") / F.greatest(height * width, F.lit(0.01)), 4).alias("density"))
 
 
-def outliers(df: DataFrame, lat: str, lng: str, config: Config = Config(), limit: int = 20) -> DataFrame:
-    """The points farthest from the centroid beyond mean + 3 deviations."""
+def remote(df: DataFrame, lat: str, lng: str, config: Config = Config()) -> DataFrame:
+    """The points beyond mean + 3 deviations from the centroid."""
     far = distances(df, lat, lng)
     cut = far.agg((F.avg("km") + config.spatial_outlier_std * F.stddev_pop("km")).alias("cut"))
-    return far.crossJoin(F.broadcast(cut)).where("km > cut").orderBy(F.desc("km"), "lat", "lng").limit(limit).select("lat", "lng", F.round("km", 4).alias("km"))
+    return far.crossJoin(F.broadcast(cut)).where("km > cut")
+
+
+def outliers(df: DataFrame, lat: str, lng: str, config: Config = Config(), limit: int = 20) -> DataFrame:
+    """The farthest of the remote points."""
+    return remote(df, lat, lng, config).orderBy(F.desc("km"), "lat", "lng").limit(limit).select("lat", "lng", F.round("km", 4).alias("km"))
 
 
 def clusters(df: DataFrame, lat: str, lng: str, seeds: int = 5, seed: int = 42) -> DataFrame:
@@ -99,7 +104,7 @@ def report(df: DataFrame, pairs: list[tuple[str, str]] | None = None, config: Co
 
     parts = []
     for lat, lng in pairs or coordinate_columns(df):
-        far = outliers(df, lat, lng, config, 1_000_000_000).agg(F.count("*").alias("outliers"))
+        far = remote(df, lat, lng, config).agg(F.count("*").alias("outliers"))
         row = validity(df, lat, lng).crossJoin(extent(df, lat, lng).drop("n")).crossJoin(spread(df, lat, lng)).crossJoin(far)
         parts.append(row.select(F.lit(lat).alias("lat_column"), F.lit(lng).alias("lng_column"), "*"))
     if not parts:

@@ -64,16 +64,19 @@ def fuzzy_duplicates(df: DataFrame, column: str, order_by: list[str], threshold:
     Rows are numbered in the given order. Blocks of ``window`` rows overlap by
     one block, candidate pairs are verified by their longest common subsequence,
     and the greedy order is settled in rounds: a row goes if an earlier match
-    stays, and stays if all earlier matches go.
+    stays, and stays if all earlier matches go. There are as many rounds as the
+    longest chain of matches needs; each ends its lineage in a checkpoint.
     """
     from pyspark.sql import types as T
 
     from millrace.operators import ordering
+    from millrace.sources import folders
 
     span = window - 1
     key = ref(order_by[0]).cast("long")
+    folders.ensure(df.sparkSession)
     rows = df.withColumn("__key", key)
-    numbered = ordering.numbered(rows.where(ref(column).isNotNull()), "__key", [f"`{c}`" for c in [*order_by[1:], *df.columns]]).persist()
+    numbered = ordering.numbered(rows.where(ref(column).isNotNull()), "__key", [f"`{c}`" for c in [*order_by[1:], *df.columns]]).checkpoint()
     texts = numbered.select("idx", ref(column).cast("string").alias("t"), F.floor(F.col("idx") / span).alias("b"))
     later = texts.select(F.col("idx").alias("j"), F.col("t").alias("u"), F.explode(F.array("b", F.col("b") - 1)).alias("b"))
     short = F.least(F.length("t"), F.length("u"))
@@ -83,12 +86,12 @@ def fuzzy_duplicates(df: DataFrame, column: str, order_by: list[str], threshold:
     def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similarity(x, y) for x, y in zip(a, b)])
 
-    edges = pairs.where(ratio("t", "u") >= threshold).select(F.col("idx").alias("i"), "j").persist()
+    edges = pairs.where(ratio("t", "u") >= threshold).select(F.col("idx").alias("i"), "j").checkpoint()
     state = numbered.select("idx", F.lit(None).cast("boolean").alias("kept"))
     while True:
         own = edges.join(state.select(F.col("idx").alias("i"), F.col("kept").alias("ki")), "i").groupBy("j").agg(F.max(F.coalesce("ki", F.lit(False))).alias("hit"), F.count(F.when(F.col("ki").isNull(), 1)).alias("open"))
         decided = F.when(F.col("hit"), F.lit(False)).when(F.coalesce("open", F.lit(0)) == 0, F.lit(True))
-        state = state.join(own.withColumnRenamed("j", "idx"), "idx", "left").select("idx", F.coalesce("kept", decided).alias("kept")).persist()
+        state = state.join(own.withColumnRenamed("j", "idx"), "idx", "left").select("idx", F.coalesce("kept", decided).alias("kept")).checkpoint()
         if state.where("kept IS NULL").isEmpty():
             break
     stays = numbered.join(state.where("kept"), "idx").select(*(ref(c) for c in df.columns))

@@ -46,7 +46,7 @@ def issues(outliers: str) -> str:
 def profile(cols: dict[str, str]) -> str:
     """The whole profile, by kind of column."""
     out = []
-    base = f"count(*) AS total, count(*) - count({{c}}) AS nulls, {COMPLETE} AS completeness, count(DISTINCT {{c}}) AS unique_count, round({RATIO}, 4) AS unique_ratio"
+    base = f"count(*) AS total, count(*) - count({{c}}) AS nulls, {COMPLETE} AS completeness, count(DISTINCT {{c}}) AS unique_count, round(({RATIO})::DECIMAL(20, 12), 4)::DOUBLE AS unique_ratio"
     for c in cols:
         n = f"(SELECT count(*) {FENCE} WHERE {IQR_OUT})"
         if cols[c] in ("integer", "float"):
@@ -76,7 +76,7 @@ def correlation(cols: list[str]) -> str:
 def gaps(ts: str) -> str:
     """x: the gaps between neighbouring times in seconds, and their mode."""
     return (
-        f", g AS (SELECT {ts} AS at, date_diff('microsecond', lag({ts}) OVER (ORDER BY {ts}), {ts}) / 1e6 AS gap FROM v WHERE {ts} IS NOT NULL),"
+        f", g AS (SELECT {ts} AS tt, date_diff('microsecond', lag({ts}) OVER (ORDER BY {ts}), {ts}) / 1e6 AS gap FROM v WHERE {ts} IS NOT NULL),"
         " m AS (SELECT gap AS mode FROM g WHERE gap IS NOT NULL GROUP BY gap ORDER BY count(*) DESC, gap LIMIT 1)"
     )
 

@@ -87,7 +87,7 @@ add("s2_s3_json_records", O, json_round_trip, "SELECT o_orderkey, o_totalprice F
 
 # Column statistics
 add("a1_completeness", L, lambda df: stats.counts(normal(df)).select("column", "total", "nulls", "completeness"), o.every(o.of(o.LINEITEM), f"count(*) AS total, count(*) - count({{c}}) AS nulls, {o.COMPLETE} AS completeness"))
-add("a2_distinct", L, lambda df: named(df, stats.distincts(stats.frequency(df)).join(stats.counts(df).select("pos", "filled"), "pos")).select("column", F.col("distinct").alias("unique_count"), r4(F.col("distinct") / F.col("filled")).alias("unique_ratio")), o.every(o.of(o.LINEITEM), f"count(DISTINCT {{c}}) AS unique_count, round({o.RATIO}, 4) AS unique_ratio"))
+add("a2_distinct", L, lambda df: named(df, stats.distincts(stats.frequency(df)).join(stats.counts(df).select("pos", "filled"), "pos")).select("column", F.col("distinct").alias("unique_count"), r4(F.col("distinct") / F.col("filled")).alias("unique_ratio")), o.every(o.of(o.LINEITEM), f"count(DISTINCT {{c}}) AS unique_count, round(({o.RATIO})::DECIMAL(20, 12), 4)::DOUBLE AS unique_ratio"))
 add("a3_moments", L, lambda df: stats.moments(normal(df)).select("column", r4("mean").alias("mean"), r4("std").alias("std"), F.col("low").alias("min_value"), F.col("high").alias("max_value")), o.every(N, "round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value"))
 add("a4_text_range", L, lambda df: profile.ranges(df).select("column", F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text")), o.every(T, "min({c})::VARCHAR AS min_text, max({c})::VARCHAR AS max_text"))
 add("a5_samples", C, lambda df: profile.samples(df, ["c_custkey"]).select("column", F.array_join("samples", "|").alias("samples")), "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", string_agg(x, '|' ORDER BY k) AS samples FROM (SELECT c_custkey AS k, {c}::VARCHAR AS x FROM v WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 5)" for c in o.CUSTOMER))
@@ -101,7 +101,7 @@ add("a11_profile_dirty", L, lambda df: with_text_issues(profile.columns_report(d
 add("a12_top_values", C, profile.top_values, "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", {c} AS value, n, rank, round(first(n) OVER (ORDER BY rank) * 100.0 / t, 1) AS dominant_pct, round(first(n) OVER (ORDER BY rank) * 100.0 / t, 1) > 50 AS is_skewed FROM (SELECT {c}, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, {c}) AS rank, sum(count(*)) OVER () AS t FROM v WHERE {c} IS NOT NULL GROUP BY {c}) WHERE rank <= 8" for c in o.of(o.CUSTOMER, "text")))
 MEANING = "CASE shape " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in profile.INTERPRETATIONS.items()) + " END"
 add("a13_numeric_insights", L, profile.numeric_insights, f"SELECT *, {MEANING} AS interpretation FROM ({o.every(N, f'round(quantile_cont({{c}}, 0.5), 4) AS median, round(max({{c}})::DOUBLE - min({{c}})::DOUBLE, 4) AS range_value, round({o.Q1}, 4) AS p25, round({o.Q3}, 4) AS p75, {o.SHAPE} AS shape')})")
-add("a14_datetime_insights", "gap_events", profile.datetime_insights, o.gaps("ts") + f" SELECT 'ts' AS \"column\", min(at)::DATE::VARCHAR AS range_start, max(at)::DATE::VARCHAR AS range_end, max({o.CLASS}) AS frequency, count(*) FILTER (gap > 2 * mode) AS gap_count FROM g, m")
+add("a14_datetime_insights", "gap_events", profile.datetime_insights, o.gaps("ts") + f" SELECT 'ts' AS \"column\", min(tt)::DATE::VARCHAR AS range_start, max(tt)::DATE::VARCHAR AS range_end, max({o.CLASS}) AS frequency, count(*) FILTER (gap > 2 * mode) AS gap_count FROM g, m")
 ROLE = "CASE WHEN count(DISTINCT {c}) <= 2 AND count({c}) > 0 THEN 'boolean' "
 NUMBER_ROLE = ROLE + f"WHEN {o.RATIO} > 0.95 AND count(*) > 50 THEN 'id' ELSE 'measure' END AS role"
 TEXT_ROLE = ROLE + f"WHEN {o.RATIO} > 0.95 AND count(*) > 50 THEN 'id' WHEN avg(length({{c}})) > 50 OR {o.RATIO} > 0.8 THEN 'free_text' ELSE 'category' END AS role"
@@ -139,13 +139,13 @@ CONSIST = (
     + o.every(TEXTS_C, "NOT (min(length({c})) = max(length({c})) AND count(DISTINCT {c}) > 1) AND avg(regexp_full_match({c}, '[0-9]+')::INT) > 0.5 AND bool_or(regexp_matches({c}, '[a-zA-Z]')), 'mixed numeric and text values'") + ") WHERE bad"
 )
 add("q2_consistency_issues", C, quality.consistency_issues, CONSIST)
-add("q3_uniqueness_issues", O, quality.uniqueness_issues, "SELECT 'uniqueness' AS dimension, '' AS \"column\", (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM v GROUP BY ALL)) || ' duplicate rows' AS issue UNION ALL SELECT 'uniqueness', \"column\", 'very low cardinality (' || d || ' unique values)' FROM (" + o.every(o.of(o.ORDERS, "text", "temporal"), "count(DISTINCT {c}) AS d, count(*) AS n") + ") WHERE (n - d) * 100.0 / n > 80 AND d < 5")
+add("q3_uniqueness_issues", O, quality.uniqueness_issues, "SELECT 'uniqueness' AS dimension, '' AS \"column\", (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM v GROUP BY " + ", ".join(o.ORDERS) + ")) || ' duplicate rows' AS issue UNION ALL SELECT 'uniqueness', \"column\", 'very low cardinality (' || d || ' unique values)' FROM (" + o.every(o.of(o.ORDERS, "text", "temporal"), "count(DISTINCT {c}) AS d, count(*) AS n") + ") WHERE (n - d) * 100.0 / n > 80 AND d < 5")
 add("q4_validity_issues", C, lambda df: quality.validity_issues(normal(df)), "SELECT 'validity' AS dimension, \"column\", issue FROM (" + o.every(TEXTS_C, "count(*) FILTER (trim({c}) = '') AS n, count(*) FILTER (trim({c}) = '') || ' empty strings (not null)' AS issue") + "\nUNION ALL\n" + o.every(o.number(o.CUSTOMER), "CASE WHEN avg(({c} = 0)::INT) > 0.9 AND count({c}) > 100 THEN 1 ELSE 0 END, 'mostly zeros - possibly missing data encoded as 0'") + ") WHERE n > 0")
 add("q5_timeliness_issues", "gap_events", quality.timeliness_issues, o.gaps("ts") + " SELECT 'timeliness' AS dimension, 'ts' AS \"column\", count(*) FILTER (gap > 3 * (SELECT median(gap) FROM g)) || ' unusual temporal gaps detected' AS issue FROM g HAVING count(*) FILTER (gap > 3 * (SELECT median(gap) FROM g)) > 0")
 CELLS = "(" + " + ".join(f"count({c})" for c in o.LINEITEM) + ")"
 SCORES_L = (
     f"SELECT 'completeness' AS dimension, round({CELLS} * 100.0 / (count(*) * {len(o.LINEITEM)}), 2) AS score FROM v UNION ALL SELECT 'consistency', 100.0 UNION ALL "
-    "SELECT 'uniqueness', round((sum(n) - sum(n - 1)) * 100.0 / sum(n), 2) FROM (SELECT count(*) AS n FROM v GROUP BY ALL) UNION ALL SELECT 'validity', 100.0 UNION ALL "
+    "SELECT 'uniqueness', round((sum(n) - sum(n - 1)) * 100.0 / sum(n), 2) FROM (SELECT count(*) AS n FROM v GROUP BY " + ", ".join(o.LINEITEM) + ") UNION ALL SELECT 'validity', 100.0 UNION ALL "
     "SELECT 'timeliness', 100.0 - CASE WHEN (SELECT count(*) FROM g WHERE gap > 3 * (SELECT median(gap) FROM g)) > 0 THEN 5 ELSE 0 END"
 )
 add("q6_dimension_scores", L, quality.dimensions, o.gaps("l_shipdate") + " " + SCORES_L)
@@ -186,7 +186,7 @@ E = "gap_events"
 add("t1_time_columns", "lineitem", lambda df: df.agg(F.count("*").alias("rows")).select(F.lit(",".join(timeseries.time_columns(df))).alias("columns"), "rows"), "SELECT 'l_shipdate' AS columns, count(*) AS rows FROM v")
 add("t2_t3_rhythm", E, lambda df: timeseries.rhythm(df, "ts").select("points", "mode_seconds", "frequency", "regular", "gap_count"), o.gaps("ts") + f" SELECT count(*) AS points, max(mode)::DOUBLE AS mode_seconds, max({o.CLASS}) AS frequency, avg((gap = mode)::INT) > 0.9 AS regular, count(*) FILTER (gap > 2 * mode) AS gap_count FROM g, m")
 add("t2_rhythm_lineitem", "lineitem", lambda df: timeseries.rhythm(df, "l_shipdate").select("points", "mode_seconds", "frequency", "gap_count"), o.gaps("l_shipdate") + f" SELECT count(*) AS points, max(mode)::DOUBLE AS mode_seconds, max({o.CLASS}) AS frequency, count(*) FILTER (mode > 0 AND gap > 2 * mode) AS gap_count FROM g, m")
-add("t4_gap_places", E, lambda df: timeseries.gap_places(df, "ts"), o.gaps("ts") + " SELECT at::VARCHAR AS after, gap::DOUBLE AS gap_seconds FROM g, m WHERE gap > 2 * mode ORDER BY at LIMIT 10")
+add("t4_gap_places", E, lambda df: timeseries.gap_places(df, "ts"), o.gaps("ts") + " SELECT tt::VARCHAR AS after, gap::DOUBLE AS gap_seconds FROM g, m WHERE gap > 2 * mode ORDER BY tt LIMIT 10")
 IDX = ", i AS (SELECT row_number() OVER (ORDER BY ts, value) - 1 AS idx, value::DOUBLE AS x, count(*) OVER () AS n FROM v)"
 VALUES = lambda df: timeseries.ordered(df, "ts", "value")
 add("t5_trend", E, lambda df: timeseries.trend(VALUES(df)), IDX + " SELECT CASE WHEN (b - a) / (abs(a) + 1e-10) > 0.1 THEN 'increasing' WHEN (b - a) / (abs(a) + 1e-10) < -0.1 THEN 'decreasing' ELSE 'flat' END AS trend FROM (SELECT avg(x) FILTER (idx < n // 2) AS a, avg(x) FILTER (idx >= n // 2) AS b FROM i)")

@@ -8,11 +8,16 @@ from uuid import uuid4
 from pyspark.sql import SparkSession
 
 
-def shared(spark: SparkSession, name: str) -> str:
-    """A fresh path in the checkpoint folder that the session names; a temporary one where it names none."""
+def ensure(spark: SparkSession) -> str:
+    """The checkpoint folder that the session names; a temporary one is set where it names none."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
-    top = known.get() if known.isDefined() else spark.conf.get("spark.checkpoint.dir", None)
-    if not top:
-        top = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
-        spark.sparkContext.setCheckpointDir(top)
-    return f"{top.rstrip('/')}/{name}-{uuid4().hex}"
+    if known.isDefined():
+        return known.get()
+    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    spark.sparkContext.setCheckpointDir(top)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+def shared(spark: SparkSession, name: str) -> str:
+    """A fresh path in the checkpoint folder."""
+    return f"{ensure(spark).rstrip('/')}/{name}-{uuid4().hex}"
