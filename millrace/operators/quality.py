@@ -20,7 +20,7 @@ def found(rows: DataFrame, dimension: str, when: Column, text: Column) -> DataFr
 
 
 def completeness_issues(df: DataFrame) -> DataFrame:
-    share = F.col("nulls") * 100.0 / F.col("total")
+    share = F.try_divide(F.col("nulls") * 100.0, F.col("total"))
     return found(stats.counts(df), "completeness", share > 5, F.concat(F.round(share, 1).cast("string"), F.lit("% missing")))
 
 
@@ -49,7 +49,7 @@ def uniqueness_issues(df: DataFrame) -> DataFrame:
     each = stats.counts(df).join(stats.distincts(stats.frequency(df, cols)), "pos", "left").where(F.col("kind").isin("text", "boolean", "temporal"))
     distinct = F.coalesce("distinct", F.lit(0))
     repeats = F.col("total") - distinct - F.when(F.col("nulls") > 0, 1).otherwise(0)
-    low = found(each, "uniqueness", (repeats * 100.0 / F.col("total") > 80) & (distinct < 5), F.concat(F.lit("very low cardinality ("), distinct.cast("string"), F.lit(" unique values)")))
+    low = found(each, "uniqueness", (F.try_divide(repeats * 100.0, F.col("total")) > 80) & (distinct < 5), F.concat(F.lit("very low cardinality ("), distinct.cast("string"), F.lit(" unique values)")))
     return whole.unionByName(low)
 
 
@@ -147,7 +147,7 @@ def detailed(df: DataFrame, config: Config = Config()) -> DataFrame:
     df = normal(df)
     cols = len(df.columns)
     base = profile.roles(df, config)
-    share = F.col("nulls") * 100.0 / F.col("total")
+    share = F.try_divide(F.col("nulls") * 100.0, F.col("total"))
     weight = F.create_map(*(F.lit(x) for kv in NULL_WEIGHT.items() for x in kv))[F.col("role")]
     severity = F.when(share * weight > 25, "critical").when(share * weight > 10, "warning").otherwise("info")
     missing = base.where(share > 2).select(

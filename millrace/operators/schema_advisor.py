@@ -69,14 +69,14 @@ def fk_hints(df: DataFrame, config: Config = Config()) -> DataFrame:
     for part in ("_id", "id_", "_key", "_code"):
         stem = F.replace(stem, F.lit(part), F.lit(""))
     named = (F.col("role") == "id") & (name != "id") & (stem != "") & (stem != name)
-    few = (F.col("role") == "category") & (F.col("distinct") < 20) & (F.col("total") / F.col("distinct") > 5)
+    few = (F.col("role") == "category") & (F.col("distinct") < 20) & (F.try_divide("total", "distinct") > 5)
     plural = lambda c: F.concat(F.rtrim(c, F.lit("s")), F.lit("s"))
     return rows.where(named | few).select("column", F.when(named, plural(stem)).otherwise(plural(name)).alias("references_table"), F.lit("id").alias("references_column"), F.when(named, 0.8).otherwise(0.5).alias("confidence"))
 
 
 def normalization_hints(df: DataFrame, config: Config = Config()) -> DataFrame:
     """Categories with few values, which could be a table of their own."""
-    rows = recommended(df, config).where("pos >= 0 AND role = 'category' AND distinct <= 20 AND total > 50 AND total / distinct > 10")
+    rows = recommended(df, config).where("pos >= 0 AND role = 'category' AND distinct <= 20 AND total > 50 AND try_divide(total, distinct) > 10")
     return rows.select("column", F.col("distinct").alias("unique_values"), F.col("total").alias("total_rows"))
 
 

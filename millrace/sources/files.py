@@ -101,7 +101,8 @@ def flatten_json(df: DataFrame, column: str, sep: str = "_", schema: str | T.Str
     """A column of JSON text becomes columns; the schema comes from the data where none is given."""
     if schema is None:
         # the types of all rows are merged, as an aggregation
-        schema = T.StructType.fromDDL(df.agg(F.call_function("schema_of_variant_agg", F.try_parse_json(ref(column)))).first()[0].removeprefix("OBJECT<").removesuffix(">"))
+        found = df.agg(F.call_function("schema_of_variant_agg", F.try_parse_json(ref(column)))).first()[0]
+        schema = found.replace("OBJECT<", "STRUCT<")
     rest = [ref(c) for c in df.columns if c != column]
     return flatten(df.select(*rest, F.from_json(ref(column), schema).alias(column)), sep)
 
