@@ -38,7 +38,7 @@ WINDOW = 10
 #: Items are searched in blocks of about so many words, which bounds what is broadcast.
 BLOCK_WORDS = 1_000_000
 SAMPLE = 16  # one suffix position is kept out of so many
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 
 
 class WaveletMatrix:
