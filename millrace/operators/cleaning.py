@@ -54,7 +54,7 @@ def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = N
             values = df.agg(*(F.avg(ref(c).cast("double")).alias(f"v{k}") for k, c in enumerate(number))).first()
         else:
             own = df.select(*(ref(c) for c in number))
-            q = {r[0]: r[1] for r in stats.quantiles(stats.frequency(own), [0.5]).collect()}
+            q = {r[0]: r[1] for r in stats.column_quantiles(own, [0.5]).collect()}
             values = [q.get(k) for k in range(len(number))]
         return replaced(df, {c: F.coalesce(ref(c).cast("double"), F.lit(v).cast("double")) for c, v in zip(number, values)}), log(number, strategy)
     if strategy == "mode":
@@ -101,8 +101,7 @@ def duplicates(df: DataFrame, names: list[str] | None = None, keep: str | bool =
 def limits(df: DataFrame, method: str, threshold: float, names: list[str]) -> dict[str, tuple[float, float]]:
     """Lower and upper bound of each numeric column with at least 10 values and some spread."""
     own = df.select(*(ref(c) for c in names))
-    freq = stats.frequency(own)
-    rows = stats.fences(own, freq, threshold if method == "iqr" else 1.5).where("n >= 10").collect()
+    rows = stats.fences(own, threshold if method == "iqr" else 1.5).where("n >= 10").collect()
     out = {}
     for r in rows:
         if method == "iqr":
@@ -160,7 +159,7 @@ def outliers(df: DataFrame, method: str = "iqr", action: str = "clip", names: li
         return replaced(df, {c: clipped(c, *bounds[c]) for c in counts}), actions(spark, [(c, "outliers", f"clip ({method})", n) for c, n in counts.items()])
     if action == "winsorize":
         own = df.select(*(ref(c) for c in counts))
-        q = {r[0]: (r[1], r[2]) for r in stats.quantiles(stats.frequency(own), [0.05, 0.95]).collect()} if counts else {}
+        q = {r[0]: (r[1], r[2]) for r in stats.column_quantiles(own, [0.05, 0.95]).collect()} if counts else {}
         return replaced(df, {c: clipped(c, *q[k]) for k, c in enumerate(counts)}), actions(spark, [(c, "outliers", "winsorize", n) for c, n in counts.items()])
     if action == "flag":
         flags = {f"{c}_is_outlier": tests[c].cast("int") for c in counts}

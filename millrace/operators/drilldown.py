@@ -18,7 +18,7 @@ def shown(df: DataFrame, k: int = 6) -> list[Column]:
 def bounds(df: DataFrame, column: str, threshold: float = 1.5) -> DataFrame:
     """One row: n, mean, std, p25, p75, lower and upper of a numeric column."""
     own = normal(df.select(ref(column)))
-    return stats.fences(own, stats.frequency(own), threshold).select("n", "mean", "std", "p25", "p75", "lower", "upper")
+    return stats.fences(own, threshold).select("n", "mean", "std", "p25", "p75", "lower", "upper")
 
 
 def flagged(df: DataFrame, column: str, method: str, threshold: float) -> DataFrame:

@@ -62,10 +62,10 @@ def basics(df: DataFrame, config: Config = Config()) -> DataFrame:
     """All statistics of each column; the base of the other reports."""
     df = normal(df)
     freq = stats.frequency(df)
-    bounds = stats.fences(df, freq, config.outlier_threshold)
+    bounds = stats.fences(df, config.outlier_threshold)
     text = stats.text_stats(df).select("pos", "avg_len", "min_len", "max_len", "mixed_case", "spaced", "digit_share", "letters", "empty")
     base = stats.counts(df).join(stats.distincts(freq), "pos", "left").join(bounds.drop("column", "kind", "n"), "pos", "left")
-    base = base.join(stats.outliers(freq, bounds), "pos", "left").join(ranges(df).drop("column"), "pos", "left").join(text, "pos", "left")
+    base = base.join(stats.outliers(df, bounds), "pos", "left").join(ranges(df).drop("column"), "pos", "left").join(text, "pos", "left")
     distinct = F.coalesce("distinct", F.lit(0))
     ratio = F.coalesce(F.try_divide(distinct.cast("double"), F.col("filled")), F.lit(0.0))
     shape = F.when(F.col("kind").isin("integer", "float"), stats.distribution(F.col("g1"), F.col("g2"), F.col("filled"))).otherwise("categorical")
@@ -130,7 +130,7 @@ def top_values(df: DataFrame, k: int = 8) -> DataFrame:
 def numeric_insights(df: DataFrame, config: Config = Config()) -> DataFrame:
     """median, range, quartiles, shape and what it means, of numeric columns."""
     df = normal(df)
-    m = stats.fences(df, stats.frequency(df, columns(df, "integer", "float")), config.outlier_threshold).where("n > 0")
+    m = stats.fences(df, config.outlier_threshold).where("n > 0")
     shape = stats.distribution(F.col("g1"), F.col("g2"), F.col("n"))
     meaning = F.create_map(*(F.lit(x) for kv in INTERPRETATIONS.items() for x in kv))
     return m.select("column", F.round("median", 4).alias("median"), F.round(F.col("high") - F.col("low"), 4).alias("range_value"), F.round("p25", 4).alias("p25"), F.round("p75", 4).alias("p75"), shape.alias("shape"), meaning[shape].alias("interpretation"))

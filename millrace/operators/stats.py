@@ -11,6 +11,8 @@ from pyspark.sql.window import Window
 from millrace.columns import Col, columns, numeric, per_column, ref
 
 SPLITS = 256
+#: Up to so many rows, quantiles come from one aggregation that holds the distinct values of a column.
+SMALL = 2_000_000
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -98,10 +100,22 @@ def quantiles(freq: DataFrame, ps: list[float]) -> DataFrame:
     return picked.groupBy("pos").agg(*(F.max(F.when(F.col("q") == k, value)).alias(f"q{k}") for k in range(len(ps))))
 
 
-def fences(df: DataFrame, freq: DataFrame, threshold: float = 1.5) -> DataFrame:
-    """pos, column, n, mean, std, q1, q2, q3, lower, upper of numeric columns."""
-    q = quantiles(freq, [0.25, 0.5, 0.75])
-    m = moments(df).join(q, "pos", "left")
+def small(df: DataFrame) -> bool:
+    """Whether the table has at most ``SMALL`` rows. The count reads no columns."""
+    return df.count() <= SMALL
+
+
+def column_quantiles(df: DataFrame, ps: list[float]) -> DataFrame:
+    """pos and q0, q1, ... of the numeric columns: from one aggregation for a small table, else in two levels."""
+    if not small(df):
+        return quantiles(frequency(df, numeric(df)), ps)
+    base = per_column(df, numeric(df), {"q": lambda c: F.percentile(ref(c.name).cast("double"), F.array(*map(F.lit, ps)))})
+    return base.select("pos", *((F.get("q", F.lit(k)) if numeric(df) else F.col("q")).alias(f"q{k}") for k in range(len(ps)))).where("q0 IS NOT NULL")
+
+
+def fences(df: DataFrame, threshold: float = 1.5) -> DataFrame:
+    """pos, column, n, mean, std, quartiles, lower and upper of numeric columns."""
+    m = moments(df).join(column_quantiles(df, [0.25, 0.5, 0.75]), "pos", "left")
     spread = F.col("q2") - F.col("q0")
     return m.select("pos", "column", "kind", "n", "mean", "std", "low", "high", "g1", "g2", F.col("q0").alias("p25"), F.col("q1").alias("median"), F.col("q2").alias("p75"), (F.col("q0") - threshold * spread).alias("lower"), (F.col("q2") + threshold * spread).alias("upper"))
 
@@ -119,10 +133,16 @@ def distribution(g1: Column, g2: Column, n: Column) -> Column:
     )
 
 
-def outliers(freq: DataFrame, bounds: DataFrame, least: int = 4) -> DataFrame:
-    """pos and outliers: values outside lower and upper, from the frequency table; none below ``least`` values."""
-    own = freq.where("num IS NOT NULL").join(F.broadcast(bounds.where(F.col("n") >= least).select("pos", "lower", "upper")), "pos")
-    return own.groupBy("pos").agg(F.coalesce(F.sum(F.when((F.col("num") < F.col("lower")) | (F.col("num") > F.col("upper")), F.col("n"))), F.lit(0)).alias("outliers"))
+def outliers(df: DataFrame, bounds: DataFrame, least: int = 4) -> DataFrame:
+    """pos and outliers: values outside lower and upper, none below ``least`` values; one more pass over the rows."""
+    known = {r["pos"]: (r["lower"], r["upper"]) for r in bounds.where(F.col("n") >= least).select("pos", "lower", "upper").collect() if r["lower"] is not None}
+    cols = [c for c in numeric(df) if c.pos in known]
+
+    def beyond(c: Col) -> Column:
+        v, (low, high) = ref(c.name).cast("double"), known[c.pos]
+        return F.count(F.when((v < low) | (v > high), 1))
+
+    return per_column(df, cols, {"outliers": beyond}).select("pos", F.col("outliers").cast("long").alias("outliers"))
 
 
 def text_stats(df: DataFrame) -> DataFrame:

@@ -34,23 +34,18 @@ def named(df: DataFrame, rows: DataFrame) -> DataFrame:
     return rows.withColumn("column", names[F.col("pos")])
 
 
-def numbers(df: DataFrame) -> tuple[DataFrame, DataFrame]:
-    df = normal(df)
-    return df, stats.frequency(df, columns(df, "integer", "float"))
-
-
 def quantile_rows(df: DataFrame) -> DataFrame:
-    df, freq = numbers(df)
+    df = normal(df)
     names = ["p05", "p25", "p50", "p75", "p95"]
-    return named(df, stats.quantiles(freq, [0.05, 0.25, 0.5, 0.75, 0.95])).select("column", *(r4(f"q{k}").alias(n) for k, n in enumerate(names)))
+    return named(df, stats.column_quantiles(df, [0.05, 0.25, 0.5, 0.75, 0.95])).select("column", *(r4(f"q{k}").alias(n) for k, n in enumerate(names)))
 
 
 def outlier_counts(df: DataFrame, method: str) -> DataFrame:
-    df, freq = numbers(df)
-    bounds = stats.fences(df, freq)
+    df = normal(df)
+    bounds = stats.fences(df)
     if method == "zscore":
         bounds = bounds.withColumns({"lower": F.col("mean") - 3 * F.col("std"), "upper": F.col("mean") + 3 * F.col("std")})
-    return named(df, stats.outliers(freq, bounds)).select("column", "outliers")
+    return named(df, stats.outliers(df, bounds)).select("column", "outliers")
 
 
 def with_text_issues(rows: DataFrame) -> DataFrame:
@@ -92,6 +87,7 @@ add("a3_moments", L, lambda df: stats.moments(normal(df)).select("column", r4("m
 add("a4_text_range", L, lambda df: profile.ranges(df).select("column", F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text")), o.every(T, "min({c})::VARCHAR AS min_text, max({c})::VARCHAR AS max_text"))
 add("a5_samples", C, lambda df: profile.samples(df, ["c_custkey"]).select("column", F.array_join("samples", "|").alias("samples")), "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", string_agg(x, '|' ORDER BY k) AS samples FROM (SELECT c_custkey AS k, {c}::VARCHAR AS x FROM v WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 5)" for c in o.CUSTOMER))
 add("a6_quantiles", L, quantile_rows, o.every(N, ", ".join(f"round(quantile_cont({{c}}, {p}), 4) AS {n}" for n, p in (("p05", 0.05), ("p25", 0.25), ("p50", 0.5), ("p75", 0.75), ("p95", 0.95)))))
+add("a6_quantiles_two_level", L, lambda df: named(df, stats.quantiles(stats.frequency(normal(df), columns(df, "integer", "float")), [0.25, 0.5])).select("column", r4("q0").alias("p25"), r4("q1").alias("p50")), o.every(N, "round(quantile_cont({c}, 0.25), 4) AS p25, round(quantile_cont({c}, 0.5), 4) AS p50"))
 add("a7_distribution", L, lambda df: stats.moments(normal(df)).select("column", r4("g1").alias("skew"), r4("g2").alias("kurtosis"), stats.distribution(F.col("g1"), F.col("g2"), F.col("n")).alias("distribution")), o.every(N, f"round({o.G1}, 4) AS skew, round({o.G2}, 4) AS kurtosis, {o.SHAPE} AS distribution"))
 add("a8_outliers_iqr", L, lambda df: outlier_counts(df, "iqr"), o.every(N, f"(SELECT count(*) {o.FENCE} WHERE {o.IQR_OUT}) AS outliers", ""))
 add("a9_outliers_zscore", L, lambda df: outlier_counts(df, "zscore"), o.every(N, f"(SELECT count(*) {o.FENCE} WHERE {o.Z_OUT}) AS outliers", ""))
@@ -265,7 +261,7 @@ add("k8_dedup_all", O, lambda df: cleaning.duplicates(df)[0], "SELECT DISTINCT *
 add("k8_dedup_last", O, lambda df: cleaning.duplicates(df, ["o_custkey"], "last", ["o_orderkey"])[0].select("o_custkey", "o_orderkey"), "SELECT o_custkey, max(o_orderkey) AS o_orderkey FROM v GROUP BY o_custkey")
 add("k8_dedup_none", O, lambda df: cleaning.duplicates(df, ["o_orderkey"], False)[0], "SELECT * FROM v WHERE o_orderkey IN (SELECT o_orderkey FROM v GROUP BY 1 HAVING count(*) = 1)")
 add("k9_fuzzy", "part", lambda df: neighbours.fuzzy_duplicates(df.select("p_partkey", "p_name"), "p_name", ["p_partkey"]))
-add("k10_iqr_bounds", L, lambda df: named(df, stats.fences(*numbers(df))).select("column", r4("lower").alias("lower"), r4("upper").alias("upper")), o.every(N, f"round({o.Q1} - 1.5 * ({o.Q3} - {o.Q1}), 4) AS lower, round({o.Q3} + 1.5 * ({o.Q3} - {o.Q1}), 4) AS upper"))
+add("k10_iqr_bounds", L, lambda df: named(df, stats.fences(normal(df))).select("column", r4("lower").alias("lower"), r4("upper").alias("upper")), o.every(N, f"round({o.Q1} - 1.5 * ({o.Q3} - {o.Q1}), 4) AS lower, round({o.Q3} + 1.5 * ({o.Q3} - {o.Q1}), 4) AS upper"))
 add("k11_zscore_actions", L, lambda df: cleaning.outliers(df, "zscore", "flag", threshold=3.0)[1].select("column", "rows_affected"), "SELECT * FROM (" + o.every(N, f"(SELECT count(*) {o.FENCE} WHERE {o.Z_OUT}) AS rows_affected", "") + ") WHERE rows_affected > 0")
 add("k12_isolation_forest", L, lambda df: cleaning.outliers(df, "isolation_forest", "flag", ["l_extendedprice"])[1].select("column", "strategy", "rows_affected"))
 cut_p = lambda done: done[0].select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", r4("l_extendedprice").alias("l_extendedprice"))
