@@ -14,10 +14,8 @@ from millrace.operators import stats
 
 
 def pearson(a: Column, b: Column) -> Column:
-    """Correlation over pairs without nulls; null where one is constant."""
-    both = a.isNotNull() & b.isNotNull()
-    x, y = F.when(both, a.cast("double")), F.when(both, b.cast("double"))
-    return F.try_divide(F.covar_pop(x, y), F.stddev_pop(x) * F.stddev_pop(y))
+    """Correlation of two columns without nulls; null where one is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
 
 
 def matrix(df: DataFrame) -> DataFrame:
@@ -26,9 +24,12 @@ def matrix(df: DataFrame) -> DataFrame:
     pairs = list(combinations(numeric(df), 2))
     if not pairs:
         return df.sparkSession.createDataFrame([], "pos_a int, pos_b int, a string, b string, r double")
-    wide = df.agg(*(pearson(ref(a.name), ref(b.name)).alias(f"{a.pos}_{b.pos}") for a, b in pairs))
-    rows = [F.struct(F.lit(a.pos).alias("pos_a"), F.lit(b.pos).alias("pos_b"), F.lit(a.name).alias("a"), F.lit(b.name).alias("b"), F.round(F.col(f"{a.pos}_{b.pos}"), 4).alias("r")) for a, b in pairs]
-    return wide.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+    # pairs are rows, so that one set of aggregates serves all of them; a pair with a null in either is left out
+    cells = [F.struct(F.lit(k).alias("k"), ref(a.name).cast("double").alias("x"), ref(b.name).cast("double").alias("y")) for k, (a, b) in enumerate(pairs)]
+    both = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
+    r = both.groupBy("k").agg(pearson(F.col("x"), F.col("y")).alias("r"))
+    names = df.sparkSession.createDataFrame([(k, a.pos, b.pos, a.name, b.name) for k, (a, b) in enumerate(pairs)], "k int, pos_a int, pos_b int, a string, b string")
+    return names.join(r, "k", "left").select("pos_a", "pos_b", "a", "b", F.round("r", 4).alias("r"))
 
 
 def pairs(df: DataFrame, config: Config = Config(), limit: int = 20) -> DataFrame:

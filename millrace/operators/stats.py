@@ -25,22 +25,15 @@ def counts(df: DataFrame) -> DataFrame:
 def moments(df: DataFrame) -> DataFrame:
     """pos, column, kind, n, mean, std (sample), low, high, g1 and g2 (bias-corrected skewness and excess kurtosis) of numeric columns."""
 
-    def d(c: Col) -> Column:
-        return ref(c.name).cast("double")
-
-    base = per_column(
-        df,
-        numeric(df),
-        {
-            "n": lambda c: F.count(d(c)),
-            "mean": lambda c: F.avg(d(c)),
-            "std": lambda c: F.stddev_samp(d(c)),
-            "low": lambda c: F.min(d(c)),
-            "high": lambda c: F.max(d(c)),
-            "s": lambda c: F.skewness(d(c)),
-            "k": lambda c: F.kurtosis(d(c)),
-        },
-    )
+    cols = numeric(df)
+    if not cols:
+        return df.sparkSession.createDataFrame([], "pos int, column string, kind string, n long, mean double, std double, low double, high double, g1 double, g2 double")
+    # one small set of aggregates over (column, value) rows is compiled far sooner than one set for each column
+    x = F.col("x.v")
+    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c.pos).alias("pos"), ref(c.name).cast("double").alias("v")) for c in cols))).alias("x"))
+    sums = cells.groupBy("x.pos").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k"))
+    names = df.sparkSession.createDataFrame([(c.pos, c.name, c.kind) for c in cols], "pos int, column string, kind string")
+    base = names.join(sums, "pos", "left").withColumn("n", F.coalesce("n", F.lit(0)))
     n = F.col("n").cast("double")
     # Spark has population moments, null for a constant column, whose corrected values are 0
     g1 = F.when(n > 2, F.coalesce("s", F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
