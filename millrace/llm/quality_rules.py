@@ -3,7 +3,8 @@
 Of each text, a suffix array over its words and the longest common prefixes of
 neighbours give the maximal repeated substrings. Their spans are united; a text
 is rejected if they cover too large a share of its words or if one repeat is
-too long. Simple rules on counts come before.
+too long. Simple rules on counts come before; the method's own thresholds lie
+below them, so it rejects texts that those leave.
 
 Work is local to each text: no shuffle, and memory follows a slice of a batch.
 
@@ -35,17 +36,18 @@ class Limits:
     min_words: fewer are rejected. window, max_window_share: share of words in
     windows of so many words found twice. min_repeat: words of the shortest
     repeated substring that counts. max_covered: share of words inside such
-    substrings. max_longest, max_longest_share: the longest repeat is too long
-    if it has more words than ``max_longest`` and than this share of the text.
+    substrings, below ``max_window_share``. max_longest, max_longest_share: the
+    longest repeat is too long if it has more words than ``max_longest`` and than
+    this share of the text (0: whatever the text's length is).
     """
 
     min_words: int = 10
     window: int = 5
     max_window_share: float = 0.20
     min_repeat: int = 8
-    max_covered: float = 0.20
+    max_covered: float = 0.12
     max_longest: int = 50
-    max_longest_share: float = 0.10
+    max_longest_share: float = 0.0
 
 
 MEASURES = pa.schema(

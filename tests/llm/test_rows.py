@@ -217,6 +217,19 @@ def test_decontamination(spark, saved, monkeypatch, block):
     assert decontamination.hits(table.limit(0), bench).count() == 0
 
 
+def test_quality_method_verdict_with_production_limits():
+    """Planted long repeats that the simple rules leave are rejected, by length and by share; clean texts stay."""
+    rng = random.Random(4)
+    fresh = lambda n: [f"w{rng.randint(0, 10**9)}" for _ in range(n)]
+    twice = lambda length, n: (lambda p: " ".join(p + fresh(n - 2 * length) + p))(fresh(length))
+    many = [fresh(10) for _ in range(7)]
+    texts = [twice(80, 1000), twice(400, 5000), twice(60, 20_000), " ".join(sum([[*p, *fresh(1)] for p in many * 2], []) + fresh(846))]
+    clean = [" ".join(fresh(1000)), twice(9, 1000), twice(50, 1000)]
+    m = quality_rules.measures(pa.array([*texts, *clean])).to_pydict()
+    assert m["base_failed"] == [False] * 7 and m["kept"] == [False] * 4 + [True] * 3
+    assert m["longest_repeat"] == [80, 400, 60, 10, m["longest_repeat"][4], 9, 50] and m["n_covered_words"][3] == 140
+
+
 def luhn(d):
     return sum(v if k % 2 == 0 else v * 2 - 9 * (v > 4) for k, v in enumerate(map(int, reversed(d)))) % 10 == 0
 
