@@ -4,12 +4,14 @@ A window network predicts every token from the two tokens on each side. Its
 output is a class of tokens and the token in its class, so a prediction costs
 two short softmaxes. Summed conditional log-probabilities score a document.
 
-The vocabulary is the most frequent words of the whole corpus; other words share
-bucket tokens by their length and outer bytes. Training covers all documents:
-every ``stride``-th token of each is a training position. Each task trains from
-the shared parameters on its own rows; the parameters are averaged by the
-number of positions, for some rounds. What a task sends has the size of the
-network, which is a parameter and not a matter of the data.
+The vocabulary follows the counts of the whole corpus: every word has a token of
+its own that occurs at least ``LEAST`` times and as often as the cube root of the
+number of tokens, so it grows with the corpus and never beyond the square of
+that root. Other words share bucket tokens by their length and outer bytes.
+Every token of every document is a training position in every round. Each task
+trains from the shared parameters on its own rows; the parameters are averaged
+by the number of positions, for some rounds. What a task sends has the size of
+the network, which follows the vocabulary unless a shape is given.
 
 Defined results: a null or empty text has no tokens, the sum 0 and no mean.
 Rows with equal or null ids are scored one by one; other columns are ignored.
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 from millrace.llm import shared
 from millrace.llm import textrows as tr
 
-LONGEST_WORD = 64  # bytes; longer words are in no vocabulary
+LEAST = 5  # occurrences of a word with a token of its own
 BLOCK = 8192
 
 
@@ -54,10 +56,18 @@ class Shape:
         """Tokens that stand for one word; the last class holds the buckets."""
         return self.tokens - self.members
 
+    @classmethod
+    def of(cls, words: int) -> Shape:
+        """With room for so many words: as many classes as members, which makes the softmaxes short."""
+        side = max(cls.classes, int(np.ceil((1 + np.sqrt(1 + 4 * words)) / 2)))
+        return cls(side, side)
+
 
 @dataclass(frozen=True)
 class Training:
-    stride: int = 16
+    """stride: so many rounds take turns at the positions; 1: each round takes all."""
+
+    stride: int = 1
     rounds: int = 2
     batch: int = 512
     rate: float = 0.1
@@ -184,26 +194,31 @@ class Model:
         return np.diff(first), total
 
 
-def vocabulary(texts: DataFrame, size: int) -> list[bytes]:
-    """The most frequent words of all rows of ``text``, ties by the word."""
+def vocabulary(texts: DataFrame, size: int | None = None) -> list[bytes]:
+    """The words of all rows of ``text`` with a token of their own, or the ``size`` most frequent, by falling count and then by the word."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in tr.slices(batch, "text"):
-                data = tr.words(part.column("text")).data
-                counts = data.filter(pc.less_equal(pc.binary_length(data), LONGEST_WORD)).value_counts()
+                counts = tr.words(part.column("text")).data.value_counts()
                 yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "n"])
 
     counts = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
     # written first, so that each task's top words meet in a shuffle and not on the driver
-    top = shared.stored(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
-    return [bytes(r[0]) for r in top.orderBy(F.desc("n"), "word").collect()]
+    if size is None:
+        counts = shared.stored(counts, "counts")
+        tokens = counts.agg(F.sum("n")).first()[0] or 0
+        top = counts.where(F.col("n") >= max(LEAST, round(tokens ** (1 / 3))))
+    else:
+        top = shared.stored(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
+    return [bytes(r[0]) for r in sorted(top.collect(), key=lambda r: (-r[1], bytes(r[0])))]
 
 
-def trained(texts: DataFrame, model: Model, training: Training, rate: float) -> np.ndarray:
-    """Parameters after a round: each task's own, averaged by its number of positions."""
+def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np.ndarray:
+    """Parameters after a round (``turn`` counts them): each task's own, averaged by its number of positions."""
     spark = texts.sparkSession
     given = spark.sparkContext.broadcast(model)
+    rate = training.rate / (turn + 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = given.value
@@ -215,7 +230,7 @@ def trained(texts: DataFrame, model: Model, training: Training, rate: float) ->
             for part in tr.slices(batch, "text"):
                 tokens, first = own.tokens(part.column("text"))
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-                at = np.flatnonzero(place % training.stride == training.stride // 2)
+                at = np.flatnonzero((place + turn) % training.stride == training.stride // 2)
                 rng.shuffle(at)
                 for a in range(0, len(at), training.batch):
                     rows = at[a : a + training.batch]
@@ -229,12 +244,14 @@ def trained(texts: DataFrame, model: Model, training: Training, rate: float) ->
     return model.flat if total is None else (total[:-1] / total[-1]).astype(np.float32)
 
 
-def fit(docs: DataFrame, text_column: str = "text", shape: Shape = Shape(), training: Training = Training()) -> Model:
-    """Train on all rows."""
+def fit(docs: DataFrame, text_column: str = "text", shape: Shape | None = None, training: Training = Training()) -> Model:
+    """Train on all rows. Without a shape the network follows the vocabulary of the corpus."""
     texts = docs.select(docs[text_column].cast("string").alias("text"))
-    model = Model(shape, vocabulary(texts, shape.words), Net(shape, seed=training.seed).flat)
-    for k in range(training.rounds):
-        model = replace(model, flat=trained(texts, model, training, training.rate / (k + 1)))
+    words = vocabulary(texts, shape.words if shape else None)
+    shape = shape or Shape.of(len(words))
+    model = Model(shape, words, Net(shape, seed=training.seed).flat)
+    for turn in range(training.rounds):
+        model = replace(model, flat=trained(texts, model, training, turn))
     return model
 
 

@@ -315,6 +315,32 @@ def test_lm_learns(spark, saved):
     assert lm_scoring.scores(rows.limit(0), lm_scoring.fit(rows.limit(0), shape=shape)).count() == 0
 
 
+def test_lm_trains_on_every_token(spark, saved):
+    """With production training, short texts and every place of longer ones are targets."""
+    table = saved([(k, "red fish") for k in range(300)], "doc_id long, text string")
+    model = lm_scoring.fit(table)
+    new = lm_scoring.Model(model.shape, model.words, lm_scoring.Net(model.shape).flat)
+    mean = lambda m, t: (lambda n, s: s[0] / n[0])(*m.score(pa.array([t])))
+    assert mean(model, "red fish") > mean(new, "red fish") + 1
+    # with a stride the rounds take turns: "c" and "d" are predicted as well as "a" and "b"
+    table = saved([(k, "a b c d") for k in range(300)], "doc_id long, text string")
+    shape = lm_scoring.Shape(4, 8, 2, 8, 16)
+    start = lm_scoring.Model(shape, [b"a", b"b", b"c", b"d"], lm_scoring.Net(shape).flat)
+    moved = [lm_scoring.Net(shape, lm_scoring.trained(table, start, lm_scoring.Training(stride=4), k)).part["mb"][0, :4] > 0 for k in range(4)]
+    assert np.array(moved).any(axis=0).all()
+
+
+def test_lm_vocabulary_follows_the_counts(spark, saved):
+    """Over 4,032 frequent words, one of 80 bytes, and a rare word that isn't taken for gibberish of its length and outer bytes."""
+    names = [f"w{k}x" for k in range(5000)] + ["y" * 80]
+    table = saved([(k, " ".join(names)) for k in range(90)] + [(90, "w0000x")], "doc_id long, text string")
+    words = lm_scoring.vocabulary(table)
+    assert sorted(words) == sorted(n.encode() for n in names)
+    model = lm_scoring.Model(lm_scoring.Shape.of(len(words)), words, np.zeros(0, np.float32))
+    ids, _ = model.tokens(pa.array(["w4999x w9zzzx"]))
+    assert len(words) <= model.shape.words and ids[0] < model.shape.words <= ids[1]
+
+
 def test_crc_matches_spark(spark, saved):
     from pyspark.sql import functions as F
 
