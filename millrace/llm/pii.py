@@ -6,13 +6,14 @@ patterns (two words before; a word before and one after; a key before = or :).
 Tokens that look like identifiers (they hold a digit or @) and are no seeds
 meet the same patterns. A graph of patterns and instances is scored in rounds:
 a pattern by the confidence of its distinct instances, an instance by its
-patterns; instances of high confidence support patterns in the next round. What
-stands in a pattern of high confidence is added as ``context_<kind>``.
+patterns; instances of high confidence support all their patterns in the next
+round, so that patterns with few seeds or none come in as well. What stands in a
+pattern of high confidence is added as ``context_<kind>``.
 
 Only DataFrame functions are used. The texts are read once; the graph holds
-occurrences, without texts. Patterns with too few seeds leave before any join;
-a frequent pattern or instance meets aggregations first, which combine on the
-map side.
+occurrences, without texts. In each round, patterns with too little support leave
+before the join with their instances; a frequent pattern or instance meets
+aggregations first, which combine on the map side.
 
 Regular expressions avoid repeated groups and repeated starts inside one run,
 so that long runs of letters or digits take linear time: single separators
@@ -41,12 +42,12 @@ IP = r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 BYTE = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-#: A token with a digit or @ (among its first 200 characters), without quotes and brackets before it.
-CANDIDATE = r"(?<![^\s\"'(\[{<,;])(?![\s\"'(\[{<,;])(?=[^\s\"',;0-9@]{0,200}[0-9@])[^\s\"',;]+"
+#: A token with a digit or @; brackets before it are taken off later, so that each token is read once.
+CANDIDATE = r"(?<![^\s\"',;])[^\s\"',;0-9@]*+[0-9@][^\s\"',;]*+"
 AROUND = 80  # code points of context that are looked at on each side
 
 ROUNDS = 3
-MIN_SEEDS = 5  # distinct seed instances of a pattern
+MIN_SEEDS = 5  # distinct seeds of a pattern, and found instances by their confidence
 MIN_CONFIDENCE = 0.8
 
 
@@ -95,7 +96,7 @@ def base_spans(text: Column) -> dict[str, Column]:
 
     return {
         "email": guarded(text.contains("@"), located(marked(text, ".", "A-Za-z0-9-"), EMAIL)),
-        "ip": F.filter(guarded(text.rlike(r"[0-9]\.[0-9]{1,9}\.[0-9]"), located(text, IP)), ip_ok),
+        "ip": F.filter(guarded(text.rlike(r"[0-9]\.[0-9]++\.[0-9]"), located(text, IP)), ip_ok),
         "card": F.filter(guarded(text.rlike(r"(?:[0-9][ -]?){15}[0-9]"), located(marked(text, " -", "0-9"), CARD)), card_ok),
         "phone": F.filter(guarded(text.rlike(r"\+[0-9]"), located(text, PHONE)), phone_ok),
     }
@@ -149,7 +150,13 @@ def found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
 
     seeds = F.concat(*(F.transform(F.col(f"b_{k}"), seed(k)) for k in KINDS))
     tokens = guarded(text.rlike("[0-9@]"), located(text, CANDIDATE))
-    tokens = F.filter(tokens, lambda t: t["value"].rlike("[0-9@]") & (F.length(t["value"]) >= 5))
+
+    def bare(t: Column) -> Column:
+        """The token without the brackets before it."""
+        value = F.regexp_replace(t["value"], r"^[(\[{<]+", "")
+        return F.struct((t["end"] - F.length(value)).alias("start"), t["end"].alias("end"), value.alias("value"))
+
+    tokens = F.filter(F.transform(tokens, bare), lambda t: F.length(t["value"]) >= 5)
 
     def unseen(t: Column) -> Column:
         return ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
@@ -170,22 +177,25 @@ def scored(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float)
 
     edges: pattern, value, kind (null for candidates), one row each.
     """
-    # Rule out patterns that can't be trusted before anything is joined
-    supported = edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(F.col("seeds") >= min_seeds)
-    sizes = edges.groupBy("pattern").agg(F.countDistinct("value").alias("n"))
-    supported = supported.join(sizes, "pattern")
-    # unknown instances could still turn out to be of the kind, instances of other kinds can't
-    mixed = edges.where("kind IS NOT NULL").groupBy("pattern").agg(F.count("*").alias("all_seeds"))
-    live = shared.stored(supported.join(mixed, "pattern").where(F.col("seeds") >= min_confidence * F.col("all_seeds")).select("pattern", "kind", "seeds", "n"), "patterns")
-    unknown = shared.stored(edges.where("kind IS NULL").join(live.select("pattern", F.col("kind").alias("as_kind")), "pattern"), "edges")
-    scores = live.select("pattern", "kind", (F.col("seeds") / F.col("n")).alias("score"))
-    for _ in range(rounds):
+    pairs = shared.stored(edges.groupBy("pattern", "value").agg(F.max("kind").alias("known")), "pairs")
+    unknown = pairs.where("known IS NULL").select("pattern", "value")
+    sizes = shared.stored(pairs.groupBy("pattern").agg(F.count("*").alias("n")).where(F.col("n") >= min_seeds), "sizes")
+    seeds = shared.stored(edges.where("kind IS NOT NULL").groupBy("pattern", "kind").agg(F.count("*").cast("double").alias("support")), "seeds")
+    support = seeds
+    for left in range(rounds, -1, -1):
+        # unknown instances could still turn out to be of the kind, instances of other kinds can't; a pattern has few kinds
+        kinds = support.groupBy("pattern").agg(F.sum("support").alias("all"), F.collect_list(F.struct("kind", "support")).alias("kinds"))
+        live = kinds.where(F.col("all") >= min_seeds).select("pattern", "all", F.explode("kinds").alias("k")).select("pattern", "all", "k.kind", "k.support")
+        live = live.where((F.col("support") >= min_seeds) & (F.col("support") >= min_confidence * F.col("all"))).join(sizes, "pattern")
+        scores = shared.stored(live.select("pattern", "kind", F.least(F.lit(1.0), F.col("support") / F.col("n")).alias("score")), "scores")
+        if not left:
+            break
         doubt = F.exp(F.sum(F.log1p(-F.least(F.col("score"), F.lit(0.999)))))
-        instances = unknown.join(scores.withColumnRenamed("kind", "as_kind"), ["pattern", "as_kind"]).groupBy("value", "as_kind").agg((1 - doubt).alias("confidence"))
-        sure = instances.where(F.col("confidence") >= min_confidence)
-        gained = unknown.join(sure, ["value", "as_kind"]).groupBy("pattern", F.col("as_kind").alias("kind")).agg(F.sum("confidence").alias("more"))
-        scores = live.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", F.least(F.lit(1.0), (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / F.col("n")).alias("score"))
-        scores = shared.stored(scores, "scores")
+        instances = unknown.join(scores, "pattern").groupBy("value", "kind").agg((1 - doubt).alias("confidence"))
+        sure = shared.stored(instances.where(F.col("confidence") >= min_confidence), "sure")
+        # over all patterns of the sure instances, not only over those that found them
+        gained = unknown.join(sure, "value").groupBy("pattern", "kind").agg(F.sum("confidence").alias("support"))
+        support = seeds.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("support").alias("support"))
     return scores.where(F.col("score") >= min_confidence)
 
 

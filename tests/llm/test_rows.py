@@ -270,6 +270,26 @@ def test_pii_learns_from_context(spark, saved):
     assert added == {40: [("context_email", "john17(at)mail")]}
 
 
+def test_pii_patterns_come_in_by_found_instances(spark, saved):
+    """A context without any seed is learned from instances that another context has found."""
+    texts = [f"please contact me at user{k}@mail{k % 7}.example.com for more" for k in range(40)]
+    texts += [f"please contact me at john{k}(at)mail for more" for k in range(6)]
+    texts += [f"write us to: john{k}(at)mail today" for k in range(6)] + ["write us to: newone9(at)mail today", "the year 123456 was good"]
+    table = saved(list(enumerate(texts)), "doc_id long, text string")
+    added = {r.doc_id: [(s.kind, texts[r.doc_id][s.start : s.end]) for s in r.added] for r in pii.spans(table).collect() if r.added}
+    assert added == {40 + k: [("context_email", f"john{k % 6}(at)mail")] for k in range(12)} | {52: [("context_email", "newone9(at)mail")]}
+
+
+def test_pii_without_length_bounds(spark, saved):
+    long = "x" * 300 + "1(at)mail"
+    texts = [f"please contact me at user{k}@mail{k % 7}.example.com for more" for k in range(40)]
+    texts += [f"please contact me at {long} for more", "host 1.00000000000002.3.4 is up", "(a" * 50_000 + " (" * 1000]
+    table = saved(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(table).collect()}
+    assert [texts[40][s.start : s.end] for s in got[40].added] == [long]
+    assert [tuple(s) for s in got[41].base] == brute_pii(texts[41]) != [] and not got[42].added
+
+
 def test_lm_gradient_and_scores():
     shape = lm_scoring.Shape(4, 5, 2, 3, 6)
     net = lm_scoring.Net(shape, np.random.default_rng(0).normal(0, 0.5, lm_scoring.Net(shape).flat.shape))
