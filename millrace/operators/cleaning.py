@@ -31,7 +31,7 @@ def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*((new[c] if c in new else ref(c)).alias(c) for c in df.columns))
 
 
-def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = None, constant: object = 0, order_by: str | None = None, donors: int = 50_000) -> Done:
+def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = None, constant: object = 0, order_by: str | None = None) -> Done:
     """Drop or fill nulls: drop, mean, median (default), mode, ffill, constant or knn."""
     df = normal(df)
     names = names or df.columns
@@ -73,7 +73,7 @@ def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = N
     if strategy == "knn":
         from millrace.operators.neighbours import knn_impute
 
-        return knn_impute(df, donors=donors), log(number, "knn")
+        return knn_impute(df), log(number, "knn")
     raise ValueError(f"unknown strategy {strategy}")
 
 

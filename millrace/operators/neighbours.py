@@ -11,51 +11,86 @@ from pyspark.sql import functions as F
 
 from millrace.columns import numeric, ref
 
-BLOCK = 2_000  # rows to fill that are compared with all donors at a time
-
-
-def knn_impute(df: DataFrame, k: int = 5, donors: int = 50_000) -> DataFrame:
+BLOCK = 2_000  # rows to fill that go past the donors at a time
+CHUNK = 2_000  # donors that a block is compared with at a time
+
+
+def nearest(holes: np.ndarray, donors: np.ndarray, ties: np.ndarray, k: int, best: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> None:
+    """Bring ``best`` (for each column: distance, tie and value of the k nearest of each row) up to date with some donors."""
+    order = np.argsort(ties, kind="stable")
+    donors, ties = donors[order], ties[order]
+    square, both = np.zeros((len(holes), len(donors))), np.zeros((len(holes), len(donors)))
+    for j in range(holes.shape[1]):
+        gap = holes[:, j, None] - donors[None, :, j]
+        known = ~np.isnan(gap)
+        square += np.where(known, gap * gap, 0.0)
+        both += known
+    with np.errstate(divide="ignore", invalid="ignore"):
+        far = np.where(both > 0, square * holes.shape[1] / both, np.inf)
+    for j in range(holes.shape[1]):
+        gap, may = np.flatnonzero(np.isnan(holes[:, j])), np.flatnonzero(~np.isnan(donors[:, j]))
+        if not len(gap) or not len(may):
+            continue
+        own = far[np.ix_(gap, may)]
+        near = np.argsort(own, axis=1, kind="stable")[:, :k]
+        old = best[j]
+        new = [np.concatenate([x, y], axis=1) for x, y in zip(old, (np.take_along_axis(own, near, 1), ties[may][near], donors[may, j][near]))]
+        first = np.lexsort((new[1], new[0]), axis=1)[:, :k]
+        best[j] = tuple(np.take_along_axis(x, first, 1) for x in new)
+
+
+def knn_impute(df: DataFrame, k: int = 5) -> DataFrame:
     """Fill the nulls of every numeric column with the mean of its k nearest donors that have a value.
 
     Distances are Euclidean over the columns both rows have, scaled by how many
-    there are. Donors are the first ``donors`` rows in the order of a hash, a
-    documented bound; rows to fill stream past them, so no rows are paired in a join.
+    there are; ties go by a hash of the donor. All rows are donors: blocks of
+    about ``BLOCK`` rows with nulls are broadcast past all partitions, each
+    partition returns its own k nearest, and an aggregation keeps the k nearest
+    of all. Work grows with rows to fill times rows.
     """
+    from millrace.sources import folders
+
     cols = [c.name for c in numeric(df)]
     if len(cols) < 2:
         return df
-    number = [ref(c).cast("double").alias(c) for c in cols]
-    some = df.select(*number).where(F.coalesce(*(ref(c) for c in cols)).isNotNull())
-    pool = some.orderBy(F.xxhash64(*(ref(c) for c in cols), F.lit(42))).limit(donors).toPandas().to_numpy(float)
-    given = df.sparkSession.sparkContext.broadcast(pool)
-    types = {f.name: f.dataType for f in df.schema}
-
-    def fill(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pool = given.value
-        has = ~np.isnan(pool)
-        zero = np.where(has, pool, 0.0)
-        for part in parts:
-            x = part[cols].to_numpy(float, copy=True)
-            todo = np.flatnonzero(np.isnan(x).any(axis=1))
-            for a in range(0, len(todo), BLOCK):
-                rows = todo[a : a + BLOCK]
-                own = ~np.isnan(x[rows])
-                v = np.where(own, x[rows], 0.0)
-                both = own.astype(float) @ has.T.astype(float)
-                square = (v**2) @ has.T + own @ (zero**2).T - 2 * v @ zero.T
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    far = np.where(both > 0, np.maximum(square, 0) * len(cols) / both, np.inf)
-                for j in range(len(cols)):
-                    gap = np.flatnonzero(~own[:, j])
-                    may = np.flatnonzero(has[:, j])
-                    if not len(gap) or not len(may):
-                        continue
-                    near = np.argsort(far[np.ix_(gap, may)], axis=1, kind="stable")[:, :k]
-                    x[rows[gap], j] = pool[may, j][near].mean(axis=1)
-            yield part.assign(**{c: x[:, j] for j, c in enumerate(cols)})
-
+    spark = df.sparkSession
+    folders.ensure(spark)
     wide = df.select(*((ref(c).cast("double") if c in cols else ref(c)).alias(c) for c in df.columns))
-    return wide.mapInPandas(fill, wide.schema)
+    rows = wide.withColumn("__uid", F.monotonically_increasing_id()).checkpoint()
+    names = [f"v{j}" for j in range(len(cols))]
+    numbers = rows.select("__uid", *(ref(c).alias(v) for c, v in zip(cols, names)))
+    holes = numbers.where(" OR ".join(f"{v} IS NULL" for v in names))
+    donors = numbers.where(F.coalesce(*names).isNotNull()).select(F.xxhash64(*names, F.lit(42)).alias("tie"), *names)
+    blocks = -(-holes.count() // BLOCK)
+    filled = []
+    for block in range(blocks):
+        own = holes.where(F.pmod(F.xxhash64("__uid"), F.lit(blocks)) == block).toPandas()
+        given = spark.sparkContext.broadcast((own["__uid"].to_numpy(), own[names].to_numpy(float)))
+
+        def local(parts: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            uid, x = given.value
+            gaps = [np.flatnonzero(np.isnan(x[:, j])) for j in range(len(names))]
+            best = [(np.zeros((len(g), 0)), np.zeros((len(g), 0), np.int64), np.zeros((len(g), 0))) for g in gaps]
+            for part in parts:
+                for a in range(0, len(part), CHUNK):
+                    some = part.iloc[a : a + CHUNK]
+                    nearest(x, some[names].to_numpy(float), some["tie"].to_numpy(), k, best)
+            for j, (g, (far, tie, value)) in enumerate(zip(gaps, best)):
+                yield pd.DataFrame({"uid": np.repeat(uid[g], far.shape[1]), "j": j, "far": far.ravel(), "tie": tie.ravel(), "value": value.ravel()})
+
+        near = donors.mapInPandas(local, "uid long, j int, far double, tie long, value double")
+        near = near.groupBy("uid", "j").agg(F.slice(F.array_sort(F.collect_list(F.struct("far", "tie", "value"))), 1, k).alias("near"))
+        mean = F.aggregate("near", F.lit(0.0), lambda s, d: s + d["value"]) / F.size("near")
+        filled.append(near.groupBy("uid").agg(*(F.max(F.when(F.col("j") == j, mean)).alias(v) for j, v in enumerate(names))).checkpoint())
+        given.destroy()
+    if not filled:
+        return rows.drop("__uid")
+    new = filled[0]
+    for more in filled[1:]:
+        new = new.unionAll(more)
+    by_name = dict(zip(cols, names))
+    out = rows.join(new, rows["__uid"] == new["uid"], "left")
+    return out.select(*((F.coalesce(rows[f"`{c}`"], new[by_name[c]]) if c in by_name else rows[f"`{c}`"]).alias(c) for c in df.columns))
 
 
 def fuzzy_duplicates(df: DataFrame, column: str, order_by: list[str], threshold: int = 85, window: int = 100) -> DataFrame:

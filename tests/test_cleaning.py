@@ -52,6 +52,16 @@ def test_knn_takes_the_nearest_donors(spark):
         assert np.isclose(got[i, j], np.mean([v for _, v in sorted(far)[:5]]))
 
 
+def test_knn_has_no_bound_on_donors(spark, monkeypatch):
+    """Of 60,000 rows the nearest are found for every row to fill, over several blocks and partitions."""
+    from millrace.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "BLOCK", 40, raising=False)
+    df = spark.range(60_000).select(F.col("id").cast("double").alias("a"), F.when(F.col("id") % 600 != 300, F.col("id").cast("double")).alias("b"))
+    got = neighbours.knn_impute(df.repartition(6), 4).where("a % 600 = 300").collect()
+    assert len(got) == 100 and all(r.b == r.a for r in got)
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (1, "z"), (None, None), (None, None)], "a int, b string")
     assert cleaning.duplicates(df)[0].count() == 4
