@@ -67,7 +67,7 @@ def keys(host: Column, path: Column, depth: int) -> Column:
     labels = F.split(host, r"\.")
     domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i + 1).alias("weight")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"), F.lit(1_000_000).alias("weight")))
-    parts = F.filter(F.slice(F.split(path, "/"), 2, depth), lambda x: x != "")
+    parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, depth)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")).alias("key"), (1_000_000 + i).alias("weight")))
     with_paths = F.when(F.size(parts) > 0, F.concat(domains, own, prefixes)).otherwise(F.concat(domains, own)) if depth else F.concat(domains, own)
     return F.when(host != "", with_paths)

@@ -202,6 +202,16 @@ def test_warc_reader_skips_what_is_stored_inside_a_payload():
     assert [f["warc-record-id"] for _, f, _ in warc.owned(Source(bytes(broken)), len(data), 0, len(data))] == [f"<urn:x-page:{k}>" for k in [2, 1, *range(3, 8)]]
 
 
+def test_url_filters_with_doubled_slashes(spark):
+    """Empty segments don't count, whatever the depth of the list is."""
+    e = spark.sql("SELECT 'l' AS list, 'prefix' AS kind, 'h.com/a' AS key, 'block' AS action, DATE'2024-01-01' AS day UNION ALL SELECT 'l', 'host', 'h.com', 'allow', DATE'2024-01-01'")
+    urls = ["http://h.com//a/x", "http://h.com/a//x", "http://h.com///a", "http://h.com//b/a", "http://h.com//"]
+    c = spark.createDataFrame(list(enumerate(urls)), "id int, url string").selectExpr("*", "DATE'2024-01-02' AS fetched")
+    deep = e.union(spark.sql("SELECT 'l', 'prefix', 'other.com/a/b/c', 'block', DATE'2024-01-01'"))
+    for entries in (e, deep):
+        assert [r.verdict for r in url_filters.decide(c, entries).orderBy("row.id").collect()] == ["block"] * 3 + ["allow"] * 2
+
+
 def test_url_filters(spark):
     day = "CAST('2024-01-{:02d}' AS DATE)".format
     entries = [
