@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from millrace.columns import normal, numeric, ref
+from millrace.columns import normal, numeric, per_column, ref
 from millrace.config import Config
 from millrace.functions.geo import haversine_km
 
@@ -14,19 +14,16 @@ LAT_NAMES = ["lat", "latitude", "y_coord", "y"]
 LNG_NAMES = ["lng", "lon", "long", "longitude", "x_coord", "x"]
 
 
-def coordinate_columns(df: DataFrame, first: int = 20) -> list[tuple[str, str]]:
-    """All pairs of a latitude and a longitude column, by name and by the first values."""
+def coordinate_columns(df: DataFrame) -> list[tuple[str, str]]:
+    """All pairs of a latitude and a longitude column, by name and by the range of over 80 % of their values; the others are what ``validity`` counts."""
     df = normal(df)
-    cols = [c.name for c in numeric(df)]
-    head = df.select(*(ref(c).cast("double").alias(c) for c in cols)).limit(first).collect() if cols else []
+    within = lambda most: lambda c: F.avg((F.abs(ref(c.name).cast("double")) <= most).cast("double"))
+    found = per_column(df, numeric(df), {"lat": within(90), "lng": within(180)}).orderBy("pos").collect()
 
-    def fits(name: str, patterns: list[str], most: float) -> bool:
-        values = [r[name] for r in head if r[name] is not None]
-        return any(p in name.lower() for p in patterns) and bool(values) and all(abs(v) <= most for v in values)
+    def fits(share: str, patterns: list[str]) -> list[str]:
+        return [r.column for r in found if any(p in r.column.lower() for p in patterns) and (r[share] or 0) > 0.8]
 
-    lats = [c for c in cols if fits(c, LAT_NAMES, 90)]
-    lngs = [c for c in cols if fits(c, LNG_NAMES, 180)]
-    return [(a, b) for a in lats for b in lngs if a != b]
+    return [(a, b) for a in fits("lat", LAT_NAMES) for b in fits("lng", LNG_NAMES) if a != b]
 
 
 def points(df: DataFrame, lat: str, lng: str) -> DataFrame:

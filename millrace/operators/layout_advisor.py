@@ -15,14 +15,10 @@ FILTER_ENDS = "(_id|_key|_code|_type|_status|_date|_name)$"
 FILTER_STARTS = "^(id_|is_|has_)"
 
 
-def json_like(df: DataFrame, first: int = 100) -> list[str]:
-    """Text columns with an array or object among the first values."""
-    out = []
-    for c in columns(df, "text"):
-        v = ref(c.name)
-        if df.select(v.alias("v")).where("v IS NOT NULL").limit(first).where(F.col("v").startswith("[") | F.col("v").startswith("{")).take(1):
-            out.append(c.name)
-    return out
+def json_like(df: DataFrame) -> list[str]:
+    """Text columns with an array or object among their values."""
+    rows = per_column(df, columns(df, "text"), {"json": lambda c: F.count(F.when(ref(c.name).startswith("[") | ref(c.name).startswith("{"), 1))})
+    return [r.column for r in rows.where("json > 0").orderBy("pos").collect()]
 
 
 def sortedness(df: DataFrame, order_by: str) -> DataFrame:

@@ -24,9 +24,9 @@ DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "y
 
 
 def as_time(text: Column) -> Column:
-    """A timestamp if the text has one of the known formats; plain numbers are none."""
+    """A timestamp if the text has one of the known formats; plain numbers are none. Texts that can't have any are not tried."""
     tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.when(~F.trim(text).rlike(r"^[+-]?[0-9.]*$"), F.coalesce(*tries))
+    return F.when((F.length(text) <= 64) & text.rlike("[0-9]") & ~F.trim(text).rlike(r"^[+-]?[0-9.]*$"), F.coalesce(*tries))
 
 
 def ranges(df: DataFrame) -> DataFrame:
@@ -47,15 +47,12 @@ def samples(df: DataFrame, order_by: list[str], k: int = 5) -> DataFrame:
     return first.groupBy("pos", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("samples"))
 
 
-def date_like(df: DataFrame, first: int = 100) -> list[str]:
-    """Text columns with over 80 % parseable values among the first 100 that aren't null."""
-    out = []
-    for c in columns(df, "text"):
-        head = df.select(ref(c.name).alias("v")).where("v IS NOT NULL").limit(first)
-        n, ok = head.agg(F.count("*"), F.count(as_time(F.col("v")))).first()
-        if n and ok / n > 0.8:
-            out.append(c.name)
-    return out
+def date_like(df: DataFrame) -> list[str]:
+    """Text columns with over 80 % parseable values among all that aren't null."""
+    from millrace.columns import per_column
+
+    rows = per_column(df, columns(df, "text"), {"dated": lambda c: F.try_divide(F.count(as_time(ref(c.name))), F.count(ref(c.name)))})
+    return [r.column for r in rows.where("dated > 0.8").orderBy("pos").collect()]
 
 
 def basics(df: DataFrame, config: Config = Config()) -> DataFrame:

@@ -16,8 +16,8 @@ LAGS = [7, 12, 14, 24, 28, 30, 52, 60, 90, 365]  # fixed values
 
 
 def time_columns(df: DataFrame) -> list[str]:
-    """Temporal columns, and text columns of which most of the first 50 values are dates."""
-    return [c.name for c in columns(df, "temporal")] + profile.date_like(df, 50)
+    """Temporal columns, and text columns of which most values are dates."""
+    return [c.name for c in columns(df, "temporal")] + profile.date_like(df)
 
 
 def at(df: DataFrame, column: str) -> Column:

@@ -62,6 +62,19 @@ def test_knn_has_no_bound_on_donors(spark, monkeypatch):
     assert len(got) == 100 and all(r.b == r.a for r in got)
 
 
+def test_verdicts_on_columns_rest_on_all_rows(spark):
+    """Dates, JSON and coordinates are judged by all values, wherever they stand."""
+    from millrace.operators import geo, layout_advisor, profile
+
+    day = "CAST(date_add(DATE'2024-01-01', CAST(id AS INT)) AS STRING)"
+    df = spark.range(0, 1000, 1, 1).selectExpr(
+        f"IF(id < 200, {day}, 'word ' || id) AS early", f"IF(id < 100, 'no date 1', {day}) AS late", "IF(id = 999, '{}', 'x') AS j", "IF(id < 50, NULL, 45.0D) AS lat", "IF(id < 50, NULL, IF(id = 60, 999.0D, 120.0D)) AS lng"
+    )
+    assert profile.date_like(df) == ["late"] and layout_advisor.json_like(df) == ["j"] and geo.coordinate_columns(df) == [("lat", "lng")]
+    cleaned, _ = cleaning.coerce(df)
+    assert dict(cleaned.dtypes)["early"] == "string" and cleaned.where("early IS NULL").isEmpty() and dict(cleaned.dtypes)["late"] == "timestamp"
+
+
 def test_duplicates(spark):
     df = spark.createDataFrame([(1, "x"), (1, "x"), (2, "y"), (1, "z"), (None, None), (None, None)], "a int, b string")
     assert cleaning.duplicates(df)[0].count() == 4
