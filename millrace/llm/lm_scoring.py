@@ -1,22 +1,31 @@
 """LM scoring by masked pseudo-likelihood.
 
-A window network predicts every token from the two tokens on each side. Its
-output is a class of tokens and the token in its class, so a prediction costs
-two short softmaxes. Summed conditional log-probabilities score a document.
-
-The vocabulary follows the counts of the whole corpus: every word has a token of
-its own that occurs at least ``LEAST`` times and as often as the cube root of the
-number of tokens, so it grows with the corpus and never beyond the square of
-that root. Other words share bucket tokens by their length and outer bytes.
-Every token of every document is a training position in every round. Each task
-trains from the shared parameters on its own rows; the parameters are averaged
-by the number of positions, for some rounds. What a task sends has the size of
-the network, which follows the vocabulary unless a shape is given.
-
-Defined results: a null or empty text has no tokens, the sum 0 and no mean.
-Rows with equal or null ids are scored one by one; other columns are ignored.
-An empty table leaves the network as it was at first. Sums of parameters depend
-on the order of their tasks in the last digits.
+A window network predicts every word from the two words on each side. Summed
+conditional log-probabilities score a document.
+
+The network's tokens are the most frequent words and some buckets. Its output is
+a class of tokens and the token in its class, so a prediction costs two short
+softmaxes. A word in a bucket is charged for it: its probability is that of the
+bucket times its share of the bucket's occurrences in the corpus. Words of the
+vocabulary have their own share; the others, and words never seen, divide what
+is left evenly. The probabilities of all words add up to one, so a text of rare
+or invented words scores below a text of known ones.
+
+What is gathered follows the corpus: all words are counted, and the vocabulary
+with shares of its own holds up to ``2 * sqrt(words of the corpus)`` words, or
+``ROOM`` if that is more. It is cut at a count that a histogram tells, so no task
+orders all words. Every token of
+every document is a training position once: the rounds take turns at the places.
+Each task trains from the shared parameters on its own rows; the parameters are
+averaged by the number of positions. What a task sends has the size of the
+network, which is a parameter.
+
+Defined results: a null or empty text has no tokens, the sum 0 and no mean. A
+long text is cut into pieces of positions and takes time by its length. Rows with
+equal or null ids are scored one by one and equal texts get equal scores; of words with
+equal counts the first in byte order gets a token first; other columns are
+ignored, whatever their names are. An empty table leaves the network as it was at
+first. Sums of parameters depend on the order of their tasks in the last digits.
 """
 
 from __future__ import annotations
@@ -33,7 +42,8 @@ from pyspark.sql import functions as F
 from millrace.llm import shared
 from millrace.llm import textrows as tr
 
-LEAST = 5  # occurrences of a word with a token of its own
+ROOM = 1 << 16  # words of the vocabulary of a small corpus
+STEPS = 16  # of the histogram of counts, for each doubling
 BLOCK = 8192
 
 
@@ -56,24 +66,24 @@ class Shape:
         """Tokens that stand for one word; the last class holds the buckets."""
         return self.tokens - self.members
 
-    @classmethod
-    def of(cls, words: int) -> Shape:
-        """With room for so many words: as many classes as members, which makes the softmaxes short."""
-        side = max(cls.classes, int(np.ceil((1 + np.sqrt(1 + 4 * words)) / 2)))
-        return cls(side, side)
-
 
 @dataclass(frozen=True)
 class Training:
-    """stride: so many rounds take turns at the positions; 1: each round takes all."""
+    """rounds take turns at the places, so that each position is trained on once."""
 
-    stride: int = 1
     rounds: int = 2
-    batch: int = 512
+    batch: int = 4096
     rate: float = 0.1
     seed: int = 7
 
 
+def scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """Sums of the values by row."""
+    width = values.shape[1]
+    place = (rows[:, None] * width + np.arange(width)).ravel()
+    return np.bincount(place, weights=values.ravel(), minlength=n * width).reshape(n, width)
+
+
 class Net:
     """The window network over one flat array of parameters."""
 
@@ -86,6 +96,14 @@ class Net:
             rng = np.random.default_rng(seed)
             self.part["vec"][:] = rng.normal(0, 0.3, self.part["vec"].shape)
             self.part["w"][:] = rng.normal(0, self.part["w"].shape[0] ** -0.5, self.part["w"].shape)
+            self.part["c"][:] = rng.normal(0, 0.1, self.part["c"].shape)
+            self.part["m"][:] = rng.normal(0, 0.1, self.part["m"].shape)
+
+    def start(self, often: np.ndarray) -> None:
+        """Biases by which each token has its share of the counts."""
+        own = often.reshape(self.shape.classes, self.shape.members)
+        self.part["cb"][:] = np.log(own.sum(axis=1) / own.sum())
+        self.part["mb"][:] = np.log(own / own.sum(axis=1, keepdims=True))
 
     def sizes(self) -> dict[str, tuple[int, ...]]:
         s = self.shape
@@ -154,7 +172,7 @@ class Net:
         dh *= 1 - h * h
         x = p["vec"][context].reshape(n, -1)
         g["w"][:], g["b"][:] = x.T @ dh, dh.sum(axis=0)
-        np.add.at(g["vec"], context.ravel(), (dh @ p["w"].T).reshape(-1, s.width))
+        g["vec"][:] = scattered(context.ravel(), (dh @ p["w"].T).reshape(-1, s.width), s.tokens + 1)
         return grad
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
@@ -163,39 +181,50 @@ class Net:
         self.flat -= rate * grad / (np.sqrt(squares) + 1e-6)
 
 
+def bucket_of(start: np.ndarray, end: np.ndarray, buf: np.ndarray, buckets: int) -> np.ndarray:
+    """Buckets of the words at these bytes, by length and outer bytes."""
+    return ((end - start) * 31 + buf[start].astype(np.int64) * 7 + buf[end - 1].astype(np.int64) * 131) % buckets
+
+
 @dataclass
 class Model:
-    """The vocabulary, by falling frequency, and the parameters."""
+    """words: by falling count; the first ``head`` are tokens of the network. charges: log of the share of each
+    in its bucket, 0 for the head; rest: the same for other words, by bucket."""
 
     shape: Shape
-    words: list[bytes]
+    words: pa.Array
+    head: int
+    charges: np.ndarray
+    rest: np.ndarray
     flat: np.ndarray
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """Tokens of all texts in a row, and the first of each text."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens of all texts in a row, what each is charged, and the first of each text."""
         w = tr.words(texts)
-        known = pc.index_in(w.data, value_set=pa.array(self.words, pa.large_binary()))
-        out = known.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        rest = np.flatnonzero(out < 0)
+        found = pc.index_in(w.data, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        out, charge = found.copy(), np.zeros(len(found))
+        tail = np.flatnonzero((found < 0) | (found >= self.head))
         buf, _ = tr.text_bytes(texts)
-        a, b = w.start[rest], w.end[rest]
-        out[rest] = self.shape.words + ((b - a) * 31 + buf[a].astype(np.int64) * 7 + buf[b - 1].astype(np.int64) * 131) % self.shape.members
-        return out, w.first
-
-    def score(self, texts: pa.Array, chunk: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+        bucket = bucket_of(w.start[tail], w.end[tail], buf, self.shape.members)
+        out[tail] = self.shape.words + bucket
+        charge[tail] = self.rest[bucket]
+        own = np.flatnonzero(found[tail] >= 0)
+        charge[tail[own]] = self.charges[found[tail[own]]]
+        return out, charge, w.first
+
+    def score(self, texts: pa.Array, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and sum of log-probabilities of each text."""
         net = Net(self.shape, self.flat)
-        tokens, first = self.tokens(texts)
-        logs = np.zeros(len(tokens))
+        tokens, logs, first = self.tokens(texts)
         for a in range(0, len(tokens), chunk):
             at = np.arange(a, min(a + chunk, len(tokens)))
-            logs[at] = net.log_prob(net.around(tokens, first, at), tokens[at])
+            logs[at] += net.log_prob(net.around(tokens, first, at), tokens[at])
         total = np.bincount(np.repeat(np.arange(len(texts)), np.diff(first)), weights=logs, minlength=len(texts))
         return np.diff(first), total
 
 
-def vocabulary(texts: DataFrame, size: int | None = None) -> list[bytes]:
-    """The words of all rows of ``text`` with a token of their own, or the ``size`` most frequent, by falling count and then by the word."""
+def counted(texts: DataFrame) -> DataFrame:
+    """word (its bytes) and n, over all rows of ``text``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,15 +232,60 @@ def vocabulary(texts: DataFrame, size: int | None = None) -> list[bytes]:
                 counts = tr.words(part.column("text")).data.value_counts()
                 yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "n"])
 
-    counts = texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    # written first, so that each task's top words meet in a shuffle and not on the driver
-    if size is None:
-        counts = shared.stored(counts, "counts")
-        tokens = counts.agg(F.sum("n")).first()[0] or 0
-        top = counts.where(F.col("n") >= max(LEAST, round(tokens ** (1 / 3))))
-    else:
-        top = shared.stored(counts.orderBy(F.desc("n"), "word").limit(size), "vocabulary")
-    return [bytes(r[0]) for r in sorted(top.collect(), key=lambda r: (-r[1], bytes(r[0])))]
+    return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def bucketed(counts: DataFrame, buckets: int) -> DataFrame:
+    """word, n and bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = batch.column("word").cast(pa.large_binary())
+            buf, first = tr.text_bytes(words)
+            bucket = bucket_of(first[:-1], first[1:], buf, buckets)
+            yield pa.RecordBatch.from_arrays([batch.column("word"), batch.column("n"), pa.array(bucket, pa.int32())], names=["word", "n", "bucket"])
+
+    return counts.mapInArrow(run, "word binary, n long, bucket int")
+
+
+def cut_at(sizes: list[tuple[int, int]], room: int) -> int:
+    """The least step of the histogram from which on there are no more than ``room`` words."""
+    least, total = 1 << 30, 0
+    for step, words in sorted(sizes, reverse=True):
+        total += words
+        if total > room:
+            break
+        least = step
+    return least
+
+
+def vocabulary(texts: DataFrame, shape: Shape) -> Model:
+    """A model of the counts alone: each token has its share of all words."""
+    step = F.floor(F.log2("n") * STEPS).cast("int")
+    counts = shared.stored(bucketed(counted(texts), shape.members).withColumn("step", step), "counts")
+    sizes = counts.groupBy("step").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()  # a row for each step
+    words = [(r["step"], r["words"]) for r in sizes]
+    tokens = sum(r["n"] for r in sizes)
+    least = cut_at(words, max(ROOM, int(2 * tokens**0.5)))
+    known = [(bytes(r["word"]), r["n"], r["bucket"]) for r in counts.where(F.col("step") >= least).collect()]
+    known.sort(key=lambda r: (-r[1], r[0]))
+    first = min(len(known), shape.words)
+    other = counts.where(F.col("step") < least).groupBy("bucket").agg(F.count("*").alias("words"), F.sum("n").alias("n")).collect()
+    left, sorts = np.ones(shape.members), np.ones(shape.members)  # a share for words never seen
+    for r in other:
+        left[r["bucket"]] += r["n"]
+        sorts[r["bucket"]] += r["words"]
+    n = np.array([r[1] for r in known], np.float64)
+    bucket = np.array([r[2] for r in known], np.int64)
+    tail = np.arange(len(known)) >= first
+    whole = left + np.bincount(bucket[tail], weights=n[tail], minlength=shape.members)
+    charges = np.where(tail, np.log(n) - np.log(whole[bucket]), 0.0)
+    net = Net(shape, seed=7)
+    often = np.full(shape.tokens, 0.01)
+    often[:first] += n[:first]
+    often[shape.words :] += whole
+    net.start(often)
+    return Model(shape, pa.array([r[0] for r in known], pa.large_binary()), first, charges, np.log(left) - np.log(whole) - np.log(sorts), net.flat)
 
 
 def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np.ndarray:
@@ -228,9 +302,9 @@ def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np
         n = 0
         for batch in batches:
             for part in tr.slices(batch, "text"):
-                tokens, first = own.tokens(part.column("text"))
+                tokens, _, first = own.tokens(part.column("text"))
                 place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-                at = np.flatnonzero((place + turn) % training.stride == training.stride // 2)
+                at = np.flatnonzero(place % training.rounds == turn)
                 rng.shuffle(at)
                 for a in range(0, len(at), training.batch):
                     rows = at[a : a + training.batch]
@@ -244,12 +318,10 @@ def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np
     return model.flat if total is None else (total[:-1] / total[-1]).astype(np.float32)
 
 
-def fit(docs: DataFrame, text_column: str = "text", shape: Shape | None = None, training: Training = Training()) -> Model:
-    """Train on all rows. Without a shape the network follows the vocabulary of the corpus."""
+def fit(docs: DataFrame, text_column: str = "text", shape: Shape = Shape(), training: Training = Training()) -> Model:
+    """Train on all rows."""
     texts = docs.select(docs[text_column].cast("string").alias("text"))
-    words = vocabulary(texts, shape.words if shape else None)
-    shape = shape or Shape.of(len(words))
-    model = Model(shape, words, Net(shape, seed=training.seed).flat)
+    model = vocabulary(texts, shape)
     for turn in range(training.rounds):
         model = replace(model, flat=trained(texts, model, training, turn))
     return model

@@ -305,25 +305,82 @@ def test_lm_gradient_and_scores():
         net.flat[k] = old
         assert abs((up - down) / 2e-5 - grad[k]) < 1e-5
     assert abs(sum(np.exp(net.log_prob(context[:1], np.array([k]))[0]) for k in range(20)) - 1) < 1e-9
-    # a document's score is the sum over its tokens, each from both sides
-    model = lm_scoring.Model(shape, [b"a", b"b"], net.flat)
-    text = "a b zz a q"
-    ids, first = model.tokens(pa.array([text, None, ""]))
-    pad = [20, 20, *ids.tolist(), 20, 20]
-    want = sum(net.log_prob(np.array([[*pad[k : k + 2], *pad[k + 3 : k + 5]]]), ids[k : k + 1])[0] for k in range(5))
-    n, total = model.score(pa.array([text, None, ""]), chunk=2)
-    assert n.tolist() == [5, 0, 0] and abs(total[0] - want) < 1e-6 and total[1:].tolist() == [0, 0]
+
+
+def brute_model(texts, shape, room):
+    """Tokens and charges of any word, by plain counting."""
+    counts = collections.Counter(w for t in texts for w in words_of(t))
+    step = {w: int(np.floor(np.log2(n) * lm_scoring.STEPS)) for w, n in counts.items()}
+    least = min((s for s in step.values() if sum(x >= s for x in step.values()) <= room), default=1 << 30)
+    known = sorted((w for w in counts if step[w] >= least), key=lambda w: (-counts[w], w.encode()))
+    head = known[: shape.words]
+
+    def bucket(w):
+        b = w.encode()
+        return (len(b) * 31 + b[0] * 7 + b[-1] * 131) % shape.members
+
+    def token(w):
+        if w in head:
+            return head.index(w), 0.0
+        mates = [x for x in counts if bucket(x) == bucket(w) and x not in head]
+        rest = [x for x in mates if x not in known]
+        total = sum(counts[x] for x in mates) + 1
+        share = counts[w] / total if w in known else (sum(counts[x] for x in rest) + 1) / total / (len(rest) + 1)
+        return shape.words + bucket(w), np.log(share)
+
+    return token
+
+
+def brute_log_prob(net, pad, at):
+    """Of one token, from those around it, by loops over the parameters."""
+    p, s = net.part, net.shape
+    x = np.concatenate([p["vec"][pad[at + k]] for k in (-2, -1, 1, 2)])
+    h = np.tanh(x @ p["w"] + p["b"])
+    c, m = divmod(pad[at], s.members)
+    both = 0.0
+    for logits, own in ((h @ p["c"] + p["cb"], c), (h @ p["m"][c] + p["mb"][c], m)):
+        both += logits[own] - np.log(np.exp(logits).sum())
+    return both
+
+
+@pytest.mark.parametrize("room", [5, 1000])
+def test_lm_against_brute_force(spark, saved, monkeypatch, room):
+    """Vocabulary, charges and scores of every text, with few and with all words in the vocabulary."""
+    monkeypatch.setattr(lm_scoring, "ROOM", room)
+    texts = [*mixed_texts(40, seed=12), *EDGES]
+    table = saved(list(enumerate(texts)), "doc_id long, text string")
+    shape = lm_scoring.Shape(3, 4, 2, 3, 6)
+    model = lm_scoring.fit(table, shape=shape, training=lm_scoring.Training(batch=64))
+    room = max(room, int(2 * sum(len(words_of(t)) for t in texts) ** 0.5))
+    token, net = brute_model(texts, shape, room), lm_scoring.Net(shape, model.flat.astype(np.float64))
+    got = {r.doc_id: r for r in lm_scoring.scores(table, model).collect()}
+    for k, t in enumerate(texts):
+        own = [token(w) for w in words_of(t)[:400]]
+        if len(own) == 400:
+            continue
+        pad = [12, 12, *(x for x, _ in own), 12, 12]
+        want = sum(brute_log_prob(net, pad, 2 + j) + c for j, (_, c) in enumerate(own))
+        assert got[k].n_tokens == len(own) and abs(got[k].log_prob - want) < 1e-3 * max(1, len(own))
+    # all words and one more for each bucket divide the whole probability
+    context = np.random.default_rng(3).integers(0, 13, (1, 4))
+    every = {w for t in texts for w in words_of(t)}
+    shares = collections.defaultdict(float)
+    for w in every:
+        shares[token(w)[0]] += np.exp(token(w)[1])
+    total = sum(np.exp(net.log_prob(context, np.array([x]))[0]) * s for x, s in shares.items())
+    assert total < 1 + 1e-6
 
 
 def test_lm_learns(spark, saved):
     """Held-out text of the same kind is more likely than before training, and than shuffled text."""
     rng = random.Random(8)
     phrase = ["red", "fish", "swims", "under", "the", "old", "bridge", "at", "night"]
-    texts = [" ".join(phrase[k % 9] for k in range(s, s + rng.randint(20, 60))) for s in rng.choices(range(9), k=400)]
+    texts = [" ".join(phrase[k % 9] for k in range(s, s + rng.randint(20, 60))) for s in rng.choices(range(9), k=800)]
     table = saved(list(enumerate(texts)), "doc_id long, text string")
     shape = lm_scoring.Shape(4, 8, 2, 8, 16)
-    model = lm_scoring.fit(table, shape=shape, training=lm_scoring.Training(stride=2, rounds=2, batch=64))
-    new = lm_scoring.Model(shape, model.words, lm_scoring.Net(shape).flat)
+    training = lm_scoring.Training(rounds=2, batch=64)
+    model = lm_scoring.fit(table, shape=shape, training=training)
+    new = lm_scoring.vocabulary(table, shape)
     held = " ".join(phrase * 5)
     words = held.split()
     rng.shuffle(words)
@@ -336,29 +393,26 @@ def test_lm_learns(spark, saved):
 
 
 def test_lm_trains_on_every_token(spark, saved):
-    """With production training, short texts and every place of longer ones are targets."""
-    table = saved([(k, "red fish") for k in range(300)], "doc_id long, text string")
-    model = lm_scoring.fit(table)
-    new = lm_scoring.Model(model.shape, model.words, lm_scoring.Net(model.shape).flat)
-    mean = lambda m, t: (lambda n, s: s[0] / n[0])(*m.score(pa.array([t])))
-    assert mean(model, "red fish") > mean(new, "red fish") + 1
-    # with a stride the rounds take turns: "c" and "d" are predicted as well as "a" and "b"
-    table = saved([(k, "a b c d") for k in range(300)], "doc_id long, text string")
+    """The rounds take turns at the places: each of four words is a target, also in texts of two words."""
     shape = lm_scoring.Shape(4, 8, 2, 8, 16)
-    start = lm_scoring.Model(shape, [b"a", b"b", b"c", b"d"], lm_scoring.Net(shape).flat)
-    moved = [lm_scoring.Net(shape, lm_scoring.trained(table, start, lm_scoring.Training(stride=4), k)).part["mb"][0, :4] > 0 for k in range(4)]
-    assert np.array(moved).any(axis=0).all()
-
-
-def test_lm_vocabulary_follows_the_counts(spark, saved):
-    """Over 4,032 frequent words, one of 80 bytes, and a rare word that isn't taken for gibberish of its length and outer bytes."""
-    names = [f"w{k}x" for k in range(5000)] + ["y" * 80]
-    table = saved([(k, " ".join(names)) for k in range(90)] + [(90, "w0000x")], "doc_id long, text string")
-    words = lm_scoring.vocabulary(table)
-    assert sorted(words) == sorted(n.encode() for n in names)
-    model = lm_scoring.Model(lm_scoring.Shape.of(len(words)), words, np.zeros(0, np.float32))
-    ids, _ = model.tokens(pa.array(["w4999x w9zzzx"]))
-    assert len(words) <= model.shape.words and ids[0] < model.shape.words <= ids[1]
+    for text in ("red fish", "a b c d"):
+        table = saved([(k, text) for k in range(300)], "doc_id long, text string")
+        start = lm_scoring.vocabulary(table, shape)
+        before = lm_scoring.Net(shape, start.flat).part["mb"][0].copy()
+        start.flat[:] = lm_scoring.Net(shape).flat
+        before = lm_scoring.Net(shape, start.flat.copy()).part["mb"][0].copy()
+        moved = [lm_scoring.Net(shape, lm_scoring.trained(table, start, lm_scoring.Training(rounds=2), k)).part["mb"][0] > before for k in range(2)]
+        assert np.array(moved).any(axis=0)[: len(text.split())].all()
+
+
+def test_lm_ranks_random_letters_below_prose(spark, sf_dir):
+    rng = random.Random(4)
+    documents = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = lm_scoring.fit(documents)
+    prose = sorted(r.mean_log_prob for r in lm_scoring.scores(documents, model).where("n_tokens BETWEEN 100 AND 400").collect())
+    noise = [" ".join("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randint(3, 9))) for _ in range(200)) for _ in range(20)]
+    n, total = model.score(pa.array(noise))
+    assert (total / n).max() < prose[len(prose) // 20]
 
 
 def test_crc_matches_spark(spark, saved):
