@@ -178,12 +178,15 @@ b AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY weight DESC, ra
 SELECT p.page_id, p.fetched, CASE b.rank WHEN 2 THEN 'block' WHEN 1 THEN 'allow' ELSE 'none' END AS verdict, b.kind, b.key, b.since FROM p LEFT JOIN b ON p.page_id = b.page_id AND b.r = 1
 """
 
+#: Runs of three lines are what every longer run consists of; a copy that overlaps the first one spares its lines.
 OP3_SQL = r"""
 WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS no, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
-s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS at FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
+s AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY no) AS pos FROM l WHERE regexp_matches(line, '[^\x20\x09-\x0D]')),
 w AS (SELECT *, lead(line, 1) OVER d AS l1, lead(line, 2) OVER d AS l2, row_number() OVER (PARTITION BY line ORDER BY doc_id, no) AS copy FROM s WINDOW d AS (PARTITION BY doc_id ORDER BY no)),
-r AS (SELECT *, l2 IS NOT NULL AND row_number() OVER (PARTITION BY line, l1, l2 ORDER BY doc_id, no) > 1 AS run FROM w),
-g AS (SELECT doc_id, no, (copy > 1 AND length(line) >= 60) OR bool_or(run) OVER (PARTITION BY doc_id ORDER BY no ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS gone FROM r),
+f AS (SELECT *, first_value(doc_id) OVER g AS f_doc, first_value(pos) OVER g AS f_at FROM w WINDOW g AS (PARTITION BY line, l1, l2 ORDER BY doc_id, no)),
+r AS (SELECT *, l2 IS NOT NULL AND (f_doc <> doc_id OR f_at <> pos) AS run, CASE WHEN f_doc = doc_id THEN pos - f_at ELSE 3 END AS far FROM f),
+g AS (SELECT doc_id, no, (copy > 1 AND length(line) >= 60) OR (run AND far >= 3) OR coalesce(lag(run AND far >= 2, 1) OVER d, false) OR coalesce(lag(run AND far >= 1, 2) OVER d, false) AS gone
+      FROM r WINDOW d AS (PARTITION BY doc_id ORDER BY no)),
 t AS (SELECT l.doc_id, count(*) AS n_lines, count(*) FILTER (coalesce(gone, false)) AS n_deleted, coalesce(string_agg(line, chr(10) ORDER BY l.no) FILTER (NOT coalesce(gone, false)), '') AS rest
       FROM l LEFT JOIN g ON l.doc_id = g.doc_id AND l.no = g.no GROUP BY l.doc_id)
 SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(n_deleted, 0) AS BIGINT) AS n_deleted, sha256(rest) AS text_sha256

@@ -8,7 +8,11 @@ from uuid import uuid4
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: A key with so large a part of all rows is frequent; there can be no more such keys.
+HOT = 1000
 
 
 def folder(spark: SparkSession) -> str:
@@ -39,6 +43,23 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def regrouped(rows: DataFrame, keys: list[str], aggregate: Column, name: str, own: list[str], total: int) -> DataFrame:
+    """Rows whose keys occur again, with an aggregate of the rows of these keys.
+
+    The first key is a long, ``own`` tells rows apart, ``total`` is the number of
+    rows or more. A key with at least a ``HOT``-th of so many rows comes by
+    broadcast of at most ``HOT`` such keys, and its rows are dealt by ``own``.
+    """
+    groups = rows.groupBy(*keys).agg(aggregate.alias(name), F.count("*").alias("__n")).where("__n > 1")
+    hot = F.col("__n") >= max(2, -(-total // HOT))
+    few = groups.where(hot).select(*keys, F.col(name).alias("__hot"))
+    many = groups.where(~hot).select(*keys, name).withColumnRenamed(keys[0], "__key")
+    dealt = rows.join(F.broadcast(few), keys, "left").withColumn("__key", F.when(F.col("__hot").isNull(), F.col(keys[0])).otherwise(F.xxhash64(*own)))
+    both = dealt.join(many, ["__key", *keys[1:]], "left")
+    out = F.when(F.col("__hot").isNull(), F.col(name)).otherwise(F.col("__hot"))
+    return both.select(*rows.columns, out.alias(name)).where(F.col(name).isNotNull())
+
+
 def summed(parts: DataFrame, dtype: str, combine: np.ufunc = np.add) -> DataFrame:
     """Sum (or another ufunc) of arrays in blocks: rows of block (int) and data (binary of ``dtype``), one row per block.
 

@@ -21,39 +21,65 @@ def table(saved, texts, parts=2):
     return saved(rows, SCHEMA, parts), rows
 
 
+def brute_runs(seqs):
+    """(d, i): longest run of lines from there that occurs at an earlier place too, and the first such place."""
+    places = [(d, i) for d, s in enumerate(seqs) for i in range(len(s))]
+    out = {}
+    for n, (d, i) in enumerate(places):
+        best = (0, None)
+        for e, j in places[:n]:
+            k = 0
+            while i + k < len(seqs[d]) and j + k < len(seqs[e]) and seqs[d][i + k] == seqs[e][j + k]:
+                k += 1
+            if k > best[0]:
+                best = (k, (e, j))
+        out[d, i] = best
+    return out
+
+
 def brute_dedup(rows, min_lines=3, min_chars=60):
-    """Rows in the order of id: the text of each without later copies."""
-    seqs = []
+    """Rows in the order of id: the text of each without later copies of runs, found by comparing all places."""
+    numbers, seqs = [], []
     for r in rows:
         lines = [] if r[1] is None else r[1].split("\n")
-        seqs.append([(k, x) for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)])
-    seen, runs, gone = set(), set(), collections.defaultdict(set)
-    for d, s in enumerate(seqs):
-        for i, (k, x) in enumerate(s):
-            if x in seen and len(x) >= min_chars:
-                gone[d].add(k)
-            seen.add(x)
-            run = tuple(y for _, y in s[i : i + min_lines])
-            if len(run) == min_lines:
-                if run in runs:
-                    gone[d] |= {n for n, _ in s[i : i + min_lines]}
-                runs.add(run)
+        own = [(k, x) for k, x in enumerate(lines) if re.search(r"[^\x20\x09-\x0D]", x)]
+        numbers.append([k for k, _ in own])
+        seqs.append([x for _, x in own])
+    gone = collections.defaultdict(set)
+    for (d, i), (n, first) in brute_runs(seqs).items():
+        if n and len(seqs[d][i]) >= min_chars:
+            gone[d].add(numbers[d][i])
+        if n >= min_lines:
+            spared = range(first[1], first[1] + min_lines) if first[0] == d else ()
+            gone[d] |= {numbers[d][j] for j in range(i, i + n) if j not in spared}
     return [None if r[1] is None else "\n".join(x for k, x in enumerate(r[1].split("\n")) if k not in gone[d]) for d, r in enumerate(rows)], [len(gone[d]) for d in range(len(rows))]
 
 
+def test_line_dedup_keeps_a_first_copy_of_runs_that_overlap(spark, saved):
+    texts = ["\n".join("aaaaa"), "\n".join("xyxyxy"), "\n".join("b" * 100), "q\n" + "\n".join("aaaa"), "\n".join("abcdefgh"), "\n".join("bcdefg")]
+    docs, rows = table(saved, texts)
+    got = [r.text for r in line_dedup.dedup(docs).orderBy("doc_id").collect()]
+    assert got == ["a\na\na", "x\ny\nx", "b\nb\nb", "q", "\n".join("abcdefgh"), ""] and got == brute_dedup(rows)[0]
+    runs = {(r.doc_id, r.line): (r.n_lines, r.first_id, r.first_line) for r in line_dedup.runs(docs).collect()}
+    assert runs[5, 0] == (6, 4, 1) and runs[0, 1] == (4, 0, 0) and (5, 1) not in runs and runs[2, 1] == (99, 2, 0)
+
+
 @pytest.mark.parametrize("min_lines", [2, 3, 5])
 def test_line_dedup(spark, saved, min_lines):
     rng = random.Random(min_lines)
     vocab = [f"line {k}" for k in range(6)] + ["long " * 13 + str(k) for k in range(3)] + ["", "  "]
     texts = [*EDGES, *("\n".join(rng.choices(vocab, k=rng.randint(0, 12))) for _ in range(40))]
+    texts += [texts[20], *("\n".join(t.split("\n")[a:]) for t in texts[15:25] for a in (0, 1, 3)), "\n".join(rng.choices("ab", k=40))]
     docs, rows = table(saved, texts)
     want, n = brute_dedup(rows, min_lines)
-    done = line_dedup.dedup(docs, min_lines=min_lines)
-    assert done.columns == docs.columns
-    assert [r.text for r in done.orderBy("doc_id").collect()] == want
-    marked = line_dedup.marked(docs, min_lines=min_lines).select("row.doc_id", "n_deleted", "n_lines").orderBy("doc_id").collect()
+    found = brute_runs([[x for x in (r[1] or "").split("\n") if x.strip()] for r in rows])
+    for r in line_dedup.runs(docs, min_lines=min_lines).collect() if min_lines == 3 else []:
+        assert found[r.doc_id, r.line] == (r.n_lines, (r.first_id, r.first_line))
+    marked = line_dedup.marked(docs, min_lines=min_lines).select("row.doc_id", "n_deleted", "n_lines", "rest").orderBy("doc_id").collect()
+    assert [r.rest for r in marked] == want
     assert [r.n_deleted for r in marked] == n and [r.n_lines for r in marked] == [len(r[1].split("\n")) if r[1] is not None else 0 for r in rows]
-    assert line_dedup.dedup(docs.limit(0), min_lines=min_lines).count() == 0
+    none = line_dedup.dedup(docs.limit(0), min_lines=min_lines)
+    assert none.count() == 0 and none.columns == docs.columns
 
 
 def test_line_dedup_with_repeated_and_null_ids(spark, saved):
