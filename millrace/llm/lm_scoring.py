@@ -54,8 +54,8 @@ class Shape:
     classes: int = 64
     members: int = 64
     side: int = 2  # tokens seen on each side
-    width: int = 16  # of a token's vector
-    hidden: int = 32
+    width: int = 12  # of a token's vector
+    hidden: int = 24
 
     @property
     def tokens(self) -> int:
@@ -72,7 +72,7 @@ class Training:
     """rounds take turns at the places, so that each position is trained on once."""
 
     rounds: int = 2
-    batch: int = 4096
+    batch: int = 8192
     rate: float = 0.1
     seed: int = 7
 
@@ -140,16 +140,26 @@ class Net:
             yield int(c), order[bounds[c] : bounds[c + 1]]
 
     @staticmethod
-    def soften(logits: np.ndarray) -> np.ndarray:
-        """Log-probabilities."""
-        logits = logits - logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+    def log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+        """Log-probability of the chosen column of each row; overwrites the logits."""
+        logits -= logits.max(axis=1, keepdims=True)
+        own = logits[np.arange(len(chosen)), chosen]
+        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+
+    @staticmethod
+    def errors(logits: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+        """Gradient by the logits of the negative log-probability of the chosen columns over n; overwrites the logits."""
+        logits -= logits.max(axis=1, keepdims=True)
+        np.exp(logits, out=logits)
+        logits *= 1 / (n * logits.sum(axis=1, keepdims=True))
+        logits[np.arange(len(chosen)), chosen] -= 1 / n
+        return logits
 
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         p, h = self.part, self.hide(context)
-        out = self.soften(h @ p["c"] + p["cb"])[np.arange(len(target)), target // self.shape.members].astype(np.float64)
+        out = self.log_shares(h @ p["c"] + p["cb"], target // self.shape.members).astype(np.float64)
         for c, rows in self.by_class(target):
-            out[rows] += self.soften(h[rows] @ p["m"][c] + p["mb"][c])[np.arange(len(rows)), target[rows] % self.shape.members]
+            out[rows] += self.log_shares(h[rows] @ p["m"][c] + p["mb"][c], target[rows] % self.shape.members)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -157,20 +167,17 @@ class Net:
         s, p, n = self.shape, self.part, len(target)
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
-        h = self.hide(context)
-        d = np.exp(self.soften(h @ p["c"] + p["cb"]))
-        d[np.arange(n), target // s.members] -= 1
-        d /= n
+        x = p["vec"][context].reshape(n, -1)
+        h = np.tanh(x @ p["w"] + p["b"])
+        d = self.errors(h @ p["c"] + p["cb"], target // s.members, n)
         g["c"][:], g["cb"][:] = h.T @ d, d.sum(axis=0)
         dh = d @ p["c"].T
         for c, rows in self.by_class(target):
-            e = np.exp(self.soften(h[rows] @ p["m"][c] + p["mb"][c]))
-            e[np.arange(len(rows)), target[rows] % s.members] -= 1
-            e /= n
-            g["m"][c], g["mb"][c] = h[rows].T @ e, e.sum(axis=0)
+            own = h[rows]
+            e = self.errors(own @ p["m"][c] + p["mb"][c], target[rows] % s.members, n)
+            g["m"][c], g["mb"][c] = own.T @ e, e.sum(axis=0)
             dh[rows] += e @ p["m"][c].T
         dh *= 1 - h * h
-        x = p["vec"][context].reshape(n, -1)
         g["w"][:], g["b"][:] = x.T @ dh, dh.sum(axis=0)
         g["vec"][:] = scattered(context.ravel(), (dh @ p["w"].T).reshape(-1, s.width), s.tokens + 1)
         return grad
