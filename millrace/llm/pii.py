@@ -1,14 +1,16 @@
 """Personal data: base patterns, and bootstrapped contextual extraction.
 
 Base patterns find e-mail addresses, IPv4 addresses, payment cards and phone
-numbers. These are the seed entities. The words around each seed induce lexical
-patterns (two words before; a word before and one after; a key before = or :).
-Tokens that look like identifiers (they hold a digit or @) and are no seeds
-meet the same patterns. A graph of patterns and instances is scored in rounds:
+numbers. These are seed entities, and so are hexadecimal strings of the usual
+lengths of keys and digests, which are seeds of secrets but no base spans. The
+words around each seed induce lexical patterns (two words before; a word before
+and one after; a key before = or :). Tokens that look like identifiers (they hold
+a digit or @) and are no seeds meet the same patterns. A graph of patterns and instances is scored in rounds:
 a pattern by the confidence of its distinct instances, an instance by its
 patterns; instances of high confidence support all their patterns in the next
 round, so that patterns with few seeds or none come in as well. What stands in a
-pattern of high confidence is added as ``context_<kind>``.
+pattern of high confidence and is no base span is added as ``context_<kind>``;
+hexadecimal strings elsewhere are not.
 
 Only DataFrame functions are used. The texts are read once; the graph holds
 occurrences, without texts. In each round, patterns with too little support leave
@@ -18,10 +20,14 @@ aggregations first, which combine on the map side.
 Regular expressions avoid repeated groups and repeated starts inside one run,
 so that long runs of letters or digits take linear time: single separators
 inside numbers and domains are replaced by a mark of the same length first.
-
-Defined results: a null text is empty and has no spans. Rows with equal or null
-ids are treated one by one; other columns are ignored. Offsets count code
-points, ends are exclusive. ``docs`` must read the same rows in the same order
+Places are summed up in short lists, and contexts are cut from pieces of
+``PIECE`` code points, so that a long text with many matches takes time by its
+length. Of a context the ``AROUND`` nearest code points are looked at.
+
+Defined results: a null text is empty and has no spans; an empty table gives an
+empty one. Rows with equal or null ids are treated one by one and equal texts get
+equal spans; of patterns with equal scores the kind that comes last by name wins;
+other columns are ignored. Offsets count code points, ends are exclusive. ``docs`` must read the same rows in the same order
 each time, as files do.
 """
 
@@ -44,6 +50,10 @@ CARD = r"[0-9][0-9\x01]++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 #: A token with a digit or @; brackets before it are taken off later, so that each token is read once.
 CANDIDATE = r"(?<![^\s\"',;])[^\s\"',;0-9@]*+[0-9@][^\s\"',;]*+"
+#: Seeds of secrets: 128, 160 or 256 bits in hexadecimal.
+HEX = r"(?<![0-9A-Za-z])(?:[0-9a-f]{64}|[0-9a-f]{40}|[0-9a-f]{32})(?![0-9A-Za-z])"
+SECRET = "secret"
+PIECE = 4096
 AROUND = 80  # code points of context that are looked at on each side
 
 ROUNDS = 3
@@ -56,15 +66,23 @@ def located(text: Column, pattern: str) -> Column:
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     pairs = F.zip_with(F.slice(between, 1, F.size(values)), values, lambda gap, v: F.struct(F.length(gap).alias("gap"), v.alias("value")))
-    kind = "struct<at:int,found:array<struct<start:int,end:int,value:string>>>"
-    begin = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,value:string>>").alias("found")).cast(kind)
+    nothing = F.array().cast("array<struct<start:int,end:int,value:string>>")
+    begin = F.struct(F.lit(0).alias("at"), nothing.alias("open"), F.array().cast("array<array<struct<start:int,end:int,value:string>>>").alias("full"))
 
     def step(acc: Column, x: Column) -> Column:
+        """Matches go to a short list, and full ones to a list of lists, so that no long list is copied for each match."""
         start = acc["at"] + x["gap"]
         end = start + F.length(x["value"])
-        return F.struct(end.alias("at"), F.concat(acc["found"], F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))).alias("found")).cast(kind)
+        own = F.array(F.struct(start.alias("start"), end.alias("end"), x["value"].alias("value")))
+        room = F.size(acc["open"]) < 256
+        return F.struct(
+            end.alias("at"),
+            F.when(room, F.concat(acc["open"], own)).otherwise(own).alias("open"),
+            F.when(room, acc["full"]).otherwise(F.concat(acc["full"], F.array(acc["open"]))).alias("full"),
+        )
 
-    return F.when(F.size(values) > 0, F.aggregate(pairs, begin, step, lambda acc: acc["found"])).otherwise(begin["found"])
+    found = F.aggregate(pairs, begin, step, lambda acc: F.flatten(F.concat(acc["full"], F.array(acc["open"]))))
+    return F.when(F.size(values) > 0, found).otherwise(nothing)
 
 
 def guarded(may: Column, spans: Column) -> Column:
@@ -107,16 +125,31 @@ def word(text: Column, pattern: str) -> Column:
     return F.lower(F.regexp_extract(text, pattern, 1))
 
 
-def in_context(text: Column, span: Column, kind: Column) -> Column:
+def pieces(text: Column) -> Column:
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+
+
+def before(cut: Column, place: Column) -> Column:
+    """The code points before a place. cut: the pieces of the text."""
+    k = F.greatest((place / PIECE).cast("int") - 1, F.lit(0))
+    local = place - k * PIECE
+    low = F.greatest(local - AROUND, F.lit(0))
+    return F.substring(F.concat_ws("", F.get(cut, k), F.get(cut, k + 1)), low + 1, local - low)
+
+
+def after(cut: Column, place: Column) -> Column:
+    k = (place / PIECE).cast("int")
+    return F.substring(F.concat_ws("", F.get(cut, k), F.get(cut, k + 1)), place - k * PIECE + 1, F.lit(AROUND))
+
+
+def in_context(cut: Column, span: Column, kind: Column) -> Column:
     """An occurrence: its place, value, kind (null: unknown) and patterns."""
     start, end = span["start"], span["end"]
-    low = F.greatest(start - AROUND, F.lit(0))
-    before = F.substring(text, low + 1, start - low)
-    after = F.substring(text, end + 1, F.lit(AROUND))
-    one = word(before, r"(\S+)\s*$")
-    two = word(before, r"(\S+)\s+\S+\s*$")
-    following = word(after, r"^[^\s\w]*\s*(\S+)")
-    key = word(before, r"([\p{L}_-]+)\s*[=:]\s*[\"']?$")
+    left, right = before(cut, start), after(cut, end)
+    one = word(left, r"(\S+)\s*$")
+    two = word(left, r"(\S+)\s+\S+\s*$")
+    following = word(right, r"^[^\s\w]*\s*(\S+)")
+    key = word(left, r"([\p{L}_-]+)\s*[=:]\s*[\"']?$")
     patterns = F.array(
         F.when((two != "") & (one != ""), F.concat_ws(" ", two, one, F.lit("_"))),
         F.when((one != "") & (following != ""), F.concat_ws(" ", one, F.lit("_"), following)),
@@ -125,7 +158,7 @@ def in_context(text: Column, span: Column, kind: Column) -> Column:
     return F.struct(
         start.alias("start"),
         end.alias("end"),
-        F.coalesce(span["value"], F.substring(text, start + 1, end - start)).alias("value"),
+        span["value"].alias("value"),
         kind.cast("string").alias("kind"),
         F.filter(patterns, lambda p: p.isNotNull()).alias("patterns"),
     )
@@ -140,16 +173,13 @@ def found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     rows = docs.select(F.monotonically_increasing_id().alias("uid"), docs[id_column].alias("id"), docs[text_column].cast("string").alias("text"))
     by_kind = base_spans(text)
+    some = text.rlike("[0-9@]")
+    by_kind[SECRET] = guarded(some & text.rlike("[0-9a-f]{32}"), located(text, HEX))
     rows = rows.select("uid", "id", text.alias("text"), *(v.alias(f"b_{k}") for k, v in by_kind.items()))
     text = F.col("text")
     base = F.concat(*(with_kind(F.col(f"b_{k}"), k) for k in KINDS))
-
-    # values of marked texts are cut from the text itself
-    def seed(kind: str) -> Callable[[Column], Column]:
-        return lambda s: in_context(text, s.withField("value", F.lit(None).cast("string")), F.lit(kind))
-
-    seeds = F.concat(*(F.transform(F.col(f"b_{k}"), seed(k)) for k in KINDS))
-    tokens = guarded(text.rlike("[0-9@]"), located(text, CANDIDATE))
+    some = text.rlike("[0-9@]")
+    tokens = guarded(some, located(text, CANDIDATE))
 
     def bare(t: Column) -> Column:
         """The token without the brackets before it."""
@@ -157,19 +187,25 @@ def found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         return F.struct((t["end"] - F.length(value)).alias("start"), t["end"].alias("end"), value.alias("value"))
 
     tokens = F.filter(F.transform(tokens, bare), lambda t: F.length(t["value"]) >= 5)
+    rows = rows.select("*", base.alias("base"), tokens.alias("tokens"), F.when(some, pieces(text)).alias("cut"))
 
-    def unseen(t: Column) -> Column:
-        return ~F.exists(F.col("base"), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+    def seed(kind: str) -> Callable[[Column], Column]:
+        """Values of marked texts lose their marks: a card is known by its digits."""
+        plain = digits if kind == "card" else lambda v: F.replace(v, F.lit(MARK), F.lit("."))
+        return lambda s: in_context(F.col("cut"), s.withField("value", plain(s["value"])), F.lit(kind))
+
+    seeds = F.concat(*(F.transform(F.col(f"b_{k}"), seed(k)) for k in [*KINDS, SECRET]))
 
-    rows = rows.select("*", base.alias("base"), seeds.alias("seeds"), tokens.alias("tokens"))
+    def unseen(t: Column) -> Column:
+        return ~F.exists(F.concat("base", with_kind(F.col("b_secret"), SECRET)), lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
 
     def without_key(t: Column) -> Column:
         """key=value: the value alone is the instance."""
         skip = F.length(F.regexp_extract(t["value"], r"^([\p{L}_-]+[=:][\"']?)(?=.{4})", 1))
         return F.struct((t["start"] + skip).alias("start"), t["end"].alias("end"), F.substring(t["value"], skip + 1, F.length(t["value"])).alias("value"))
 
-    others = F.transform(F.filter(F.col("tokens"), unseen), lambda t: in_context(text, without_key(t), F.lit(None)))
-    return rows.select("uid", "id", "base", F.concat(F.col("seeds"), others).alias("seen"))
+    others = F.transform(F.filter(F.col("tokens"), unseen), lambda t: in_context(F.col("cut"), without_key(t), F.lit(None)))
+    return rows.select("uid", "id", "base", F.concat(seeds, others).alias("seen"))
 
 
 def scored(edges: DataFrame, rounds: int, min_seeds: int, min_confidence: float) -> DataFrame:
@@ -207,7 +243,7 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text",
     edges = shared.stored(each.select("pattern", "value", "kind").distinct(), "graph")
     sure = scored(edges, rounds, min_seeds, min_confidence)
     # a value stands in few sure patterns; the best kind of each place wins
-    hits = each.where("kind IS NULL").drop("kind").join(sure, "pattern").groupBy("uid", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
+    hits = each.where(f"kind IS NULL OR kind = '{SECRET}'").drop("kind").join(sure, "pattern").groupBy("uid", "start", "end").agg(F.max(F.struct("score", "kind")).alias("best"))
     added = hits.groupBy("uid").agg(F.array_sort(F.collect_list(F.struct(F.concat(F.lit("context_"), "best.kind").alias("kind"), "start", "end"))).alias("added"))
     nothing = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     return rows.join(added, "uid", "left").select(F.col("id").alias(id_column), "base", F.coalesce("added", nothing).alias("added"))

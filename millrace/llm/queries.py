@@ -78,7 +78,7 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = pii.spans(table(spark, sf_dir, "documents"))
     counts = [pii.counted(kind).alias(f"n_{kind}") for kind in pii.KINDS]
-    return done.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"))
+    return done.select("doc_id", *counts, F.sha2(pii.listed(F.col("base")), 256).alias("base_sha256"), pii.listed(F.concat("base", "added")).alias("spans"), F.size("added").cast("long").alias("n_context"), F.size(F.concat("base", "added")).cast("long").alias("n_spans"))
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -280,6 +280,18 @@ def test_pii_patterns_come_in_by_found_instances(spark, saved):
     assert added == {40 + k: [("context_email", f"john{k % 6}(at)mail")] for k in range(12)} | {52: [("context_email", "newone9(at)mail")]}
 
 
+def test_pii_secrets_by_their_context(spark, saved):
+    """Hexadecimal seeds teach a key; other values of that key are found, hexadecimal strings elsewhere are left."""
+    keys = [f"{k:x}".rjust(4, "b") * 10 for k in range(4096, 4136)]
+    texts = [f'some words number{k} token = "{x}" and more words' for k, x in enumerate(keys)]
+    texts += ['here is token = "ABC123-not-hex" too', f"a digest {keys[0][::-1]} in prose", "\n".join(f"mail{k}@example.com and" for k in range(3000))]
+    table = saved(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r for r in pii.spans(table).collect()}
+    for k, x in enumerate([*keys, "ABC123-not-hex"]):
+        assert [(s.kind, texts[k][s.start : s.end]) for s in got[k].added] == [("context_secret", x)]
+    assert not got[41].added and [tuple(s) for s in got[42].base] == brute_pii(texts[42]) and len(got[42].base) == 3000
+
+
 def test_pii_without_length_bounds(spark, saved):
     long = "x" * 300 + "1(at)mail"
     texts = [f"please contact me at user{k}@mail{k % 7}.example.com for more" for k in range(40)]
