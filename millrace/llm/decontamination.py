@@ -6,23 +6,31 @@ positions. Every distinct test phrase (a window of consecutive item words) is
 searched backward; occurrences are located from the samples and united into
 removal spans.
 
-Words are runs of letters, digits and bytes from 0x80, lower-cased in A-Z.
-Benchmark words keep their identity in a shard; all others share one symbol,
-which no phrase contains.
+Words are runs of letters, digits and bytes from 0x80, lower-cased in A-Z. A
+shard numbers its own words; a phrase with a word that the shard lacks doesn't
+occur there.
 
-Documents stay where they are: no shuffle. The benchmark reaches the tasks in
-blocks of at most ``BLOCK_WORDS`` words, one pass for each block.
+Documents stay where they are: no shuffle, and one pass. Spark derives the
+distinct phrases and their items and writes them to the shared folder in blocks
+of at most ``BLOCK_PHRASES`` rows. A task builds the index of a shard once and
+searches it for all blocks; it holds ``HELD`` blocks at most and reads further
+ones again for each group of ``GROUP`` shards.
 
 Defined results: a null or empty text has no words and no hit; an item without
 words has no phrase; an item that is shorter than a window is one phrase of its
-own. Repeated items count under each of their ids, an item with a null id is
-searched and listed under no id. Rows with equal ids are treated one by one.
+own. An empty table gives an empty one, an empty benchmark no hits. A text of any
+length is one shard at least, whose index takes some 100 bytes a word. Repeated
+items count under each of their ids, an item with a null id is searched and listed
+under no id. Phrases that overlap or touch are one span. Rows with equal ids are
+treated one by one, equal texts get equal hits; other columns are carried along,
+whatever their names are.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import shared
 from millrace.llm import textrows as tr
 from millrace.llm.suffixes import Suffixes
 
 WINDOW = 10
-#: Items are searched in blocks of about so many words, which bounds what is broadcast.
-BLOCK_WORDS = 1_000_000
+BLOCK_PHRASES = 250_000  # phrases (with an item each) in a block
+HELD = 4  # blocks that a Python worker remembers
+GROUP = 4  # shards that are searched for a block together
 SAMPLE = 16  # one suffix position is kept out of so many
 SHARD_BYTES = 2 << 20
 
@@ -134,64 +144,114 @@ class FMIndex:
 
 @dataclass
 class Phrases:
-    """Distinct phrases of a block of benchmark items, and the items of each."""
+    """Distinct phrases of a block, and the items of each."""
 
-    vocabulary: pa.Array  # symbol s stands for word s - 2; 1: any other word
-    rows: np.ndarray  # right-aligned symbols
+    vocabulary: pa.Array
+    rows: np.ndarray  # right-aligned places in the vocabulary, -1 before
     lengths: np.ndarray
     begin: np.ndarray  # items of phrase p: items[begin[p]:begin[p + 1]]
     items: np.ndarray  # places in ids
     ids: list[str | None]
 
 
-def phrases_of(ids: list[str | None], texts: list[str | None], window: int = WINDOW) -> Phrases:
-    w = tr.words(pa.array(texts, pa.string()), tr.PUNCT, tr.LOWER)
-    codes, vocabulary = w.coded()
-    found: dict[tuple[int, ...], set[int]] = {}
-    for k in range(len(ids)):
-        own = codes[w.first[k] : w.first[k + 1]].tolist()
-        for j in range(max(0, len(own) - window) + 1 if own else 0):
-            found.setdefault(tuple(own[j : j + window]), set()).add(k)
-    rows = np.zeros((len(found), window), np.int64)
-    lengths = np.zeros(len(found), np.int64)
-    for p, phrase in enumerate(found):
-        rows[p, window - len(phrase) :] = np.array(phrase) + 2
-        lengths[p] = len(phrase)
-    sizes = np.fromiter(map(len, found.values()), np.int64, len(found))
-    items = np.array([k for v in found.values() for k in sorted(v)], np.int64)
-    return Phrases(vocabulary, rows, lengths, np.append(0, np.cumsum(sizes)), items, ids)
-
-
-@dataclass
-class Hits:
-    """What a shard's index tells: spans of words (united), and (text, item) pairs."""
-
-    words: tr.Words
-    inside: np.ndarray  # of each word
-    texts: np.ndarray
-    items: np.ndarray
-
-
-def search_shard(texts: pa.Array, phrases: Phrases) -> Hits:
-    w = tr.words(texts, tr.PUNCT, tr.LOWER)
-    code = pc.index_in(w.data, value_set=phrases.vocabulary)
-    symbols = code.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 2
-    nothing = np.zeros(0, np.int64)
-    if not len(phrases.rows) or not (symbols > 1).any():
-        return Hits(w, np.zeros(len(symbols), bool), nothing, nothing)
-    index = FMIndex(symbols, w.first, len(phrases.vocabulary) + 1)
-    found, low, high = index.search(phrases.rows, phrases.lengths)
-    size = high - low
-    which = np.repeat(found, size)
-    at = index.locate(np.repeat(low - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()))
-    inside = tr.covered(w.first, at, phrases.lengths[which])
-    text = np.searchsorted(w.first, at, side="right") - 1
-    pair = np.unique(text * len(phrases.begin) + which)
-    text, which = pair // len(phrases.begin), pair % len(phrases.begin)
-    size = np.diff(phrases.begin)[which]
-    item = phrases.items[np.repeat(phrases.begin[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
-    pair = np.unique(np.repeat(text, size) * len(phrases.ids) + item)
-    return Hits(w, inside, pair // len(phrases.ids), pair % len(phrases.ids))
+def phrase_rows(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
+    """phrase (words, joined by spaces) and item: the windows of each item, or the whole of a shorter one."""
+    upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    words = F.regexp_extract_all(F.translate(benchmark[text_column].cast("string"), upper, upper.lower()), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"), F.lit(0))
+    own = benchmark.select(benchmark[item_column].cast("string").alias("item"), words.alias("words")).where(F.size("words") > 0)
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words") - window, F.lit(0)) + 1)
+    phrases = F.transform(starts, lambda i: F.array_join(F.slice("words", i, window), " "))
+    return own.select("item", F.explode(phrases).alias("phrase")).select("phrase", "item").distinct()
+
+
+def blocks(rows: DataFrame) -> list[str]:
+    """Files of at most ``BLOCK_PHRASES`` rows of ``phrase_rows`` each, in the shared folder."""
+    rows = shared.stored(rows, "phrases")
+    path = shared.fresh(rows.sparkSession, "blocks")
+    n = rows.count()
+    rows.coalesce(max(1, -(-n // BLOCK_PHRASES))).write.option("maxRecordsPerFile", BLOCK_PHRASES).parquet(path)
+    return sorted(rows.sparkSession.read.schema(rows.schema).parquet(path).inputFiles()) if n else []
+
+
+def phrases_of(block: pa.Table, window: int) -> Phrases:
+    coded = block.column("phrase").combine_chunks().dictionary_encode()
+    lists = pc.split_pattern(coded.dictionary, " ")
+    words = lists.flatten().dictionary_encode()
+    lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+    first = np.append(0, np.cumsum(lengths))
+    rows = np.full((len(lengths), window), -1, np.int64)
+    of = np.repeat(np.arange(len(lengths)), lengths)
+    rows[of, window - lengths[of] + np.arange(first[-1]) - first[of]] = words.indices.to_numpy()
+    phrase = coded.indices.to_numpy()
+    items = block.column("item").combine_chunks().dictionary_encode("encode")
+    vocabulary = words.dictionary.cast(pa.large_string()).cast(pa.large_binary())
+    return Phrases(vocabulary, rows, lengths, np.append(0, np.cumsum(np.bincount(phrase, minlength=len(lengths)))), items.indices.to_numpy()[np.argsort(phrase, kind="stable")].astype(np.int64), items.dictionary.to_pylist())
+
+
+_held: dict[str, Phrases] = {}
+
+
+def block_at(path: str, window: int) -> Phrases:
+    """A block from the shared folder; a worker remembers the first ``HELD`` of them."""
+    if path in _held:
+        return _held[path]
+    from pyarrow import fs, parquet
+
+    store, own = fs.FileSystem.from_uri(shared.plain_uri(path))
+    got = phrases_of(parquet.read_table(own, filesystem=store, partitioning=None), window)
+    if len(_held) < HELD:
+        _held[path] = got
+    return got
+
+
+class Shard:
+    """Texts with their index: inside tells which words are hit, found the (text, item) pairs."""
+
+    def __init__(self, texts: pa.Array):
+        self.texts = texts
+        self.words = tr.words(texts, tr.PUNCT, tr.LOWER)
+        codes, self.vocabulary = self.words.coded()
+        self.index = FMIndex(codes + 1, self.words.first, max(1, len(self.vocabulary))) if len(codes) else None
+        self.inside = np.zeros(len(codes), bool)
+        self.found: list[tuple[np.ndarray, np.ndarray, list[str | None]]] = []
+
+    def search(self, phrases: Phrases) -> None:
+        if self.index is None or not len(phrases.rows):
+            return
+        own = pc.index_in(phrases.vocabulary, value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
+        symbols = np.where(phrases.rows < 0, 1, own[phrases.rows])  # 0: a word that the shard lacks
+        some = np.flatnonzero(symbols.all(axis=1))
+        symbols[phrases.rows < 0] = 0
+        hit, low, high = self.index.search(symbols[some], phrases.lengths[some])
+        hit = some[hit]
+        size = high - low
+        which = np.repeat(hit, size)
+        at = self.index.locate(np.repeat(low - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()))
+        first = self.words.first
+        self.inside |= tr.covered(first, at, phrases.lengths[which])
+        text = np.searchsorted(first, at, side="right") - 1
+        pair = np.unique(text * len(phrases.begin) + which)
+        text, which = pair // len(phrases.begin), pair % len(phrases.begin)
+        size = np.diff(phrases.begin)[which]
+        item = phrases.items[np.repeat(phrases.begin[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
+        pair = np.unique(np.repeat(text, size) * len(phrases.ids) + item)
+        self.found.append((pair // len(phrases.ids), pair % len(phrases.ids), phrases.ids))
+
+    def measures(self) -> pa.RecordBatch:
+        """A row of ``ADDED`` for each text: spans in code points, items with an occurring phrase."""
+        w, n = self.words, len(self.texts)
+        cum, offsets = tr.code_points(self.texts)
+        base = cum[offsets[:-1]]
+        begin, end, bounds = runs(self.inside, w.first)
+        of = np.repeat(np.arange(n), np.diff(bounds))
+        flat = pa.StructArray.from_arrays([pa.array(cum[w.start[begin]] - base[of]), pa.array(cum[w.end[end - 1]] - base[of])], fields=list(SPAN))
+        items: list[list[str]] = [[] for _ in range(n)]
+        for texts, own, ids in self.found:
+            for t, k in zip(texts.tolist(), own.tolist()):
+                if ids[k] is not None:
+                    items[t].append(ids[k])
+        out = [np.diff(w.first), tr.per_text(w.first, self.inside), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat), pa.array(items, pa.list_(pa.string()))]
+        return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], schema=ADDED)
 
 
 def runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -207,80 +267,40 @@ SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 ADDED = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
 
 
-def measures(texts: pa.Array, phrases: Phrases, spans: pa.Array | None = None, items: pa.Array | None = None) -> pa.RecordBatch:
-    """A row of ``ADDED`` for each text: spans in code points, items with an occurring phrase.
-
-    ``spans`` and ``items``: those of earlier blocks, which are added.
-    """
-    h = search_shard(texts, phrases)
-    w, n = h.words, len(texts)
-    cum, offsets = tr.code_points(texts)
-    base = cum[offsets[:-1]]
-    if spans is not None and len(spans.flatten()):
-        of = np.repeat(np.arange(n), pc.fill_null(pc.list_value_length(spans), 0).to_numpy())
-        old = spans.flatten()
-        a = np.searchsorted(cum[w.start], old.field("start").to_numpy() + base[of])
-        b = np.searchsorted(cum[w.end], old.field("end").to_numpy() + base[of], side="right")
-        h.inside |= tr.covered(w.first, a, b - a)
-    begin, end, bounds = runs(h.inside, w.first)
-    of = np.repeat(np.arange(n), np.diff(bounds))
-    flat = pa.StructArray.from_arrays([pa.array(cum[w.start[begin]] - base[of]), pa.array(cum[w.end[end - 1]] - base[of])], fields=list(SPAN))
-    new = pa.ListArray.from_arrays(pa.array(np.searchsorted(h.texts, np.arange(n + 1)), pa.int32()), pa.array([phrases.ids[k] for k in h.items], pa.string()))
-    if items is not None:
-        new = pa.array([(a or []) + b for a, b in zip(items.to_pylist(), new.to_pylist())], pa.list_(pa.string()))
-    out = [np.diff(w.first), tr.per_text(w.first, h.inside), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), flat), new]
-    return pa.RecordBatch.from_arrays([pa.array(x) if isinstance(x, np.ndarray) else x for x in out], schema=ADDED)
-
-
-def blocks(benchmark: DataFrame, item_column: str, text_column: str) -> Iterator[tuple[list, list]]:
-    """Items in blocks of about ``BLOCK_WORDS`` words."""
-    ids: list = []
-    texts: list = []
-    size = 0
-    rows = benchmark.select(benchmark[item_column].cast("string"), benchmark[text_column].cast("string"))
-    for item, text in rows.toLocalIterator():
-        n = len(text or "") // 4 + 1
-        if ids and size + n > BLOCK_WORDS:
-            yield ids, texts
-            ids, texts, size = [], [], 0
-        ids.append(item)
-        texts.append(text)
-        size += n
-    yield ids, texts
+ADDED_SQL = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
 
 
-ADDED_SQL = "struct<n_words:bigint,n_hit:bigint,spans:array<struct<start:bigint,end:bigint>>,items:array<string>>"
+def free_name(names: list[str], name: str) -> str:
+    while name.lower() in (x.lower() for x in names):
+        name += "_"
+    return name
 
 
 def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", window: int = WINDOW, added: str = "hits") -> DataFrame:
-    """The rows with all their columns and a struct of ``ADDED`` in a further one.
+    """The rows with all their columns and a struct of ``ADDED`` in a last one, named ``added`` (with ``_`` behind if there is such a column).
 
     ``spans``: what to remove, in code points, united; ``items``: ids of the
     items with an occurring phrase, in no order, a null id left out.
     """
-    spark = docs.sparkSession
-    if added in docs.columns:
-        raise ValueError(f"column {added} exists")
-    done = docs
-    for k, (ids, texts) in enumerate(blocks(benchmark, item_column, "text")):
-        shared = spark.sparkContext.broadcast(phrases_of(ids, texts, window))
-        schema = T.StructType([x for x in done.schema if x.name != added] + [T.StructField(added, T._parse_datatype_string(ADDED_SQL))])
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            phrases = shared.value
-            for batch in batches:
-                for part in tr.slices(batch, text_column, SHARD_BYTES):
-                    names = [x for x in part.schema.names if x != added]
-                    old = part.column(added) if added in part.schema.names else None
-                    m = measures(part.column(text_column), phrases, *([old.field("spans"), old.field("items")] if old is not None else []))
-                    yield pa.RecordBatch.from_arrays([*(part.column(x) for x in names), pa.StructArray.from_arrays(m.columns, fields=list(ADDED))], names=[*names, added])
-
-        if k:
-            done = done.checkpoint()
-        done = done.mapInArrow(run, schema)
-    own = F.col(added)
-    items = F.array_distinct(F.filter(own["items"], lambda x: x.isNotNull()))
-    return done.withColumn(added, own.withField("items", items))
+    added = free_name(docs.columns, added)
+    paths = blocks(phrase_rows(benchmark, item_column, "text", window))
+    schema = T.StructType([*docs.schema, T.StructField(added, T.StructType.fromDDL(f"x {ADDED_SQL}")["x"].dataType)])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            parts = tr.slices(batch, text_column, SHARD_BYTES)
+            while own := list(islice(parts, GROUP)):
+                shards = [Shard(p.column(text_column)) for p in own]
+                for path in paths:
+                    phrases = block_at(path, window)
+                    for shard in shards:
+                        shard.search(phrases)
+                for part, shard in zip(own, shards):
+                    m = shard.measures()
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(m.columns, fields=list(ADDED))], names=[*part.schema.names, added])
+
+    done = docs.mapInArrow(run, schema)
+    return done.withColumn(added, F.col(added).withField("items", F.array_distinct(F.col(added)["items"])))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_column: str = "text", item_column: str = "item_id", window: int = WINDOW) -> DataFrame:
@@ -292,12 +312,13 @@ def hits(docs: DataFrame, benchmark: DataFrame, id_column: str = "doc_id", text_
 
 def cut(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_column: str = "item_id", window: int = WINDOW) -> DataFrame:
     """The rows without their removal spans, with all their columns; each span becomes a line end."""
-    found = with_hits(docs, benchmark, text_column, item_column, window, added="__hits")
-    spans = F.col("__hits.spans")
+    added = free_name(docs.columns, "hits")
+    found = with_hits(docs, benchmark, text_column, item_column, window, added)
+    spans = F.col(added)["spans"]
     text = F.col(text_column)
     # pieces between the spans: from the end of one to the start of the next
     starts = F.concat(F.array(F.lit(0).cast("long")), F.transform(spans, lambda s: s["end"]))
     ends = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.length(text).cast("long")))
     pieces = F.zip_with(starts, ends, lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int")))
     rest = F.when(F.size(spans) > 0, F.array_join(pieces, "\n")).otherwise(text)
-    return found.withColumn(text_column, rest).drop("__hits")
+    return found.withColumn(text_column, rest).drop(added)
