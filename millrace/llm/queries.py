@@ -57,7 +57,7 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     packed = packing.pieces(table(spark, sf_dir, "documents"), tokenizer_path(TOKENIZER))
-    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return packed.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "batch", "batch_row")
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -97,7 +97,7 @@ def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality_rules.rules(table(spark, sf_dir, "documents"))
+    return quality_rules.rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
 QUERIES = {
@@ -193,10 +193,34 @@ SELECT d.doc_id, CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(
 FROM documents d LEFT JOIN t ON d.doc_id = t.doc_id
 """
 
+#: A word lies in a repeat of at least eight words if it lies in an eight-word window found twice; a repeat is longer than
+#: fifty words if a window of fifty-one is found twice.
+OP9_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) + 1)) AS i, hash(unnest(w)) AS h1, len(w) AS n FROM d),
+h2 AS (SELECT *, hash(h1, lead(h1, 1) OVER o) AS h2, lead(h1, 4) OVER o AS f, lead(h1, 50) OVER o AS z FROM x WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h4 AS (SELECT *, hash(h2, lead(h2, 2) OVER o) AS h4, lead(h2, 48) OVER o AS y FROM h2 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h8 AS (SELECT *, hash(h4, f) AS h5, hash(h4, lead(h4, 4) OVER o) AS h8 FROM h4 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h16 AS (SELECT *, hash(h8, lead(h8, 8) OVER o) AS h16 FROM h8 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+h51 AS (SELECT *, hash(h16, lead(h16, 16) OVER o, lead(h16, 32) OVER o, y, z) AS h51 FROM h16 WINDOW o AS (PARTITION BY doc_id ORDER BY i)),
+t AS (SELECT doc_id, i, i + 4 <= n AND count(*) FILTER (i + 4 <= n) OVER (PARTITION BY doc_id, h5) > 1 AS t5, i + 7 <= n AND count(*) FILTER (i + 7 <= n) OVER (PARTITION BY doc_id, h8) > 1 AS t8,
+        i + 50 <= n AND count(*) FILTER (i + 50 <= n) OVER (PARTITION BY doc_id, h51) > 1 AS t51 FROM h51),
+c AS (SELECT doc_id, t51, bool_or(t5) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) AS twice, bool_or(t8) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN 7 PRECEDING AND CURRENT ROW) AS inside FROM t),
+r AS (SELECT doc_id, count(*) FILTER (twice) AS twice, count(*) FILTER (inside) AS inside, bool_or(t51) AS long FROM c GROUP BY doc_id),
+l AS (SELECT doc_id, count(*) - count(DISTINCT line) AS dup FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM d) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY doc_id),
+a AS (SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+      CAST(coalesce(dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(twice, 0) AS BIGINT) AS n_repeat_words, CAST(coalesce(inside, 0) AS BIGINT) AS n_covered_words, coalesce(long, false) AS long
+      FROM d LEFT JOIN r ON d.doc_id = r.doc_id LEFT JOIN l ON d.doc_id = l.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_covered_words, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed,
+       NOT (n_words < 10 OR 100 * n_repeat_words > 20 * n_words OR 100 * n_covered_words > 12 * n_words OR long) AS kept
+FROM a
+"""
+
 ORACLES: dict[str, str] = {
     "op1_url_filters": OP1_SQL,
     "op3_line_dedup": OP3_SQL,
     "op4_jaccard_join": OP4_SQL,
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
+    "op9_quality_rules": OP9_SQL,
 }

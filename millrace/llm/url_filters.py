@@ -15,8 +15,13 @@ the window over a key is as long as its history in days and not as its entries.
 Captures meet intervals in one equi-join on the key: Spark splits a host with a
 large share of the captures, and broadcasts the intervals only if they are small.
 
-Defined results: a capture with a null or malformed URL, a host of over 253
-characters or a null date is decided by no entry (verdict ``none``). Entries
+Work per capture follows the list: a host has as many domain keys as the deepest
+domain entry has labels, a path as many as the deepest prefix entry has segments.
+What precedes the last @ of an authority is the user.
+
+Defined results: a capture with a null or malformed URL or a null date is decided
+by no entry (verdict ``none``); an empty table gives an empty one, an empty list
+decides nothing; URLs of any length are looked at as a whole. Entries
 with a null key, date or unknown action are no entries. Of entries of a key on
 the same date, block wins over allow and allow over remove. Repeated captures
 are decided one by one; other columns are carried along, whatever their names
@@ -30,14 +35,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 ACTIONS = {"remove": 0, "allow": 1, "block": 2}
-LONGEST_HOST = 253
 
 
 def host_of(url: Column) -> Column:
     """Host in lower case, without user, port and final dot; empty if malformed."""
-    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)
-    host = F.lower(F.rtrim(host, F.lit(".")))
-    return F.when(F.length(host) <= LONGEST_HOST, host).otherwise("")
+    host = F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#]*@)?([^/:?#]*)", 1)
+    return F.lower(F.rtrim(host, F.lit(".")))
 
 
 def path_of(url: Column) -> Column:
@@ -62,10 +65,10 @@ def intervals(entries: DataFrame) -> DataFrame:
     return daily.select("list", "kind", "key", "rank", F.col("day").alias("since"), F.lead("day").over(order).alias("until")).where("rank > 0")
 
 
-def keys(host: Column, path: Column, depth: int) -> Column:
-    """Kind, key and weight of every entry that may decide a capture. depth: of the deepest prefix entry."""
+def keys(host: Column, path: Column, depth: int, deepest: int) -> Column:
+    """Kind, key and weight of every entry that may decide a capture. depth: of the deepest prefix entry, deepest: of the deepest domain."""
     labels = F.split(host, r"\.")
-    domains = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i + 1).alias("weight")))
+    domains = F.transform(F.sequence(F.greatest(F.size(labels) - deepest + 1, F.lit(1)), F.size(labels)), lambda i: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, i, F.size(labels)), ".").alias("key"), (F.size(labels) - i + 1).alias("weight")))
     own = F.array(F.struct(F.lit("host").alias("kind"), host.alias("key"), F.lit(1_000_000).alias("weight")))
     parts = F.slice(F.filter(F.split(path, "/"), lambda x: x != ""), 1, depth)
     prefixes = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.struct(F.lit("prefix").alias("kind"), F.concat_ws("/", host, F.array_join(F.slice(parts, 1, i), "/")).alias("key"), (1_000_000 + i).alias("weight")))
@@ -76,10 +79,11 @@ def keys(host: Column, path: Column, depth: int) -> Column:
 def decide(captures: DataFrame, entries: DataFrame, url_column: str = "url", day_column: str = "fetched") -> DataFrame:
     """row (all columns of the capture), verdict (block, allow or none), and the deciding list, kind, key and since."""
     valid = intervals(entries)
-    deepest = valid.where("kind = 'prefix'").agg(F.max(prefix_depth(F.col("key")))).first()[0] or 0
+    depths = F.when(F.col("kind") == "prefix", prefix_depth(F.col("key"))).otherwise(F.size(F.split("key", r"\.")))
+    deepest = dict(valid.groupBy("kind").agg(F.max(depths)).collect())  # a row for each kind
     rows = captures.select(F.struct("*").alias("row"), F.monotonically_increasing_id().alias("uid"))
     url = F.col("row")[url_column].cast("string")
-    wanted = rows.select("uid", F.col("row")[day_column].cast("date").alias("day"), F.explode(keys(host_of(url), path_of(url), int(deepest))).alias("k"))
+    wanted = rows.select("uid", F.col("row")[day_column].cast("date").alias("day"), F.explode(keys(host_of(url), path_of(url), deepest.get("prefix", 0), max(1, deepest.get("domain", 1)))).alias("k"))
     wanted = wanted.select("uid", "day", "k.kind", "k.key", "k.weight").where("day IS NOT NULL")
     active = wanted.join(valid, ["kind", "key"]).where((F.col("day") >= F.col("since")) & (F.col("until").isNull() | (F.col("day") < F.col("until"))))
     best = active.groupBy("uid").agg(F.max(F.struct("weight", "rank", "list", "kind", "key", "since")).alias("best"))

@@ -16,7 +16,11 @@ one), the others are revisits of it. Rows are written as they are, repeated ones
 included. Other columns are ignored. An empty table gives an empty result. Bytes
 that form no record are skipped, as are responses whose payload doesn't match
 their digest, and records in so short a chain between damaged bytes that they
-may be part of a payload.
+may be part of a payload; with ``damaged`` the reader returns a row for each
+candidate or response of that kind. Archives of other writers are read as well:
+field names have any case, ``record_id`` and ``refers_to_id`` hold whatever ids
+they use, a digest may be absent, and the length of a revisit's payload is null
+where no field tells it.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm import shared
+
 MAGIC = b"\x1f\x8b\x08"
 SPLIT = 8 << 20
 CHUNK = 1 << 20
@@ -95,10 +101,11 @@ def with_responses(pages: DataFrame, id_column: str = "page_id", url_column: str
         F.monotonically_increasing_id().alias("row"),  # by place in the files, so the same each time they are read
     ).withColumn("sha", F.sha1("payload"))
     key = F.struct(F.col("page").isNull().alias("no"), "page", "row")
-    shared = rows.groupBy("sha").agg(F.min(key).alias("best"), F.count("*").alias("n")).where("n > 1").select("sha", "best")
-    joined = rows.join(shared, "sha", "left")
-    revisit = F.col("best").isNotNull() & (F.col("best.row") != F.col("row"))
-    return joined.select("page", "url", "payload", revisit.alias("revisit"), F.when(revisit, F.col("best.page")).alias("response"))
+    ids = rows.select("page", "row", F.xxhash64("sha").alias("h"), "sha")  # payloads aren't part of the join on their digests
+    best = shared.regrouped(ids, ["h", "sha"], F.min(key), "best", ["row"], pages.count())
+    revisits = best.where(F.col("best.row") != F.col("row")).select("row", F.lit(True).alias("again"), F.col("best.page").alias("response"))
+    joined = rows.drop("sha").join(revisits, "row", "left")
+    return joined.select("page", "url", "payload", F.coalesce("again", F.lit(False)).alias("revisit"), "response")
 
 
 def write(pages: DataFrame, folder: str, id_column: str = "page_id", url_column: str = "url", html_column: str = "html") -> DataFrame:
@@ -140,7 +147,7 @@ class Window:
     """Bytes of a file from a place on, read in chunks and forgotten once passed."""
 
     def __init__(self, source, size: int, start: int):
-        self.source, self.size, self.base, self.data = source, size, start, b""
+        self.source, self.size, self.base, self.data = source, size, start, bytearray()
 
     def fill(self, upto: int) -> None:
         while self.base + len(self.data) < min(upto, self.size):
@@ -153,7 +160,8 @@ class Window:
     def drop(self, before: int) -> None:
         """Forget what lies before; callers never go back."""
         if before - self.base > CHUNK:
-            self.data, self.base = self.data[before - self.base :], before
+            del self.data[: before - self.base]
+            self.base = before
 
     def find(self, place: int, end: int) -> int:
         """The first magic that starts in [place, end), or -1."""
@@ -171,11 +179,14 @@ class Window:
     def is_record(self, place: int) -> bool:
         """Whether the head of the member at this place decodes as that of a record."""
         self.fill(place + HEAD)
-        try:
-            head = zlib.decompressobj(31).decompress(self.data[place - self.base : place - self.base + HEAD], HEAD)
+        d, head, rest = zlib.decompressobj(31), b"", bytes(self.data[place - self.base : place - self.base + HEAD])
+        try:  # in short steps, so that damage behind the head doesn't hide it
+            while rest and not d.eof and b"\r\n\r\n" not in head and len(head) < HEAD:
+                head += d.decompress(rest, 256)
+                rest = d.unconsumed_tail
         except zlib.error:
-            return False
-        return head.startswith(b"WARC/1.") and b"\r\nWARC-Type:" in head
+            pass
+        return head.startswith(b"WARC/1.") and b"\r\nwarc-type:" in head.lower()
 
     def decode(self, place: int) -> tuple[bytes, int] | None:
         """The whole member at this place and where it ends; None if it is damaged."""
@@ -183,7 +194,7 @@ class Window:
         try:
             while not d.eof:
                 self.fill(at + STEP)
-                part = memoryview(self.data)[at - self.base : at - self.base + STEP]
+                part = bytes(self.data[at - self.base : at - self.base + STEP])
                 if not part:
                     return None
                 out.append(d.decompress(part))
@@ -193,8 +204,8 @@ class Window:
         return b"".join(out), at
 
 
-def owned(source, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """Place, fields and block of each record that starts in [start, end).
+def owned(source, size: int, start: int, end: int) -> Iterator[tuple[int, dict[str, str] | None, bytes]]:
+    """Place, fields and block of each record that starts in [start, end); no fields: a head whose record is damaged or unsure.
 
     A payload that is an archive itself may lie in its record as it is. Deflate
     stores at most ``STORED`` bytes in a row, so members that follow each other
@@ -222,11 +233,13 @@ def owned(source, size: int, start: int, end: int) -> Iterator[tuple[int, dict[s
             window.fill(at + len(MAGIC))
             if window.data[at - window.base : at - window.base + len(MAGIC)] != MAGIC:
                 break
+        if not sure:
+            yield place, None, b""
         place = max(at, place + 1) if sure else place + 1
 
 
-FIELDS = ["archive", "place", "record_type", "page", "url", "payload_digest", "payload_bytes", "refers_to", "payload"]
-SCHEMA = "archive string, place long, record_type string, page long, url string, payload_digest string, payload_bytes long, refers_to long, payload binary"
+FIELDS = ["archive", "place", "record_type", "page", "url", "payload_digest", "payload_bytes", "refers_to", "record_id", "refers_to_id", "payload"]
+SCHEMA = "archive string, place long, record_type string, page long, url string, payload_digest string, payload_bytes long, refers_to long, record_id string, refers_to_id string, payload binary"
 
 
 def page_of(urn: str | None) -> int | None:
@@ -240,8 +253,22 @@ def splits(archives: DataFrame, split: int = SPLIT) -> DataFrame:
     return archives.where("size > 0").select("path", "size", begin.alias("start")).withColumn("end", F.least(F.col("start") + split, F.col("size")))
 
 
-def read(archives: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
-    """Records of archives, a table of path and size (bytes) as ``write`` returns it."""
+def row_of(path: str, place: int, f: dict[str, str] | None, block: bytes) -> tuple:
+    """Values of ``FIELDS``; record_type damaged for what is no whole record."""
+    if f is None:
+        return (path, place, "damaged", *[None] * (len(FIELDS) - 3))
+    payload = block.partition(b"\r\n\r\n")[2]
+    kind, told = f.get("warc-type"), f.get("warc-payload-digest", "")
+    if kind == "response" and told.lower().startswith("sha1:") and told[5:].upper() != digest_of(payload):
+        kind = "damaged"
+    size = f.get("payload-length", "")
+    length = int(size) if size.isdigit() else len(payload) if kind != "revisit" else None
+    one, other = f.get("warc-record-id"), f.get("warc-refers-to")
+    return (path, place, kind, page_of(one), f.get("warc-target-uri"), told.partition(":")[2] or None, length, page_of(other), one, other, payload)
+
+
+def read(archives: DataFrame, folder: str, split: int = SPLIT, damaged: bool = False) -> DataFrame:
+    """Records of archives, a table of path and size (bytes) as ``write`` returns it. damaged: with rows for what was skipped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyarrow import fs
@@ -253,11 +280,11 @@ def read(archives: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
                 rows, held = [], 0
                 with store.open_input_file(r["path"]) as source:
                     for place, f, block in owned(source, r["size"], r["start"], r["end"]):
-                        payload = block.partition(b"\r\n\r\n")[2]
-                        if f.get("warc-type") == "response" and f.get("warc-payload-digest") != f"sha1:{digest_of(payload)}":
+                        row = row_of(r["path"], place, f, block)
+                        if row[2] == "damaged" and not damaged:
                             continue
-                        rows.append((r["path"], place, f.get("warc-type"), page_of(f.get("warc-record-id")), f.get("warc-target-uri"), f.get("warc-payload-digest", "").removeprefix("sha1:"), int(f.get("payload-length", len(payload))), page_of(f.get("warc-refers-to")), payload))
-                        held += len(payload)
+                        rows.append(row)
+                        held += len(block)
                         if held > CHUNK * 4:
                             yield pa.RecordBatch.from_pydict(dict(zip(FIELDS, zip(*rows))), schema=schema)
                             rows, held = [], 0
@@ -267,4 +294,4 @@ def read(archives: DataFrame, folder: str, split: int = SPLIT) -> DataFrame:
     ranges = splits(archives, split)
     # each range is a task's work of its own
     dealt = ranges.repartition(max(1, archives.sparkSession.sparkContext.defaultParallelism * 4), "path", "start")
-    return dealt.mapInArrow(run, T._parse_datatype_string(SCHEMA))
+    return dealt.mapInArrow(run, T.StructType.fromDDL(SCHEMA))

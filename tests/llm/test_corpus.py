@@ -221,11 +221,28 @@ def test_warc_reader_skips_what_is_stored_inside_a_payload():
     for split in (37, 101, 1000, 10_000_000):
         found = []
         for start in range(0, len(data), split):
-            found += [f["warc-record-id"] for _, f, _ in warc.owned(Source(data), len(data), start, min(start + split, len(data)))]
+            found += [f["warc-record-id"] for _, f, _ in warc.owned(Source(data), len(data), start, min(start + split, len(data))) if f]
         assert found == [f"<urn:x-page:{k}>" for k in [2, 1, *range(3, 9)]]
     broken = bytearray(data)
     broken[len(data) - 20] ^= 255  # the last record is damaged, the others stay
-    assert [f["warc-record-id"] for _, f, _ in warc.owned(Source(bytes(broken)), len(data), 0, len(data))] == [f"<urn:x-page:{k}>" for k in [2, 1, *range(3, 8)]]
+    assert [f["warc-record-id"] for _, f, _ in warc.owned(Source(bytes(broken)), len(data), 0, len(data)) if f] == [f"<urn:x-page:{k}>" for k in [2, 1, *range(3, 8)]]
+
+
+def test_warc_of_another_writer(spark, tmp_path):
+    """Field names in any case, other record ids, no digest, a revisit without length; damaged records are told on demand."""
+    head = "WARC/1.0\r\nwarc-type: {}\r\nWARC-RECORD-ID: <urn:uuid:{}>\r\nwarc-refers-to: <urn:uuid:1>\r\nCONTENT-length: {}\r\n\r\n"
+    block = b"HTTP/1.1 200 OK\r\n\r\nbody"
+    one = lambda kind, k: warc.member(head.format(kind, k, len(block)).encode() + block + b"\r\n\r\n")
+    wrong = warc.member(warc.record("response", "9", "u", b"text", "A" * 32, None))
+    cut = bytearray(one("response", 3) * 2)
+    cut[len(cut) - 12] ^= 255
+    data = one("response", 1) + wrong + one("revisit", 2) + bytes(cut)
+    (tmp_path / "a.warc.gz").write_bytes(data)
+    archives = spark.createDataFrame([(str(tmp_path / "a.warc.gz"), len(data))], "path string, size long")
+    got = {(r.record_type, r.record_id, r.refers_to_id, r.payload_bytes) for r in warc.read(archives, f"file://{tmp_path}").collect()}
+    first = "<urn:uuid:1>"
+    assert got == {("response", first, first, 4), ("revisit", "<urn:uuid:2>", first, None), ("response", "<urn:uuid:3>", first, 4)}
+    assert warc.read(archives, f"file://{tmp_path}", damaged=True).where("record_type = 'damaged'").count() == 2
 
 
 def test_url_filters_with_doubled_slashes(spark):
@@ -248,7 +265,7 @@ def test_url_filters(spark):
     captures = [
         (1, "http://bad.com/", 4, "none"), (2, "http://a.b.BAD.com:80/x?y", 5, "block"), (3, "https://u:p@bad.com./", 10, "allow"), (4, "http://bad.com", 20, "block"), (5, "http://ok.bad.com/y", 6, "allow"),
         (6, "http://ok.bad.com/x/y/z#f", 7, "block"), (7, "http://ok.bad.com/xy", 9, "allow"), (8, "http://tie.com/", 3, "block"), (9, None, 9, "none"), (10, "nonsense", 9, "none"), (11, "http://x.com/", 9, "none"),
-        (12, "http://notbad.com/", 9, "none"), (13, "http://bad.com/", None, "none"), (14, "http://" + "a." * 200 + "bad.com/", 6, "none"), (2, "http://a.b.BAD.com:80/x?y", 5, "block"),
+        (12, "http://notbad.com/", 9, "none"), (13, "http://bad.com/", None, "none"), (14, "http://" + "a." * 200 + "bad.com/", 6, "block"), (15, "http://u@v@tie.com/", 3, "block"), (16, "http://u@tie.com@x.com/", 3, "none"), (2, "http://a.b.BAD.com:80/x?y", 5, "block"),
     ]
     e = spark.createDataFrame(entries, "list string, kind string, key string, action string, d int").selectExpr("list", "kind", "key", "action", "date_add(DATE'2023-12-31', d) AS day")
     c = spark.createDataFrame(captures, "id int, url string, d int, verdict string").selectExpr("id", "url", "date_add(DATE'2023-12-31', d) AS fetched", "verdict AS best", "'clash' AS uid", "'clash' AS row")
