@@ -179,11 +179,12 @@ class Window:
     def is_record(self, place: int) -> bool:
         """Whether the head of the member at this place decodes as that of a record."""
         self.fill(place + HEAD)
-        d, head, rest = zlib.decompressobj(31), b"", bytes(self.data[place - self.base : place - self.base + HEAD])
+        d, head, data = zlib.decompressobj(31), b"", bytes(self.data[place - self.base : place - self.base + HEAD])
         try:  # in short steps, so that damage behind the head doesn't hide it
-            while rest and not d.eof and b"\r\n\r\n" not in head and len(head) < HEAD:
-                head += d.decompress(rest, 256)
-                rest = d.unconsumed_tail
+            for k in range(0, len(data), 16):
+                head += d.decompress(data[k : k + 16])
+                if d.eof or b"\r\n\r\n" in head or len(head) > HEAD:
+                    break
         except zlib.error:
             pass
         return head.startswith(b"WARC/1.") and b"\r\nwarc-type:" in head.lower()
