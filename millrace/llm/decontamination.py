@@ -46,9 +46,9 @@ from millrace.llm.suffixes import Suffixes
 WINDOW = 10
 BLOCK_PHRASES = 250_000  # phrases (with an item each) in a block
 HELD = 4  # blocks that a Python worker remembers
-GROUP = 4  # shards that are searched for a block together
+GROUP = 2  # shards that are searched for a block together
 SAMPLE = 16  # one suffix position is kept out of so many
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 class WaveletMatrix:
@@ -98,7 +98,7 @@ class FMIndex:
         marks = first[1:] + np.arange(texts)
         line[marks] = np.arange(texts)
         line[place] = symbols + texts
-        suffixes = Suffixes(np.zeros(n, np.int64), line, np.full(n, n))
+        suffixes = Suffixes(np.zeros(n, np.int64), line, np.full(n, n), ordered=True)
         order = suffixes.order
         plain = np.zeros(n, np.int64)
         plain[place] = symbols

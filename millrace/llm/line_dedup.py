@@ -37,6 +37,8 @@ same order each time, as files do.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -80,39 +82,39 @@ def later(name: str = "n") -> Column:
     return (F.col(f"{name}_uid") != F.col("uid")) | (F.col(f"{name}_at") != F.col("at"))
 
 
-NAME = ["uid", "id", "at", "n_id", "n_uid", "n_at"]
+#: span: the lines of the names of a level. It is a column, so that all levels run the same generated code.
+NAME = ["uid", "id", "at", "n_id", "n_uid", "n_at", "span"]
 
 
-def doubled(level: DataFrame, step: int, total: int) -> DataFrame:
-    """Names of the prefixes that are twice as long, of ``step`` lines so far."""
-    far = level.select("uid", (F.col("at") - step).alias("at"), F.col("n_uid").alias("b_uid"), F.col("n_at").alias("b_at"))
-    near = level.select("uid", "id", "at", F.col("n_uid").alias("a_uid"), F.col("n_at").alias("a_at"))
+def doubled(level: DataFrame, total: int) -> DataFrame:
+    """Names of the prefixes that are twice as long."""
+    far = level.select("uid", (F.col("at") - F.col("span")).alias("at"), F.col("n_uid").alias("b_uid"), F.col("n_at").alias("b_at"))
+    near = level.select("uid", "id", "at", (2 * F.col("span")).alias("span"), F.col("n_uid").alias("a_uid"), F.col("n_at").alias("a_at"))
     return named(near.join(far, ["uid", "at"]), ["a_uid", "a_at", "b_uid", "b_at"], total).select(*NAME)
 
 
 def levels_of(lines: DataFrame, total: int) -> list[DataFrame]:
     """Names of 1, 2, 4, ... lines, until none is left. lines: of the first level."""
-    out, size = [lines], 1
+    out = [lines]
     while not out[-1].isEmpty():
-        out.append(shared.stored(doubled(out[-1], size, total), "level"))
-        size *= 2
+        out.append(shared.stored(doubled(out[-1], total), "level"))
     return out[:-1] or out
 
 
 STATE = ["uid", "id", "at", "size", "f_id", "f_uid", "f_at"]
 
 
-def lengthened(states: DataFrame, level: DataFrame, step: int, total: int) -> DataFrame:
-    """States whose common prefix is ``step`` lines longer where an earlier member of the class agrees on them.
+def lengthened(states: DataFrame, level: DataFrame, total: int) -> DataFrame:
+    """States whose common prefix is longer by the lines of the level where an earlier member of the class agrees on them.
 
     f: the first member of the class, which takes part as well.
     """
     heads = states.select(*(F.col(f"f_{c}").alias(c) for c in ("uid", "id", "at")), "size", "f_id", "f_uid", "f_at").distinct()
     rows = states.select(*STATE, F.lit(True).alias("own")).unionByName(heads.withColumn("own", F.lit(False)))
-    names = level.select("uid", F.col("at").alias("far"), F.col("n_uid").alias("g_uid"), F.col("n_at").alias("g_at"))
+    names = level.select("uid", F.col("at").alias("far"), F.col("n_uid").alias("g_uid"), F.col("n_at").alias("g_at"), "span")
     tried = rows.withColumn("far", F.col("at") + F.col("size")).join(names, ["uid", "far"]).drop("far")
     moved = named(tried, ["g_uid", "g_at", "f_uid", "f_at", "size"], 2 * total).where(F.col("own") & later())
-    longer = moved.select("uid", "id", "at", (F.col("size") + step).alias("size"), *(F.col(f"n_{c}").alias(f"f_{c}") for c in ("id", "uid", "at")))
+    longer = moved.select("uid", "id", "at", (F.col("size") + F.col("span")).alias("size"), *(F.col(f"n_{c}").alias(f"f_{c}") for c in ("id", "uid", "at")))
     best = F.max(F.struct(*(c for c in STATE[3:]))).alias("best")
     both = states.select(*STATE).unionByName(longer).groupBy("uid", "at").agg(F.first("id").alias("id"), best)
     return shared.stored(both.select("uid", "id", "at", "best.*"), "states")
@@ -122,8 +124,8 @@ def repeats(levels: list[DataFrame], min_lines: int, total: int) -> DataFrame:
     """``STATE`` of each position whose first ``min_lines`` lines occur at an earlier one: the longest such prefix (size), and its first place (f)."""
     least = min_lines.bit_length() - 1
     entering = [
-        level.where(later()).select("uid", "id", "at", F.lit(k).alias("k"), F.lit(1 << k).alias("size"), *(F.col(f"n_{c}").alias(f"f_{c}") for c in ("id", "uid", "at")))
-        for k, level in enumerate(levels)
+        level.where(later()).select("uid", "id", "at", F.col("span").alias("size"), *(F.col(f"n_{c}").alias(f"f_{c}") for c in ("id", "uid", "at")))
+        for level in levels
     ]
     if len(levels) <= least:
         return entering[0].select(*STATE).limit(0)
@@ -134,7 +136,7 @@ def repeats(levels: list[DataFrame], min_lines: int, total: int) -> DataFrame:
             own = own.join(entering[j + 1].select("uid", "at"), ["uid", "at"], "left_anti").select(*STATE) if j + 1 < len(levels) else own
             states = own if states is None else states.unionByName(own)
         if j:
-            states = lengthened(states, levels[j - 1], 1 << (j - 1), total)
+            states = lengthened(states, levels[j - 1], total)
     return states.where(F.col("size") >= min_lines)
 
 
@@ -156,7 +158,7 @@ def analysed(docs: DataFrame, id_column: str, text_column: str, min_lines: int,
     whole = told.groupBy("d1", "d2").agg(F.min(F.struct(*place("lines"))).alias("x"))
     lines = shared.stored(whole.select("x.uid", "x.id", F.posexplode("x.lines").alias("at", "l")).select("uid", "id", "at", "l.*"), "lines")
     total = sizes["lines"]
-    first = shared.stored(named(lines, ["h1", "h2"], total).select(*NAME, "long"), "level")
+    first = shared.stored(named(lines.withColumn("span", F.lit(1)), ["h1", "h2"], total).select(*NAME, "long"), "level")
     states = repeats(levels_of(first, total), min_lines, total)
     return copies, with_starts(states, min_lines), first.where(F.col("long") & later()).select("uid", "at")
 
@@ -186,18 +188,29 @@ def marked(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     gone = deletions(docs, id_column, text_column, min_lines, min_chars)
     both = numbered(docs).join(gone, "uid", "left")
     text = F.col("row")[text_column].cast("string")
-    both = both.select("row", "copy", "cuts", text.alias("text"), split_lines(text).alias("lines"))
-    places = F.filter(F.sequence(F.lit(0), F.size("lines") - 1), lambda i: F.get("lines", i).rlike(WORD))
-    both = both.select("*", F.when(F.col("copy").isNotNull(), places).alias("places"))
-    # of a copy: all lines if there are enough, else the long ones
-    whole = F.when(F.size("places") >= min_lines, F.col("places")).otherwise(F.filter("places", lambda i: F.length(F.get("lines", i)) >= min_chars))
-    part = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.slice("places", c["low"] + 1, c["high"] - c["low"] + 1))))
-    both = both.select("*", F.when(F.col("copy"), whole).otherwise(part).alias("gone"))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
-    rest = F.when(F.size(F.coalesce("gone", F.array().cast("array<int>"))) == 0, F.col("text")).otherwise(F.array_join(F.transform(kept, lambda i: F.get("lines", i)), "\n"))
-    n = F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long")
-    deleted = F.coalesce(F.size("gone"), F.lit(0))
-    return both.select("row", n.alias("n_lines"), F.greatest(deleted, F.lit(0)).cast("long").alias("n_deleted"), rest.alias("rest"))
+
+    def places(lines: Column) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.get(lines, i).rlike(WORD))
+
+    def numbers(lines: Column, own: Column) -> Column:
+        """Of a copy: all lines with a word if there are enough, else the long ones."""
+        whole = F.when(F.size(own) >= min_lines, own).otherwise(F.filter(own, lambda i: F.length(F.get(lines, i)) >= min_chars))
+        part = F.array_distinct(F.flatten(F.transform("cuts", lambda c: F.slice(own, c["low"] + 1, c["high"] - c["low"] + 1))))
+        return F.when(F.col("copy"), whole).otherwise(part)
+
+    def without(lines: Column, gone: Column) -> Column:
+        left = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), gone)
+        return F.struct(F.array_join(F.transform(left, lambda i: F.get(lines, i)), "\n").alias("rest"), F.size(gone).alias("n"))
+
+    cut = bound(split_lines(text), lambda lines: bound(places(lines), lambda own: bound(numbers(lines, own), lambda gone: without(lines, gone))))
+    done = F.when(F.col("copy").isNotNull(), cut)
+    n = F.when(text.isNull(), F.lit(0)).otherwise(F.size(split_lines(text))).cast("long")
+    return both.select("row", n.alias("n_lines"), F.coalesce(done["n"], F.lit(0)).cast("long").alias("n_deleted"), F.when(F.col("copy").isNull(), text).otherwise(done["rest"]).alias("rest"))
+
+
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """The body over a value that is computed once, also where the optimizer repeats the whole."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", min_lines: int = MIN_LINES, min_chars: int = MIN_CHARS) -> DataFrame:

@@ -26,11 +26,12 @@ class Suffixes:
     ``group`` and ``symbols``: of each position; positions of different groups
     never match. ``end``: of each position, where its sequence ends.
     ``depth``: suffixes that agree on so many symbols may stay in text order
-    (0: compare them whole). The rank of a suffix is where its class begins in
+    (0: compare them whole). ``ordered``: the order alone is wanted, ranks of
+    lower levels are forgotten. The rank of a suffix is where its class begins in
     the order.
     """
 
-    def __init__(self, group: np.ndarray, symbols: np.ndarray, end: np.ndarray, depth: int = 0):
+    def __init__(self, group: np.ndarray, symbols: np.ndarray, end: np.ndarray, depth: int = 0, ordered: bool = False):
         n = self.n = len(symbols)
         self.end = end
         self.levels: list[np.ndarray] = []
@@ -60,7 +61,7 @@ class Suffixes:
             new[tied] = fresh
             rank = rank.copy()
             rank[self.order[tied]] = np.maximum.accumulate(np.where(fresh, tied, 0))
-            self.levels.append(rank)
+            self.levels = [rank] if ordered else [*self.levels, rank]
             h *= 2
 
     def common(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
