@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from millrace.columns import columns, normal, numeric, ref
-from millrace.config import Config
 from millrace.operators import ordering, profile, stats
 
 Done = tuple[DataFrame, DataFrame]
@@ -230,7 +229,7 @@ PRESETS = {
 STEPS = {"missing": missing, "duplicates": duplicates, "outliers": outliers, "types": coerce, "normalize": normalize}
 
 
-def pipeline(df: DataFrame, steps: list[tuple[str, dict]], config: Config = Config()) -> tuple[DataFrame, DataFrame, DataFrame]:
+def pipeline(df: DataFrame, steps: list[tuple[str, dict]]) -> tuple[DataFrame, DataFrame, DataFrame]:
     """The cleaned table, the actions of all steps in order (with ``step``), and a report of rows and scores before and after."""
     from millrace.operators import quality
 
@@ -240,7 +239,7 @@ def pipeline(df: DataFrame, steps: list[tuple[str, dict]], config: Config = Conf
             raise ValueError(f"unknown step {name}")
         out, done = STEPS[name](out, **options)
         log.append(done.select(F.lit(k).alias("step"), "*"))
-    before, after = (quality.score(x, config).select("rows", "overall") for x in (df, out))
+    before, after = (quality.score(x).select("rows", "overall") for x in (df, out))
     report = before.toDF("rows_before", "score_before").crossJoin(after.toDF("rows_after", "score_after"))
     return out, stats.union(log) if log else actions(df.sparkSession, []), report
 

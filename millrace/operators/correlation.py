@@ -9,9 +9,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import columns, normal, numeric, ref
-from millrace.config import Config
 from millrace.operators import stats
 
+# Fixed values
+NOTABLE = 0.3  # correlation of a pair that is listed
+REDUNDANT = 0.95  # correlation of columns of which one is enough
+SURE = 0.95  # share of determinants with one value
+
 
 def pearson(a: Column, b: Column) -> Column:
     """Correlation of two columns without nulls; null where one is constant."""
@@ -32,14 +36,14 @@ def matrix(df: DataFrame) -> DataFrame:
     return names.join(r, "k", "left").select("pos_a", "pos_b", "a", "b", F.round("r", 4).alias("r"))
 
 
-def pairs(df: DataFrame, config: Config = Config(), limit: int = 20) -> DataFrame:
+def pairs(df: DataFrame, limit: int = 20) -> DataFrame:
     """The strongest notable pairs."""
-    strong = matrix(df).where(F.abs("r") > config.correlation_notable)
+    strong = matrix(df).where(F.abs("r") > NOTABLE)
     return strong.orderBy(F.desc(F.abs("r")), "pos_a", "pos_b").limit(limit).select("a", "b", "r")
 
 
-def redundant(df: DataFrame, config: Config = Config()) -> DataFrame:
-    return matrix(df).where(F.abs("r") > config.correlation_redundant).select("a", "b", "r")
+def redundant(df: DataFrame) -> DataFrame:
+    return matrix(df).where(F.abs("r") > REDUNDANT).select("a", "b", "r")
 
 
 def cramers_v(df: DataFrame, most: int = 50, least_rows: int = 10) -> DataFrame:
@@ -67,11 +71,11 @@ def cramers_v(df: DataFrame, most: int = 50, least_rows: int = 10) -> DataFrame:
     return chi.where(F.col("n") >= least_rows).select("a", "b", F.round(F.sqrt(v), 4).alias("v"))
 
 
-def associations(df: DataFrame, config: Config = Config(), limit: int = 20) -> DataFrame:
-    return cramers_v(df).where(F.col("v") > config.correlation_notable).orderBy(F.desc("v"), "a", "b").limit(limit)
+def associations(df: DataFrame, limit: int = 20) -> DataFrame:
+    return cramers_v(df).where(F.col("v") > NOTABLE).orderBy(F.desc("v"), "a", "b").limit(limit)
 
 
-def functional_dependencies(df: DataFrame, config: Config = Config(), most: int = 200, limit: int = 20) -> DataFrame:
+def functional_dependencies(df: DataFrame, most: int = 200, limit: int = 20) -> DataFrame:
     """determinant, dependent and confidence: the share of determinant values with one dependent value.
 
     A group has one value if its least and greatest agree, so no set of values is kept.
@@ -90,6 +94,6 @@ def functional_dependencies(df: DataFrame, config: Config = Config(), most: int
     shares = groups.groupBy("pos").agg(*(F.avg((F.col(f"lo{c.pos}") == F.col(f"hi{c.pos}")).cast("double")).alias(f"s{c.pos}") for c in usable))
     names = F.create_map(*(x for c in det for x in (F.lit(c.pos), F.lit(c.name))))
     rows = F.explode(F.array(*(F.struct(F.lit(c.pos).alias("to"), F.lit(c.name).alias("dependent"), F.col(f"s{c.pos}").alias("confidence")) for c in usable)))
-    out = shares.select("pos", rows.alias("r")).where((F.col("r.to") != F.col("pos")) & (F.col("r.confidence") > config.dependency_confidence))
+    out = shares.select("pos", rows.alias("r")).where((F.col("r.to") != F.col("pos")) & (F.col("r.confidence") > SURE))
     ranked = out.withColumn("rank", F.row_number().over(Window.orderBy("pos", "r.to"))).where(F.col("rank") <= limit)  # one row per pair of columns
     return ranked.select(names[F.col("pos")].alias("determinant"), "r.dependent", F.round("r.confidence", 3).alias("confidence"))

@@ -6,9 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import normal, ref
-from millrace.config import Config
 from millrace.operators import stats
 
+# Fixed values
+FENCE = 1.5  # interquartile ranges
+
 
 def shown(df: DataFrame, k: int = 6) -> list[Column]:
     """The first columns as text."""
@@ -44,13 +46,13 @@ def outlier_rows(df: DataFrame, column: str, method: str = "iqr", threshold: flo
     )
 
 
-def issue_rows(df: DataFrame, column: str, issue: str, limit: int = 50, order_by: list[str] | None = None, config: Config = Config()) -> DataFrame:
+def issue_rows(df: DataFrame, column: str, issue: str, limit: int = 50, order_by: list[str] | None = None) -> DataFrame:
     """``_count`` rows in all with the issue (missing, outliers or duplicates), and the first of them."""
     order = [ref(c) for c in order_by or df.columns]
     if issue == "missing":
         rows = normal(df).where(ref(column).isNull())
     elif issue == "outliers":
-        rows = flagged(df, column, "iqr", config.outlier_threshold).select(*(ref(c) for c in df.columns))
+        rows = flagged(df, column, "iqr", FENCE).select(*(ref(c) for c in df.columns))
     elif issue == "duplicates":
         return duplicate_rows(df, column, limit, order_by or df.columns)
     else:

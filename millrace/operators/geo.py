@@ -6,9 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import normal, numeric, per_column, ref
-from millrace.config import Config
 from millrace.functions.geo import haversine_km
 
+# Fixed values
+FAR = 3.0  # standard deviations beyond the mean distance
+
 # Names that suggest coordinates; fixed values, matched as substrings.
 LAT_NAMES = ["lat", "latitude", "y_coord", "y"]
 LNG_NAMES = ["lng", "lon", "long", "longitude", "x_coord", "x"]
@@ -64,16 +66,16 @@ def spread(df: DataFrame, lat: str, lng: str) -> DataFrame:
     return box.crossJoin(far).select(F.round("spread_km", 4).alias("spread_km"), F.round("mean_km", 4).alias("mean_km"), F.round(F.col("n") / F.greatest(height * width, F.lit(0.01)), 4).alias("density"))
 
 
-def remote(df: DataFrame, lat: str, lng: str, config: Config = Config()) -> DataFrame:
+def remote(df: DataFrame, lat: str, lng: str) -> DataFrame:
     """The points beyond mean + 3 deviations from the centroid."""
     far = distances(df, lat, lng)
-    cut = far.agg((F.avg("km") + config.spatial_outlier_std * F.stddev_pop("km")).alias("cut"))
+    cut = far.agg((F.avg("km") + FAR * F.stddev_pop("km")).alias("cut"))
     return far.crossJoin(F.broadcast(cut)).where("km > cut")
 
 
-def outliers(df: DataFrame, lat: str, lng: str, config: Config = Config(), limit: int = 20) -> DataFrame:
+def outliers(df: DataFrame, lat: str, lng: str, limit: int = 20) -> DataFrame:
     """The farthest of the remote points."""
-    return remote(df, lat, lng, config).orderBy(F.desc("km"), "lat", "lng").limit(limit).select("lat", "lng", F.round("km", 4).alias("km"))
+    return remote(df, lat, lng).orderBy(F.desc("km"), "lat", "lng").limit(limit).select("lat", "lng", F.round("km", 4).alias("km"))
 
 
 def clusters(df: DataFrame, lat: str, lng: str, seeds: int = 5, seed: int = 42) -> DataFrame:
@@ -95,13 +97,13 @@ def clusters(df: DataFrame, lat: str, lng: str, seeds: int = 5, seed: int = 42)
     return dealt.join(F.broadcast(centers), "cluster").groupBy("cluster").agg(F.count("*").alias("size"), F.first("center_lat").alias("center_lat"), F.first("center_lng").alias("center_lng"), F.avg(km).alias("mean_km"))
 
 
-def report(df: DataFrame, pairs: list[tuple[str, str]] | None = None, config: Config = Config()) -> DataFrame:
+def report(df: DataFrame, pairs: list[tuple[str, str]] | None = None) -> DataFrame:
     """One row for each pair of coordinate columns."""
     from functools import reduce
 
     parts = []
     for lat, lng in pairs or coordinate_columns(df):
-        far = remote(df, lat, lng, config).agg(F.count("*").alias("outliers"))
+        far = remote(df, lat, lng).agg(F.count("*").alias("outliers"))
         row = validity(df, lat, lng).crossJoin(extent(df, lat, lng).drop("n")).crossJoin(spread(df, lat, lng)).crossJoin(far)
         parts.append(row.select(F.lit(lat).alias("lat_column"), F.lit(lng).alias("lng_column"), "*"))
     if not parts:

@@ -7,9 +7,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import Col, columns, normal, ref
-from millrace.config import Config
 from millrace.operators import ordering, stats
 
+# Fixed values
+FENCE = 1.5  # interquartile ranges
+NEAR_CONSTANT = 0.01  # distinct values by values
+ID_RATIO = 0.95  # the same, of identifiers
+ID_ROWS = 50  # rows of a table with identifiers
+FREE_TEXT = 50.0  # average length
+
 #: Shape of a numeric column and what it means; fixed values.
 INTERPRETATIONS = {
     "normal": "Normally distributed, standard parametric methods apply",
@@ -55,11 +61,11 @@ def date_like(df: DataFrame) -> list[str]:
     return [r.column for r in rows.where("dated > 0.8").orderBy("pos").collect()]
 
 
-def basics(df: DataFrame, config: Config = Config()) -> DataFrame:
+def basics(df: DataFrame) -> DataFrame:
     """All statistics of each column; the base of the other reports."""
     df = normal(df)
     freq = stats.frequency(df)
-    bounds = stats.fences(df, config.outlier_threshold)
+    bounds = stats.fences(df, FENCE)
     text = stats.text_stats(df).select("pos", "avg_len", "min_len", "max_len", "mixed_case", "spaced", "digit_share", "letters", "empty")
     base = stats.counts(df).join(stats.distincts(freq), "pos", "left").join(bounds.drop("column", "kind", "n"), "pos", "left")
     base = base.join(stats.outliers(df, bounds), "pos", "left").join(ranges(df).drop("column"), "pos", "left").join(text, "pos", "left")
@@ -69,24 +75,24 @@ def basics(df: DataFrame, config: Config = Config()) -> DataFrame:
     return base.withColumns({"distinct": distinct, "unique_ratio": ratio, "outliers": F.coalesce("outliers", F.lit(0)), "distribution": shape})
 
 
-def issues(config: Config = Config()) -> Column:
+def issues() -> Column:
     """Issues of a row of ``basics``."""
     found = [
         F.when(F.col("completeness") < 95, F.concat(F.round(100 - F.col("completeness"), 1).cast("decimal(18,1)").cast("string"), F.lit("% missing values"))),
         F.when(F.col("outliers") > 0, F.concat(F.col("outliers").cast("string"), F.lit(" outliers detected"))),
         F.when((F.col("unique_ratio") == 1) & (F.col("total") > 100), F.lit("possible ID column (all values unique)")),
-        F.when((F.col("unique_ratio") < config.near_constant_ratio) & (F.col("total") > 100), F.lit("near-constant column")),
+        F.when((F.col("unique_ratio") < NEAR_CONSTANT) & (F.col("total") > 100), F.lit("near-constant column")),
         F.when(F.col("filled") == 0, F.lit("entirely null")),
     ]
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def roles(df: DataFrame, config: Config = Config()) -> DataFrame:
+def roles(df: DataFrame) -> DataFrame:
     """``basics`` and the role of each column."""
     dated = date_like(df)
-    base = basics(df, config)
+    base = basics(df)
     kind, distinct, ratio = F.col("kind"), F.col("distinct"), F.col("unique_ratio")
-    is_id = (ratio > config.id_unique_ratio) & (F.col("total") > config.id_min_rows)
+    is_id = (ratio > ID_RATIO) & (F.col("total") > ID_ROWS)
     role = (
         F.when((kind == "boolean") | ((distinct <= 2) & (F.col("filled") > 0)), "boolean")
         .when(kind == "temporal", "datetime")
@@ -94,20 +100,20 @@ def roles(df: DataFrame, config: Config = Config()) -> DataFrame:
         .when(kind.isin("integer", "float") & is_id, "id")
         .when(kind.isin("integer", "float"), "measure")
         .when((kind == "text") & is_id, "id")
-        .when((kind == "text") & ((F.coalesce("avg_len", F.lit(0.0)) > config.free_text_min_length) | (ratio > 0.8)), "free_text")
+        .when((kind == "text") & ((F.coalesce("avg_len", F.lit(0.0)) > FREE_TEXT) | (ratio > 0.8)), "free_text")
         .when(kind == "text", "category")
         .otherwise("measure")
     )
     return base.withColumn("role", role)
 
 
-def columns_report(df: DataFrame, config: Config = Config()) -> DataFrame:
+def columns_report(df: DataFrame) -> DataFrame:
     """The basic profile of every column."""
     r4 = lambda c: F.round(c, 4)
-    base = basics(df, config)
+    base = basics(df)
     return base.select(
         "column", "kind", "total", "nulls", "completeness", F.col("distinct").alias("unique_count"), r4("unique_ratio").alias("unique_ratio"), r4("mean").alias("mean"), r4("std").alias("std"),
-        F.col("low").alias("min_value"), F.col("high").alias("max_value"), F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text"), "distribution", "outliers", issues(config).alias("issues"),
+        F.col("low").alias("min_value"), F.col("high").alias("max_value"), F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text"), "distribution", "outliers", issues().alias("issues"),
     )
 
 
@@ -124,10 +130,10 @@ def top_values(df: DataFrame, k: int = 8) -> DataFrame:
     return ranked.join(F.broadcast(sizes), "pos").select(names[F.col("pos")].alias("column") if cols else names.alias("column"), "value", "n", "rank", share.alias("dominant_pct"), (share > 50).alias("is_skewed"))
 
 
-def numeric_insights(df: DataFrame, config: Config = Config()) -> DataFrame:
+def numeric_insights(df: DataFrame) -> DataFrame:
     """median, range, quartiles, shape and what it means, of numeric columns."""
     df = normal(df)
-    m = stats.fences(df, config.outlier_threshold).where("n > 0")
+    m = stats.fences(df, FENCE).where("n > 0")
     shape = stats.distribution(F.col("g1"), F.col("g2"), F.col("n"))
     meaning = F.create_map(*(F.lit(x) for kv in INTERPRETATIONS.items() for x in kv))
     return m.select("column", F.round("median", 4).alias("median"), F.round(F.col("high") - F.col("low"), 4).alias("range_value"), F.round("p25", 4).alias("p25"), F.round("p75", 4).alias("p75"), shape.alias("shape"), meaning[shape].alias("interpretation"))
@@ -197,10 +203,10 @@ def in_context(issue: Column, role: Column) -> Column:
     return F.concat(issue, more)
 
 
-def enhanced(df: DataFrame, config: Config = Config()) -> DataFrame:
+def enhanced(df: DataFrame) -> DataFrame:
     """The profile with roles, insights and issues in context."""
     df = normal(df)
-    base = roles(df, config)
+    base = roles(df)
 
     def truth(c: Col) -> Column:
         v = ref(c.name)
@@ -212,5 +218,5 @@ def enhanced(df: DataFrame, config: Config = Config()) -> DataFrame:
     top = top_values(df, 1).select("column", F.col("value").alias("top"), F.col("dominant_pct").alias("top_share"))
     dates = datetime_insights(df).select("column", F.concat(F.initcap("frequency"), F.lit(" data spanning "), "range_start", F.lit(" to "), "range_end").alias("spans"))
     all_ = base.join(true_share, "pos").join(top, "column", "left").join(dates, "column", "left")
-    found = issues(config)
+    found = issues()
     return all_.select("column", "kind", "role", "total", "nulls", "completeness", "distinct", insight(F.col("role"), F.col("truth"), F.col("top"), F.col("top_share"), F.col("spans")).alias("insight"), F.transform(found, lambda x: in_context(x, F.col("role"))).alias("anomalies"))

@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import columns, normal, per_column, ref
-from millrace.config import Config
 from millrace.operators import ordering, profile, stats
 
+# Fixed values
+WEIGHTS = {"completeness": 0.25, "consistency": 0.20, "uniqueness": 0.20, "validity": 0.20, "timeliness": 0.15}  # of the dimensions in the score
+
 DIMENSIONS = ["completeness", "consistency", "uniqueness", "validity", "timeliness"]
 #: Weight of a missing value by the role of its column; fixed values.
 NULL_WEIGHT = {"id": 5.0, "category": 1.5, "measure": 1.0, "datetime": 2.0, "boolean": 1.0, "free_text": 0.3}
@@ -132,21 +134,21 @@ def dimensions(df: DataFrame) -> DataFrame:
     return stats.union(parts).select("dimension", F.round(F.col("score").cast("double"), 2).alias("score"))
 
 
-def score(df: DataFrame, config: Config = Config()) -> DataFrame:
+def score(df: DataFrame) -> DataFrame:
     """overall, the five scores, rows, and the five least complete columns."""
     df = normal(df)
     by = dimensions(df).groupBy().pivot("dimension", DIMENSIONS).agg(F.first("score"))
-    overall = sum((F.col(d) * w for d, w in config.quality_weights.items()), F.lit(0.0))
+    overall = sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0))
     counts = stats.counts(df)
     worst = counts.agg(F.slice(F.array_sort(F.collect_list(F.struct("completeness", "pos", "column"))), 1, 5).alias("w"), F.max("total").alias("rows"))
     return by.crossJoin(worst).select(F.round(overall, 2).alias("overall"), *DIMENSIONS, "rows", F.array_join(F.transform("w", lambda x: x["column"]), ",").alias("worst_columns"))
 
 
-def detailed(df: DataFrame, config: Config = Config()) -> DataFrame:
+def detailed(df: DataFrame) -> DataFrame:
     """dimension, rank, column, role, issue, severity and impact (points of the overall score): at most ten for each dimension."""
     df = normal(df)
     cols = len(df.columns)
-    base = profile.roles(df, config)
+    base = profile.roles(df)
     share = F.try_divide(F.col("nulls") * 100.0, F.col("total"))
     weight = F.create_map(*(F.lit(x) for kv in NULL_WEIGHT.items() for x in kv))[F.col("role")]
     severity = F.when(share * weight > 25, "critical").when(share * weight > 10, "warning").otherwise("info")

@@ -151,7 +151,10 @@ add("q8_detailed", L, quality.detailed)
 
 # Correlation and dependency
 add("c1_matrix", L, lambda df: correlation.matrix(df).select("a", "b", "r"), f"SELECT a, b, r FROM ({o.correlation(N)})")
-add("c2_pairs", L, correlation.pairs, f"SELECT a, b, r FROM ({o.correlation(N)}) WHERE abs(r) > 0.3 ORDER BY abs(r) DESC, k LIMIT 20")
+PRICED = ["o_orderkey", "o_totalprice", "rest", "square"]
+priced = lambda df: df.select("o_orderkey", "o_totalprice", (F.col("o_orderkey") % 1000 + F.col("o_totalprice") / 100).alias("rest"), (F.col("o_totalprice") * F.col("o_totalprice")).alias("square"))
+PRICED_SQL = ", w AS (SELECT o_orderkey, o_totalprice, o_orderkey % 1000 + o_totalprice / 100 AS rest, o_totalprice * o_totalprice AS square FROM v)"
+add("c2_pairs", "orders", lambda df: correlation.pairs(priced(df)), PRICED_SQL + f" SELECT a, b, r FROM ({o.correlation(PRICED).replace('FROM v', 'FROM w')}) WHERE abs(r) > 0.3 ORDER BY abs(r) DESC, k LIMIT 20")
 RELATED = "SELECT s_suppkey, s_acctbal, s_acctbal * 2 + 1 AS twice, -s_acctbal AS negated, s_nationkey FROM v"
 add("c3_redundant", "supplier", lambda df: correlation.redundant(df.select("s_suppkey", "s_acctbal", (F.col("s_acctbal") * 2 + 1).alias("twice"), (-F.col("s_acctbal")).alias("negated"), "s_nationkey")), f", w AS ({RELATED}) SELECT a, b, r FROM ({o.correlation(['s_suppkey', 's_acctbal', 'twice', 'negated', 's_nationkey']).replace('FROM v', 'FROM w')}) WHERE abs(r) > 0.95")
 
@@ -279,7 +282,7 @@ SCALED = lambda m: (lambda df: cleaning.normalize(df, "c_acctbal", m)[0].select(
 add("k19_standard", C, SCALED("standard"), "SELECT c_custkey, round((c_acctbal - (SELECT avg(c_acctbal) FROM v)) / (SELECT stddev_pop(c_acctbal) FROM v), 6) AS c_acctbal FROM v")
 add("k20_minmax", C, SCALED("minmax"), "SELECT c_custkey, round((c_acctbal - lo) / (hi - lo), 6) AS c_acctbal FROM v, (SELECT min(c_acctbal) AS lo, max(c_acctbal) AS hi FROM v) q")
 add("k21_log", C, SCALED("log"), "SELECT c_custkey, round(ln(1 + c_acctbal - lo), 6) AS c_acctbal FROM v, (SELECT min(c_acctbal) AS lo FROM v) q")
-add("k22_onehot", "orders", lambda df: cleaning.normalize(df.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "onehot")[0])
+add("k22_onehot", "orders", lambda df: cleaning.normalize(df.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "onehot")[0], "SELECT o_orderkey, " + ", ".join(f"coalesce((o_orderstatus = '{x}')::INT, 0) AS o_orderstatus_{x}" for x in "FOP") + " FROM v")
 add("k23_pipeline_report", O, lambda df: cleaning.preset(df, "auto")[2].select("rows_before", "rows_after"), "SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS rows_after FROM v")
 add("k24_presets", O, lambda df: stats.union([cleaning.preset(df, p)[2].select(F.lit(p).alias("preset"), "*") for p in ("conservative", "aggressive")]))
 add("k25_action_log", L, lambda df: cleaning.preset(df, "auto")[1])

@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.columns import columns, ref
-from millrace.config import Config
+
+# Fixed values
+MOST_ROWS = 50_000  # of a capped read
 
 # Texts that mean a missing value; fixed values.
 NULL_TOKENS = ["", "#N/A", "#NA", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null", "<NA>", "-nan", "-NaN", "#N/A N/A", "1.#IND", "-1.#IND", "1.#QNAN", "-1.#QNAN"]
@@ -113,11 +115,11 @@ def sample(df: DataFrame, n: int, seed: int = 42) -> DataFrame:
     return df.orderBy(F.xxhash64(*usable, F.lit(seed)), *(ref(c.name) for c in columns(df, "integer", "float", "text", "boolean", "temporal"))).limit(n)
 
 
-def capped(df: DataFrame, limit: int = 5_000, config: Config = Config()) -> DataFrame:
+def capped(df: DataFrame, limit: int = 5_000) -> DataFrame:
     """At most ``limit`` rows (and never more than the configured number); an empty table raises."""
     if df.isEmpty():
         raise ValueError("no rows")
-    return df.limit(min(limit, config.max_rows))
+    return df.limit(min(limit, MOST_ROWS))
 
 
 def preview(df: DataFrame, rows: int = 10, order_by: list[str] | None = None) -> DataFrame:

@@ -9,11 +9,15 @@ from pyspark.sql import SparkSession
 
 
 def ensure(spark: SparkSession) -> str:
-    """The checkpoint folder that the session names; a temporary one is set where it names none."""
+    """The checkpoint folder that the session names. Where it names none, a local session gets a temporary one and a cluster an error."""
     known = spark.sparkContext._jsc.sc().getCheckpointDir()
     if known.isDefined():
         return known.get()
-    top = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    top = spark.conf.get("spark.checkpoint.dir", None)
+    if not top:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        top = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     spark.sparkContext.setCheckpointDir(top)
     return spark.sparkContext._jsc.sc().getCheckpointDir().get()
 
