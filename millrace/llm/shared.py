@@ -16,12 +16,16 @@ HOT = 1000
 
 
 def folder(spark: SparkSession) -> str:
-    """The session's checkpoint folder as a URI; a temporary one is set where none is."""
+    """The session's checkpoint folder as a URI. Where it names none, a local session gets a temporary one and a cluster an error."""
     sc = spark.sparkContext
     set_dir = sc._jsc.sc().getCheckpointDir()
     if set_dir.isDefined():
         return set_dir.get()
-    asked = spark.conf.get("spark.checkpoint.dir", None) or f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
+    asked = spark.conf.get("spark.checkpoint.dir", None)
+    if not asked:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        asked = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     sc.setCheckpointDir(asked)
     return sc._jsc.sc().getCheckpointDir().get()
 
