@@ -193,7 +193,10 @@ ACF = "SELECT lag, corr(p.x, q.x) AS r FROM (SELECT unnest([7, 12, 14, 24, 28, 3
 add("t6_autocorrelation", E, lambda df: timeseries.autocorrelation(VALUES(df)).select("lag", r4("r").alias("r")), IDX + f" SELECT lag, round(r, 4) AS r FROM ({ACF})")
 add("t6_seasonality", E, lambda df: timeseries.seasonality(VALUES(df)).select("seasonal", "strength"), IDX + f" SELECT max(abs(r)) > 0.4 AS seasonal, round(max(abs(r)), 4) AS strength FROM ({ACF})")
 add("t7_stationarity", E, lambda df: timeseries.stationarity(VALUES(df)), IDX + " SELECT round(min(s), 4) AS var_min, round(max(s), 4) AS var_max, min(s) = 0 OR max(s) / (min(s) + 1e-10) < 2 AS stationary FROM (SELECT var_pop(x) AS s FROM i WHERE idx // (n // 3) < 3 GROUP BY idx // (n // 3))")
+PARTS = {"rh": ORACLES["t2_t3_rhythm"], "tr": ORACLES["t5_trend"], "se": ORACLES["t6_seasonality"], "st": ORACLES["t7_stationarity"]}
+PARTS_SQL = "".join(f"{', ' if k else 'WITH '}{name} AS ({sql})" for k, (name, sql) in enumerate(PARTS.items()))
 add("t8_report", E, lambda df: timeseries.report(df, "ts", "value").drop("first", "last", "period"))
+ORACLES["t8_report"] = PARTS_SQL + " SELECT 'ts' AS \"column\", points, mode_seconds, frequency, regular, gap_count, trend, seasonal, stationary FROM rh, tr, se, st"
 add("t8_row_numbers", "events", lambda df: ordering.numbered(df.select(ordering.micros(F.col("ts")).alias("us"), "event_id"), "us", ["event_id"]).select("event_id", "idx"), "SELECT event_id, row_number() OVER (ORDER BY ts, event_id) - 1 AS idx FROM v")
 
 # Geography
@@ -231,9 +234,29 @@ add("m6_leakage", L, CHECK(6), check_sql("Target Leakage", "0", "x = 0", "critic
 add("m7_size", L, CHECK(7), check_sql("Data Size", "(SELECT count(*) FROM v)", "x >= 50", "critical", "CASE WHEN x < 500 THEN 'warning' ELSE 'info' END"))
 add("m8_report", C, lambda df: readiness.report(df).select("ready", "score", F.array_join("next_steps", "; ").alias("next_steps")))
 
-# Schema advice
-add("r1_types", L, lambda df: schema_advisor.table_columns(df).where("pos >= 0").select("column", "type", "spark_type"))
-add("r2_keys", "customer", lambda df: schema_advisor.table_columns(df).select("column", "type", "nullable", "primary_key", "is_unique"))
+# Schema advice: the rules in SQL, by kind of column
+DECIMALS = "max(CASE WHEN {c} IS NULL THEN NULL " + " ".join(f"WHEN round({{c}}, {k}) = {{c}} THEN {max(k, 1)}" for k in range(5)) + " ELSE 5 END)"
+WIDTH = f"(length(CAST(floor(abs(max({{c}}))) AS BIGINT)::VARCHAR) + {DECIMALS})"
+TYPE_RULES = {
+    "integer": "WHEN min({c}) >= -32768 AND max({c}) <= 32767 THEN 'SMALLINT' WHEN min({c}) >= -2147483648 AND max({c}) <= 2147483647 THEN 'INTEGER' ELSE 'BIGINT' END",
+    "float": f"WHEN {DECIMALS} <= 4 AND {WIDTH} <= 12 THEN 'NUMERIC(' || {WIDTH} || ',' || {DECIMALS} || ')' ELSE 'DOUBLE PRECISION' END",
+    "text": f"WHEN NOT ({o.RATIO} > 0.95 AND count(*) > 50) AND (avg(length({{c}})) > 50 OR {o.RATIO} > 0.8) THEN 'TEXT' WHEN max(length({{c}})) > 255 THEN 'TEXT' WHEN max(length({{c}})) <= 10 THEN 'VARCHAR(16)' WHEN max(length({{c}})) <= 50 THEN 'VARCHAR(64)' WHEN max(length({{c}})) <= 100 THEN 'VARCHAR(128)' ELSE 'VARCHAR(255)' END",
+    "temporal": "ELSE 'TIMESTAMPTZ' END",
+}
+
+
+def types_sql(cols: dict[str, str]) -> str:
+    """pos, column, type, role and nulls of each column."""
+    first = "CASE WHEN count(DISTINCT {c}) <= 2 AND count({c}) > 0 THEN 'BOOLEAN' "
+    return "\nUNION ALL\n".join(
+        o.every([c], f"{k} AS pos, {first}{TYPE_RULES[kind]} AS type, {ROLE}WHEN {o.RATIO} > 0.95 AND count(*) > 50 THEN 'id' ELSE 'other' END AS role, count(*) - count({{c}}) AS nulls, '{kind}' AS kind") for k, (c, kind) in enumerate(cols.items())
+    )
+
+
+SPARK_SQL = "CASE WHEN starts_with(type, 'NUMERIC') THEN replace(lower(type), 'numeric', 'decimal') " + " ".join(f"WHEN type = '{a}' THEN '{b}'" for a, b in schema_advisor.SPARK_TYPES.items()) + " ELSE 'string' END"
+BASE_CUSTOMER = {"c_custkey": "integer", "c_name": "text", "c_nationkey": "integer", "c_acctbal": "float", "c_mktsegment": "text"}
+add("r1_types", L, lambda df: schema_advisor.table_columns(df).where("pos >= 0").select("column", "type", "spark_type"), f'SELECT "column", type, {SPARK_SQL} AS spark_type FROM ({types_sql(o.LINEITEM)})')
+add("r2_keys", "customer", lambda df: schema_advisor.table_columns(df).select("column", "type", "nullable", "primary_key", "is_unique"), f", t AS ({types_sql(BASE_CUSTOMER)}), k AS (SELECT min(pos) AS p FROM t WHERE role = 'id' AND (kind = 'integer' OR regexp_matches(\"column\", 'id|key|code'))) SELECT \"column\", type, nulls > 0 AND pos <> p AS nullable, pos = p AS primary_key, role = 'id' AND pos <> p AS is_unique FROM t, k")
 CHECKED = o.every(o.number(o.LINEITEM), NUMBER_ROLE + ", min({c}) AS low")
 add("r3_checks", L, lambda df: schema_advisor.table_columns(df).where("check IS NOT NULL").select("column", "check"), f"SELECT \"column\", '\"' || \"column\" || '\" >= 0' AS \"check\" FROM ({CHECKED}) WHERE role = 'measure' AND low >= 0")
 add("r4_fk_hints", O, schema_advisor.fk_hints)
@@ -285,4 +308,6 @@ add("k21_log", C, SCALED("log"), "SELECT c_custkey, round(ln(1 + c_acctbal - lo)
 add("k22_onehot", "orders", lambda df: cleaning.normalize(df.select("o_orderkey", "o_orderstatus"), "o_orderstatus", "onehot")[0], "SELECT o_orderkey, " + ", ".join(f"coalesce((o_orderstatus = '{x}')::INT, 0) AS o_orderstatus_{x}" for x in "FOP") + " FROM v")
 add("k23_pipeline_report", O, lambda df: cleaning.preset(df, "auto")[2].select("rows_before", "rows_after"), "SELECT count(*) AS rows_before, (SELECT count(*) FROM (SELECT DISTINCT * FROM v)) AS rows_after FROM v")
 add("k24_presets", O, lambda df: stats.union([cleaning.preset(df, p)[2].select(F.lit(p).alias("preset"), "*") for p in ("conservative", "aggressive")]))
-add("k25_action_log", L, lambda df: cleaning.preset(df, "auto")[1])
+FILL = ", w AS (SELECT * REPLACE (coalesce(l_quantity, (SELECT median(l_quantity) FROM v)) AS l_quantity) FROM v)"
+OUT_W = o.every(N, f"(SELECT count(*) {o.FENCE.replace('FROM v', 'FROM w')} WHERE {o.IQR_OUT}) AS n", "").replace("FROM v)", "FROM w)")
+add("k25_action_log", L, lambda df: cleaning.preset(df, "auto")[1], FILL + f" SELECT 2 AS step, 'l_quantity' AS \"column\", 'missing_values' AS issue, 'median' AS strategy, count(*) AS rows_affected FROM v WHERE l_quantity IS NULL UNION ALL SELECT 3, \"column\", 'outliers', 'clip (iqr)', n FROM ({OUT_W}) WHERE n > 0")
