@@ -24,8 +24,10 @@ exact; a good one is quick. Tokens and sets are known by 64-bit hashes.
 
 Defined results: a text without words, or null, has an empty set and links with
 nothing, not even its copies. The component of a document is named by the
-smallest non-null id in it; rows with equal ids are separate documents; other
-columns are ignored. ``docs`` must read the same rows in the same order each
+smallest non-null id in it; rows with equal ids are separate documents; rows that
+are equal altogether are one set and link; sets at exactly 4/5 link. An empty table
+gives an empty one; a text of any length is one set. Other columns are ignored,
+whatever their names are. ``docs`` must read the same rows in the same order each
 time, as files do.
 """
 

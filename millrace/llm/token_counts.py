@@ -14,8 +14,10 @@ the text of the unknown piece itself) count as one token if together they are in
 the vocabulary or it lacks byte pieces, else as one for each of their bytes.
 
 Each row is counted on its own: no shuffle. Defined results: a null or empty
-text has no tokens; rows with equal or null ids are counted one by one; other
-columns are ignored.
+text has no tokens; an empty table gives an empty one; rows with equal or null ids
+are counted one by one and equal texts have equal counts; a text of any length is
+counted as a whole, unit by unit (one without a space is one unit, in lists of its
+length); other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
