@@ -54,8 +54,8 @@ class Shape:
     classes: int = 64
     members: int = 64
     side: int = 2  # tokens seen on each side
-    width: int = 12  # of a token's vector
-    hidden: int = 24
+    width: int = 16  # of a token's vector
+    hidden: int = 32
 
     @property
     def tokens(self) -> int:
@@ -72,7 +72,7 @@ class Training:
     """rounds take turns at the places, so that each position is trained on once."""
 
     rounds: int = 2
-    batch: int = 8192
+    batch: int = 4096
     rate: float = 0.1
     seed: int = 7
 
