@@ -5,14 +5,17 @@ reaches 4/5, exactly. The join is a prefix-filter join on Spark: tokens are
 ordered from rare to frequent, and linked sets share a token among the first
 fifth of either. Two relations between sets keep it small:
 
-* Index level: an inverted list is split into blocks of sizes, and a set meets
-  only the blocks whose sizes can link; inside a block its position bounds what
-  can still be shared, so entries too far down the list are skipped.
+* Index level: an inverted list is split into blocks by the sets' sizes, the
+  places of the token in them and their components. Blocks meet as wholes first:
+  the largest remainder behind the token and the smallest size in two blocks
+  bound what their sets can share, so blocks too far down the list are skipped,
+  and so are blocks of one component. Only entries of blocks that remain meet.
 * Answer level: equal sets are one set. Then each set is compared with a highly
   similar leader, the one with the most frequent tokens among sets with the same
   minimum hash. Sets linked with their leader share its component, and lists
   whose sets are all of one component are dropped: their answers follow from the
-  leader's. Only pairs of sets of different components are formed.
+  leader's. Only pairs of sets of different components are formed, so many copies
+  and a single other set in a list meet once for each copy.
 
 Pairs pass a bound by parity bitmaps (the number of bits that differ is at most
 the number of tokens that differ), which rejects no link, and the rest are
@@ -20,7 +23,8 @@ verified on whole sets. Links and their components follow.
 
 The order of tokens comes from counts of all shingles of the corpus, in a sketch
 of ``BUCKETS`` counters that has the same size for any corpus. Any order is
-exact; a good one is quick. Tokens and sets are known by 64-bit hashes.
+exact; a good one is quick. Tokens are known by 64-bit hashes and sets by 128-bit
+ones.
 
 Defined results: a text without words, or null, has an empty set and links with
 nothing, not even its copies. The component of a document is named by the
@@ -50,8 +54,9 @@ BUCKETS = 1 << 20
 BLOCK = 1 << 13
 HASHES = 6  # minimum hashes by which a leader is looked for
 LEAST_BITS = 256
-HELD = 50_000  # entries of a list that are held back to see whether it has more than one component
-PER_LEADER = 2_000  # sets compared with a leader in one group
+PLACES = 40  # blocks of places in a whole set; entries lie in its first fifth
+PER_LEADER = 256  # sets compared with a leader in one group
+SHINGLES = 1 << 22  # of all sets in such a group
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 # 100 * both >= 80 * either is 9 * both >= 4 * (n + m): at least 4 n / 5 of a set
@@ -137,10 +142,10 @@ def frequencies(rows: DataFrame) -> np.ndarray:
 
 
 def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
-    """uid, id, n, key (of the set; null: empty), bits, mins, common (how frequent its tokens are) and prefix (tokens from rare to frequent)."""
+    """uid, id, n, hash (of the set; null: empty), bits, mins, common (how frequent its tokens are) and prefix (tokens from rare to frequent)."""
     given = rows.sparkSession.sparkContext.broadcast(counts)
     seeds = tr.mixed(np.arange(1, HASHES + 1, dtype=np.uint64))
-    names = ["uid", "id", "n", "key", "bits", "mins", "common", "prefix"]
+    names = ["uid", "id", "n", "hash", "bits", "mins", "common", "prefix"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = given.value
@@ -153,10 +158,10 @@ def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 if len(some):
                     mins = np.stack([np.minimum.reduceat(tr.mixed(tokens ^ s), bounds[:-1][some]) for s in seeds], axis=1)
                     common = np.add.reduceat(np.log1p(count), bounds[:-1][some]) / n[some]
-                keys, bits, prefix = [], [], []
+                hashes, bits, prefix = [], [], []
                 for k in some:
                     own, c = tokens[bounds[k] : bounds[k + 1]], count[bounds[k] : bounds[k + 1]]
-                    keys.append(xxhash.xxh3_64_intdigest(own.tobytes()))
+                    hashes.append(xxhash.xxh3_128_digest(own.tobytes()))
                     bits.append(bitmap(own))
                     prefix.append(own[np.lexsort((own, c))[: probe_prefix(len(own))]].view(np.int64))
                 place = np.full(len(n), -1, np.int64)
@@ -164,10 +169,10 @@ def described(rows: DataFrame, counts: np.ndarray) -> DataFrame:
                 at = pa.array(place, mask=place < 0)
                 lists = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum([len(x) for x in prefix])), pa.int32()), pa.array(np.concatenate(prefix) if prefix else np.zeros(0, np.int64)))
                 low = pa.FixedSizeListArray.from_arrays(pa.array(mins.view(np.int64).ravel() if len(some) else np.zeros(0, np.int64)), HASHES).cast(pa.list_(pa.int64()))
-                columns = [pa.array(np.array(keys, np.uint64).view(np.int64)), pa.array(bits, pa.binary()), low, pa.array(common if len(some) else np.zeros(0)), lists]
+                columns = [pa.array(hashes, pa.binary()), pa.array(bits, pa.binary()), low, pa.array(common if len(some) else np.zeros(0)), lists]
                 yield pa.RecordBatch.from_arrays([part.column("uid"), part.column("id"), pa.array(n), *(x.take(at) for x in columns)], names=names)
 
-    kinds = f"uid long, id {rows.schema['id'].dataType.simpleString()}, n long, key long, bits binary, mins array<long>, common double, prefix array<long>"
+    kinds = f"uid long, id {rows.schema['id'].dataType.simpleString()}, n long, hash binary, bits binary, mins array<long>, common double, prefix array<long>"
     return rows.mapInArrow(run, kinds)
 
 
@@ -188,49 +193,58 @@ def near(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def leaders(sets: DataFrame) -> DataFrame:
-    """x and y: a set and the most similar of its leaders, if any."""
+    """x, y and nx: a set, the most similar of its leaders, if any, and its size."""
     each = sets.select("key", "common", F.posexplode("mins").alias("k", "h"))
     best = each.groupBy("k", "h").agg(F.max(F.struct("common", "key")).alias("best"), F.count("*").alias("c")).where("c > 1").select("k", "h", F.col("best.key").alias("y"))
     pairs = each.join(best, ["k", "h"]).where("key <> y").select(F.col("key").alias("x"), "y").distinct()
-    return near(pairs, sets).groupBy("x").agg(F.min(F.struct("far", "y")).alias("best")).select("x", F.col("best.y").alias("y"))
+    return near(pairs, sets).groupBy("x", "nx").agg(F.min(F.struct("far", "y")).alias("best")).select("x", F.col("best.y").alias("y"), "nx")
 
 
 def whole_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key and tokens (bytes) of the rows in ``wanted`` (uid, key); others are ruled out by a Bloom filter first."""
+    """key and tokens (bytes) of the rows whose uid is a ``key`` of wanted; others are ruled out by a Bloom filter first.
+
+    The filter has 16 bits for each wanted set and 8 MB at most; what it lets
+    through beyond that falls in the join.
+    """
     spark = rows.sparkSession
     bits = 1 << min(26, max(16, (16 * wanted.count()).bit_length()))
+    width = 8 * BLOCK  # bits in a block
 
-    def slot(uid: np.ndarray) -> np.ndarray:
-        return (tr.mixed(uid.astype(np.uint64)) % np.uint64(bits)).astype(np.int64)
-
-    def united(parts: DataFrame) -> np.ndarray:
-        got = shared.joined_blocks(shared.summed(parts, "u1", np.bitwise_or), "u1")
-        return np.zeros(bits, bool) if got is None else np.unpackbits(got).astype(bool)
+    def slot(of: str) -> Column:
+        return F.pmod(F.xxhash64(of), F.lit(bits))
 
     def marks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        on = np.zeros(bits, bool)
+        on: dict[int, np.ndarray] = {}
         for batch in batches:
-            on[slot(batch.column("uid").to_numpy())] = True
-        yield shared.in_blocks(np.packbits(on), BLOCK)
-
-    given = spark.sparkContext.broadcast(united(wanted.select("uid").coalesce(16).mapInArrow(marks, "block int, data binary")))
+            at = batch.column("slot").to_numpy()
+            for block in np.unique(at // width).tolist():
+                own = on.setdefault(block, np.zeros(width, bool))
+                own[at[at // width == block] % width] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(on), pa.int32()), pa.array([np.packbits(x).tobytes() for x in on.values()], pa.binary())], names=["block", "data"])
+
+    slots = wanted.select(slot("key").alias("slot"))
+    marked = np.zeros(bits, bool)
+    for r in slots.repartition((slots["slot"] / width).cast("long")).mapInArrow(marks, "block int, data binary").collect():
+        own = np.unpackbits(np.frombuffer(r["data"], np.uint8)).astype(bool)
+        marked[r["block"] * width : r["block"] * width + width] |= own[: bits - r["block"] * width]
+    given = spark.sparkContext.broadcast(marked)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            batch = batch.filter(pa.array(given.value[slot(batch.column("uid").to_numpy())]))
+            batch = batch.filter(pa.array(given.value[batch.column("slot").to_numpy()]))
             for part in tr.slices(batch, "text"):
                 tokens, bounds = shingle_sets(part.column("text"))
                 data = pa.Array.from_buffers(pa.large_binary(), part.num_rows, [None, pa.py_buffer(bounds * 8), pa.py_buffer(tokens)]).cast(pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("uid"), data], names=["uid", "tokens"])
+                yield pa.RecordBatch.from_arrays([part.column("uid"), data], names=["key", "tokens"])
 
-    return rows.select("uid", "text").mapInArrow(run, "uid long, tokens binary").join(wanted, "uid").select("key", "tokens")
+    return rows.select("uid", "text", slot("uid").alias("slot")).mapInArrow(run, "key long, tokens binary").join(wanted, "key")
 
 
-def verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
-    """The pairs (x, y) whose sets link. Sets travel to the group of their y, which is split if many pairs share it."""
-    wanted = pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct().join(sets.select("key", "uid"), "key").select("uid", "key")
+def verified(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The pairs (x, y, nx) whose sets link. Sets travel to the group of their y, which is split by the number and size of its pairs."""
+    wanted = shared.stored(pairs.select(F.col("x").alias("key")).union(pairs.select("y")).distinct(), "wanted")
     tokens = whole_sets(rows, wanted)
-    sizes = pairs.groupBy("y").agg(F.ceil(F.count("*") / PER_LEADER).alias("parts"))
+    sizes = pairs.groupBy("y").agg(F.greatest(F.ceil(F.count("*") / PER_LEADER), F.ceil(F.sum("nx") / SHINGLES)).alias("parts"))
     left = pairs.join(sizes, "y").select(F.col("x").alias("key"), "y", F.pmod(F.xxhash64("x"), F.col("parts")).alias("part"), F.lit(1).alias("side"))
     right = sizes.select(F.col("y").alias("key"), "y", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("side"))
     dealt = left.union(right).join(tokens, "key").repartition("y", "part").sortWithinPartitions("y", "part", "side")
@@ -253,37 +267,9 @@ def verified(rows: DataFrame, sets: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 def mixed_lists(entries: DataFrame) -> DataFrame:
-    """Entries (token, label, ...) of the tokens with entries of more than one label.
-
-    A list comes sorted by label, so it is known by its last entry. A list of
-    over ``HELD`` entries passes without that.
-    """
-    names = entries.columns
-    sorted_lists = entries.repartition("token").sortWithinPartitions("token", "label")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None  # the entries of the last token so far
-        passing = None  # a token whose entries all pass
-        for batch in batches:
-            t = pa.Table.from_batches([held, batch] if held is not None else [batch]).combine_chunks()
-            token = t.column("token").to_numpy()
-            label = t.column("label").to_numpy()
-            if not len(token):
-                continue
-            begin = np.flatnonzero(np.append(True, token[1:] != token[:-1]))
-            end = np.append(begin[1:], len(token))
-            mixed = label[begin] != label[end - 1]
-            keep = mixed | (token[begin] == passing if passing is not None else False)
-            last = begin[-1]
-            if not keep[-1] and len(token) - last <= HELD:
-                held = t.slice(last).to_batches()[0]
-                keep[-1] = False
-                passing = None
-            else:
-                held, passing, keep[-1] = None, token[-1], True
-            yield from t.filter(pa.array(np.repeat(keep, end - begin))).to_batches()
-
-    return sorted_lists.mapInArrow(run, entries.schema).toDF(*names)
+    """Entries (token, label, ...) of the tokens with entries of more than one label."""
+    tokens = entries.groupBy("token").agg(F.min("label").alias("least"), F.max("label").alias("most")).where("least <> most").select("token")
+    return entries.join(shared.stored(tokens, "tokens"), "token")
 
 
 def size_block(n: Column) -> Column:
@@ -291,39 +277,55 @@ def size_block(n: Column) -> Column:
     return F.floor(F.log(n) / F.log(F.lit(1.3)))
 
 
+def blocks(lists: DataFrame) -> DataFrame:
+    """A row for each block of a list: its least and largest set, and the largest remainder behind its token."""
+    own = lists.groupBy("token", "block", "place", "label")
+    return own.agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max(F.col("n") - F.col("pos")).alias("rest"))
+
+
+def named(df: DataFrame, side: str, *, keep: tuple[str, ...] = ("token",)) -> DataFrame:
+    return df.select(*(F.col(c).alias(c if c in keep else f"{c}_{side}") for c in df.columns))
+
+
 def candidates(sets: DataFrame) -> DataFrame:
     """Pairs (x, y) of sets with different labels that the index can't rule out."""
     entries = sets.select("key", "n", "label", F.posexplode("prefix").alias("pos", "token"))
-    lists = shared.stored(mixed_lists(entries), "lists")
+    lists = shared.stored(mixed_lists(entries).withColumns({"block": size_block(F.col("n")), "place": F.expr(f"{PLACES} * pos div n")}), "lists")
     small = lists.where(F.col("pos") < F.expr(INDEX_PREFIX))
-    small = small.select("token", size_block(F.col("n")).alias("block"), *(F.col(c).alias(f"{c}_x") for c in ("key", "n", "label", "pos")))
-    block = size_block(F.col("n"))
-    large = lists.select("token", F.explode(F.array(block, block - 1)).alias("block"), *(F.col(c).alias(f"{c}_y") for c in ("key", "n", "label", "pos")))
+    reach = named(blocks(lists), "y").withColumn("block_x", F.explode(F.array(F.col("block_y"), F.col("block_y") - 1)))
+    can_meet = (
+        "label_x <> label_y AND least_x <= most_y AND 4 * least_y <= 5 * most_x"
+        " AND 9 * least(rest_x, rest_y) >= 4 * (least_x + greatest(least_x, least_y))"
+    )
+    meet = named(blocks(small), "x").join(reach, ["token", "block_x"]).where(can_meet)
+    meet = meet.select("token", *(f"{c}_{side}" for side in "xy" for c in ("block", "place", "label")))
     may = (
-        "label_x <> label_y AND (n_x < n_y OR (n_x = n_y AND key_x < key_y)) AND 4 * n_y <= 5 * n_x"
+        "(n_x < n_y OR (n_x = n_y AND key_x < key_y)) AND 4 * n_y <= 5 * n_x"
         " AND 9 * least(n_x - pos_x, n_y - pos_y) >= 4 * (n_x + n_y)"
     )
-    return small.join(large, ["token", "block"]).where(may).select(F.col("key_x").alias("x"), F.col("key_y").alias("y")).distinct()
+    for side, entry in (("x", small), ("y", lists)):
+        meet = meet.join(named(entry, side), ["token", *(f"{c}_{side}" for c in ("block", "place", "label"))])
+    return meet.where(may).select(F.col("key_x").alias("x"), F.col("key_y").alias("y")).distinct()
 
 
 def links(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """id, uid (place in the files), label (of the component), n_shingles and component (its smallest id) of each row."""
     rows = texts_of(docs, id_column, text_column)
     told = shared.stored(described(rows, frequencies(rows)), "sets")
-    sets = told.where("key IS NOT NULL").groupBy("key").agg(
-        F.min("id").alias("id"), F.min("uid").alias("uid"), *(F.first(c).alias(c) for c in ("n", "bits", "mins", "common", "prefix"))
+    sets = told.where("hash IS NOT NULL").groupBy("hash").agg(
+        F.min("id").alias("id"), F.min("uid").alias("key"), *(F.first(c).alias(c) for c in ("n", "bits", "mins", "common", "prefix"))
     )
     sets = shared.stored(sets, "distinct")
-    starred = shared.stored(verified(rows, sets, shared.stored(leaders(sets), "leaders")), "stars")
+    starred = shared.stored(verified(rows, shared.stored(leaders(sets), "leaders")), "stars")
     labels = components(starred)
     labelled = sets.join(labels.withColumnRenamed("v", "key"), "key", "left").withColumn("label", F.coalesce("label", "key"))
-    crossed = shared.stored(verified(rows, sets, shared.stored(near(candidates(labelled), sets).select("x", "y"), "pairs")), "links")
+    crossed = shared.stored(verified(rows, shared.stored(near(candidates(labelled), sets).select("x", "y", "nx"), "pairs")), "links")
     final = components(starred.union(crossed)).withColumnRenamed("v", "key")
-    named = sets.select("key", "id").join(final, "key", "left").select("key", "id", F.coalesce("label", "key").alias("label"))
-    smallest = named.groupBy("label").agg(F.min("id").alias("component"))
-    by_key = named.select("key", "label").join(smallest, "label").select("key", "label", "component")
-    out = told.select("uid", "id", "n", "key").join(by_key, "key", "left")
-    return out.select("id", "uid", "label", F.col("n").alias("n_shingles"), F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
+    members = sets.select("key", "hash", "id").join(final, "key", "left").select("hash", "id", F.coalesce("label", "key").alias("label"))
+    smallest = members.groupBy("label").agg(F.min("id").alias("component"))
+    by_hash = members.select("hash", "label").join(smallest, "label").select("hash", "label", "component")
+    out = told.select("uid", "id", "n", "hash").join(by_hash, "hash", "left")
+    return out.select("id", "uid", "label", F.col("n").alias("n_shingles"), F.when(F.col("hash").isNull(), F.col("id")).otherwise(F.col("component")).alias("component"))
 
 
 def joined(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -133,7 +133,7 @@ def near_copies(seed, groups=6, size=12):
 
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join(spark, saved, monkeypatch, seed):
-    monkeypatch.setattr(jaccard_join, "HELD", 3)
+    monkeypatch.setattr(jaccard_join, "SHINGLES", 100)
     monkeypatch.setattr(jaccard_join, "PER_LEADER", 2)
     docs, rows = table(saved, [*EDGES, "One", *near_copies(seed)])
     got = sorted(tuple(r) for r in jaccard_join.joined(docs).collect())
