@@ -136,7 +136,8 @@ CONSIST = (
 )
 add("q2_consistency_issues", C, quality.consistency_issues, CONSIST)
 add("q3_uniqueness_issues", O, quality.uniqueness_issues, "SELECT 'uniqueness' AS dimension, '' AS \"column\", (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM v GROUP BY " + ", ".join(o.ORDERS) + ")) || ' duplicate rows' AS issue UNION ALL SELECT 'uniqueness', \"column\", 'very low cardinality (' || d || ' unique values)' FROM (" + o.every(o.of(o.ORDERS, "text", "temporal"), "count(DISTINCT {c}) AS d, count(*) AS n") + ") WHERE (n - d) * 100.0 / n > 80 AND d < 5")
-add("q4_validity_issues", C, lambda df: quality.validity_issues(normal(df)), "SELECT 'validity' AS dimension, \"column\", issue FROM (" + o.every(TEXTS_C, "count(*) FILTER (trim({c}) = '') AS n, count(*) FILTER (trim({c}) = '') || ' empty strings (not null)' AS issue") + "\nUNION ALL\n" + o.every(o.number(o.CUSTOMER), "CASE WHEN avg(({c} = 0)::INT) > 0.9 AND count({c}) > 100 THEN 1 ELSE 0 END, 'mostly zeros - possibly missing data encoded as 0'") + ") WHERE n > 0")
+VALID_C = "SELECT 'validity' AS dimension, \"column\", issue FROM (" + o.every(TEXTS_C, "count(*) FILTER (trim({c}) = '') AS n, count(*) FILTER (trim({c}) = '') || ' empty strings (not null)' AS issue") + "\nUNION ALL\n" + o.every(o.number(o.CUSTOMER), "CASE WHEN avg(({c} = 0)::INT) > 0.9 AND count({c}) > 100 THEN 1 ELSE 0 END, 'mostly zeros - possibly missing data encoded as 0'") + ") WHERE n > 0"
+add("q4_validity_issues", C, lambda df: quality.validity_issues(normal(df)), VALID_C)
 add("q5_timeliness_issues", "gap_events", quality.timeliness_issues, o.gaps("ts") + " SELECT 'timeliness' AS dimension, 'ts' AS \"column\", count(*) FILTER (gap > 3 * (SELECT median(gap) FROM g)) || ' unusual temporal gaps detected' AS issue FROM g HAVING count(*) FILTER (gap > 3 * (SELECT median(gap) FROM g)) > 0")
 CELLS = "(" + " + ".join(f"count({c})" for c in o.LINEITEM) + ")"
 SCORES_L = (
@@ -146,7 +147,8 @@ SCORES_L = (
 )
 add("q6_dimension_scores", L, quality.dimensions, o.gaps("l_shipdate") + " " + SCORES_L)
 add("q6_overall_score", L, lambda df: quality.score(df).select("overall", "rows"), o.gaps("l_shipdate") + f", s AS ({SCORES_L}) SELECT round(sum(score * CASE dimension WHEN 'completeness' THEN 0.25 WHEN 'timeliness' THEN 0.15 ELSE 0.2 END), 2) AS overall, (SELECT count(*) FROM v) AS rows FROM s")
-add("q7_suggested_fixes", C, quality.issues)
+Q7 = {"q1": "SELECT 'completeness' AS dimension, \"column\", round(p, 1) || '% missing' AS issue FROM (" + o.every(o.of(o.CUSTOMER), "(count(*) - count({c})) * 100.0 / count(*) AS p") + ") WHERE p > 5", "q2": CONSIST, "q3": "SELECT 'uniqueness' AS dimension, \"column\", 'very low cardinality (' || d || ' unique values)' AS issue FROM (" + o.every(TEXTS_C, "count(DISTINCT {c}) AS d, count({c}) AS n") + ") WHERE (n - d) * 100.0 / n > 80 AND d < 5", "q4": VALID_C, "q5": "SELECT 'timeliness' AS dimension, '' AS \"column\", 'No temporal columns found for timeliness check' AS issue"}
+add("q7_suggested_fixes", C, quality.issues, ", " + ", ".join(f"{k} AS ({sql})" for k, sql in Q7.items()) + " " + " UNION ALL ".join(f"SELECT dimension, \"column\", issue FROM {k}" for k in Q7))
 add("q8_detailed", L, quality.detailed)
 
 # Correlation and dependency
@@ -232,7 +234,11 @@ add("m4_high_cardinality", C, CHECK(4), check_sql("High Cardinality", HIGH, "x =
 add("m5_correlated", L, CHECK(5), check_sql("Feature Correlation", f"(SELECT count(*) FROM ({o.correlation(N)}) WHERE abs(r) > 0.95)", "x = 0", "warning", "'info'"))
 add("m6_leakage", L, CHECK(6), check_sql("Target Leakage", "0", "x = 0", "critical", "'info'"))
 add("m7_size", L, CHECK(7), check_sql("Data Size", "(SELECT count(*) FROM v)", "x >= 50", "critical", "CASE WHEN x < 500 THEN 'warning' ELSE 'info' END"))
-add("m8_report", C, lambda df: readiness.report(df).select("ready", "score", F.array_join("next_steps", "; ").alias("next_steps")))
+MISSING_C = "(SELECT avg(p) FROM (" + " UNION ALL ".join(f"SELECT (count(*) - count({c})) * 100.0 / count(*) AS p FROM v" for c in o.CUSTOMER) + "))"
+LEAK_C = "(SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d FROM v" for c in o.number(o.CUSTOMER)) + f") t, ({o.correlation(o.number(o.CUSTOMER))}) p WHERE d = 2 AND abs(r) > 0.99 AND (c = a OR c = b))"
+M8 = [(MISSING_C, "x < 5"), (BALANCE, "x > 0.3"), (CONST, "x = 0"), (HIGH, "x = 0"), (f"(SELECT count(*) FROM ({o.correlation(o.number(o.CUSTOMER))}) WHERE abs(r) > 0.95)", "x = 0"), (LEAK_C, "x = 0"), ("(SELECT count(*) FROM v)", "x >= 50")]
+M8_SQL = ", m AS (" + " UNION ALL ".join(f"SELECT {k} AS k, {passed} AS passed, '{readiness.SUGGESTIONS[k]}' AS step FROM (SELECT {value} AS x)" for k, (value, passed) in enumerate(M8)) + ")"
+add("m8_report", C, lambda df: readiness.report(df).select("ready", "score", F.array_join("next_steps", "; ").alias("next_steps")), M8_SQL + " SELECT bool_and(passed) AS ready, round(avg(passed::INT) * 100, 1) AS score, coalesce(string_agg(step, '; ' ORDER BY k) FILTER (NOT passed), '') AS next_steps FROM m")
 
 # Schema advice: the rules in SQL, by kind of column
 DECIMALS = "max(CASE WHEN {c} IS NULL THEN NULL " + " ".join(f"WHEN round({{c}}, {k}) = {{c}} THEN {max(k, 1)}" for k in range(5)) + " ELSE 5 END)"
@@ -259,7 +265,9 @@ add("r1_types", L, lambda df: schema_advisor.table_columns(df).where("pos >= 0")
 add("r2_keys", "customer", lambda df: schema_advisor.table_columns(df).select("column", "type", "nullable", "primary_key", "is_unique"), f", t AS ({types_sql(BASE_CUSTOMER)}), k AS (SELECT min(pos) AS p FROM t WHERE role = 'id' AND (kind = 'integer' OR regexp_matches(\"column\", 'id|key|code'))) SELECT \"column\", type, nulls > 0 AND pos <> p AS nullable, pos = p AS primary_key, role = 'id' AND pos <> p AS is_unique FROM t, k")
 CHECKED = o.every(o.number(o.LINEITEM), NUMBER_ROLE + ", min({c}) AS low")
 add("r3_checks", L, lambda df: schema_advisor.table_columns(df).where("check IS NOT NULL").select("column", "check"), f"SELECT \"column\", '\"' || \"column\" || '\" >= 0' AS \"check\" FROM ({CHECKED}) WHERE role = 'measure' AND low >= 0")
-add("r4_fk_hints", O, schema_advisor.fk_hints)
+FEW_O = o.every(o.of(o.ORDERS, "text"), TEXT_ROLE + ", count(DISTINCT {c}) AS d, count(*) AS n") + "\nUNION ALL\n" + o.every(o.number(o.ORDERS), NUMBER_ROLE + ", count(DISTINCT {c}), count(*)")
+STEM = "replace(replace(replace(replace(lower(\"column\"), '_id', ''), 'id_', ''), '_key', ''), '_code', '')"
+add("r4_fk_hints", O, schema_advisor.fk_hints, f"SELECT \"column\", rtrim(CASE WHEN own THEN stem ELSE lower(\"column\") END, 's') || 's' AS references_table, 'id' AS references_column, CASE WHEN own THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, {STEM} AS stem, role = 'id' AND lower(\"column\") <> 'id' AND {STEM} <> '' AND {STEM} <> lower(\"column\") AS own FROM ({FEW_O})) WHERE own OR (role = 'category' AND d < 20 AND n / d::DOUBLE > 5)")
 ROLES_O = o.every(o.of(o.ORDERS, "text"), TEXT_ROLE + ", count(DISTINCT {c}) AS d, count(*) AS n")
 add("r5_normalization", O, schema_advisor.normalization_hints, f"SELECT \"column\", d AS unique_values, n AS total_rows FROM ({ROLES_O}) WHERE role = 'category' AND d <= 20 AND n > 50 AND n / d > 10")
 add("r6_ddl", O, lambda df: schema_advisor.ddl(df, "orders"))
@@ -268,7 +276,20 @@ add("r6_ddl", O, lambda df: schema_advisor.ddl(df, "orders"))
 add("i1_cardinality", O, lambda df: layout_advisor.analyze(df).select("column", "cardinality", r4("ratio").alias("ratio"), r4("null_ratio").alias("null_ratio"), r4("avg_len").alias("avg_len")), o.every(o.number(o.ORDERS) + ["o_orderdate"], "count(DISTINCT {c}) AS cardinality, round(count(DISTINCT {c})::DOUBLE / count(*), 4) AS ratio, 0.0 AS null_ratio, NULL::DOUBLE AS avg_len") + "\nUNION ALL\n" + o.every(o.of(o.ORDERS, "text"), "count(DISTINCT {c}), round(count(DISTINCT {c})::DOUBLE / count(*), 4), 0.0, round(avg(length({c})), 4)"))
 add("i2_json_columns", "events", lambda df: layout_advisor.analyze(df).where("is_json").select("column", "index_type", "priority"), "SELECT 'props' AS \"column\", 'GIN' AS index_type, 'high' AS priority FROM v LIMIT 1")
 add("i3_sortedness", "orders", lambda df: named(df, layout_advisor.sortedness(df, "o_orderkey")).select("column", r4("share_sorted").alias("share_sorted")), o.every(o.number(o.ORDERS), "round(greatest(avg((x >= p)::INT), avg((x <= p)::INT)), 4) AS share_sorted", "FROM (SELECT {c} AS x, lag({c}) OVER (ORDER BY o_orderkey) AS p FROM v) WHERE p IS NOT NULL"))
-add("i4_i5_rule", L, lambda df: layout_advisor.analyze(df).select("column", "is_filter", "index_type", "priority"))
+WORDS = ", ".join(f"'{w}'" for w in layout_advisor.FILTER_WORDS)
+
+
+def rule_sql(cols: dict[str, str]) -> str:
+    """pos, column, is_filter, index_type, priority and cardinality, without an order of rows."""
+    each = "\nUNION ALL\n".join(o.every([c], f"{k} AS pos, '{kind}' AS kind, count(*) AS n, count(DISTINCT {{c}}) AS d, count(*) - count({{c}}) AS nulls, " + ("avg(length({c}))" if kind == "text" else "NULL") + " AS len") for k, (c, kind) in enumerate(cols.items()))
+    filters = f"(list_has_any(string_split(lower(\"column\"), '_'), [{WORDS}]) OR regexp_matches(lower(\"column\"), '{layout_advisor.FILTER_ENDS}') OR regexp_matches(lower(\"column\"), '{layout_advisor.FILTER_STARTS}') OR (kind = 'integer' AND d > 0.9 * n) OR kind = 'temporal' OR (kind = 'text' AND d < 0.05 * n))"
+    rules = [("nulls > 0.95 * n", None, "low"), ("d <= 1 OR NOT is_filter", None, "low"), ("kind = 'text' AND len > 100", "GIN", "medium"), ("d > 0.01 * n AND d > 10 AND n > 1000", "BTREE", "high"), ("d > 0.01 * n AND d > 10", "BTREE", "medium"), ("d < 0.05 * n AND d > 2", "BTREE", "low")]
+    index = "CASE " + " ".join(f"WHEN {w} THEN " + (f"'{k}'" if k else "NULL") for w, k, _ in rules) + " END"
+    level = "CASE " + " ".join(f"WHEN {w} THEN '{p}'" for w, _, p in rules) + " ELSE 'low' END"
+    return f"SELECT pos, \"column\", is_filter, {index} AS index_type, {level} AS priority, d FROM (SELECT *, {filters} AS is_filter FROM ({each}))"
+
+
+add("i4_i5_rule", L, lambda df: layout_advisor.analyze(df).select("column", "is_filter", "index_type", "priority"), f'SELECT "column", is_filter, index_type, priority FROM ({rule_sql(o.LINEITEM)})')
 add("i6_recommend", O, lambda df: layout_advisor.recommend(df, "orders", order_by="o_orderkey"))
 
 # Cleaning
