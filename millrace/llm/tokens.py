@@ -14,7 +14,7 @@ import pyarrow as pa
 
 from millrace.llm import textrows as tr
 
-CACHED = 400_000  # chunks that a Python worker remembers; later ones are encoded again
+CACHED = 400_000  # chunks that a task remembers; later ones are encoded again
 
 #: Lead bytes of characters without white space among them: U+00C0 to U+07FF, U+4000 to U+9FFF.
 LEAD2 = np.zeros(256, bool)
