@@ -15,6 +15,9 @@ from millrace.llm import decontamination, jaccard_join, line_dedup, packing, qua
 
 WORD = r"[^\x20\x09-\x0D]"
 
+BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 4 << 20
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -63,7 +66,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
+    """All stages over ``documents``.
+
+    Where the session doesn't say how many bytes an Arrow batch may have, it is
+    set to ``BATCH_BYTES``: batches of 10,000 whole texts take much memory on
+    both sides. Results don't depend on it.
+    """
+    if spark.conf.get(BATCHES, None) is None:
+        spark.conf.set(BATCHES, str(BATCH_BYTES))
     docs = queries.table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
