@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from millrace.llm import decontamination, jaccard_join, line_dedup, lm_scoring, packing, pii, quality_rules, shared, token_counts, url_filters, warc
+from millrace.llm import decontamination, jaccard_join, lexical_search, line_dedup, lm_scoring, oracles, packing, pii, quality_rules, secret_scans, shared, spelling, token_counts, url_filters, warc
 
 #: Files of public tokenizers; read on every executor.
 TOKENIZER = "byte_bpe_50k.json"
@@ -100,6 +100,18 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents")).drop("longest_repeat")
 
 
+def op11_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scans.digest(secret_scans.spans(table(spark, sf_dir, "documents")))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_url_filters": op1_url_filters,
     "op2_packing": op2_packing,
@@ -111,6 +123,9 @@ QUERIES = {
     "op8_lm_scoring": op8_lm_scoring,
     "op9_quality_rules": op9_quality_rules,
     "op10_token_counts": op10_token_counts,
+    "op11_secret_scans": op11_secret_scans,
+    "op12_spelling_variants": op12_spelling_variants,
+    "op13_lexical_search": op13_lexical_search,
 }
 
 OP7_SQL = r"""
@@ -223,4 +238,7 @@ ORACLES: dict[str, str] = {
     "op5_warc": OP5_SQL,
     "op7_decontamination": OP7_SQL,
     "op9_quality_rules": OP9_SQL,
+    "op11_secret_scans": oracles.OP11_SQL,
+    "op12_spelling_variants": oracles.OP12_SQL,
+    "op13_lexical_search": oracles.OP13_SQL,
 }
