@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.columns import columns, normal, per_column, ref
-from millrace.operators import ordering, stats
+from millrace.columns import columns, ref
+from millrace.operators import ordering, statistics
+from millrace.operators.statistics import Statistics
 
 # Names that suggest filters; fixed values.
 FILTER_WORDS = ["id", "key", "code", "type", "status", "category", "date", "time", "created", "updated", "timestamp", "country", "region", "city", "state", "department", "user", "customer", "account", "order", "product"]
@@ -15,10 +16,9 @@ FILTER_ENDS = "(_id|_key|_code|_type|_status|_date|_name)$"
 FILTER_STARTS = "^(id_|is_|has_)"
 
 
-def json_like(df: DataFrame) -> list[str]:
+def json_like(table: DataFrame | Statistics) -> list[str]:
     """Text columns with an array or object among their values."""
-    rows = per_column(df, columns(df, "text"), {"json": lambda c: F.count(F.when(ref(c.name).startswith("[") | ref(c.name).startswith("{"), 1))})
-    return [r.column for r in rows.where("json > 0").orderBy("pos").collect()]
+    return [r[0] for r in statistics.of(table).columns.where("kind = 'text' AND json > 0").orderBy("pos").select("column").collect()]
 
 
 def sortedness(df: DataFrame, order_by: str) -> DataFrame:
@@ -28,18 +28,17 @@ def sortedness(df: DataFrame, order_by: str) -> DataFrame:
     """
     cols = columns(df, "integer", "float")
     rows = df.select(ref(order_by).cast("double").alias("k"), *(ref(c.name).cast("double").alias(f"v{c.pos}") for c in cols)).where("k IS NOT NULL")
-    numbered = ordering.numbered(rows, "k", [f"v{c.pos}" for c in cols])
-    pairs = numbered.select((F.col("idx") + 1).alias("idx"), *(F.col(f"v{c.pos}").alias(f"b{c.pos}") for c in cols)).join(numbered, "idx")
-    measures = {"up": lambda c: F.avg((F.col(f"v{c.pos}") >= F.col(f"b{c.pos}")).cast("double")), "down": lambda c: F.avg((F.col(f"v{c.pos}") <= F.col(f"b{c.pos}")).cast("double"))}
-    return per_column(pairs, cols, measures).select("pos", F.greatest("up", "down").alias("share_sorted"))
+    names = [f"v{c.pos}" for c in cols]
+    found = ordering.steps(rows, [F.col(x) for x in ("k", *names)], names)
+    places = df.sparkSession.createDataFrame([(k, c.pos) for k, c in enumerate(cols)], "column int, pos int")
+    return found.join(places, "column").select("pos", F.try_divide(F.greatest("up", "down").cast("double"), F.col("pairs")).alias("share_sorted"))
 
 
-def analyze(df: DataFrame, order_by: str | None = None) -> DataFrame:
+def analyze(table: DataFrame | Statistics, order_by: str | None = None) -> DataFrame:
     """One row for each column: cardinality and its ratio, nulls, length, order, and whether it looks like a filter."""
-    df = normal(df)
-    base = stats.counts(df).join(stats.distincts(stats.frequency(df)).select("pos", "distinct"), "pos", "left").join(stats.text_stats(df).select("pos", "avg_len"), "pos", "left")
-    jsons = json_like(df)
-    steps = sortedness(df, order_by) if order_by else base.select("pos", F.lit(None).cast("double").alias("share_sorted"))
+    s = statistics.of(table)
+    base = s.columns
+    steps = sortedness(s.df, order_by) if order_by else base.select("pos", F.lit(None).cast("double").alias("share_sorted"))
     base = base.join(steps, "pos", "left")
     cardinality = F.coalesce("distinct", F.lit(0))
     ratio = F.coalesce(F.try_divide(cardinality.cast("double"), F.col("total")), F.lit(0.0))
@@ -54,7 +53,7 @@ def analyze(df: DataFrame, order_by: str | None = None) -> DataFrame:
     )
     is_sorted = F.coalesce((F.col("share_sorted") > 0.95) & (F.col("filled") > 10), F.lit(False))
     nulls = F.coalesce(F.try_divide(F.col("nulls").cast("double"), F.col("total")), F.lit(0.0))
-    out = base.select("pos", "column", "kind", "total", cardinality.alias("cardinality"), ratio.alias("ratio"), nulls.alias("null_ratio"), "avg_len", is_sorted.alias("is_sorted"), (F.col("column").isin(jsons) if jsons else F.lit(False)).alias("is_json"), is_filter.alias("is_filter"))
+    out = base.select("pos", "column", "kind", "total", cardinality.alias("cardinality"), ratio.alias("ratio"), nulls.alias("null_ratio"), "avg_len", is_sorted.alias("is_sorted"), (F.col("json") > 0).alias("is_json"), is_filter.alias("is_filter"))
     index, priority = rule()
     return out.select("*", index.alias("index_type"), priority.alias("priority"))
 
@@ -80,7 +79,7 @@ def rule() -> tuple[Column, Column]:
     return index.otherwise(F.lit(None).cast("string")), priority.otherwise("low")
 
 
-def recommend(df: DataFrame, table: str, exclude: tuple[str, ...] = (), order_by: str | None = None) -> DataFrame:
+def recommend(df: DataFrame | Statistics, table: str, exclude: tuple[str, ...] = (), order_by: str | None = None) -> DataFrame:
     """rank, column, index_type, priority, reason and the SQL text, the most useful first; ``exclude``: columns that have an index."""
     rows = analyze(df, order_by).where(F.col("index_type").isNotNull())
     if exclude:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from uuid import uuid4
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure(spark: SparkSession) -> str:
@@ -15,7 +16,7 @@ def ensure(spark: SparkSession) -> str:
         return known.get()
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
-        if not spark.sparkContext.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     spark.sparkContext.setCheckpointDir(top)
@@ -25,3 +26,10 @@ def ensure(spark: SparkSession) -> str:
 def shared(spark: SparkSession, name: str) -> str:
     """A fresh path in the checkpoint folder."""
     return f"{ensure(spark).rstrip('/')}/{name}-{uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it back: its lineage ends there, and what is drawn at random stays."""
+    path = shared(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
