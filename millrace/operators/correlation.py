@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import columns, normal, numeric, ref
-from millrace.operators import stats
+from millrace.operators import moments, stats
 
 # Fixed values
 NOTABLE = 0.3  # correlation of a pair that is listed
@@ -17,23 +17,15 @@ REDUNDANT = 0.95  # correlation of columns of which one is enough
 SURE = 0.95  # share of determinants with one value
 
 
-def pearson(a: Column, b: Column) -> Column:
-    """Correlation of two columns without nulls; null where one is constant."""
-    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
-
-
 def matrix(df: DataFrame) -> DataFrame:
-    """a, b and r (4 digits) of each pair of numeric columns, in column order: one aggregation."""
+    """a, b and r (4 digits; null where one is constant) of each pair of numeric columns over the rows that have both: one scan."""
     df = normal(df)
-    pairs = list(combinations(numeric(df), 2))
-    if not pairs:
+    cols = numeric(df)
+    if len(cols) < 2:
         return df.sparkSession.createDataFrame([], "pos_a int, pos_b int, a string, b string, r double")
-    # pairs are rows, so that one set of aggregates serves all of them; a pair with a null in either is left out
-    cells = [F.struct(F.lit(k).alias("k"), ref(a.name).cast("double").alias("x"), ref(b.name).cast("double").alias("y")) for k, (a, b) in enumerate(pairs)]
-    both = df.select(F.explode(F.array(*cells)).alias("p")).select("p.*").where("x IS NOT NULL AND y IS NOT NULL")
-    r = both.groupBy("k").agg(pearson(F.col("x"), F.col("y")).alias("r"))
-    names = df.sparkSession.createDataFrame([(k, a.pos, b.pos, a.name, b.name) for k, (a, b) in enumerate(pairs)], "k int, pos_a int, pos_b int, a string, b string")
-    return names.join(r, "k", "left").select("pos_a", "pos_b", "a", "b", F.round("r", 4).alias("r"))
+    names = df.sparkSession.createDataFrame([(a.pos, b.pos, a.name, b.name) for a, b in combinations(cols, 2)], "pos_a int, pos_b int, a string, b string")
+    r = F.when((F.col("xx") > 0) & (F.col("yy") > 0), F.col("xy") / (F.sqrt("xx") * F.sqrt("yy")))
+    return names.join(moments.pairs(df, cols), ["pos_a", "pos_b"], "left").select("pos_a", "pos_b", "a", "b", F.round(r, 4).alias("r"))
 
 
 def pairs(df: DataFrame, limit: int = 20) -> DataFrame:

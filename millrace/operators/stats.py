@@ -3,16 +3,21 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import Col, columns, numeric, per_column, ref
+from millrace.operators import ordering
+from millrace.operators.moments import singles
+from millrace.sources import folders
 
-SPLITS = 256
-#: Up to so many rows, quantiles come from one aggregation that holds the distinct values of a column.
-SMALL = 2_000_000
+#: Size of the sketches that bracket a rank, and the share of the values that a bracket takes on each side of it.
+SKETCH, ASIDE = 4096, 0.003
+#: Values strictly inside a bracket that are brought together to be put in order.
+GATHER = 20_000
 
 
 def counts(df: DataFrame) -> DataFrame:
@@ -28,36 +33,40 @@ def moments(df: DataFrame) -> DataFrame:
     cols = numeric(df)
     if not cols:
         return df.sparkSession.createDataFrame([], "pos int, column string, kind string, n long, mean double, std double, low double, high double, g1 double, g2 double")
-    # one small set of aggregates over (column, value) rows is compiled far sooner than one set for each column
-    x = F.col("x.v")
-    cells = df.select(F.explode(F.array(*(F.struct(F.lit(c.pos).alias("pos"), ref(c.name).cast("double").alias("v")) for c in cols))).alias("x"))
-    sums = cells.groupBy("x.pos").agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("std"), F.min(x).alias("low"), F.max(x).alias("high"), F.skewness(x).alias("s"), F.kurtosis(x).alias("k"))
     names = df.sparkSession.createDataFrame([(c.pos, c.name, c.kind) for c in cols], "pos int, column string, kind string")
-    base = names.join(sums, "pos", "left").withColumn("n", F.coalesce("n", F.lit(0)))
-    n = F.col("n").cast("double")
-    # Spark has population moments, null for a constant column, whose corrected values are 0
-    g1 = F.when(n > 2, F.coalesce("s", F.lit(0.0)) * F.sqrt(n * (n - 1)) / (n - 2))
-    g2 = F.when(n > 3, F.when(F.col("k").isNull(), 0.0).otherwise((n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * F.col("k") + 6)))
-    return base.select("pos", "column", "kind", "n", "mean", "std", "low", "high", g1.alias("g1"), g2.alias("g2"))
+    base = names.join(singles(df, cols), "pos", "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    g1, g2, std = corrected(F.col("n").cast("double"), F.greatest("m2", F.lit(0.0)), F.col("m3"), F.col("m4"))
+    return base.select("pos", "column", "kind", "n", "mean", std.alias("std"), "low", "high", g1.alias("g1"), g2.alias("g2"))
 
 
-def frequency(df: DataFrame, cols: list[Col] | None = None) -> DataFrame:
-    """pos, num (numeric columns), text (others) and n: how often each value occurs, nulls left out.
+def corrected(n: Column, m2: Column, m3: Column, m4: Column) -> tuple[Column, Column, Column]:
+    """Bias-corrected skewness and excess kurtosis (0 for a constant column), and sample deviation, from sums of powers around the mean."""
+    s, k = F.sqrt(n) * m3 / F.pow(m2, F.lit(1.5)), n * m4 / (m2 * m2) - 3
+    g1 = F.when(n > 2, F.when(m2 > 0, s * F.sqrt(n * (n - 1)) / (n - 2)).otherwise(0.0))
+    g2 = F.when(n > 3, F.when(m2 > 0, (n - 1) / ((n - 2) * (n - 3)) * ((n + 1) * k + 6)).otherwise(0.0))
+    return g1, g2, F.when(n > 1, F.sqrt(m2 / (n - 1)))
+
+
+def frequency(df: DataFrame, cols: list[Col] | None = None, nulls: bool = False) -> DataFrame:
+    """pos, num (numeric columns), whole (integers, and micros of times), text (all but numbers) and n: how often each value occurs.
+
+    Nulls are left out, or (``nulls``) counted in rows that aren't ``there``.
 
     All columns share one shuffle; equal values combine before it.
     """
     cols = columns(df) if cols is None else cols
     if not cols:
-        return df.limit(0).select(F.lit(0).alias("pos"), F.lit(0.0).alias("num"), F.lit(0).cast("long").alias("whole"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"))
+        return df.limit(0).select(F.lit(0).alias("pos"), F.lit(0.0).alias("num"), F.lit(0).cast("long").alias("whole"), F.lit("").alias("text"), F.lit(0).cast("long").alias("n"), *([F.lit(True).alias("there")] if nulls else []))
 
     def cell(c: Col) -> Column:
         v = ref(c.name)
-        parts = {"num": v.cast("double") if c.kind in ("integer", "float") else None, "whole": v.cast("long") if c.kind == "integer" else None, "text": v.cast("string") if c.kind not in ("integer", "float", "other") else F.to_json(F.struct(v)) if c.kind == "other" else None}
+        parts = {"num": v.cast("double") if c.kind in ("integer", "float") else None, "whole": v.cast("long") if c.kind == "integer" else ordering.micros(v) if c.kind == "temporal" else None, "text": v.cast("string") if c.kind not in ("integer", "float", "other") else F.to_json(F.struct(v)) if c.kind == "other" else None}
         kinds = {"num": "double", "whole": "long", "text": "string"}
         return F.struct(F.lit(c.pos).alias("pos"), v.isNotNull().alias("there"), *((F.lit(None).cast(kinds[k]) if p is None else p).alias(k) for k, p in parts.items()))
 
-    cells = df.select(F.explode(F.array(*map(cell, cols))).alias("x")).where("x.there").select("x.pos", "x.num", "x.whole", "x.text")
-    return cells.groupBy("pos", "num", "whole", "text").agg(F.count("*").alias("n"))
+    cells = df.select(F.explode(F.array(*map(cell, cols))).alias("x")).select("x.*")
+    keys = ["pos", "num", "whole", "text"]
+    return cells.groupBy(*keys, "there").agg(F.count("*").alias("n")) if nulls else cells.where("there").groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def distincts(freq: DataFrame) -> DataFrame:
@@ -68,13 +77,11 @@ def distincts(freq: DataFrame) -> DataFrame:
 def quantiles(freq: DataFrame, ps: list[float]) -> DataFrame:
     """pos and q0, q1, ...: exact quantiles with linear interpolation over a frequency table.
 
-    Values are dealt into buckets between approximate split points. Bucket
-    totals tell where each rank lies; only those buckets are put in order.
+    Values are sorted in ranges. Sums of the ranges tell where each rank lies; only
+    those ranges are looked at value by value.
     """
     values = freq.where("num IS NOT NULL").select("pos", "num", "n")
-    cut = [k / SPLITS for k in range(1, SPLITS)]
-    splits = values.groupBy("pos").agg(F.percentile_approx("num", cut, 10_000).alias("splits"))
-    dealt = values.join(F.broadcast(splits), "pos").select("pos", "num", "n", F.size(F.filter("splits", lambda s: s < F.col("num"))).alias("bucket"))
+    dealt = folders.stored(ordering.in_ranges(values, [F.col("pos"), F.col("num")]).select("row.*", F.col("range").alias("bucket")), "ranges")
     sums = dealt.groupBy("pos", "bucket").agg(F.sum("n").alias("n"))
     over = Window.partitionBy("pos").orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     sums = sums.select("pos", "bucket", (F.sum("n").over(over) - F.col("n")).alias("begin"), F.sum("n").over(over).alias("end"), F.sum("n").over(Window.partitionBy("pos")).alias("all"))
@@ -93,17 +100,115 @@ def quantiles(freq: DataFrame, ps: list[float]) -> DataFrame:
     return picked.groupBy("pos").agg(*(F.max(F.when(F.col("q") == k, value)).alias(f"q{k}") for k in range(len(ps))))
 
 
-def small(df: DataFrame) -> bool:
-    """Whether the table has at most ``SMALL`` rows. The count reads no columns."""
-    return df.count() <= SMALL
+def sketches(df: DataFrame, lg: int = 12) -> DataFrame:
+    """pos, column, total, filled and distinct_sketch (binary) of each column: an approximate profile that merges over partitions, tables and days.
+
+    The error of a distinct count is about 1.04 divided by the root of 2 to ``lg``.
+    """
+    hashed = lambda c: F.when(ref(c.name).isNotNull(), F.xxhash64(ref(c.name)))
+    cols = columns(df)
+    return per_column(df, cols, {"total": lambda c: F.count("*"), "filled": lambda c: F.count(ref(c.name)), "distinct_sketch": lambda c: F.hll_sketch_agg(hashed(c), F.lit(lg))})
+
+
+def merged_sketches(tables: DataFrame) -> DataFrame:
+    """column, total, filled and distinct (approximate) of sketches that were put together by ``unionByName``."""
+    return tables.groupBy("column").agg(F.sum("total").alias("total"), F.sum("filled").alias("filled"), F.hll_sketch_estimate(F.hll_union_agg("distinct_sketch", F.lit(True))).alias("distinct"))
+
+
+class Rank:
+    """The search for the values at two neighbouring ranks of a column: a bracket, and what is known of the values in it."""
+
+    def __init__(self, col: Col, place: float) -> None:
+        self.col, self.place = col, place
+        self.ranks = sorted({floor(place), ceil(place)})
+        self.low = self.high = 0.0
+        self.aside, self.below, self.inside = ASIDE, 0, 0  # around the rank; values below what was sketched, and in it
+        self.found: dict[int, float] = {}
+
+    def around(self) -> Column:
+        """The shares of what was sketched between which the ranks should lie."""
+        share = lambda r: min(1.0, max(0.0, (r - self.below) / max(self.inside - 1, 1)))
+        return F.array(F.lit(max(0.0, share(self.ranks[0]) - self.aside)), F.lit(min(1.0, share(self.ranks[-1]) + self.aside)))
+
+    def counted(self, below: int, at_low: int, between: int, at_high: int) -> str:
+        """What to do next, from the numbers of values in the bracket: nothing, gather, sketch what is inside, or widen."""
+        if self.ranks[0] < below or self.ranks[-1] >= below + at_low + between + at_high:
+            return "widen"
+        for r in self.ranks:
+            if r < below + at_low:
+                self.found[r] = self.low
+            elif r >= below + at_low + between:
+                self.found[r] = self.high
+        if len(self.found) == len(self.ranks):
+            return "done"
+        self.start = below + at_low
+        if between <= GATHER:
+            return "gather"
+        self.below, self.inside = below + at_low, between
+        return "sketch"
+
+    def value(self) -> float:
+        first, last = self.found[self.ranks[0]], self.found[self.ranks[-1]]
+        return first if first == last else first + (last - first) * (self.place - self.ranks[0])
 
 
 def column_quantiles(df: DataFrame, ps: list[float]) -> DataFrame:
-    """pos and q0, q1, ... of the numeric columns: from one aggregation for a small table, else in two levels."""
-    if not small(df):
-        return quantiles(frequency(df, numeric(df)), ps)
-    base = per_column(df, numeric(df), {"q": lambda c: F.percentile(ref(c.name).cast("double"), F.array(*map(F.lit, ps)))})
-    return base.select("pos", *((F.get("q", F.lit(k)) if numeric(df) else F.col("q")).alias(f"q{k}") for k in range(len(ps)))).where("q0 IS NOT NULL")
+    """pos and q0, q1, ... of the numeric columns, exactly, with linear interpolation.
+
+    Mergeable sketches bracket each rank. One aggregation counts what lies below, on
+    and between the ends of all brackets; where more than ``GATHER`` values are in
+    between, it has sketched them too, and the next bracket is a small share of this
+    one. What remains is brought together and put in order. A bracket that misses its
+    rank is widened. The plan is the same at any size: three scans, and one more each time the
+    table grows a hundredfold.
+    """
+    cols = numeric(df)
+    schema = ", ".join(["pos int", *(f"q{k} double" for k in range(len(ps)))])
+    if not cols:
+        return df.sparkSession.createDataFrame([], schema)
+    v = lambda c: ref(c.name).cast("double")
+    sizes = df.agg(*(F.count(ref(c.name)) for c in cols), *(F.kll_sketch_agg_double(v(c), F.lit(SKETCH)).alias(f"s{c.pos}") for c in cols))
+    known = folders.stored(sizes.toDF(*(f"n{c.pos}" for c in cols), *(f"s{c.pos}" for c in cols)), "sketches")
+    total = known.first()
+    ranks = {(c.pos, k): Rank(c, p * (total[f"n{c.pos}"] - 1)) for c in cols for k, p in enumerate(ps) if total[f"n{c.pos}"]}
+    for (pos, _), r in ranks.items():
+        r.inside = total[f"n{pos}"]
+    sketched, of, live, gather = known, {key: f"s{key[0]}" for key in ranks}, list(ranks), []
+    while live:
+        ends = sketched.select(*(F.kll_sketch_get_quantile_double(of[key], ranks[key].around()) for key in live)).first()
+        for key, (low, high) in zip(live, ends):
+            ranks[key].low, ranks[key].high = low, high
+        counts = []
+        for i, key in enumerate(live):
+            r, x = ranks[key], v(ranks[key].col)
+            counts += [F.count(F.when(x < r.low, 1)), F.count(F.when(x == r.low, 1)), F.count(F.when((x > r.low) & (x < r.high), 1)), F.count(F.when((x == r.high) & (x > r.low), 1))]
+        inner = [F.kll_sketch_agg_double(F.when((v(ranks[key].col) > ranks[key].low) & (v(ranks[key].col) < ranks[key].high), v(ranks[key].col)), F.lit(SKETCH)) for key in live]
+        names = [f"c{i}" for i in range(len(counts))] + [f"i{i}" for i in range(len(inner))]
+        row = folders.stored(df.agg(*(x.alias(n) for x, n in zip(counts + inner, names))), "brackets")
+        told = row.select(*names[: len(counts)]).first()
+        going, source = [], {}
+        for i, key in enumerate(live):
+            todo = ranks[key].counted(*told[4 * i : 4 * i + 4])
+            if todo == "gather":
+                gather.append(key)
+            elif todo in ("sketch", "widen"):
+                going.append(key)
+                source[key] = ("new", f"i{i}") if todo == "sketch" else ("old", of[key])
+                ranks[key].aside *= 1 if todo == "sketch" else 4
+        both = row.select(*names[len(counts) :]).crossJoin(sketched.select(*(F.col(c).alias(f"old_{c}") for c in sketched.columns if c in set(of.values()))))
+        of = {key: c if kind == "new" else f"old_{c}" for key, (kind, c) in source.items()}
+        sketched, live = both, going
+    if gather:
+        cells = F.array(*(F.struct(F.lit(i).alias("i"), v(ranks[key].col).alias("v"), F.lit(ranks[key].low).alias("lo"), F.lit(ranks[key].high).alias("hi")) for i, key in enumerate(gather)))
+        inside = df.select(F.explode(F.filter(cells, lambda x: (x["v"] > x["lo"]) & (x["v"] < x["hi"]))).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+        upto: dict[int, int] = {}
+        for i, value, n in sorted(tuple(x) for x in inside.collect()):  # at most GATHER for each rank
+            r = ranks[gather[i]]
+            begin = upto.get(i, r.start)
+            r.found |= {k: value for k in r.ranks if begin <= k < begin + n}
+            upto[i] = begin + n
+    rows = [(c.pos, *(ranks[c.pos, k].value() for k in range(len(ps)))) for c in cols if (c.pos, 0) in ranks]
+    return df.sparkSession.createDataFrame(rows, schema)
 
 
 def fences(df: DataFrame, threshold: float = 1.5) -> DataFrame:

@@ -1,17 +1,19 @@
 """Profiles of temporal columns: frequency, gaps, trend, seasonality, stationarity.
 
 Trend, seasonality and stationarity take the values in the order of time, ties
-by the other columns; row numbers come in two levels and not from one window.
+by the other columns; row numbers come from sorted ranges and not from one window.
 """
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from millrace.columns import columns, normal, numeric, ref
-from millrace.operators import ordering, profile, stats
+from millrace.operators import moments, ordering, profile, stats
 
+BLOCK = 1 << 16  # rows of a block of autocorrelations
 LAGS = [7, 12, 14, 24, 28, 30, 52, 60, 90, 365]  # fixed values
 
 
@@ -66,11 +68,33 @@ def trend(values: DataFrame) -> DataFrame:
 
 
 def autocorrelation(values: DataFrame, lags: list[int] = LAGS) -> DataFrame:
-    """lag and r for lags below half the length: an equi-join on the shifted row number."""
-    near = values.select(F.explode(F.array(*map(F.lit, lags))).alias("lag"), "idx", "v", "n").where("lag < n div 2")
-    shifted = near.select("lag", (F.col("idx") - F.col("lag")).alias("idx"), F.col("v").alias("w"))
-    both = near.select("lag", "idx", "v").join(shifted, ["lag", "idx"])
-    return both.groupBy("lag").agg(F.try_divide(F.covar_pop("v", "w"), F.stddev_pop("v") * F.stddev_pop("w")).alias("r"))
+    """lag and r for lags below half the length.
+
+    Rows are cut into blocks of their numbers, each with the first rows of the next;
+    a block returns sums for each lag.
+    """
+    halo = max(lags)
+    own = values.select(F.explode(F.when(F.col("idx") % BLOCK < halo, F.array(F.floor(F.col("idx") / BLOCK), F.floor(F.col("idx") / BLOCK) - 1)).otherwise(F.array(F.floor(F.col("idx") / BLOCK)))).alias("block"), "idx", "v", "n").where("block >= 0")
+
+    def sums(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("idx")
+        start, v = int(rows["block"].iloc[0]) * BLOCK, rows["v"].to_numpy(float)
+        begin = int(rows["idx"].iloc[0]) - start  # 0: numbers have no holes
+        out = []
+        for lag in lags:
+            if lag < rows["n"].iloc[0] // 2:
+                size = max(0, min(BLOCK - begin, len(v) - lag))
+                x, y = v[:size], v[lag : lag + size]
+                if size:
+                    mx, my = x[0] + (x - x[0]).mean(), y[0] + (y - y[0]).mean()
+                    out.append((lag, size, mx, my, ((x - mx) ** 2).sum(), ((y - my) ** 2).sum(), ((x - mx) * (y - my)).sum()))
+        return pd.DataFrame(out, columns=["lag", "n", "mx", "my", "xx", "yy", "xy"])
+
+    parts = own.groupBy("block").applyInPandas(sums, "lag int, n long, mx double, my double, xx double, yy double, xy double")
+    moved, n, dx = moments.to_common(parts, ["lag"], "mx", "my")
+    dy = F.col("my") - F.col("common_my")
+    total = lambda c, d: F.sum(F.col(c) + n * d)
+    return moved.groupBy("lag").agg(F.try_divide(total("xy", dx * dy), F.sqrt(total("xx", dx * dx)) * F.sqrt(total("yy", dy * dy))).alias("r"))
 
 
 def seasonality(values: DataFrame) -> DataFrame:
