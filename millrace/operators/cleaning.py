@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from millrace.columns import columns, normal, numeric, ref
 from millrace.operators import ordering, profile, stats
+from millrace.sources import folders
 
 Done = tuple[DataFrame, DataFrame]
 ACTIONS = "column string, issue string, strategy string, rows_affected long"
@@ -30,6 +31,13 @@ def replaced(df: DataFrame, new: dict[str, Column]) -> DataFrame:
     return df.select(*((new[c] if c in new else ref(c)).alias(c) for c in df.columns))
 
 
+def mode(df: DataFrame, column: str) -> object:
+    """The most frequent value, the smallest of several. Values are counted in groups, and the best of them takes no memory."""
+    sizes = df.where(ref(column).isNotNull()).groupBy(ref(column).alias("v")).agg(F.count("*").alias("n"))
+    row = sizes.agg(F.min(F.struct((-F.col("n")).alias("less"), F.col("v"))).alias("best")).first()
+    return row["best"]["v"] if row["best"] else None
+
+
 def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = None, constant: object = 0, order_by: str | None = None) -> Done:
     """Drop or fill nulls: drop, mean, median (default), mode, ffill, constant or knn."""
     df = normal(df)
@@ -57,18 +65,16 @@ def missing(df: DataFrame, strategy: str = "median", names: list[str] | None = N
             values = [q.get(k) for k in range(len(number))]
         return replaced(df, {c: F.coalesce(ref(c).cast("double"), F.lit(v).cast("double")) for c, v in zip(number, values)}), log(number, strategy)
     if strategy == "mode":
-        values = df.agg(*(F.mode(ref(c), True).alias(f"v{k}") for k, c in enumerate(targets))).first()
+        values = [mode(df, c) for c in targets]
         return replaced(df, {c: F.coalesce(ref(c), F.lit(v)) for c, v in zip(targets, values) if v is not None}), log(targets, "mode")
     if strategy == "constant":
         return replaced(df, {c: F.coalesce(ref(c), F.lit(constant).cast(df.schema[c].dataType)) for c in targets}), log(targets, "constant")
     if strategy == "ffill":
         if order_by is None:
             raise ValueError("ffill needs order_by")
-        out = df.withColumn("__key", ref(order_by).cast("long") if kind[order_by] == "integer" else ordering.micros(ref(order_by)))
-        ties = [f"`{c}`" for c in df.columns if c not in targets]
-        for c in targets:
-            out = ordering.carried(out, "__key", ties, c)
-        return out.select(*(ref(c) for c in df.columns)), log(targets, "ffill")
+        key = ref(order_by).cast("long") if kind[order_by] == "integer" else ref(order_by) if kind[order_by] == "float" else ordering.micros(ref(order_by))
+        order = [key, *(ref(c) for c in df.columns if c not in targets)]
+        return ordering.carried(df, order, targets), log(targets, "ffill")
     if strategy == "knn":
         from millrace.operators.neighbours import knn_impute
 
@@ -93,6 +99,7 @@ def duplicates(df: DataFrame, names: list[str] | None = None, keep: str | bool =
         pick = F.max_by("row", "o") if keep == "last" else F.min_by("row", "o")
         groups = rows.groupBy(*ks).agg(pick.alias("row"), F.count("*").alias("n"))
         out = (groups if keep else groups.where("n = 1")).select(*(F.col("row")[c].alias(c) for c in df.columns))
+    out = folders.stored(out, "distinct")
     gone = before - out.count()
     return out, actions(df.sparkSession, [("all" if names is None else ",".join(names), "duplicates", "exact", gone)] if gone else [])
 
@@ -244,5 +251,30 @@ def pipeline(df: DataFrame, steps: list[tuple[str, dict]]) -> tuple[DataFrame, D
     return out, stats.union(log) if log else actions(df.sparkSession, []), report
 
 
+def described(log: DataFrame) -> DataFrame:
+    """The actions with ``description``, a sentence on each."""
+    n, c = F.col("rows_affected").cast("string"), F.col("column")
+    text = (
+        F.when((F.col("issue") == "missing_values") & (F.col("strategy") == "drop"), F.concat(F.lit("Dropped "), n, F.lit(" rows without a value of "), c))
+        .when(F.col("issue") == "missing_values", F.concat(F.lit("Filled "), n, F.lit(" missing values of "), c, F.lit(" by "), "strategy"))
+        .when(F.col("issue") == "duplicates", F.concat(F.lit("Removed "), n, F.lit(" duplicate rows")))
+        .when(F.col("issue") == "outliers", F.concat(F.lit("Treated "), n, F.lit(" outliers of "), c, F.lit(": "), "strategy"))
+        .when(F.col("issue") == "type_mismatch", F.concat(F.lit("Converted "), c, F.lit(": "), "strategy", F.lit(", "), n, F.lit(" values lost")))
+        .otherwise(F.concat(F.lit("Normalized "), c, F.lit(" by "), "strategy"))
+    )
+    return log.withColumn("description", text)
+
+
+def summary(log: DataFrame, report: DataFrame) -> DataFrame:
+    """One row with ``summary``: rows and scores before and after, the number of actions, and a line for each, in their order."""
+    tenth = lambda c: F.round(c, 1).cast("decimal(18,1)").cast("string")
+    lines = described(log).agg(F.count("*").alias("actions"), F.transform(F.array_sort(F.collect_list(F.struct("step", "column", "description"))), lambda x: F.concat(F.lit("\n- "), x["description"])).alias("lines"))
+    text = F.concat(
+        F.lit("Rows: "), F.col("rows_before").cast("string"), F.lit(" before, "), F.col("rows_after").cast("string"), F.lit(" after\nQuality: "), tenth("score_before"), F.lit(" before, "), tenth("score_after"),
+        F.lit(" after\nActions: "), F.col("actions").cast("string"), F.array_join("lines", ""),
+    )
+    return report.crossJoin(F.broadcast(lines)).select(text.alias("summary"))
+
+
 def preset(df: DataFrame, name: str = "auto") -> tuple[DataFrame, DataFrame, DataFrame]:
     return pipeline(df, PRESETS[name])

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from millrace.columns import Col, columns, normal, ref
-from millrace.operators import ordering, stats
+from millrace.columns import columns, normal, ref
+from millrace.operators import ordering, statistics, stats, topk
+from millrace.operators.statistics import Statistics
+from millrace.operators.times import as_time
+from millrace.sources import folders
 
 # Fixed values
 FENCE = 1.5  # interquartile ranges
@@ -26,13 +28,6 @@ INTERPRETATIONS = {
     "moderate_skew": "Moderate skew, may benefit from normalization",
     "insufficient_data": "Too few values for reliable distribution analysis",
 }
-DATE_FORMATS = ["yyyy-MM-dd", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss", "yyyy/MM/dd", "MM/dd/yyyy", "dd.MM.yyyy", "dd MMM yyyy", "MMM d, yyyy", "yyyy-MM"]
-
-
-def as_time(text: Column) -> Column:
-    """A timestamp if the text has one of the known formats; plain numbers are none. Texts that can't have any are not tried."""
-    tries = [F.try_to_timestamp(text, F.lit(f)) for f in DATE_FORMATS]
-    return F.when((F.length(text) <= 64) & text.rlike("[0-9]") & ~F.trim(text).rlike(r"^[+-]?[0-9.]*$"), F.coalesce(*tries))
 
 
 def ranges(df: DataFrame) -> DataFrame:
@@ -48,31 +43,22 @@ def samples(df: DataFrame, order_by: list[str], k: int = 5) -> DataFrame:
     cells = [F.struct(F.lit(c.pos).alias("pos"), F.lit(c.name).alias("column"), ref(c.name).cast("string").alias("value")) for c in columns(df)]
     keys = [ref(o).alias(f"o{i}") for i, o in enumerate(order_by)]
     rows = df.select(*keys, F.explode(F.array(*cells)).alias("x")).select(*(f"o{i}" for i in range(len(keys))), "x.pos", "x.column", "x.value").where("value IS NOT NULL")
-    order = Window.partitionBy("pos").orderBy(*(f"o{i}" for i in range(len(keys))), "value")
-    first = rows.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
-    return first.groupBy("pos", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "value"))), lambda x: x["value"]).alias("samples"))
+    first = topk.firsts(rows, "pos", {**{f"o{i}": True for i in range(len(keys))}, "value": True}, k)
+    return first.groupBy("pos", "column").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "value"))), lambda x: x["value"]).alias("samples"))
 
 
 def date_like(df: DataFrame) -> list[str]:
-    """Text columns with over 80 % parseable values among all that aren't null."""
-    from millrace.columns import per_column
+    """Text columns with over 80 % parseable values among all that aren't null. Each distinct value is read once."""
+    texts = [ref(c.name) for c in columns(df, "text")]
+    return Statistics(df.select(*texts)).dated if texts else []
 
-    rows = per_column(df, columns(df, "text"), {"dated": lambda c: F.try_divide(F.count(as_time(ref(c.name))), F.count(ref(c.name)))})
-    return [r.column for r in rows.where("dated > 0.8").orderBy("pos").collect()]
 
-
-def basics(df: DataFrame) -> DataFrame:
+def basics(table: DataFrame | Statistics) -> DataFrame:
     """All statistics of each column; the base of the other reports."""
-    df = normal(df)
-    freq = stats.frequency(df)
-    bounds = stats.fences(df, FENCE)
-    text = stats.text_stats(df).select("pos", "avg_len", "min_len", "max_len", "mixed_case", "spaced", "digit_share", "letters", "empty")
-    base = stats.counts(df).join(stats.distincts(freq), "pos", "left").join(bounds.drop("column", "kind", "n"), "pos", "left")
-    base = base.join(stats.outliers(df, bounds), "pos", "left").join(ranges(df).drop("column"), "pos", "left").join(text, "pos", "left")
-    distinct = F.coalesce("distinct", F.lit(0))
-    ratio = F.coalesce(F.try_divide(distinct.cast("double"), F.col("filled")), F.lit(0.0))
+    s = statistics.of(table)
+    base = s.columns.join(F.broadcast(s.spread), "pos", "left")
     shape = F.when(F.col("kind").isin("integer", "float"), stats.distribution(F.col("g1"), F.col("g2"), F.col("filled"))).otherwise("categorical")
-    return base.withColumns({"distinct": distinct, "unique_ratio": ratio, "outliers": F.coalesce("outliers", F.lit(0)), "distribution": shape})
+    return base.withColumns({"outliers": F.coalesce("outliers", F.lit(0)), "distribution": shape})
 
 
 def issues() -> Column:
@@ -87,10 +73,10 @@ def issues() -> Column:
     return F.filter(F.array(*found), lambda x: x.isNotNull())
 
 
-def roles(df: DataFrame) -> DataFrame:
-    """``basics`` and the role of each column."""
-    dated = date_like(df)
-    base = basics(df)
+def roles(table: DataFrame | Statistics) -> DataFrame:
+    """The columns of a table with their statistics and roles."""
+    s = statistics.of(table)
+    base, dated = s.columns, s.dated
     kind, distinct, ratio = F.col("kind"), F.col("distinct"), F.col("unique_ratio")
     is_id = (ratio > ID_RATIO) & (F.col("total") > ID_ROWS)
     role = (
@@ -107,23 +93,28 @@ def roles(df: DataFrame) -> DataFrame:
     return base.withColumn("role", role)
 
 
-def columns_report(df: DataFrame) -> DataFrame:
+def columns_report(table: DataFrame | Statistics) -> DataFrame:
     """The basic profile of every column."""
     r4 = lambda c: F.round(c, 4)
-    base = basics(df)
+    base = basics(table)
     return base.select(
         "column", "kind", "total", "nulls", "completeness", F.col("distinct").alias("unique_count"), r4("unique_ratio").alias("unique_ratio"), r4("mean").alias("mean"), r4("std").alias("std"),
         F.col("low").alias("min_value"), F.col("high").alias("max_value"), F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text"), "distribution", "outliers", issues().alias("issues"),
     )
 
 
-def top_values(df: DataFrame, k: int = 8) -> DataFrame:
-    """column, value, n, rank, share (percent of the first) and skewed: the most frequent values of each column that isn't numeric."""
-    df = normal(df)
+def top_values(table: DataFrame | Statistics, k: int = 8) -> DataFrame:
+    """column, value, n, rank, share (percent of the first) and skewed: the most frequent values of each column that isn't numeric.
+
+    Each task keeps k values of a column.
+    """
+    known = isinstance(table, Statistics)
+    df = table.df if known else normal(table)
     cols = columns(df, "text", "boolean", "temporal")
-    freq = stats.frequency(df, cols).select("pos", F.col("text").alias("value"), "n")
-    order = Window.partitionBy("pos").orderBy(F.desc("n"), "value")
-    ranked = freq.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    freq = table.values.where(F.col("there") & F.col("pos").isin([c.pos for c in cols])) if known and cols else stats.frequency(df, cols)
+    freq = freq.select("pos", F.col("text").alias("value"), "n")
+    freq = freq if known else folders.stored(freq, "values")
+    ranked = topk.firsts(freq, "pos", {"n": False, "value": True}, k)
     sizes = freq.groupBy("pos").agg(F.sum("n").alias("filled"), F.max("n").alias("most"))
     names = F.create_map(*(x for c in cols for x in (F.lit(c.pos), F.lit(c.name)))) if cols else F.lit("")
     share = F.round(F.col("most") * 100.0 / F.col("filled"), 1)
@@ -149,20 +140,19 @@ def modal_gap(gaps: DataFrame) -> DataFrame:
     return sizes.agg(F.max(F.struct("n", (-F.col("gap")).alias("less"))).alias("x")).select((-F.col("x.less")).alias("mode"))
 
 
-def datetime_insights(df: DataFrame) -> DataFrame:
+def datetime_insights(table: DataFrame | Statistics) -> DataFrame:
     """First and last day, frequency and number of gaps over twice the modal one, of temporal and date-like columns."""
-    dated = set(date_like(df))
+    s = statistics.of(table)
     parts = []
-    for c in columns(df, "temporal", "text"):
-        if c.kind == "text" and c.name not in dated:
-            continue
-        at = ref(c.name) if c.kind == "temporal" else as_time(ref(c.name))
-        own = ordering.gaps(df, at)
+    for name in s.temporal:
+        times = s.times(name)
+        own = ordering.gaps_of(times)
         mode = modal_gap(own)
         large = own.crossJoin(F.broadcast(mode)).agg(F.max("mode").alias("mode"), F.coalesce(F.sum(F.when((F.col("gap") > 2 * F.col("mode")) & (F.col("mode") > 0), F.col("n"))), F.lit(0)).alias("gap_count"))
-        ends = df.agg(F.min(at).cast("date").cast("string").alias("range_start"), F.max(at).cast("date").cast("string").alias("range_end"), F.count(at).alias("n"))
-        parts.append(ends.where("n >= 2").crossJoin(large).select(F.lit(c.name).alias("column"), "range_start", "range_end", frequency_class(F.col("mode") / 1e6).alias("frequency"), "gap_count"))
-    return stats.union(parts) if parts else df.sparkSession.createDataFrame([], "column string, range_start string, range_end string, frequency string, gap_count long")
+        day = lambda c: F.timestamp_micros(c).cast("date").cast("string")
+        ends = times.agg(day(F.min("at")).alias("range_start"), day(F.max("at")).alias("range_end"), F.sum("n").alias("n"))
+        parts.append(ends.where("n >= 2").crossJoin(large).select(F.lit(name).alias("column"), "range_start", "range_end", frequency_class(F.col("mode") / 1e6).alias("frequency"), "gap_count"))
+    return stats.union(parts) if parts else s.df.sparkSession.createDataFrame([], "column string, range_start string, range_end string, frequency string, gap_count long")
 
 
 def insight(role: Column, truth: Column, top: Column, top_share: Column, spans: Column) -> Column:
@@ -203,20 +193,12 @@ def in_context(issue: Column, role: Column) -> Column:
     return F.concat(issue, more)
 
 
-def enhanced(df: DataFrame) -> DataFrame:
+def enhanced(table: DataFrame | Statistics) -> DataFrame:
     """The profile with roles, insights and issues in context."""
-    df = normal(df)
-    base = roles(df)
-
-    def truth(c: Col) -> Column:
-        v = ref(c.name)
-        return F.avg((v if c.kind == "boolean" else v != 0 if c.kind in ("integer", "float") else v.cast("string") != "").cast("double"))
-
-    from millrace.columns import per_column
-
-    true_share = per_column(df, columns(df), {"truth": truth}).select("pos", "truth")
-    top = top_values(df, 1).select("column", F.col("value").alias("top"), F.col("dominant_pct").alias("top_share"))
-    dates = datetime_insights(df).select("column", F.concat(F.initcap("frequency"), F.lit(" data spanning "), "range_start", F.lit(" to "), "range_end").alias("spans"))
-    all_ = base.join(true_share, "pos").join(top, "column", "left").join(dates, "column", "left")
+    s = statistics.of(table)
+    base = roles(s).join(basics(s).select("pos", "outliers", "distribution"), "pos")
+    top = top_values(s, 1).select("column", F.col("value").alias("top"), F.col("dominant_pct").alias("top_share"))
+    dates = datetime_insights(s).select("column", F.concat(F.initcap("frequency"), F.lit(" data spanning "), "range_start", F.lit(" to "), "range_end").alias("spans"))
+    all_ = base.join(top, "column", "left").join(dates, "column", "left")
     found = issues()
     return all_.select("column", "kind", "role", "total", "nulls", "completeness", "distinct", insight(F.col("role"), F.col("truth"), F.col("top"), F.col("top_share"), F.col("spans")).alias("insight"), F.transform(found, lambda x: in_context(x, F.col("role"))).alias("anomalies"))

@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.columns import columns, normal, per_column, ref
-from millrace.operators import ordering, profile, stats
+from millrace.columns import ref
+from millrace.operators import ordering, profile, statistics, stats
+from millrace.operators.statistics import Statistics
+from millrace.sources import folders
 
 # Fixed values
 WEIGHTS = {"completeness": 0.25, "consistency": 0.20, "uniqueness": 0.20, "validity": 0.20, "timeliness": 0.15}  # of the dimensions in the score
@@ -21,15 +23,14 @@ def found(rows: DataFrame, dimension: str, when: Column, text: Column) -> DataFr
     return rows.where(when).select(F.lit(dimension).alias("dimension"), "column", text.alias("issue"))
 
 
-def completeness_issues(df: DataFrame) -> DataFrame:
+def completeness_issues(table: DataFrame | Statistics) -> DataFrame:
     share = F.try_divide(F.col("nulls") * 100.0, F.col("total"))
-    return found(stats.counts(df), "completeness", share > 5, F.concat(F.round(share, 1).cast("string"), F.lit("% missing")))
+    rows = table.columns if isinstance(table, Statistics) else stats.counts(table)
+    return found(rows, "completeness", share > 5, F.concat(F.round(share, 1).cast("string"), F.lit("% missing")))
 
 
-def consistency_issues(df: DataFrame) -> DataFrame:
-    t = stats.text_stats(df).where("filled > 0")
-    distinct = stats.distincts(stats.frequency(df, columns(df, "text")))
-    t = t.join(distinct, "pos", "left")
+def consistency_issues(table: DataFrame | Statistics) -> DataFrame:
+    t = statistics.of(table).columns.where("kind = 'text' AND filled > 0")
     same_length = (F.col("min_len") == F.col("max_len")) & (F.col("distinct") > 1)
     return stats.union(
         [
@@ -45,33 +46,20 @@ def duplicates(df: DataFrame) -> DataFrame:
     return df.groupBy(*(ref(c) for c in df.columns)).agg(F.count("*").alias("__n")).agg(F.coalesce(F.sum("__n"), F.lit(0)).alias("total"), F.coalesce(F.sum(F.col("__n") - 1), F.lit(0)).alias("dups"))
 
 
-def uniqueness_issues(df: DataFrame) -> DataFrame:
-    whole = duplicates(df).where("dups > 0").select(F.lit("uniqueness").alias("dimension"), F.lit("").alias("column"), F.concat(F.col("dups").cast("string"), F.lit(" duplicate rows")).alias("issue"))
-    cols = columns(df, "text", "boolean", "temporal")
-    each = stats.counts(df).join(stats.distincts(stats.frequency(df, cols)), "pos", "left").where(F.col("kind").isin("text", "boolean", "temporal"))
-    distinct = F.coalesce("distinct", F.lit(0))
-    repeats = F.col("total") - distinct - F.when(F.col("nulls") > 0, 1).otherwise(0)
-    low = found(each, "uniqueness", (F.try_divide(repeats * 100.0, F.col("total")) > 80) & (distinct < 5), F.concat(F.lit("very low cardinality ("), distinct.cast("string"), F.lit(" unique values)")))
+def uniqueness_issues(table: DataFrame | Statistics, repeated: DataFrame | None = None) -> DataFrame:
+    """``repeated``: what ``duplicates`` returns, where it is known."""
+    s = statistics.of(table)
+    repeated = duplicates(s.df) if repeated is None else repeated
+    whole = repeated.where("dups > 0").select(F.lit("uniqueness").alias("dimension"), F.lit("").alias("column"), F.concat(F.col("dups").cast("string"), F.lit(" duplicate rows")).alias("issue"))
+    each = s.columns.where(F.col("kind").isin("text", "boolean", "temporal"))
+    repeats = F.col("total") - F.col("distinct") - F.when(F.col("nulls") > 0, 1).otherwise(0)
+    low = found(each, "uniqueness", (F.try_divide(repeats * 100.0, F.col("total")) > 80) & (F.col("distinct") < 5), F.concat(F.lit("very low cardinality ("), F.col("distinct").cast("string"), F.lit(" unique values)")))
     return whole.unionByName(low)
 
 
-def number_flags(df: DataFrame) -> DataFrame:
-    v = lambda c: ref(c.name).cast("double")
-    return per_column(
-        df,
-        columns(df, "integer", "float"),
-        {
-            "filled": lambda c: F.count(v(c)),
-            "low": lambda c: F.min(v(c)),
-            "infinite": lambda c: F.coalesce(F.sum((F.abs(v(c)) == float("inf")).cast("long")), F.lit(0)),
-            "zeros": lambda c: F.coalesce(F.sum((v(c) == 0).cast("long")), F.lit(0)),
-        },
-    ).where("filled > 0")
-
-
-def validity_issues(df: DataFrame) -> DataFrame:
-    n = number_flags(df)
-    t = stats.text_stats(df).where("filled > 0")
+def validity_issues(table: DataFrame | Statistics) -> DataFrame:
+    rows = statistics.of(table).columns.where("filled > 0")
+    n, t = rows.where("kind IN ('integer', 'float')"), rows.where("kind = 'text'")
     return stats.union(
         [
             found(n, "validity", F.col("low") < -1e10, F.lit("suspicious extreme negative values")),
@@ -82,12 +70,6 @@ def validity_issues(df: DataFrame) -> DataFrame:
     )
 
 
-def temporal(df: DataFrame) -> list[tuple[str, Column]]:
-    """Temporal columns, then date-like text columns, as times."""
-    dated = profile.date_like(df)
-    return [(c.name, ref(c.name)) for c in columns(df, "temporal")] + [(c, profile.as_time(ref(c))) for c in dated]
-
-
 def large_gaps(gaps: DataFrame) -> DataFrame:
     """One row: n gaps in all, and large: those over three times the median gap."""
     sizes = gaps.groupBy("gap").agg(F.sum("n").alias("n"))
@@ -95,68 +77,79 @@ def large_gaps(gaps: DataFrame) -> DataFrame:
     return sizes.crossJoin(F.broadcast(median)).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("gap") > 3 * F.col("q0"), F.col("n"))), F.lit(0)).alias("large"))
 
 
-def timeliness_issues(df: DataFrame) -> DataFrame:
-    times = temporal(df)
-    if not times:
-        return df.sparkSession.sql("SELECT 'timeliness' AS dimension, '' AS column, 'No temporal columns found for timeliness check' AS issue")
+def timeliness_issues(table: DataFrame | Statistics) -> DataFrame:
+    s = statistics.of(table)
+    if not s.temporal:
+        return s.df.sparkSession.sql("SELECT 'timeliness' AS dimension, '' AS column, 'No temporal columns found for timeliness check' AS issue")
     parts = []
-    for name, at in times[:3]:
-        us = ordering.micros(at)
-        span = df.agg(F.floor((F.max(us) - F.min(us)) / 86_400_000_000).alias("days")).withColumn("column", F.lit(name))
+    for name in s.temporal[:3]:
+        times = s.times(name)
+        span = times.agg(F.floor((F.max("at") - F.min("at")) / 86_400_000_000).alias("days")).withColumn("column", F.lit(name))
         parts.append(found(span, "timeliness", F.col("days") == 0, F.lit("all dates are the same")))
-        gaps = large_gaps(ordering.gaps(df, at)).withColumn("column", F.lit(name))
+        gaps = large_gaps(ordering.gaps_of(times)).withColumn("column", F.lit(name))
         parts.append(found(gaps, "timeliness", (F.col("n") > 1) & (F.col("large") > 0), F.concat(F.col("large").cast("string"), F.lit(" unusual temporal gaps detected"))))
     return stats.union(parts)
 
 
-def issues(df: DataFrame) -> DataFrame:
-    """dimension, column and issue."""
-    df = normal(df)
-    return stats.union([completeness_issues(df), consistency_issues(df), uniqueness_issues(df), validity_issues(df), timeliness_issues(df)])
+def parts(table: DataFrame | Statistics) -> tuple[Statistics, DataFrame, DataFrame]:
+    """The statistics, the duplicate counts and all issues (dimension, column, issue), stored: the table is read for the statistics and for duplicates, and not again."""
+    s = statistics.of(table)
+    repeated = folders.stored(duplicates(s.df), "duplicates")
+    return s, repeated, folders.stored(stats.union([completeness_issues(s), consistency_issues(s), uniqueness_issues(s, repeated), validity_issues(s), timeliness_issues(s)]), "issues")
 
 
-def dimensions(df: DataFrame) -> DataFrame:
+def issues(table: DataFrame | Statistics) -> DataFrame:
+    """dimension, column and issue."""
+    return parts(table)[2]
+
+
+def scores(s: Statistics, repeated: DataFrame, all_issues: DataFrame) -> DataFrame:
+    """One row with the five scores (0 to 100) and the number of rows."""
+    filled = F.col("filled") > 0
+    texts, numbers = (F.col("kind") == "text") & filled, F.col("kind").isin("integer", "float") & filled
+    cells = s.columns.agg(F.coalesce(F.sum("total"), F.lit(0)).alias("n"), F.coalesce(F.sum("nulls"), F.lit(0)).alias("x"), F.count(F.when(texts, 1)).alias("texts"), F.count(F.when(texts | numbers, 1)).alias("checks"), F.coalesce(F.max("total"), F.lit(0)).alias("rows"))
+    of = lambda d: F.col("dimension") == d
+    lost = F.when(F.col("issue").startswith("all dates"), 10).when(F.col("column") == "", 20).otherwise(5)
+    bad = all_issues.agg(F.count(F.when(of("consistency"), 1)).alias("inconsistent"), F.count(F.when(of("validity"), 1)).alias("invalid"), F.coalesce(F.sum(F.when(of("timeliness"), lost)), F.lit(0)).alias("late"))
+    share = lambda a, b: F.coalesce(F.try_divide(a, b), F.lit(0.0))
+    each = {
+        "completeness": share((F.col("n") - F.col("x")) * 100.0, F.col("n")),
+        "consistency": F.greatest(F.lit(0.0), 100 - share(F.col("inconsistent").cast("double"), F.col("texts")) * 50),
+        "uniqueness": F.coalesce(F.try_divide((F.col("total") - F.col("dups")) * 100.0, F.col("total")), F.lit(100.0)),
+        "validity": F.greatest(F.lit(0.0), 100 - share(F.col("invalid").cast("double"), F.col("checks")) * 30),
+        "timeliness": F.greatest(F.lit(0.0), 100.0 - F.col("late")),
+    }
+    return cells.crossJoin(F.broadcast(bad)).crossJoin(F.broadcast(repeated)).select(*(F.round(c.cast("double"), 2).alias(d) for d, c in each.items()), "rows")
+
+
+def dimensions(table: DataFrame | Statistics) -> DataFrame:
     """dimension and score (0 to 100)."""
-    df = normal(df)
-
-    def penal(checked: DataFrame, found_: DataFrame, per: float, name: str) -> DataFrame:
-        both = checked.agg(F.count("*").alias("checks")).crossJoin(found_.agg(F.count("*").alias("bad")))
-        return both.select(F.lit(name).alias("dimension"), F.greatest(F.lit(0.0), 100 - F.coalesce(F.try_divide(F.col("bad"), F.col("checks")), F.lit(0.0)) * per).alias("score"))
-
-    cells = stats.counts(df).agg(F.sum("total").alias("n"), F.sum("nulls").alias("x"))
-    complete = cells.select(F.lit("completeness").alias("dimension"), F.coalesce(F.try_divide((F.col("n") - F.col("x")) * 100.0, F.col("n")), F.lit(0.0)).alias("score"))
-    texts = stats.text_stats(df).where("filled > 0").select("pos")
-    unique = duplicates(df).select(F.lit("uniqueness").alias("dimension"), F.coalesce(F.try_divide((F.col("total") - F.col("dups")) * 100.0, F.col("total")), F.lit(100.0)).alias("score"))
-    time = timeliness_issues(df)
-    lost = F.sum(F.when(F.col("issue").startswith("all dates"), 10).when(F.col("column") == "", 20).otherwise(5))
-    timely = time.agg(F.greatest(F.lit(0.0), 100.0 - F.coalesce(lost, F.lit(0))).alias("score")).select(F.lit("timeliness").alias("dimension"), "score")
-    parts = [complete, penal(texts, consistency_issues(df), 50, "consistency"), unique, penal(number_flags(df).select("pos").union(texts), validity_issues(df), 30, "validity"), timely]
-    return stats.union(parts).select("dimension", F.round(F.col("score").cast("double"), 2).alias("score"))
+    row = scores(*parts(table))
+    return row.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score")) for d in DIMENSIONS))).alias("x")).select("x.*")
 
 
-def score(df: DataFrame) -> DataFrame:
+def score(table: DataFrame | Statistics) -> DataFrame:
     """overall, the five scores, rows, and the five least complete columns."""
-    df = normal(df)
-    by = dimensions(df).groupBy().pivot("dimension", DIMENSIONS).agg(F.first("score"))
+    s, repeated, all_issues = parts(table)
     overall = sum((F.col(d) * w for d, w in WEIGHTS.items()), F.lit(0.0))
-    counts = stats.counts(df)
-    worst = counts.agg(F.slice(F.array_sort(F.collect_list(F.struct("completeness", "pos", "column"))), 1, 5).alias("w"), F.max("total").alias("rows"))
-    return by.crossJoin(worst).select(F.round(overall, 2).alias("overall"), *DIMENSIONS, "rows", F.array_join(F.transform("w", lambda x: x["column"]), ",").alias("worst_columns"))
+    worst = s.columns.agg(F.slice(F.array_sort(F.collect_list(F.struct("completeness", "pos", "column"))), 1, 5).alias("w"))
+    return scores(s, repeated, all_issues).crossJoin(F.broadcast(worst)).select(F.round(overall, 2).alias("overall"), *DIMENSIONS, "rows", F.array_join(F.transform("w", lambda x: x["column"]), ",").alias("worst_columns"))
 
 
-def detailed(df: DataFrame) -> DataFrame:
+def detailed(table: DataFrame | Statistics) -> DataFrame:
     """dimension, rank, column, role, issue, severity and impact (points of the overall score): at most ten for each dimension."""
-    df = normal(df)
-    cols = len(df.columns)
-    base = profile.roles(df)
+    s, repeated, all_issues = parts(table)
+    cols = len(s.cols)
+    base = profile.roles(s)
     share = F.try_divide(F.col("nulls") * 100.0, F.col("total"))
     weight = F.create_map(*(F.lit(x) for kv in NULL_WEIGHT.items() for x in kv))[F.col("role")]
     severity = F.when(share * weight > 25, "critical").when(share * weight > 10, "warning").otherwise("info")
     missing = base.where(share > 2).select(
         F.lit("completeness").alias("dimension"), "pos", "column", "role", F.concat(F.round(share, 1).cast("string"), F.lit("% missing")).alias("issue"), severity.alias("severity"), F.round(share * weight * 0.25 / cols, 1).alias("impact")
     )
-    scores = dimensions(df)
-    rest = issues(df).where("dimension <> 'completeness'").join(scores, "dimension").join(base.select("pos", "column", "role"), "column", "left")
+    row = scores(s, repeated, all_issues)
+    each = row.select(F.explode(F.array(*(F.struct(F.lit(d).alias("dimension"), F.col(d).alias("score")) for d in DIMENSIONS))).alias("x")).select("x.*")
+    rest = all_issues.where("dimension <> 'completeness'").join(each, "dimension").join(base.select("pos", "column", "role"), "column", "left")
     rest = rest.select("dimension", F.coalesce("pos", F.lit(-1)).alias("pos"), "column", F.coalesce("role", F.lit("measure")).alias("role"), "issue", F.lit("warning").alias("severity"), F.round((100 - F.col("score")) * 0.1, 1).alias("impact"))
     rank = F.row_number().over(Window.partitionBy("dimension").orderBy("pos", "issue"))
     return missing.unionByName(rest).withColumn("rank", rank).where("rank <= 10").select("dimension", "rank", "column", "role", "issue", "severity", "impact")

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from millrace.columns import normal, numeric
-from millrace.operators import correlation, stats
+from millrace.columns import numeric
+from millrace.operators import correlation, statistics, stats
+from millrace.operators.statistics import Statistics
+from millrace.sources import folders
 
 CHECKS = ["Missing Values", "Class Imbalance", "Constant Columns", "High Cardinality", "Feature Correlation", "Target Leakage", "Data Size"]
 #: What to do about a failed check; fixed values.
@@ -21,13 +23,12 @@ SUGGESTIONS = [
 ]
 
 
-def measured(df: DataFrame) -> DataFrame:
+def measured(table: DataFrame | Statistics) -> DataFrame:
     """check (1 to 7) and value: percent of missing cells, worst class ratio, constant columns, columns of high cardinality, correlated pairs, leaking pairs, rows."""
-    df = normal(df)
-    counts = stats.counts(df)
-    each = counts.join(stats.distincts(stats.frequency(df)), "pos", "left").withColumn("distinct", F.coalesce("distinct", F.lit(0)))
-    pairs = correlation.matrix(df)
-    number = {c.pos for c in numeric(df)}
+    s = statistics.of(table)
+    counts = each = s.columns
+    pairs = folders.stored(correlation.matrix(s.df), "pairs")
+    number = {c.pos for c in numeric(s.df)}
 
     def row(k: int, of: DataFrame, value: Column) -> DataFrame:
         return of.agg(F.coalesce(value.cast("double"), F.lit(0.0)).alias("value")).select(F.lit(k).alias("check"), "value")
@@ -49,17 +50,17 @@ def measured(df: DataFrame) -> DataFrame:
     )
 
 
-def checks(df: DataFrame) -> DataFrame:
+def checks(table: DataFrame | Statistics) -> DataFrame:
     """check, name, passed, severity, value and suggestion."""
     k, v = F.col("check"), F.col("value")
     passed = F.when(k == 1, v < 5).when(k == 2, v > 0.3).when(k == 7, v >= 50).otherwise(v == 0)
     worst = F.when(k.isin(1, 6, 7), "critical").otherwise("warning")
     mild = F.when((k == 1) & (v > 0), "warning").when((k == 7) & (v < 500), "warning").otherwise("info")
     text = lambda xs: F.element_at(F.array(*map(F.lit, xs)), k)
-    return measured(df).select("check", text(CHECKS).alias("name"), passed.alias("passed"), F.when(passed, mild).otherwise(worst).alias("severity"), F.round("value", 4).alias("value"), F.when(~passed, text(SUGGESTIONS)).alias("suggestion"))
+    return measured(table).select("check", text(CHECKS).alias("name"), passed.alias("passed"), F.when(passed, mild).otherwise(worst).alias("severity"), F.round("value", 4).alias("value"), F.when(~passed, text(SUGGESTIONS)).alias("suggestion"))
 
 
-def report(df: DataFrame) -> DataFrame:
+def report(table: DataFrame | Statistics) -> DataFrame:
     """ready, score (percent of checks passed) and next_steps."""
     steps = F.transform(F.array_sort(F.collect_list(F.when(~F.col("passed"), F.struct("check", "suggestion")))), lambda x: x["suggestion"])
-    return checks(df).agg(F.min("passed").alias("ready"), F.round(F.avg(F.col("passed").cast("double")) * 100, 1).alias("score"), steps.alias("next_steps"))
+    return checks(table).agg(F.min("passed").alias("ready"), F.round(F.avg(F.col("passed").cast("double")) * 100, 1).alias("score"), steps.alias("next_steps"))

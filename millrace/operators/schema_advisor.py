@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from millrace.columns import columns, normal, per_column, ref
-from millrace.operators import profile
+from millrace.operators import profile, statistics
+from millrace.operators.statistics import Statistics
 
 GEO_NAMES = ["lat", "latitude", "lng", "lon", "long", "longitude", "x_coord", "y_coord"]  # fixed values
 GEO_PARTS = "latitude|longitude|lat_|lng_|_lat|_lng"
@@ -15,13 +15,9 @@ GEO_PARTS = "latitude|longitude|lat_|lng_|_lat|_lng"
 SPARK_TYPES = {"BOOLEAN": "boolean", "TIMESTAMPTZ": "timestamp", "SMALLINT": "smallint", "INTEGER": "int", "BIGINT": "bigint", "DOUBLE PRECISION": "double"}
 
 
-def recommended(df: DataFrame) -> DataFrame:
+def recommended(table: DataFrame | Statistics) -> DataFrame:
     """One row for each column, in order: type, nullable, primary key, unique, check. Without an identifier an ``id`` comes first."""
-    df = normal(df)
-    base = profile.roles(df)
-    d = lambda c: ref(c.name).cast("double")
-    digits = per_column(df, columns(df, "float"), {"decimals": lambda c: F.max(F.coalesce(*(F.when(F.round(d(c), k) == d(c), F.lit(max(k, 1))) for k in range(5)), F.when(d(c).isNotNull(), F.lit(5)))).cast("double")}).select("pos", F.col("decimals").cast("int").alias("decimals"))
-    rows = base.join(digits, "pos", "left")
+    rows = profile.roles(table).withColumn("decimals", F.when(F.col("kind") == "float", F.col("decimals")))
     name, kind, role, low, high = F.lower("column"), F.col("kind"), F.col("role"), F.col("low"), F.col("high")
     geo = F.regexp_replace(name, " ", "_").isin(GEO_NAMES) | name.rlike(GEO_PARTS)
     precision = F.length(F.floor(F.abs(high)).cast("string")) + F.col("decimals")
@@ -54,15 +50,15 @@ def recommended(df: DataFrame) -> DataFrame:
     return none.unionByName(out)
 
 
-def table_columns(df: DataFrame) -> DataFrame:
+def table_columns(table: DataFrame | Statistics) -> DataFrame:
     spark = F.create_map(*(F.lit(x) for kv in SPARK_TYPES.items() for x in kv))
     native = F.when(F.col("type").startswith("NUMERIC"), F.regexp_replace(F.lower("type"), "numeric", "decimal")).when(F.col("type") == "SERIAL", "bigint").otherwise(F.coalesce(F.try_element_at(spark, F.col("type")), F.lit("string")))
-    return recommended(df).select("pos", "column", "role", "type", native.alias("spark_type"), "nullable", "primary_key", "is_unique", "check")
+    return recommended(table).select("pos", "column", "role", "type", native.alias("spark_type"), "nullable", "primary_key", "is_unique", "check")
 
 
-def fk_hints(df: DataFrame) -> DataFrame:
+def fk_hints(table: DataFrame | Statistics) -> DataFrame:
     """column, references_table and confidence."""
-    rows = recommended(df).where("pos >= 0")
+    rows = recommended(table).where("pos >= 0")
     name = F.lower("column")
     stem = name
     for part in ("_id", "id_", "_key", "_code"):
@@ -73,18 +69,19 @@ def fk_hints(df: DataFrame) -> DataFrame:
     return rows.where(named | few).select("column", F.when(named, plural(stem)).otherwise(plural(name)).alias("references_table"), F.lit("id").alias("references_column"), F.when(named, 0.8).otherwise(0.5).alias("confidence"))
 
 
-def normalization_hints(df: DataFrame) -> DataFrame:
+def normalization_hints(table: DataFrame | Statistics) -> DataFrame:
     """Categories with few values, which could be a table of their own."""
-    rows = recommended(df).where("pos >= 0 AND role = 'category' AND distinct <= 20 AND total > 50 AND try_divide(total, distinct) > 10")
+    rows = recommended(table).where("pos >= 0 AND role = 'category' AND distinct <= 20 AND total > 50 AND try_divide(total, distinct) > 10")
     return rows.select("column", F.col("distinct").alias("unique_values"), F.col("total").alias("total_rows"))
 
 
-def ddl(df: DataFrame, table: str) -> DataFrame:
+def ddl(df: DataFrame | Statistics, name: str) -> DataFrame:
     """One row: the CREATE TABLE text with suggested foreign keys as comments."""
+    table = statistics.of(df)
     quoted = lambda c: F.concat(F.lit('"'), F.replace(c, F.lit('"'), F.lit('""')), F.lit('"'))
     flags = [F.when(~F.col("nullable"), "NOT NULL"), F.when(F.col("primary_key"), "PRIMARY KEY").when(F.col("is_unique"), "UNIQUE"), F.when(F.col("check").isNotNull(), F.concat(F.lit("CHECK ("), "check", F.lit(")")))]
     line = F.concat_ws(" ", F.concat(F.lit("    "), quoted(F.col("column"))), "type", *flags)
-    body = recommended(df).select("pos", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), ",\n").alias("body"))
-    keys = fk_hints(df).where("confidence >= 0.7").select(F.concat(F.lit(f'\n-- Suggested: ALTER TABLE "{table}" ADD FOREIGN KEY ('), quoted(F.col("column")), F.lit(") REFERENCES "), quoted(F.col("references_table")), F.lit(' ("id");')).alias("k"))
+    body = recommended(table).select("pos", line.alias("line")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "line"))), lambda x: x["line"]), ",\n").alias("body"))
+    keys = fk_hints(table).where("confidence >= 0.7").select(F.concat(F.lit(f'\n-- Suggested: ALTER TABLE "{name}" ADD FOREIGN KEY ('), quoted(F.col("column")), F.lit(") REFERENCES "), quoted(F.col("references_table")), F.lit(' ("id");')).alias("k"))
     tail = keys.agg(F.array_join(F.array_sort(F.collect_list("k")), "").alias("tail"))
-    return body.crossJoin(tail).select(F.concat(F.lit(f'CREATE TABLE "{table}" (\n'), "body", F.lit("\n);"), "tail").alias("ddl"))
+    return body.crossJoin(tail).select(F.concat(F.lit(f'CREATE TABLE "{name}" (\n'), "body", F.lit("\n);"), "tail").alias("ddl"))
