@@ -20,21 +20,26 @@ def places(no: int, kind: str, pattern: str) -> str:
     )
 
 
+def share(c: str) -> str:
+    """Probability of a pair by its count, smoothed by the second characters."""
+    return f"({c} + {secret_scans.BACKOFF}::DOUBLE * ((sum({c}) OVER (PARTITION BY c))::DOUBLE + 1) / ((sum({c}) OVER ())::DOUBLE + 67)) / ((sum({c}) OVER (PARTITION BY a))::DOUBLE + {secret_scans.BACKOFF}::DOUBLE)"
+
+
 #: Both models as tables of pairs; whole thousandths of a nat, as the operator has them.
 OP11_SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS u, doc_id, coalesce(text, '') AS text FROM documents),
 m AS ({" UNION ALL ".join(places(k, kind, p) for k, (kind, p) in enumerate(MATCHES.items()))}),
 b AS (SELECT * FROM (SELECT u, no, kind, s, e, CASE WHEN kind = 'assign' THEN regexp_replace(v, '^{BEFORE_VALUE}', '') ELSE v END AS v FROM m WHERE kind <> 'run') WHERE kind <> 'assign' OR length(v) >= 6),
 r AS (SELECT * FROM m WHERE kind = 'run' AND regexp_matches(v, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.u = m.u AND b.s < m.e AND m.s < b.e)),
-f AS (SELECT u, v, instr(text, v) - 1 AS s FROM (SELECT u, text, regexp_extract(text, '[A-Za-z0-9+/_=-]{{8,}}') AS v FROM d)),
+f AS (SELECT u, v, instr(text, v) - 1 AS s FROM (SELECT u, text, coalesce(list_filter(regexp_extract_all(text, '[A-Za-z0-9+/_=-]{{{secret_scans.ORDINARY},}}'), lambda x: NOT (regexp_matches(x, '[A-Za-z]') AND regexp_matches(x, '[0-9]')))[1], '') AS v FROM d)),
 ordinary AS (SELECT v FROM (SELECT DISTINCT v FROM f WHERE v <> '' AND NOT EXISTS (SELECT 1 FROM b WHERE b.u = f.u AND b.s < f.s + length(f.v) AND f.s < b.e)) ORDER BY substr(md5(v), 1, 8), v LIMIT {secret_scans.SAMPLE}),
 known AS (SELECT v FROM (SELECT DISTINCT v FROM b WHERE length(v) >= {secret_scans.KNOWN} AND regexp_matches(v, '[0-9]')) ORDER BY substr(md5(v), 1, 8), v LIMIT {secret_scans.SAMPLE}),
-made AS (SELECT unnest([sha256(v), upper(sha256(v)), to_base64(unhex(sha256(v))), upper(to_base64(unhex(sha256(v))))]) AS v FROM ordinary),
+made AS (SELECT unnest([sha256(v)[1:32], upper(sha256(v)[1:32]), to_base64(unhex(sha256(v))), to_base64(unhex(sha256(v || '+'))), to_base64(unhex(sha256(v || '/')))]) AS v FROM (SELECT v FROM ordinary)),
 strings AS (SELECT v, 0 AS random FROM ordinary UNION ALL SELECT v, 1 FROM known UNION ALL SELECT v, 1 FROM made),
 p AS (SELECT random, substr(v, i, 1) AS a, substr(v, i + 1, 1) AS c FROM (SELECT random, v, unnest(range(1, length(v))) AS i FROM strings)),
 l AS (SELECT unnest(string_split('{secret_scans.ALPHABET}', '')) AS c),
 g AS (SELECT x.c AS a, y.c AS c, count(p.random) FILTER (random = 1) AS r, count(p.random) FILTER (random = 0) AS o FROM l x CROSS JOIN l y LEFT JOIN p ON p.a = x.c AND p.c = y.c GROUP BY 1, 2),
-w AS (SELECT a || c AS pair, CAST(floor(1000 * ln(((r + 1) * (sum(o) OVER (PARTITION BY a) + 67))::DOUBLE / ((o + 1) * (sum(r) OVER (PARTITION BY a) + 67))::DOUBLE)) AS BIGINT) AS w FROM g),
+w AS (SELECT a || c AS pair, CAST(floor(1000 * ln(({share('r')}) / ({share('o')}))) AS BIGINT) AS w FROM g),
 sc AS (SELECT u, s, e, v, sum(w) AS llr FROM (SELECT u, s, e, v, substr(v, i, 2) AS pair FROM (SELECT u, s, e, v, unnest(range(1, length(v))) AS i FROM r)) JOIN w USING (pair) GROUP BY u, s, e, v),
 added AS (SELECT u, s, e FROM sc WHERE llr >= {secret_scans.MIN_LLR} AND len(list_distinct(string_split(v, ''))) >= {secret_scans.MIN_DISTINCT} AND (SELECT count(*) FROM ordinary) > 0),
 base AS (SELECT u, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no) AS listed, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex FROM b GROUP BY u),

@@ -6,8 +6,8 @@ first-order Markov models over single characters: one of random strings, one of
 ordinary identifiers. A run with a letter whose log-likelihood ratio reaches
 ``MIN_LLR`` is added as ``random``; numbers alone are left to personal data.
 
-Labelled samples train the models. Ordinary is the first long run of a document
-that no base span touches; random are the values of base spans, and digests of the
+Labelled samples train the models. Ordinary is a document's first long run that
+doesn't mix letters and digits, if no base span touches it; random are the values of base spans, and digests of the
 ordinary runs in the alphabets in which keys are written (by construction random,
 whatever secrets the corpus holds). Each class is a sample of at most ``SAMPLE``
 distinct strings (digests: ``SAMPLE`` of each alphabet) by the smallest MD5; the
@@ -31,6 +31,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from millrace.llm import shared
 from millrace.llm.pii import guarded, located
@@ -52,7 +53,8 @@ HEX = "(?<![0-9a-f])[0-9a-f]{24,}+"
 
 MIN_LENGTH = 20  # characters of a run that may be random
 MIN_DISTINCT = 8  # different characters of such a run
-MIN_LLR = 10_000  # thousandths of a nat
+MIN_LLR = 25_000  # thousandths of a nat
+BACKOFF = 20.0  # pairs
 ORDINARY = 8  # characters of an ordinary identifier
 KNOWN = 16  # characters of a base value that trains the random model
 SAMPLE = 4096
@@ -78,6 +80,10 @@ def run_of(least: int) -> str:
     return rf"(?<!{RUN}){RUN}{{{least},}}+"
 
 
+#: A long run of letters or of digits, with separators; secrets that nobody has found yet have both, and shouldn't train the other side.
+PLAIN = rf"(?<!{RUN})(?:[A-Za-z+/_=-]{{{ORDINARY},}}+|[0-9+/_=-]{{{ORDINARY},}}+)(?!{RUN})"
+
+
 def found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     """id, base spans, runs outside them that may be random, and the document's ordinary string."""
     rows = docs.select(docs[id_column].alias("id"), F.coalesce(docs[text_column].cast("string"), F.lit("")).alias("text"))
@@ -88,7 +94,7 @@ def found(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
         return ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
 
     runs = F.filter(guarded(text.rlike(run_of(MIN_LENGTH)), located(text, run_of(MIN_LENGTH))), lambda r: r["value"].rlike("[A-Za-z]") & free(r["start"], r["end"]))
-    rows = rows.select("id", "text", "base", runs.alias("runs"), F.regexp_extract("text", run_of(ORDINARY), 0).alias("first"))
+    rows = rows.select("id", "text", "base", runs.alias("runs"), F.regexp_extract("text", PLAIN, 0).alias("first"))
     at = F.instr("text", F.col("first")) - 1
     return rows.select("id", "base", "runs", F.when((F.col("first") != "") & free(at, at + F.length("first")), F.col("first")).alias("ordinary"))
 
@@ -109,9 +115,9 @@ def labelled(rows: DataFrame, most: int = SAMPLE) -> DataFrame:
     """value and random: the training strings."""
     ordinary = shared.stored(sampled(rows.select(F.col("ordinary").alias("value")), most), "ordinary")
     known = rows.select(F.explode("base.value").alias("value")).where((F.length("value") >= KNOWN) & F.col("value").rlike("[0-9]"))
-    digest = F.sha2("value", 256)
-    coded = F.base64(F.unhex(digest))
-    made = ordinary.select(F.explode(F.array(digest, F.upper(digest), coded, F.upper(coded))).alias("value"))
+    short = F.substring(F.sha2("value", 256), 1, 32)
+    coded = [F.base64(F.unhex(F.sha2(F.concat("value", F.lit(more)), 256))) for more in ("", "+", "/")]
+    made = ordinary.select(F.explode(F.array(short, F.upper(short), *coded)).alias("value"))
     return ordinary.withColumn("random", F.lit(False)).unionByName(sampled(known, most).union(made).withColumn("random", F.lit(True)))
 
 
@@ -130,7 +136,7 @@ def pairs_of(piece: Column) -> Column:
 def weights(strings: DataFrame) -> list[int] | None:
     """Thousandths of a nat for each pair of characters, or None if no ordinary string is known.
 
-    Both models have one added count for each pair.
+    What follows a character is smoothed by how often each character comes second at all, with the weight of ``BACKOFF`` pairs.
     """
     cut = strings.select("random", F.explode(pieces(F.col("value"))).alias("piece"))
     counts = cut.select("random", F.explode(pairs_of(F.col("piece"))).alias("pair")).groupBy("pair").agg(F.count(F.when(F.col("random"), 1)).alias("r"), F.count(F.when(~F.col("random"), 1)).alias("o"))
@@ -138,9 +144,10 @@ def weights(strings: DataFrame) -> list[int] | None:
     letters = strings.sparkSession.range(size).select((F.col("id") + 1).cast("int").alias("k")).select("k", F.substring(F.lit(ALPHABET), F.col("k"), F.lit(1)).alias("c"))
     grid = letters.toDF("i", "a").crossJoin(F.broadcast(letters.toDF("j", "b"))).withColumn("pair", F.concat("a", "b"))  # characters times characters
     cells = grid.join(F.broadcast(counts), "pair", "left").select("i", "j", "a", F.coalesce("r", F.lit(0)).alias("r"), F.coalesce("o", F.lit(0)).alias("o"))
-    totals = cells.groupBy("a").agg(F.sum("r").alias("tr"), F.sum("o").alias("to"))
-    ratio = ((F.col("r") + 1) * (F.col("to") + size)).cast("double") / ((F.col("o") + 1) * (F.col("tr") + size)).cast("double")
-    done = cells.join(F.broadcast(totals), "a").select("i", "j", F.floor(1000 * F.log(ratio)).cast("int").alias("w"), "o").orderBy("i", "j").collect()
+    over = lambda *keys: Window.partitionBy(*keys)  # a row for each pair of characters
+    sums = cells.select("*", *(F.sum(c).over(over(*keys)).cast("double").alias(f"{name}_{c}") for c in ("r", "o") for name, keys in (("before", ["i"]), ("after", ["j"]), ("all", []))))
+    share = lambda c: (F.col(c) + BACKOFF * (F.col(f"after_{c}") + 1) / (F.col(f"all_{c}") + size)) / (F.col(f"before_{c}") + BACKOFF)
+    done = sums.select("i", "j", F.floor(1000 * F.log(share("r") / share("o"))).cast("int").alias("w"), "o").orderBy("i", "j").collect()
     return [r["w"] for r in done] if any(r["o"] for r in done) else None
 
 
