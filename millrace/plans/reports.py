@@ -83,6 +83,9 @@ add("s2_s3_json_records", O, json_round_trip, "SELECT o_orderkey, o_totalprice F
 # Column statistics
 add("a1_completeness", L, lambda df: stats.counts(normal(df)).select("column", "total", "nulls", "completeness"), o.every(o.of(o.LINEITEM), f"count(*) AS total, count(*) - count({{c}}) AS nulls, {o.COMPLETE} AS completeness"))
 add("a2_distinct", L, lambda df: named(df, stats.distincts(stats.frequency(df)).join(stats.counts(df).select("pos", "filled"), "pos")).select("column", F.col("distinct").alias("unique_count"), r4(F.col("distinct") / F.col("filled")).alias("unique_ratio")), o.every(o.of(o.LINEITEM), f"count(DISTINCT {{c}}) AS unique_count, round(({o.RATIO})::DECIMAL(20, 12), 4)::DOUBLE AS unique_ratio"))
+# within three standard errors of the sketch
+NEAR = 3 * 1.04 / 2**6
+add("a2_approximate", L, lambda df: named(df, stats.distincts(stats.frequency(df)).join(stats.sketches(df).select("pos", F.hll_sketch_estimate("distinct_sketch").alias("about")), "pos")).select("column", F.col("distinct").alias("unique_count"), (F.abs(F.col("about") - F.col("distinct")) <= NEAR * F.col("distinct")).alias("within_bound")), o.every(o.of(o.LINEITEM), "count(DISTINCT {c}) AS unique_count, true AS within_bound"))
 add("a3_moments", L, lambda df: stats.moments(normal(df)).select("column", r4("mean").alias("mean"), r4("std").alias("std"), F.col("low").alias("min_value"), F.col("high").alias("max_value")), o.every(N, "round(avg({c}), 4) AS mean, round(stddev_samp({c}), 4) AS std, min({c})::DOUBLE AS min_value, max({c})::DOUBLE AS max_value"))
 add("a4_text_range", L, lambda df: profile.ranges(df).select("column", F.col("low_text").alias("min_text"), F.col("high_text").alias("max_text")), o.every(T, "min({c})::VARCHAR AS min_text, max({c})::VARCHAR AS max_text"))
 add("a5_samples", C, lambda df: profile.samples(df, ["c_custkey"]).select("column", F.array_join("samples", "|").alias("samples")), "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", string_agg(x, '|' ORDER BY k) AS samples FROM (SELECT c_custkey AS k, {c}::VARCHAR AS x FROM v WHERE {c} IS NOT NULL ORDER BY c_custkey LIMIT 5)" for c in o.CUSTOMER))
@@ -103,8 +106,31 @@ NUMBER_ROLE = ROLE + f"WHEN {o.RATIO} > 0.95 AND count(*) > 50 THEN 'id' ELSE 'm
 TEXT_ROLE = ROLE + f"WHEN {o.RATIO} > 0.95 AND count(*) > 50 THEN 'id' WHEN avg(length({{c}})) > 50 OR {o.RATIO} > 0.8 THEN 'free_text' ELSE 'category' END AS role"
 ROLES_C = o.every(o.number(o.CUSTOMER), NUMBER_ROLE) + "\nUNION ALL\n" + o.every(o.of(o.CUSTOMER, "text"), TEXT_ROLE)
 add("a15_roles", C, lambda df: profile.roles(df).select("column", "role"), ROLES_C)
+TOP = "(SELECT {c} FROM v WHERE {c} IS NOT NULL GROUP BY {c} ORDER BY count(*) DESC, {c} LIMIT 1)"
+MISSING = "round((count(*) - count({c})) * 100.0 / count(*), 1)::DOUBLE || '% missing'"
+OUTSIDE = f"(SELECT count(*) {o.FENCE} WHERE {o.IQR_OUT})"
+NUMBER_TEXT = (
+    f"CASE role WHEN 'boolean' THEN 'Binary flag, ' || round(avg(({{c}} <> 0)::INT) * 100, 1)::DOUBLE || '% true, ' || {MISSING} WHEN 'id' THEN 'Identifier column, ' || CAST(round({o.COMPLETE}) AS INTEGER) || '% complete with ' || count(DISTINCT {{c}}) || ' unique values'"
+    f" ELSE upper(replace({o.SHAPE}, '_', ' ')[1]) || replace({o.SHAPE}, '_', ' ')[2:] || ' distribution (range ' || min({{c}})::DOUBLE || ' to ' || max({{c}})::DOUBLE || ')' || CASE WHEN {OUTSIDE} > 0 THEN ', ' || {OUTSIDE} || ' outliers' ELSE '' END END"
+)
+TEXT_TEXT = (
+    f"CASE role WHEN 'boolean' THEN 'Binary flag, ' || round(avg(({{c}} <> '')::INT) * 100, 1)::DOUBLE || '% true, ' || {MISSING} WHEN 'id' THEN 'Identifier column, ' || CAST(round({o.COMPLETE}) AS INTEGER) || '% complete with ' || count(DISTINCT {{c}}) || ' unique values'"
+    f" WHEN 'free_text' THEN 'Free-form text, avg ' || CAST(round(avg(length({{c}}))) AS INTEGER) || ' chars, ' || {MISSING}"
+    f" ELSE count(DISTINCT {{c}}) || ' categories, ' || round((SELECT count(*) FROM v WHERE {{c}} = {TOP}) * 100.0 / count({{c}}), 1)::DOUBLE || '% are ' || chr(39) || {TOP} || chr(39) END"
+)
+TIME_TEXT = f"(SELECT upper(f[1]) || f[2:] || ' data spanning ' || a || ' to ' || b FROM (SELECT max({o.CLASS}) AS f, min(tt)::DATE::VARCHAR AS a, max(tt)::DATE::VARCHAR AS b FROM g, m))"
+
+
+def insights_sql(cols: dict[str, str]) -> str:
+    """The sentence on each column, by its role; g and m are the gaps of the temporal column."""
+    role = {"integer": NUMBER_ROLE, "float": NUMBER_ROLE, "text": TEXT_ROLE, "temporal": "'datetime' AS role"}
+    text = {"integer": NUMBER_TEXT, "float": NUMBER_TEXT, "text": TEXT_TEXT, "temporal": TIME_TEXT}
+    return "\nUNION ALL\n".join(o.every([c], f"'{k}' AS kind, {role[k]}, count(*) AS total, count(*) - count({{c}}) AS nulls, {o.COMPLETE} AS completeness, count(DISTINCT {{c}}) AS \"distinct\", {text[k]} AS insight") for c, k in cols.items())
+
+
+add("a16_insights", C, lambda df: profile.enhanced(df).select("column", "role", "insight"), f'SELECT "column", role, insight FROM ({insights_sql(o.CUSTOMER)})')
 add("a16_a17_insights", C, lambda df: profile.enhanced(df).select("column", "insight", F.array_join("anomalies", "; ").alias("anomalies")))
-add("a18_enhanced", O, lambda df: profile.enhanced(df).select("column", "kind", "role", "total", "nulls", "completeness", "distinct", "insight"))
+add("a18_enhanced", O, lambda df: profile.enhanced(df).select("column", "kind", "role", "total", "nulls", "completeness", "distinct", "insight"), o.gaps("o_orderdate") + " " + insights_sql(o.ORDERS))
 
 # Rows behind issues
 FIRST6 = list(o.LINEITEM)[:6]
@@ -149,7 +175,27 @@ add("q6_dimension_scores", L, quality.dimensions, o.gaps("l_shipdate") + " " + S
 add("q6_overall_score", L, lambda df: quality.score(df).select("overall", "rows"), o.gaps("l_shipdate") + f", s AS ({SCORES_L}) SELECT round(sum(score * CASE dimension WHEN 'completeness' THEN 0.25 WHEN 'timeliness' THEN 0.15 ELSE 0.2 END), 2) AS overall, (SELECT count(*) FROM v) AS rows FROM s")
 Q7 = {"q1": "SELECT 'completeness' AS dimension, \"column\", round(p, 1) || '% missing' AS issue FROM (" + o.every(o.of(o.CUSTOMER), "(count(*) - count({c})) * 100.0 / count(*) AS p") + ") WHERE p > 5", "q2": CONSIST, "q3": "SELECT 'uniqueness' AS dimension, \"column\", 'very low cardinality (' || d || ' unique values)' AS issue FROM (" + o.every(TEXTS_C, "count(DISTINCT {c}) AS d, count({c}) AS n") + ") WHERE (n - d) * 100.0 / n > 80 AND d < 5", "q4": VALID_C, "q5": "SELECT 'timeliness' AS dimension, '' AS \"column\", 'No temporal columns found for timeliness check' AS issue"}
 add("q7_suggested_fixes", C, quality.issues, ", " + ", ".join(f"{k} AS ({sql})" for k, sql in Q7.items()) + " " + " UNION ALL ".join(f"SELECT dimension, \"column\", issue FROM {k}" for k in Q7))
+CELLS_C = "(" + " + ".join(f"count({c})" for c in o.CUSTOMER) + ")"
+CHECKS_C = len(TEXTS_C) + len(o.number(o.CUSTOMER))
+SCORES_C = (
+    f"SELECT 'completeness' AS dimension, round({CELLS_C} * 100.0 / (count(*) * {len(o.CUSTOMER)}), 2) AS score FROM v UNION ALL "
+    f"SELECT 'consistency', round(greatest(0, 100 - count(*)::DOUBLE / {len(TEXTS_C)} * 50), 2) FROM (SELECT * FROM q2) UNION ALL "
+    "SELECT 'uniqueness', round(sum(1) * 100.0 / sum(n), 2) FROM (SELECT count(*) AS n FROM v GROUP BY " + ", ".join(o.CUSTOMER) + ") UNION ALL "
+    f"SELECT 'validity', round(greatest(0, 100 - count(*)::DOUBLE / {CHECKS_C} * 30), 2) FROM (SELECT * FROM q4) UNION ALL SELECT 'timeliness', 80.0"
+)
+add("q6_dirty_scores", C, quality.dimensions, f", q2 AS ({CONSIST}), q4 AS ({VALID_C}) {SCORES_C}")
 add("q8_detailed", L, quality.detailed)
+PLACES_C = "CASE \"column\" " + " ".join(f"WHEN '{c}' THEN {k}" for k, c in enumerate(o.CUSTOMER)) + " ELSE -1 END"
+SHARES_C = o.every(o.of(o.CUSTOMER), "(count(*) - count({c})) * 100.0::DOUBLE / count(*) AS share")
+WEIGHT_C = "CASE role " + " ".join(f"WHEN '{k}' THEN {w}::DOUBLE" for k, w in quality.NULL_WEIGHT.items()) + " END"
+Q8_SQL = (
+    ", " + ", ".join(f"{k} AS ({sql})" for k, sql in Q7.items()) + f", roles AS ({ROLES_C}), scores AS ({SCORES_C}), shares AS ({SHARES_C}),"
+    f" m AS (SELECT 'completeness' AS dimension, \"column\", role, round(share, 1) || '% missing' AS issue, CASE WHEN share * w > 25 THEN 'critical' WHEN share * w > 10 THEN 'warning' ELSE 'info' END AS severity, round(share * w * 0.25 / {len(o.CUSTOMER)}, 1) AS impact FROM (SELECT *, {WEIGHT_C} AS w FROM shares JOIN roles USING (\"column\")) WHERE share > 2),"
+    " i AS (" + " UNION ALL ".join(f"SELECT dimension, \"column\", issue FROM {k}" for k in ("q2", "q3", "q4", "q5")) + "),"
+    " x AS (SELECT * FROM m UNION ALL SELECT i.dimension, i.\"column\", coalesce(role, 'measure'), issue, 'warning', round((100 - score)::DOUBLE * 0.1, 1) FROM i JOIN scores USING (dimension) LEFT JOIN roles ON roles.\"column\" = i.\"column\"),"
+    f" r AS (SELECT dimension, CAST(row_number() OVER (PARTITION BY dimension ORDER BY {PLACES_C}, issue) AS INTEGER) AS rank, \"column\", role, issue, severity, impact FROM x) SELECT * FROM r WHERE rank <= 10"
+)
+add("q8_dirty_detailed", C, quality.detailed, Q8_SQL)
 
 # Correlation and dependency
 add("c1_matrix", L, lambda df: correlation.matrix(df).select("a", "b", "r"), f"SELECT a, b, r FROM ({o.correlation(N)})")
@@ -184,7 +230,18 @@ ORACLES["c5_functional_dependencies"] = f"WITH w AS (SELECT {', '.join(FD_COLS)}
 
 # Time series
 E = "gap_events"
-add("t1_time_columns", "lineitem", lambda df: df.agg(F.count("*").alias("rows")).select(F.lit(",".join(timeseries.time_columns(df))).alias("columns"), "rows"), "SELECT 'l_shipdate' AS columns, count(*) AS rows FROM v")
+# texts that are days throughout, for nine and for seven of ten rows, with zones, and numbers
+DAYS = "SELECT l_orderkey, l_shipdate, substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) AS whole, CASE WHEN l_orderkey % 10 = 0 THEN 'none yet' ELSE substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) END AS most, CASE WHEN l_orderkey % 10 < 3 THEN 'none yet' ELSE substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10) END AS few, concat(substr(CAST(l_shipdate AS VARCHAR(30)), 1, 10), 'T08:30:00Z') AS zoned, CAST(l_partkey AS VARCHAR(30)) AS number FROM lineitem"
+DAY_SQL = r"regexp_matches({c}, '^[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}(T[0-9:]{{8}}Z)?$')"
+
+
+def time_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = spark.sql(DAYS.replace("FROM lineitem", "FROM {lineitem}").replace("VARCHAR(30)", "STRING"), lineitem=table(spark, sf_dir, "lineitem"))
+    return spark.createDataFrame([(c,) for c in timeseries.time_columns(df)], "column string")
+
+
+QUERIES["t1_time_columns"] = time_columns
+ORACLES["t1_time_columns"] = f"WITH v AS ({DAYS})\nSELECT 'l_shipdate' AS \"column\" FROM v HAVING count(l_shipdate) > 0\nUNION ALL\n" + "\nUNION ALL\n".join(f"SELECT '{c}' FROM v HAVING avg({DAY_SQL.format(c=c)}::INT) > 0.8" for c in ("whole", "most", "few", "zoned", "number"))
 add("t2_t3_rhythm", E, lambda df: timeseries.rhythm(df, "ts").select("points", "mode_seconds", "frequency", "regular", "gap_count"), o.gaps("ts") + f" SELECT count(*) AS points, max(mode)::DOUBLE AS mode_seconds, max({o.CLASS}) AS frequency, avg((gap = mode)::INT) > 0.9 AS regular, count(*) FILTER (gap > 2 * mode) AS gap_count FROM g, m")
 add("t2_rhythm_lineitem", "lineitem", lambda df: timeseries.rhythm(df, "l_shipdate").select("points", "mode_seconds", "frequency", "gap_count"), o.gaps("l_shipdate") + f" SELECT count(*) AS points, max(mode)::DOUBLE AS mode_seconds, max({o.CLASS}) AS frequency, count(*) FILTER (mode > 0 AND gap > 2 * mode) AS gap_count FROM g, m")
 add("t4_gap_places", E, lambda df: timeseries.gap_places(df, "ts"), o.gaps("ts") + " SELECT tt::VARCHAR AS after, gap::DOUBLE AS gap_seconds FROM g, m WHERE gap > 2 * mode ORDER BY tt LIMIT 10")
@@ -206,14 +263,26 @@ G = "geo_customer"
 GEO = lambda f: (lambda df: f(df, "latitude", "longitude"))
 OK = "abs(latitude) <= 90 AND abs(longitude) <= 180 AND NOT (latitude = 0 AND longitude = 0)"
 USABLE = f", u AS (SELECT latitude, longitude FROM v WHERE {OK}), b AS (SELECT avg(latitude) AS cy, avg(longitude) AS cx, min(latitude) AS y0, max(latitude) AS y1, min(longitude) AS x0, max(longitude) AS x1, count(*) AS n FROM u), k AS (SELECT latitude, longitude, {o.haversine('latitude', 'longitude', 'cy', 'cx')} AS km FROM u, b)"
-add("g1_coordinate_columns", G, lambda df: df.agg(F.count("*").alias("rows")).select(F.lit(";".join("/".join(p) for p in geo.coordinate_columns(df.select("c_custkey", "latitude", "longitude")))).alias("pairs"), "rows"))
+G1_NAMES = {"lat_far": "latitude * 100", "lng_near": "longitude / 2", "latitude": "latitude", "longitude": "longitude"}
+G1_FITS = {c: f"(SELECT avg((abs({x}) <= {90 if c.startswith('lat') else 180})::INT) > 0.8 FROM v)" for c, x in G1_NAMES.items()}
+G1_SQL = "\nUNION ALL\n".join(f"SELECT '{a}' AS lat_column, '{b}' AS lng_column WHERE {G1_FITS[a]} AND {G1_FITS[b]}" for a in ("lat_far", "latitude") for b in ("lng_near", "longitude"))
+
+
+def g1_columns(df: DataFrame) -> DataFrame:
+    """Names that suggest coordinates, some with values that can't be any."""
+    return df.selectExpr("c_custkey", *(f"{x} AS {c}" for c, x in G1_NAMES.items()))
+
+
+add("g1_coordinate_columns", G, lambda df: df.sparkSession.createDataFrame(geo.coordinate_columns(g1_columns(df)), "lat_column string, lng_column string"), G1_SQL)
 add("g2_validity", G, GEO(geo.validity), f"SELECT count(*) AS total, count(*) FILTER (abs(latitude) > 90) AS out_of_range_lat, count(*) FILTER (abs(longitude) > 180) AS out_of_range_lng, count(*) FILTER (latitude = 0 AND longitude = 0) AS null_island, count(*) FILTER ({OK}) AS usable, count(*) FILTER (NOT ({OK})) AS invalid FROM v")
 add("g3_haversine", G, lambda df: geo.distances(df, "latitude", "longitude").select(r4("lat").alias("lat"), r4("lng").alias("lng"), F.round("km", 6).alias("km")), USABLE + " SELECT round(latitude, 4) AS lat, round(longitude, 4) AS lng, round(km, 6) AS km FROM k")
 add("g4_extent", G, lambda df: geo.extent(df, "latitude", "longitude").select(r4("center_lat").alias("center_lat"), r4("center_lng").alias("center_lng"), "min_lat", "max_lat", "min_lng", "max_lng", "n"), USABLE + " SELECT round(cy, 4) AS center_lat, round(cx, 4) AS center_lng, y0 AS min_lat, y1 AS max_lat, x0 AS min_lng, x1 AS max_lng, n FROM b")
 add("g5_spread", G, GEO(geo.spread), USABLE + f" SELECT round((SELECT stddev_pop(km) FROM k), 4) AS spread_km, round((SELECT avg(km) FROM k), 4) AS mean_km, round(n / greatest({o.haversine('y0', 'cx', 'y1', 'cx')} * {o.haversine('cy', 'x0', 'cy', 'x1')}, 0.01), 4) AS density FROM b")
 add("g6_outliers", G, lambda df: geo.outliers(df, "latitude", "longitude", limit=1000).select("lat", "lng", "km"), USABLE + " SELECT latitude AS lat, longitude AS lng, round(km, 4) AS km FROM k WHERE km > (SELECT avg(km) + 3 * stddev_pop(km) FROM k) ORDER BY km DESC, lat, lng LIMIT 1000")
 add("g7_clusters", G, GEO(geo.clusters))
-add("g8_report", G, lambda df: geo.report(df, [("latitude", "longitude")]))
+add("g8_report", G, lambda df: geo.report(df, [("latitude", "longitude")]).select("lat_column", "lng_column", "total", "usable", "invalid", r4("center_lat").alias("center_lat"), "min_lng", "spread_km", "density", "outliers"))
+G8 = {"ok": "g2_validity", "box": "g4_extent", "sp": "g5_spread", "far": "g6_outliers"}
+ORACLES["g8_report"] = "WITH " + ", ".join(f"{k} AS ({ORACLES[q]})" for k, q in G8.items()) + " SELECT 'latitude' AS lat_column, 'longitude' AS lng_column, ok.total, usable, invalid, center_lat, min_lng, spread_km, density, (SELECT count(*) FROM far) AS outliers FROM ok, box, sp"
 
 # Readiness
 CHECK = lambda k: (lambda df: readiness.checks(df).where(F.col("check") == k).select("name", "passed", "severity", "value"))
@@ -232,7 +301,11 @@ add("m3_constant", C, CHECK(3), check_sql("Constant Columns", CONST, "x = 0", "w
 HIGH = "(SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT count(DISTINCT {c}) AS d, count(*) AS n FROM v" for c in TEXTS_C) + ") WHERE d > 0.5 * n AND d > 100)"
 add("m4_high_cardinality", C, CHECK(4), check_sql("High Cardinality", HIGH, "x = 0", "warning", "'info'"))
 add("m5_correlated", L, CHECK(5), check_sql("Feature Correlation", f"(SELECT count(*) FROM ({o.correlation(N)}) WHERE abs(r) > 0.95)", "x = 0", "warning", "'info'"))
-add("m6_leakage", L, CHECK(6), check_sql("Target Leakage", "0", "x = 0", "critical", "'info'"))
+LEAKY = "SELECT o_orderkey, o_totalprice, CASE WHEN o_totalprice > 100000 THEN 1 ELSE 0 END AS target, CASE WHEN o_totalprice > 100000 THEN 5 ELSE 3 END AS copy, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE 0 END AS other FROM orders"
+LEAKY_COLUMNS = ["o_orderkey", "o_totalprice", "target", "copy", "other"]
+LEAKS = "(SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d FROM v" for c in LEAKY_COLUMNS) + f") t, ({o.correlation(LEAKY_COLUMNS)}) p WHERE d = 2 AND abs(r) > 0.99 AND (c = a OR c = b))"
+QUERIES["m6_leakage"] = lambda spark, sf_dir: CHECK(6)(spark.sql(LEAKY.replace("FROM orders", "FROM {orders}"), orders=table(spark, sf_dir, "orders")))
+ORACLES["m6_leakage"] = f"WITH v AS ({LEAKY})\n" + check_sql("Target Leakage", LEAKS, "x = 0", "critical", "'info'")
 add("m7_size", L, CHECK(7), check_sql("Data Size", "(SELECT count(*) FROM v)", "x >= 50", "critical", "CASE WHEN x < 500 THEN 'warning' ELSE 'info' END"))
 MISSING_C = "(SELECT avg(p) FROM (" + " UNION ALL ".join(f"SELECT (count(*) - count({c})) * 100.0 / count(*) AS p FROM v" for c in o.CUSTOMER) + "))"
 LEAK_C = "(SELECT count(*) FROM (" + " UNION ALL ".join(f"SELECT '{c}' AS c, count(DISTINCT {c}) AS d FROM v" for c in o.number(o.CUSTOMER)) + f") t, ({o.correlation(o.number(o.CUSTOMER))}) p WHERE d = 2 AND abs(r) > 0.99 AND (c = a OR c = b))"
@@ -270,11 +343,13 @@ STEM = "replace(replace(replace(replace(lower(\"column\"), '_id', ''), 'id_', ''
 add("r4_fk_hints", O, schema_advisor.fk_hints, f"SELECT \"column\", rtrim(CASE WHEN own THEN stem ELSE lower(\"column\") END, 's') || 's' AS references_table, 'id' AS references_column, CASE WHEN own THEN 0.8 ELSE 0.5 END::DOUBLE AS confidence FROM (SELECT *, {STEM} AS stem, role = 'id' AND lower(\"column\") <> 'id' AND {STEM} <> '' AND {STEM} <> lower(\"column\") AS own FROM ({FEW_O})) WHERE own OR (role = 'category' AND d < 20 AND n / d::DOUBLE > 5)")
 ROLES_O = o.every(o.of(o.ORDERS, "text"), TEXT_ROLE + ", count(DISTINCT {c}) AS d, count(*) AS n")
 add("r5_normalization", O, schema_advisor.normalization_hints, f"SELECT \"column\", d AS unique_values, n AS total_rows FROM ({ROLES_O}) WHERE role = 'category' AND d <= 20 AND n > 50 AND n / d > 10")
-add("r6_ddl", O, lambda df: schema_advisor.ddl(df, "orders"))
+R6_LINE = "concat_ws(' ', '    \"' || t.\"column\" || '\"', type, CASE WHEN nulls = 0 OR pos = p THEN 'NOT NULL' END, CASE WHEN pos = p THEN 'PRIMARY KEY' WHEN t.role = 'id' THEN 'UNIQUE' END, CASE WHEN c.role = 'measure' AND low >= 0 THEN 'CHECK (\"' || t.\"column\" || '\" >= 0)' END)"
+R6_SQL = f", t AS ({types_sql(o.ORDERS)}), k AS (SELECT min(pos) AS p FROM t WHERE role = 'id' AND (kind = 'integer' OR regexp_matches(\"column\", 'id|key|code'))), c AS ({o.every(o.number(o.ORDERS), NUMBER_ROLE + ', min({c}) AS low')})"
+add("r6_ddl", O, lambda df: schema_advisor.ddl(df, "orders"), R6_SQL + f" SELECT 'CREATE TABLE \"orders\" (' || chr(10) || string_agg({R6_LINE}, ',' || chr(10) ORDER BY pos) || chr(10) || ');' AS ddl FROM t CROSS JOIN k LEFT JOIN c ON c.\"column\" = t.\"column\"")
 
 # Layout advice
 add("i1_cardinality", O, lambda df: layout_advisor.analyze(df).select("column", "cardinality", r4("ratio").alias("ratio"), r4("null_ratio").alias("null_ratio"), r4("avg_len").alias("avg_len")), o.every(o.number(o.ORDERS) + ["o_orderdate"], "count(DISTINCT {c}) AS cardinality, round(count(DISTINCT {c})::DOUBLE / count(*), 4) AS ratio, 0.0 AS null_ratio, NULL::DOUBLE AS avg_len") + "\nUNION ALL\n" + o.every(o.of(o.ORDERS, "text"), "count(DISTINCT {c}), round(count(DISTINCT {c})::DOUBLE / count(*), 4), 0.0, round(avg(length({c})), 4)"))
-add("i2_json_columns", "events", lambda df: layout_advisor.analyze(df).where("is_json").select("column", "index_type", "priority"), "SELECT 'props' AS \"column\", 'GIN' AS index_type, 'high' AS priority FROM v LIMIT 1")
+add("i2_json_columns", "events", lambda df: layout_advisor.analyze(df).where("is_json").select("column", "index_type", "priority"), "\nUNION ALL\n".join(f"SELECT '{c}' AS \"column\", 'GIN' AS index_type, 'high' AS priority FROM v HAVING bool_or(starts_with({c}::VARCHAR, '[') OR starts_with({c}::VARCHAR, '{{')) AND count({c}) > 0.05 * count(*)" for c in ("event_id", "event_type", "props")))
 add("i3_sortedness", "orders", lambda df: named(df, layout_advisor.sortedness(df, "o_orderkey")).select("column", r4("share_sorted").alias("share_sorted")), o.every(o.number(o.ORDERS), "round(greatest(avg((x >= p)::INT), avg((x <= p)::INT)), 4) AS share_sorted", "FROM (SELECT {c} AS x, lag({c}) OVER (ORDER BY o_orderkey) AS p FROM v) WHERE p IS NOT NULL"))
 WORDS = ", ".join(f"'{w}'" for w in layout_advisor.FILTER_WORDS)
 
@@ -290,7 +365,14 @@ def rule_sql(cols: dict[str, str]) -> str:
 
 
 add("i4_i5_rule", L, lambda df: layout_advisor.analyze(df).select("column", "is_filter", "index_type", "priority"), f'SELECT "column", is_filter, index_type, priority FROM ({rule_sql(o.LINEITEM)})')
-add("i6_recommend", O, lambda df: layout_advisor.recommend(df, "orders", order_by="o_orderkey"))
+I6_SQL = (
+    f", a AS ({rule_sql(o.ORDERS)}), s AS ({ORACLES['i3_sortedness'].split(chr(10), 1)[1].replace('FROM v', 'FROM v')}), b AS (SELECT pos, a.\"column\", d, is_filter AND d > 1 AND coalesce(share_sorted, 0) > 0.95 AND (SELECT count(*) FROM v) > 10000 AS brin, index_type, priority FROM a LEFT JOIN s ON s.\"column\" = a.\"column\")"
+    ", x AS (SELECT pos, \"column\", d, CASE WHEN brin THEN 'BRIN' ELSE index_type END AS index_type, CASE WHEN brin THEN 'high' ELSE priority END AS priority FROM b)"
+    " SELECT CAST(row_number() OVER (ORDER BY CASE priority WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, pos) AS INTEGER) AS rank, \"column\", index_type, priority,"
+    " CASE index_type WHEN 'BTREE' THEN 'High cardinality (' || d || ' unique), good selectivity for filtered queries' WHEN 'BRIN' THEN 'Data is physically ordered - BRIN provides compact range filtering' ELSE 'Long text values - GIN supports full-text search' END AS reason,"
+    " 'CREATE INDEX \"idx_orders_' || \"column\" || '\" ON \"orders\" USING ' || lower(index_type) || ' (\"' || \"column\" || '\");' AS sql FROM x WHERE index_type IS NOT NULL"
+)
+add("i6_recommend", O, lambda df: layout_advisor.recommend(df, "orders", order_by="o_orderkey"), I6_SQL)
 
 # Cleaning
 KEYS = "l_orderkey, l_partkey, l_suppkey, l_linenumber"
@@ -331,4 +413,6 @@ add("k23_pipeline_report", O, lambda df: cleaning.preset(df, "auto")[2].select("
 add("k24_presets", O, lambda df: stats.union([cleaning.preset(df, p)[2].select(F.lit(p).alias("preset"), "*") for p in ("conservative", "aggressive")]))
 FILL = ", w AS (SELECT * REPLACE (coalesce(l_quantity, (SELECT median(l_quantity) FROM v)) AS l_quantity) FROM v)"
 OUT_W = o.every(N, f"(SELECT count(*) {o.FENCE.replace('FROM v', 'FROM w')} WHERE {o.IQR_OUT}) AS n", "").replace("FROM v)", "FROM w)")
+K25_SQL = " SELECT 'l_quantity' AS \"column\", 'Filled ' || count(*) || ' missing values of l_quantity by median' AS description FROM v WHERE l_quantity IS NULL"
+add("k25_descriptions", L, lambda df: cleaning.described(cleaning.missing(df, "median")[1]).select("column", "description"), K25_SQL.strip())
 add("k25_action_log", L, lambda df: cleaning.preset(df, "auto")[1], FILL + f" SELECT 2 AS step, 'l_quantity' AS \"column\", 'missing_values' AS issue, 'median' AS strategy, count(*) AS rows_affected FROM v WHERE l_quantity IS NULL UNION ALL SELECT 3, \"column\", 'outliers', 'clip (iqr)', n FROM ({OUT_W}) WHERE n > 0")
