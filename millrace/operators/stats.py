@@ -243,33 +243,5 @@ def outliers(df: DataFrame, bounds: DataFrame, least: int = 4) -> DataFrame:
     return per_column(df, cols, {"outliers": beyond}).select("pos", F.col("outliers").cast("long").alias("outliers"))
 
 
-def text_stats(df: DataFrame) -> DataFrame:
-    """Lengths and flags of text columns."""
-
-    def t(c: Col) -> Column:
-        return ref(c.name)
-
-    def any_of(x: Column) -> Column:
-        return F.coalesce(F.max(x), F.lit(False))
-
-    lower = lambda v: (v == F.lower(v)) & (F.lower(v) != F.upper(v))
-    upper = lambda v: (v == F.upper(v)) & (F.lower(v) != F.upper(v))
-    return per_column(
-        df,
-        columns(df, "text"),
-        {
-            "filled": lambda c: F.count(t(c)),
-            "avg_len": lambda c: F.avg(F.length(t(c))),
-            "min_len": lambda c: F.min(F.length(t(c))),
-            "max_len": lambda c: F.max(F.length(t(c))),
-            "mixed_case": lambda c: any_of(lower(t(c))) & any_of(upper(t(c))),
-            "spaced": lambda c: any_of(t(c).startswith(" ") | t(c).endswith(" ")),
-            "digit_share": lambda c: F.avg(t(c).rlike(r"^\d+\n?$").cast("int")),
-            "letters": lambda c: any_of(t(c).rlike("[a-zA-Z]")),
-            "empty": lambda c: F.coalesce(F.sum((F.trim(t(c)) == "").cast("long")), F.lit(0)),
-        },
-    )
-
-
 def union(parts: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
