@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 from math import ceil, floor
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from millrace.columns import Col, columns, numeric, per_column, ref
 from millrace.operators import ordering
-from millrace.operators.moments import singles
+from millrace.operators.moments import doubles, singles
 from millrace.sources import folders
 
 #: Size of the sketches that bracket a rank, and the share of the values that a bracket takes on each side of it.
@@ -152,15 +155,49 @@ class Rank:
         return first if first == last else first + (last - first) * (self.place - self.ranks[0])
 
 
+def ends_counted(df: DataFrame, ends: dict[Col, list[float]]) -> dict[tuple[int, float], tuple[int, int]]:
+    """For each column (its number) and value: how many values lie below it, and how many up to it. A batch is sorted once for all of them."""
+    cols = [c for c in ends if ends[c]]
+    points = [np.array(ends[c]) for c in cols]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        under, upto = [np.zeros(len(p), np.int64) for p in points], [np.zeros(len(p), np.int64) for p in points]
+        for batch in batches:
+            for j, p in enumerate(points):
+                x = np.sort(batch.column(j).drop_null().to_numpy())
+                under[j] += np.searchsorted(x, p, side="left")
+                upto[j] += np.searchsorted(x, p, side="right")
+        sizes = [len(p) for p in points]
+        names = np.repeat(np.arange(len(points)), sizes)
+        yield pa.RecordBatch.from_pydict({"j": pa.array(names, pa.int32()), "k": pa.array(np.concatenate([np.arange(n) for n in sizes]), pa.int32()), "under": np.concatenate(under), "upto": np.concatenate(upto)})
+
+    parts = doubles(df, cols).mapInArrow(run, "j int, k int, under long, upto long").groupBy("j", "k").agg(F.sum("under"), F.sum("upto")).collect()  # a row for each end
+    return {(cols[j].pos, ends[cols[j]][k]): (under, upto) for j, k, under, upto in parts}
+
+
+def values_between(df: DataFrame, ranges: list[tuple[Col, float, float]]) -> DataFrame:
+    """i, v and n: how often each value occurs strictly inside the i-th range of a column."""
+    cols = sorted({c for c, _, _ in ranges}, key=lambda c: c.pos)
+    wanted = [(cols.index(c), low, high) for c, low, high in ranges]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns_ = [c.drop_null().to_numpy() for c in batch.columns]
+            found = [columns_[j][(columns_[j] > low) & (columns_[j] < high)] for j, low, high in wanted]
+            yield pa.RecordBatch.from_pydict({"i": pa.array(np.repeat(np.arange(len(found)), [len(x) for x in found]), pa.int32()), "v": np.concatenate(found)})
+
+    return doubles(df, cols).mapInArrow(run, "i int, v double").groupBy("i", "v").agg(F.count("*").alias("n"))
+
+
 def column_quantiles(df: DataFrame, ps: list[float]) -> DataFrame:
     """pos and q0, q1, ... of the numeric columns, exactly, with linear interpolation.
 
-    Mergeable sketches bracket each rank. One aggregation counts what lies below, on
-    and between the ends of all brackets; where more than ``GATHER`` values are in
-    between, it has sketched them too, and the next bracket is a small share of this
-    one. What remains is brought together and put in order. A bracket that misses its
-    rank is widened. The plan is the same at any size: three scans, and one more each time the
-    table grows a hundredfold.
+    Mergeable sketches bracket each rank. One scan counts what lies below, on and
+    between the ends of all brackets; where more than ``GATHER`` values are in between,
+    these are sketched, and the next bracket is a small share of this one. What remains
+    is brought together and put in order. A bracket that misses its rank is widened.
+    The plan is the same at any size: three scans, and two more each time the table
+    grows a hundredfold.
     """
     cols = numeric(df)
     schema = ", ".join(["pos int", *(f"q{k} double" for k in range(len(ps)))])
@@ -178,29 +215,29 @@ def column_quantiles(df: DataFrame, ps: list[float]) -> DataFrame:
         ends = sketched.select(*(F.kll_sketch_get_quantile_double(of[key], ranks[key].around()) for key in live)).first()
         for key, (low, high) in zip(live, ends):
             ranks[key].low, ranks[key].high = low, high
-        counts = []
-        for i, key in enumerate(live):
-            r, x = ranks[key], v(ranks[key].col)
-            counts += [F.count(F.when(x < r.low, 1)), F.count(F.when(x == r.low, 1)), F.count(F.when((x > r.low) & (x < r.high), 1)), F.count(F.when((x == r.high) & (x > r.low), 1))]
-        inner = [F.kll_sketch_agg_double(F.when((v(ranks[key].col) > ranks[key].low) & (v(ranks[key].col) < ranks[key].high), v(ranks[key].col)), F.lit(SKETCH)) for key in live]
-        names = [f"c{i}" for i in range(len(counts))] + [f"i{i}" for i in range(len(inner))]
-        row = folders.stored(df.agg(*(x.alias(n) for x, n in zip(counts + inner, names))), "brackets")
-        told = row.select(*names[: len(counts)]).first()
+        told = ends_counted(df, {c: sorted({e for key in live if key[0] == c.pos for e in (ranks[key].low, ranks[key].high)}) for c in cols})
         going, source = [], {}
-        for i, key in enumerate(live):
-            todo = ranks[key].counted(*told[4 * i : 4 * i + 4])
+        for key in live:
+            r = ranks[key]
+            (under_low, upto_low), (under_high, upto_high) = told[key[0], r.low], told[key[0], r.high]
+            single = r.low == r.high
+            todo = r.counted(under_low, upto_low - under_low, 0 if single else under_high - upto_low, 0 if single else upto_high - under_high)
             if todo == "gather":
                 gather.append(key)
             elif todo in ("sketch", "widen"):
                 going.append(key)
-                source[key] = ("new", f"i{i}") if todo == "sketch" else ("old", of[key])
-                ranks[key].aside *= 1 if todo == "sketch" else 4
-        both = row.select(*names[len(counts) :]).crossJoin(sketched.select(*(F.col(c).alias(f"old_{c}") for c in sketched.columns if c in set(of.values()))))
-        of = {key: c if kind == "new" else f"old_{c}" for key, (kind, c) in source.items()}
-        sketched, live = both, going
+                source[key] = todo
+                r.aside = ASIDE if todo == "sketch" else 4 * r.aside
+        inner = {key: f"i{i}" for i, key in enumerate(going) if source[key] == "sketch"}
+        if inner:
+            x = lambda key: v(ranks[key].col)
+            found = folders.stored(df.agg(*(F.kll_sketch_agg_double(F.when((x(key) > ranks[key].low) & (x(key) < ranks[key].high), x(key)), F.lit(SKETCH)).alias(n) for key, n in inner.items())), "inside")
+            kept = {of[key] for key in going if key not in inner}
+            sketched = found.crossJoin(F.broadcast(sketched.select(*(F.col(c).alias(f"old_{c}") for c in kept)))) if kept else found
+            of = {key: inner.get(key) or f"old_{of[key]}" for key in going}
+        live = going
     if gather:
-        cells = F.array(*(F.struct(F.lit(i).alias("i"), v(ranks[key].col).alias("v"), F.lit(ranks[key].low).alias("lo"), F.lit(ranks[key].high).alias("hi")) for i, key in enumerate(gather)))
-        inside = df.select(F.explode(F.filter(cells, lambda x: (x["v"] > x["lo"]) & (x["v"] < x["hi"]))).alias("x")).groupBy("x.i", "x.v").agg(F.count("*").alias("n"))
+        inside = values_between(df, [(ranks[key].col, ranks[key].low, ranks[key].high) for key in gather])
         upto: dict[int, int] = {}
         for i, value, n in sorted(tuple(x) for x in inside.collect()):  # at most GATHER for each rank
             r = ranks[gather[i]]
