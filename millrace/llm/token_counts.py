@@ -16,8 +16,8 @@ the vocabulary or it lacks byte pieces, else as one for each of their bytes.
 Each row is counted on its own: no shuffle. Defined results: a null or empty
 text has no tokens; an empty table gives an empty one; rows with equal or null ids
 are counted one by one and equal texts have equal counts; a text of any length is
-counted as a whole, unit by unit (one without a space is one unit, in lists of its
-length); other columns are ignored, whatever their names are.
+counted as a whole, unit by unit (one without a space is one unit, whose scores
+are kept for a window of its characters only); other columns are ignored, whatever their names are.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from millrace.llm import textrows as tr
 
 SPACE_MARK = "▁"
 CACHED = 300_000  # units that a Python worker remembers
+WINDOW = 4096  # characters whose best scores are kept together
 UNKNOWN_PENALTY = 10.0
 
 
@@ -58,42 +59,49 @@ class Counter:
         self.machine.make_automaton()
         self.unknown = min(score for _, score in pieces) - UNKNOWN_PENALTY
         self.vocabulary = {x for x, _ in pieces}
+        self.longest = max(1, *map(len, self.vocabulary))
         self.bytes = byte_fallback and all(f"<0x{b:02X}>" in self.vocabulary for b in range(256))
         self.known: dict[str, int] = {}
 
-    def run(self, text: str) -> int:
+    def run(self, unit: str, begin: int, end: int) -> int:
         """Tokens of neighbouring unknown characters."""
-        return len(text.encode()) if self.bytes and text not in self.vocabulary else 1
+        if not self.bytes or end - begin <= self.longest and unit[begin:end] in self.vocabulary:
+            return 1
+        return sum(len(unit[k : min(k + WINDOW, end)].encode()) for k in range(begin, end, WINDOW))
 
     def unit(self, unit: str) -> int:
         """Pieces of one unit."""
         n = len(unit)
-        best = [0.0] * (n + 1)
-        count = [0] * (n + 1)  # without the tokens of an unknown run that is still open
-        opened = [-1] * (n + 1)  # where it began
-        matches: list[list[tuple[int, float, bool]]] = [[] for _ in range(n + 1)]
-        for last, found in self.machine.iter(unit):
-            matches[last + 1].append(found)
+        found = iter(self.machine.iter(unit))  # by the place of the last character
+        last, piece = next(found, (n, None))
+        # of the places from base on; a piece reaches back no further than the longest one
+        base, best, count, opened = 0, [0.0], [0], [-1]  # count: without the tokens of an unknown run that is still open; opened: where it began
         for end in range(1, n + 1):
+            if len(best) >= WINDOW + self.longest:
+                base += len(best) - self.longest
+                best, count, opened = best[-self.longest :], count[-self.longest :], opened[-self.longest :]
             top, source, loose, single = None, -1, False, False
-            for length, score, unknown in matches[end]:
+            while last == end - 1:
+                length, score, unknown = piece
                 start = end - length
-                total = score + best[start]
+                total = score + best[start - base]
                 if top is None or total > top or total == top and start < source:
                     top, source, loose = total, start, unknown
                 single = single or length == 1
+                last, piece = next(found, (n, None))
             if not single:
-                total = self.unknown + best[end - 1]
+                total = self.unknown + best[-1]
                 if top is None or total > top:  # a tie goes to the piece, which begins earlier
                     top, source, loose = total, end - 1, True
-            best[end] = top
-            before = opened[source]
+            best.append(top)
+            before = opened[source - base]
             if loose:
-                count[end] = count[source]
-                opened[end] = before if before >= 0 else source
+                count.append(count[source - base])
+                opened.append(before if before >= 0 else source)
             else:
-                count[end] = count[source] + 1 + (self.run(unit[before:source]) if before >= 0 else 0)
-        return count[n] + (self.run(unit[opened[n] :]) if opened[n] >= 0 else 0)
+                count.append(count[source - base] + 1 + (self.run(unit, before, source) if before >= 0 else 0))
+                opened.append(-1)
+        return count[-1] + (self.run(unit, opened[-1], n) if opened[-1] >= 0 else 0)
 
     def texts(self, texts: pa.Array) -> np.ndarray:
         """Pieces of each text."""

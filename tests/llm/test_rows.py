@@ -172,6 +172,22 @@ def test_token_counts_against_tokenizers(spark, saved):
             assert token_counts.Counter(pieces, 0, fallback).texts(pa.array(texts)).tolist() == [len(small.encode(t).ids) for t in texts]
 
 
+def test_token_counts_of_long_units(spark, saved, monkeypatch):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    path = P.path("piece_bpe_32k.model")
+    pieces = token_counts.vocabulary(path)
+    exact = Tokenizer(models.Unigram(pieces, 0, True))
+    exact.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=True)
+    rng = random.Random(7)
+    long = ["".join(rng.choices(letters, k=size)) for letters in ("abcdetion", "ab☃", "☃", "日本語のa") for size in (4095, 4112, 30_000)]
+    table, rows = docs(saved, long)
+    assert dict(map(tuple, token_counts.counts(table, path).collect())) == {r[0]: len(exact.encode(r[1], add_special_tokens=False).ids) for r in rows}
+    monkeypatch.setattr(token_counts, "WINDOW", 3)  # as good as every place begins a window
+    short = [x[:40] for x in long] + mixed_texts(5)
+    assert token_counts.Counter(pieces).texts(pa.array(short)).tolist() == [len(exact.encode(x, add_special_tokens=False).ids) for x in short]
+
+
 def item_words(text):
     return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
 
