@@ -85,6 +85,7 @@ def recommend(df: DataFrame | Statistics, table: str, exclude: tuple[str, ...] =
     if exclude:
         rows = rows.where(~F.col("column").isin(*exclude))
     level = F.when(F.col("priority") == "high", 0).when(F.col("priority") == "medium", 1).otherwise(2)
+    # The reasons are fixed values.
     reason = (
         F.when(F.col("index_type") == "BTREE", F.concat(F.lit("High cardinality ("), F.col("cardinality").cast("string"), F.lit(" unique), good selectivity for filtered queries")))
         .when(F.col("index_type") == "BRIN", "Data is physically ordered - BRIN provides compact range filtering")

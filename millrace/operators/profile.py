@@ -63,6 +63,7 @@ def basics(table: DataFrame | Statistics) -> DataFrame:
 
 def issues() -> Column:
     """Issues of a row of ``basics``."""
+    # The words of the issues are fixed values.
     found = [
         F.when(F.col("completeness") < 95, F.concat(F.round(100 - F.col("completeness"), 1).cast("decimal(18,1)").cast("string"), F.lit("% missing values"))),
         F.when(F.col("outliers") > 0, F.concat(F.col("outliers").cast("string"), F.lit(" outliers detected"))),
@@ -176,6 +177,7 @@ def insight(role: Column, truth: Column, top: Column, top_share: Column, spans:
 def in_context(issue: Column, role: Column) -> Column:
     """What an issue means for the role of its column."""
     has = lambda s: F.lower(issue).contains(s)
+    # The sentences are fixed values.
     missing = (
         F.when(role == "id", " - critical for an ID column, investigate data pipeline integrity")
         .when(role == "category", " - may introduce bias in categorical analysis")

@@ -19,6 +19,9 @@ DIMENSIONS = ["completeness", "consistency", "uniqueness", "validity", "timeline
 NULL_WEIGHT = {"id": 5.0, "category": 1.5, "measure": 1.0, "datetime": 2.0, "boolean": 1.0, "free_text": 0.3}
 
 
+# The words of the issues below are fixed values.
+
+
 def found(rows: DataFrame, dimension: str, when: Column, text: Column) -> DataFrame:
     return rows.where(when).select(F.lit(dimension).alias("dimension"), "column", text.alias("issue"))
 

@@ -35,12 +35,21 @@ def load_csv(spark: SparkSession, path: str, encoding: str = "utf-8", sample_siz
     return sample(out, sample_size) if sample_size else out
 
 
-def load_json(spark: SparkSession, path: str, record_path: str | None = None, sample_size: int | None = None, lines: bool = False) -> DataFrame:
-    """A JSON table: one record per line (splittable), a top-level array, or records under a member."""
+def load_json(spark: SparkSession, path: str, record_path: str | None = None, sample_size: int | None = None, lines: bool = False, records: bool = False) -> DataFrame:
+    """A JSON table: one record per line (splittable), a top-level array, or records under a member.
+
+    ``records``: without a path, a file of a single object is searched for its records
+    as in ``locate``; one that holds none is a table of one record.
+    """
     if not exists(spark, path):
         raise FileNotFoundError(path)
     raw = spark.read.json(path, multiLine=not lines)
-    out = extract_records(raw, record_path) if record_path else raw
+    if record_path:
+        out = extract_records(raw, record_path)
+    elif records and records_in(raw.schema) and len(raw.take(2)) == 1:
+        out = extract_records(raw)
+    else:
+        out = raw
     return sample(out, sample_size) if sample_size else out
 
 
@@ -48,6 +57,21 @@ def is_records(t: T.DataType) -> bool:
     return isinstance(t, T.ArrayType) and isinstance(t.elementType, T.StructType)
 
 
+def records_in(schema: T.StructType) -> list[str] | None:
+    """The path of the first array of records: under a usual key, in an object under one, or under any member."""
+    for key in RECORD_KEYS:
+        if key in schema.names:
+            t = schema[key].dataType
+            if is_records(t):
+                return [key]
+            if isinstance(t, T.StructType):
+                inner = [f.name for f in t if is_records(f.dataType)]
+                if inner:
+                    return [key, inner[0]]
+    inner = [f.name for f in schema if is_records(f.dataType)]
+    return inner[:1] or None
+
+
 def locate(schema: T.StructType, record_path: str | None = None) -> list[str] | None:
     """The path of the array of records in a schema; None if the rows are the records themselves."""
     if record_path:
@@ -59,18 +83,9 @@ def locate(schema: T.StructType, record_path: str | None = None) -> list[str] |
         if not is_records(at):
             raise ValueError(f"{record_path} holds no records")
         return record_path.split(".")
-    for key in RECORD_KEYS:
-        if key in schema.names:
-            t = schema[key].dataType
-            if is_records(t):
-                return [key]
-            if isinstance(t, T.StructType):
-                inner = [f.name for f in t if is_records(f.dataType)]
-                if inner:
-                    return [key, inner[0]]
-    inner = [f.name for f in schema if is_records(f.dataType)]
-    if inner:
-        return inner[:1]
+    found = records_in(schema)
+    if found:
+        return found
     if any(isinstance(f.dataType, (T.StructType, T.ArrayType)) for f in schema):
         raise ValueError(f"no records found; members are {', '.join(schema.names)}")
     return None

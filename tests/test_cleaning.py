@@ -183,6 +183,21 @@ def test_csv_and_json(spark, tmp_path):
         files.extract_records(files.load_json(spark, str(one)))
 
 
+def test_json_records_are_located(spark, tmp_path):
+    one = tmp_path / "b.json"
+    read = lambda: files.load_json(spark, str(one), records=True)
+    one.write_text('{"meta": 1, "results": {"items": [{"x": 1, "y": {"z": 2}}, {"x": 3}]}}')
+    assert [tuple(r) for r in files.flatten(read()).collect()] == [(1, 2), (3, None)]
+    one.write_text('{"found": [{"x": 1}], "rows": [{"x": 2}, {"x": 3}]}')  # a usual key comes before others
+    assert sorted(r.x for r in read().collect()) == [2, 3]
+    one.write_text('[{"x": 1, "parts": [{"y": 1}, {"y": 2}]}, {"x": 2, "parts": []}]')  # records themselves, though they hold arrays
+    assert sorted(r.x for r in read().collect()) == [1, 2]
+    one.write_text('{"a": {"b": 1}}')
+    assert read().count() == 1
+    one.write_text('{"x": 1}')
+    assert read().count() == 1
+
+
 def test_sample_is_independent_of_partitions(spark):
     df = spark.range(1000).withColumn("x", F.col("id") % 7)
     a, b = (sorted(r.id for r in files.sample(df.repartition(p), 50).collect()) for p in (1, 8))
