@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 from uuid import uuid4
@@ -23,7 +24,7 @@ def folder(spark: SparkSession) -> str:
         return set_dir.get()
     asked = spark.conf.get("spark.checkpoint.dir", None)
     if not asked:
-        if not sc.master.startswith("local"):
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         asked = f"file://{tempfile.mkdtemp(prefix='spark-', dir='/tmp')}"
     sc.setCheckpointDir(asked)
