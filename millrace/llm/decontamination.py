@@ -13,7 +13,9 @@ occur there.
 Documents stay where they are: no shuffle, and one pass. Spark derives the
 distinct phrases and their items and writes them to the shared folder in blocks
 of at most ``BLOCK_PHRASES`` rows. A task builds the index of a shard once and
-searches it for all blocks; it holds ``HELD`` blocks at most and reads further
+searches it for all blocks. Of a block, only phrases are searched whose rarest pair
+of neighbouring words occurs in the shard, so that the cost of a search follows the
+shard and hardly the benchmark. A task holds ``HELD`` blocks at most and reads further
 ones again for each group of ``GROUP`` shards.
 
 Defined results: a null or empty text has no words and no hit; an item without
@@ -146,12 +148,29 @@ class FMIndex:
 class Phrases:
     """Distinct phrases of a block, and the items of each."""
 
-    vocabulary: pa.Array
+    vocabulary: dict[bytes, int]  # places of the words
     rows: np.ndarray  # right-aligned places in the vocabulary, -1 before
     lengths: np.ndarray
     begin: np.ndarray  # items of phrase p: items[begin[p]:begin[p + 1]]
     items: np.ndarray  # places in ids
     ids: list[str | None]
+    pairs: np.ndarray  # codes of the pairs of neighbouring words that are the rarest of a phrase in the block, sorted
+    at: np.ndarray  # phrases of the k-th pair: of[at[k]:at[k + 1]]
+    of: np.ndarray
+
+    def code(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """Codes of pairs of places in the vocabulary; a phrase of one word has a pair with the place behind the last one."""
+        return first * (len(self.vocabulary) + 1) + second
+
+    def with_pairs(self, pairs: np.ndarray) -> np.ndarray:
+        """Phrases whose rarest pair is one of these, in order; every other phrase holds a pair that isn't."""
+        k = np.flatnonzero(np.isin(self.pairs, pairs))
+        return np.sort(self.of[ranges(self.at[k], self.at[k + 1] - self.at[k])])
+
+
+def ranges(begin: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """begin, begin + 1, ... for each pair of a begin and a size."""
+    return np.repeat(begin - np.append(0, np.cumsum(sizes)[:-1]), sizes) + np.arange(sizes.sum())
 
 
 def phrase_rows(benchmark: DataFrame, item_column: str = "item_id", text_column: str = "text", window: int = WINDOW) -> DataFrame:
@@ -184,17 +203,30 @@ def phrases_of(block: pa.Table, window: int) -> Phrases:
     rows[of, window - lengths[of] + np.arange(first[-1]) - first[of]] = words.indices.to_numpy()
     phrase = coded.indices.to_numpy()
     items = block.column("item").combine_chunks().dictionary_encode("encode")
-    vocabulary = words.dictionary.cast(pa.large_string()).cast(pa.large_binary())
-    return Phrases(vocabulary, rows, lengths, np.append(0, np.cumsum(np.bincount(phrase, minlength=len(lengths)))), items.indices.to_numpy()[np.argsort(phrase, kind="stable")].astype(np.int64), items.dictionary.to_pylist())
+    vocabulary = {w.encode(): k for k, w in enumerate(words.dictionary.to_pylist())}
+    none = len(vocabulary)
+    padded = np.where(rows < 0, none, rows)
+    padded = np.concatenate([np.full((len(rows), 1), none), padded], axis=1)
+    codes = padded[:, :-1] * (none + 1) + padded[:, 1:]
+    _, which, often = np.unique(codes, return_inverse=True, return_counts=True)
+    often = often[which].reshape(codes.shape)
+    often[padded[:, :-1] == none] = codes.size + 1  # taken where there is no pair of words
+    often[padded[:, 1:] == none] = codes.size + 2  # never taken
+    pairs, which = np.unique(codes[np.arange(len(rows)), often.argmin(axis=1)], return_inverse=True)
+    at = np.append(0, np.cumsum(np.bincount(which, minlength=len(pairs))))
+    return Phrases(vocabulary, rows, lengths, np.append(0, np.cumsum(np.bincount(phrase, minlength=len(lengths)))), items.indices.to_numpy()[np.argsort(phrase, kind="stable")].astype(np.int64), items.dictionary.to_pylist(), pairs, at, np.argsort(which, kind="stable"))
 
 
 _held: dict[str, Phrases] = {}
 
 
 def block_at(path: str, window: int) -> Phrases:
-    """A block from the shared folder; a worker remembers the first ``HELD`` of them."""
+    """A block from the shared folder; a worker remembers the first ``HELD`` of a benchmark and forgets those of the one before."""
     if path in _held:
         return _held[path]
+    folder = path.rpartition("/")[0]
+    for other in [p for p in _held if p.rpartition("/")[0] != folder]:
+        del _held[other]
     from pyarrow import fs, parquet
 
     store, own = fs.FileSystem.from_uri(shared.plain_uri(path))
@@ -210,7 +242,8 @@ class Shard:
     def __init__(self, texts: pa.Array):
         self.texts = texts
         self.words = tr.words(texts, tr.PUNCT, tr.LOWER)
-        codes, self.vocabulary = self.words.coded()
+        self.codes, self.vocabulary = self.words.coded()
+        codes = self.codes
         self.index = FMIndex(codes + 1, self.words.first, max(1, len(self.vocabulary))) if len(codes) else None
         self.inside = np.zeros(len(codes), bool)
         self.found: list[tuple[np.ndarray, np.ndarray, list[str | None]]] = []
@@ -218,22 +251,30 @@ class Shard:
     def search(self, phrases: Phrases) -> None:
         if self.index is None or not len(phrases.rows):
             return
-        own = pc.index_in(phrases.vocabulary, value_set=self.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) + 1
-        symbols = np.where(phrases.rows < 0, 1, own[phrases.rows])  # 0: a word that the shard lacks
-        some = np.flatnonzero(symbols.all(axis=1))
-        symbols[phrases.rows < 0] = 0
-        hit, low, high = self.index.search(symbols[some], phrases.lengths[some])
+        place = np.fromiter((phrases.vocabulary.get(w, -1) for w in self.vocabulary.to_pylist()), np.int64, len(self.vocabulary))
+        own = np.flatnonzero(place >= 0)
+        known = place[self.codes]
+        both = (known[:-1] >= 0) & (known[1:] >= 0)
+        pairs = phrases.code(known[:-1][both], known[1:][both])  # across texts as well, which does no harm
+        some = phrases.with_pairs(np.append(pairs, phrases.code(np.full(len(own), len(phrases.vocabulary)), place[own])))
+        symbol = np.ones(len(phrases.vocabulary) + 1, np.int64)  # the last one stands for no word
+        symbol[:-1] = 0  # a word that the shard lacks
+        symbol[place[own]] = own + 1
+        symbols = symbol[phrases.rows[some]]
+        whole = symbols.all(axis=1)
+        some, symbols = some[whole], symbols[whole]
+        hit, low, high = self.index.search(symbols, phrases.lengths[some])
         hit = some[hit]
         size = high - low
         which = np.repeat(hit, size)
-        at = self.index.locate(np.repeat(low - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum()))
+        at = self.index.locate(ranges(low, size))
         first = self.words.first
         self.inside |= tr.covered(first, at, phrases.lengths[which])
         text = np.searchsorted(first, at, side="right") - 1
         pair = np.unique(text * len(phrases.begin) + which)
         text, which = pair // len(phrases.begin), pair % len(phrases.begin)
         size = np.diff(phrases.begin)[which]
-        item = phrases.items[np.repeat(phrases.begin[which] - np.append(0, np.cumsum(size)[:-1]), size) + np.arange(size.sum())]
+        item = phrases.items[ranges(phrases.begin[which], size)]
         pair = np.unique(np.repeat(text, size) * len(phrases.ids) + item)
         self.found.append((pair // len(phrases.ids), pair % len(phrases.ids), phrases.ids))
 

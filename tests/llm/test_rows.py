@@ -234,6 +234,21 @@ def test_decontamination(spark, saved, monkeypatch, block):
     assert decontamination.hits(table.limit(0), bench).count() == 0
 
 
+def test_blocks_of_an_earlier_benchmark_are_forgotten(tmp_path, monkeypatch):
+    from pyarrow import parquet
+
+    monkeypatch.setattr(decontamination, "_held", {})
+    for folder in ("one", "two"):
+        (tmp_path / folder).mkdir()
+        for k in range(6):
+            path = tmp_path / folder / f"{k}.parquet"
+            parquet.write_table(pa.table({"phrase": ["a b", "c", "a b"], "item": ["x", None, "y"]}), path)
+            for _ in range(2):
+                got = decontamination.block_at(f"file://{path}", 2)
+                assert got.lengths.tolist() == [2, 1] and got.ids == ["x", None, "y"]
+        assert sorted(p.split("/")[-2] for p in decontamination._held) == [folder] * decontamination.HELD
+
+
 def test_quality_method_verdict_with_production_limits():
     """Planted long repeats that the simple rules leave are rejected, by length and by share; clean texts stay."""
     rng = random.Random(4)
