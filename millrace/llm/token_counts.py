@@ -71,36 +71,37 @@ class Counter:
 
     def unit(self, unit: str) -> int:
         """Pieces of one unit."""
-        n = len(unit)
+        n, longest = len(unit), self.longest
         found = iter(self.machine.iter(unit))  # by the place of the last character
         last, piece = next(found, (n, None))
         # of the places from base on; a piece reaches back no further than the longest one
         base, best, count, opened = 0, [0.0], [0], [-1]  # count: without the tokens of an unknown run that is still open; opened: where it began
-        for end in range(1, n + 1):
-            if len(best) >= WINDOW + self.longest:
-                base += len(best) - self.longest
-                best, count, opened = best[-self.longest :], count[-self.longest :], opened[-self.longest :]
-            top, source, loose, single = None, -1, False, False
-            while last == end - 1:
-                length, score, unknown = piece
-                start = end - length
-                total = score + best[start - base]
-                if top is None or total > top or total == top and start < source:
-                    top, source, loose = total, start, unknown
-                single = single or length == 1
-                last, piece = next(found, (n, None))
-            if not single:
-                total = self.unknown + best[-1]
-                if top is None or total > top:  # a tie goes to the piece, which begins earlier
-                    top, source, loose = total, end - 1, True
-            best.append(top)
-            before = opened[source - base]
-            if loose:
-                count.append(count[source - base])
-                opened.append(before if before >= 0 else source)
-            else:
-                count.append(count[source - base] + 1 + (self.run(unit, before, source) if before >= 0 else 0))
-                opened.append(-1)
+        for begin in range(0, n, WINDOW):
+            kept = max(0, len(best) - longest)
+            base += kept
+            best, count, opened = best[kept:], count[kept:], opened[kept:]
+            for end in range(begin + 1, min(begin + WINDOW, n) + 1):
+                top, source, loose, single = None, -1, False, False
+                while last < end:
+                    length, score, unknown = piece
+                    start = end - length - base
+                    total = score + best[start]
+                    if top is None or total > top or total == top and start < source:
+                        top, source, loose = total, start, unknown
+                    single = single or length == 1
+                    last, piece = next(found, (n, None))
+                if not single:
+                    total = self.unknown + best[-1]
+                    if top is None or total > top:  # a tie goes to the piece, which begins earlier
+                        top, source, loose = total, end - 1 - base, True
+                best.append(top)
+                before = opened[source]
+                if loose:
+                    count.append(count[source])
+                    opened.append(before if before >= 0 else base + source)
+                else:
+                    count.append(count[source] + 1 + (self.run(unit, before, base + source) if before >= 0 else 0))
+                    opened.append(-1)
         return count[-1] + (self.run(unit, opened[-1], n) if opened[-1] >= 0 else 0)
 
     def texts(self, texts: pa.Array) -> np.ndarray:
