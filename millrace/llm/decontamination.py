@@ -148,7 +148,7 @@ class FMIndex:
 class Phrases:
     """Distinct phrases of a block, and the items of each."""
 
-    vocabulary: dict[bytes, int]  # places of the words
+    vocabulary: pa.Array
     rows: np.ndarray  # right-aligned places in the vocabulary, -1 before
     lengths: np.ndarray
     begin: np.ndarray  # items of phrase p: items[begin[p]:begin[p + 1]]
@@ -164,7 +164,10 @@ class Phrases:
 
     def with_pairs(self, pairs: np.ndarray) -> np.ndarray:
         """Phrases whose rarest pair is one of these, in order; every other phrase holds a pair that isn't."""
-        k = np.flatnonzero(np.isin(self.pairs, pairs))
+        k = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        there = np.zeros(len(self.pairs), bool)
+        there[k[self.pairs[k] == pairs]] = True
+        k = np.flatnonzero(there)
         return np.sort(self.of[ranges(self.at[k], self.at[k + 1] - self.at[k])])
 
 
@@ -203,7 +206,7 @@ def phrases_of(block: pa.Table, window: int) -> Phrases:
     rows[of, window - lengths[of] + np.arange(first[-1]) - first[of]] = words.indices.to_numpy()
     phrase = coded.indices.to_numpy()
     items = block.column("item").combine_chunks().dictionary_encode("encode")
-    vocabulary = {w.encode(): k for k, w in enumerate(words.dictionary.to_pylist())}
+    vocabulary = words.dictionary.cast(pa.large_string()).cast(pa.large_binary())
     none = len(vocabulary)
     padded = np.where(rows < 0, none, rows)
     padded = np.concatenate([np.full((len(rows), 1), none), padded], axis=1)
@@ -251,7 +254,7 @@ class Shard:
     def search(self, phrases: Phrases) -> None:
         if self.index is None or not len(phrases.rows):
             return
-        place = np.fromiter((phrases.vocabulary.get(w, -1) for w in self.vocabulary.to_pylist()), np.int64, len(self.vocabulary))
+        place = pc.index_in(self.vocabulary, value_set=phrases.vocabulary).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
         own = np.flatnonzero(place >= 0)
         known = place[self.codes]
         both = (known[:-1] >= 0) & (known[1:] >= 0)
