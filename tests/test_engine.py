@@ -279,6 +279,32 @@ def test_fuzzy_duplicates_over_ranges(spark, monkeypatch, size):
     assert got == sequential(texts, 85, 5)
 
 
+@pytest.mark.parametrize(("span", "threshold"), [(3, 60), (50, 85), (50, 0)])
+def test_similar_pairs_are_found_at_once(monkeypatch, span, threshold):
+    """Blocks find the pairs that single comparisons find; short texts need none of these."""
+    rng = random.Random(span + threshold)
+    monkeypatch.setattr(neighbours, "MET", 1000)
+    compared, one = [], neighbours.similarity
+    monkeypatch.setattr(neighbours, "similarity", lambda a, b: compared.append((a, b)) or one(a, b))
+    for longest in (8, 64, 130):
+        texts = ["".join(rng.choices("abé😀", k=rng.randint(0, longest))) for _ in range(40)]
+        texts += rng.choices(texts, k=20) + ["", ""]
+        got = sorted(zip(*(x.tolist() for x in neighbours.similar(texts, span, threshold))))
+        assert got == [(i, j) for i in range(len(texts)) for j in range(i + 1, min(len(texts), i + span + 1)) if one(texts[i], texts[j]) >= threshold]
+        assert all(max(len(a), len(b)) > 64 for a, b in compared)
+    assert [len(x) for x in neighbours.similar([], span, threshold)] == [len(x) for x in neighbours.similar(["a"], span, threshold)] == [0, 0]
+
+
+def test_fuzzy_duplicates_over_blocks(spark, monkeypatch):
+    """Pairs across the borders of blocks count once, and equal empty texts are duplicates."""
+    monkeypatch.setattr(neighbours, "COMPARED", 7)
+    rng = random.Random(16)
+    texts = [rng.choice(["", "large ring", "large rings", "hot bolt", "blue ring", "x" * 70, "x" * 71]) for _ in range(90)]
+    df = spark.createDataFrame(list(enumerate(texts)), "k int, t string").repartition(4)
+    got = sorted(r.k for r in neighbours.fuzzy_duplicates(df, "t", ["k"], 85, 5).collect())
+    assert got == sequential(texts, 85, 5)
+
+
 def test_forest_flags_what_lies_apart(spark):
     rng = np.random.default_rng(14)
     v = np.concatenate([rng.normal(size=3000), [50.0, -40.0, 60.0]])
