@@ -130,6 +130,14 @@ def test_pipeline(spark, issues):
         cleaning.pipeline(issues, [("magic", {})])
 
 
+def test_actions_need_no_scores(spark, sf_dir, monkeypatch):
+    from millrace.operators import quality
+    from millrace.plans import reports
+
+    monkeypatch.setattr(quality, "score", lambda table: pytest.fail("scores are no part of the actions"))
+    assert sorted((r.step, r.column) for r in reports.QUERIES["k25_action_log"](spark, sf_dir).collect()) == [(2, "l_quantity"), (3, "l_extendedprice")]
+
+
 def greedy(texts, threshold, window):
     kept = []
     for j, t in enumerate(texts):
