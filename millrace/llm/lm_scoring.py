@@ -127,39 +127,56 @@ class Net:
         inside = (near >= first[text][:, None]) & (near < first[text + 1][:, None])
         return np.where(inside, tokens[np.clip(near, 0, len(tokens) - 1)], self.shape.tokens)
 
-    def hide(self, context: np.ndarray) -> np.ndarray:
+    def hide(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Vectors around each position (a row), and hidden units: a column for each position, as in all that follows from them."""
         p = self.part
-        return np.tanh(p["vec"][context].reshape(len(context), -1) @ p["w"] + p["b"])
-
-    def by_class(self, target: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        """Each class with the rows whose target is in it."""
-        of = target // self.shape.members
+        x = p["vec"].take(context.ravel(), axis=0).reshape(len(context), -1)
+        h = p["w"].T @ x.T
+        h += p["b"][:, None]
+        return x, np.tanh(h, out=h)
+
+    def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+        """An order of the targets by class, and each class with its place in this order."""
+        of = (target // self.shape.members).astype(np.int16)  # short integers are sorted by their digits
         order = np.argsort(of, kind="stable")
         bounds = np.searchsorted(of[order], np.arange(self.shape.classes + 1))
-        for c in np.flatnonzero(np.diff(bounds)):
-            yield int(c), order[bounds[c] : bounds[c + 1]]
+        return order, [(int(c), slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
 
     @staticmethod
     def log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
-        """Log-probability of the chosen column of each row; overwrites the logits."""
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(chosen)), chosen]
-        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+        """Log-probability of the chosen row of each column; overwrites the logits."""
+        logits -= logits.max(axis=0)
+        own = logits[chosen, np.arange(len(chosen))]
+        return own - np.log(np.exp(logits, out=logits).sum(axis=0))
 
     @staticmethod
     def errors(logits: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
-        """Gradient by the logits of the negative log-probability of the chosen columns over n; overwrites the logits."""
-        logits -= logits.max(axis=1, keepdims=True)
+        """Gradient by the logits of the negative log-probability of the chosen rows over n; overwrites the logits."""
+        logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
-        logits *= 1 / (n * logits.sum(axis=1, keepdims=True))
-        logits[np.arange(len(chosen)), chosen] -= 1 / n
+        logits *= 1 / (n * logits.sum(axis=0))
+        logits[chosen, np.arange(len(chosen))] -= 1 / n
         return logits
 
+    def class_logits(self, h: np.ndarray) -> np.ndarray:
+        out = self.part["c"].T @ h
+        out += self.part["cb"][:, None]
+        return out
+
+    def member_logits(self, c: int, h: np.ndarray) -> np.ndarray:
+        out = self.part["m"][c].T @ h
+        out += self.part["mb"][c][:, None]
+        return out
+
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        p, h = self.part, self.hide(context)
-        out = self.log_shares(h @ p["c"] + p["cb"], target // self.shape.members).astype(np.float64)
-        for c, rows in self.by_class(target):
-            out[rows] += self.log_shares(h[rows] @ p["m"][c] + p["mb"][c], target[rows] % self.shape.members)
+        order, classes = self.by_class(target)
+        target = target[order]
+        _, h = self.hide(context[order])
+        logs = self.log_shares(self.class_logits(h), target // self.shape.members).astype(np.float64)
+        for c, at in classes:
+            logs[at] += self.log_shares(self.member_logits(c, h[:, at]), target[at] % self.shape.members)
+        out = np.empty_like(logs)
+        out[order] = logs
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -167,19 +184,20 @@ class Net:
         s, p, n = self.shape, self.part, len(target)
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
-        x = p["vec"][context].reshape(n, -1)
-        h = np.tanh(x @ p["w"] + p["b"])
-        d = self.errors(h @ p["c"] + p["cb"], target // s.members, n)
-        g["c"][:], g["cb"][:] = h.T @ d, d.sum(axis=0)
-        dh = d @ p["c"].T
-        for c, rows in self.by_class(target):
-            own = h[rows]
-            e = self.errors(own @ p["m"][c] + p["mb"][c], target[rows] % s.members, n)
-            g["m"][c], g["mb"][c] = own.T @ e, e.sum(axis=0)
-            dh[rows] += e @ p["m"][c].T
+        order, classes = self.by_class(target)
+        context, target = context[order], target[order]
+        x, h = self.hide(context)
+        d = self.errors(self.class_logits(h), target // s.members, n)
+        g["c"][:], g["cb"][:] = h @ d.T, d.sum(axis=1)
+        dh = p["c"] @ d
+        for c, at in classes:
+            own = h[:, at]
+            e = self.errors(self.member_logits(c, own), target[at] % s.members, n)
+            g["m"][c], g["mb"][c] = own @ e.T, e.sum(axis=1)
+            dh[:, at] += p["m"][c] @ e
         dh *= 1 - h * h
-        g["w"][:], g["b"][:] = x.T @ dh, dh.sum(axis=0)
-        g["vec"][:] = scattered(context.ravel(), (dh @ p["w"].T).reshape(-1, s.width), s.tokens + 1)
+        g["w"][:], g["b"][:] = x.T @ dh.T, dh.sum(axis=1)
+        g["vec"][:] = scattered(context.ravel(), (dh.T @ p["w"].T).reshape(-1, s.width), s.tokens + 1)
         return grad
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
@@ -219,7 +237,7 @@ class Model:
         charge[tail[own]] = self.charges[found[tail[own]]]
         return out, charge, w.first
 
-    def score(self, texts: pa.Array, chunk: int = 1 << 14) -> tuple[np.ndarray, np.ndarray]:
+    def score(self, texts: pa.Array, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and sum of log-probabilities of each text."""
         net = Net(self.shape, self.flat)
         tokens, logs, first = self.tokens(texts)
