@@ -45,6 +45,7 @@ from millrace.llm import textrows as tr
 ROOM = 1 << 16  # words of the vocabulary of a small corpus
 STEPS = 16  # of the histogram of counts, for each doubling
 BLOCK = 8192
+MOST = 60  # of logits whose exponentials are summed as they are; 4096 times such a sum is an ordinary single-precision number
 
 
 @dataclass(frozen=True)
@@ -77,15 +78,21 @@ class Training:
     seed: int = 7
 
 
-def scattered(rows: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """Sums of the values by row."""
-    width = values.shape[1]
-    place = (rows[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(place, weights=values.ravel(), minlength=n * width).reshape(n, width)
+def laid(tokens: np.ndarray, first: np.ndarray, side: int, edge: int) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of all texts in a row with ``side`` edge tokens before, between and after them, and the place of each there."""
+    place = np.arange(len(tokens)) + side * np.repeat(np.arange(1, len(first)), np.diff(first))
+    row = np.full(len(tokens) + side * len(first), edge)
+    row[place] = tokens
+    return row, place
+
+
+def columns(rows: int, n: int, dtype: np.dtype) -> np.ndarray:
+    """Room for a column for each position; rows are not a power of two apart, which the caches of processors are bad at."""
+    return np.empty((rows, n + 16), dtype)[:, :n]
 
 
 class Net:
-    """The window network over one flat array of parameters."""
+    """The window network over one flat array of parameters. Biases are the last rows of their weights."""
 
     def __init__(self, shape: Shape, flat: np.ndarray | None = None, seed: int = 7):
         self.shape = shape
@@ -107,33 +114,34 @@ class Net:
 
     def sizes(self) -> dict[str, tuple[int, ...]]:
         s = self.shape
-        return {"vec": (s.tokens + 1, s.width), "w": (2 * s.side * s.width, s.hidden), "b": (s.hidden,), "c": (s.hidden, s.classes), "cb": (s.classes,), "m": (s.classes, s.hidden, s.members), "mb": (s.classes, s.members)}
+        return {"vec": (s.tokens + 1, s.width), "hide": (2 * s.side * s.width + 1, s.hidden), "class": (s.hidden + 1, s.classes), "member": (s.classes, s.hidden + 1, s.members)}
 
     def parts(self, flat: np.ndarray) -> dict[str, np.ndarray]:
-        """Views into a flat array."""
+        """Views into a flat array: those of ``sizes``, and of the last three the weights w, c and m and the biases b, cb and mb."""
         out, at = {}, 0
         for name, size in self.sizes().items():
             n = int(np.prod(size))
             out[name] = flat[at : at + n].reshape(size)
             at += n
+        for whole, weights, bias in (("hide", "w", "b"), ("class", "c", "cb"), ("member", "m", "mb")):
+            out[weights], out[bias] = out[whole][..., :-1, :], out[whole][..., -1, :]
         return out
 
-    def around(self, tokens: np.ndarray, first: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Tokens on both sides of the positions; outside the text the edge token."""
+    def around(self, row: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Tokens on both sides of places in a row of ``laid``."""
         side = self.shape.side
-        shifts = np.array([k for k in range(-side, side + 1) if k])
-        text = np.searchsorted(first, at, side="right") - 1
-        near = at[:, None] + shifts
-        inside = (near >= first[text][:, None]) & (near < first[text + 1][:, None])
-        return np.where(inside, tokens[np.clip(near, 0, len(tokens) - 1)], self.shape.tokens)
+        return row.take(place[:, None] + np.array([k for k in range(-side, side + 1) if k]))
 
     def hide(self, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Vectors around each position (a row), and hidden units: a column for each position, as in all that follows from them."""
-        p = self.part
-        x = p["vec"].take(context.ravel(), axis=0).reshape(len(context), -1)
-        h = p["w"].T @ x.T
-        h += p["b"][:, None]
-        return x, np.tanh(h, out=h)
+        """Vectors around each position (a row), and hidden units with a 1 below: a column for each position, as in all that follows from them."""
+        p, n = self.part, len(context)
+        x = p["vec"].take(context.ravel(), axis=0).reshape(n, -1)
+        h = columns(self.shape.hidden + 1, n, self.flat.dtype)
+        np.matmul(p["w"].T, x.T, out=h[:-1])
+        h[:-1] += p["b"][:, None]
+        np.tanh(h[:-1], out=h[:-1])
+        h[-1] = 1
+        return x, h
 
     def by_class(self, target: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
         """An order of the targets by class, and each class with its place in this order."""
@@ -142,68 +150,85 @@ class Net:
         bounds = np.searchsorted(of[order], np.arange(self.shape.classes + 1))
         return order, [(int(c), slice(bounds[c], bounds[c + 1])) for c in np.flatnonzero(np.diff(bounds))]
 
+    def logits(self, h: np.ndarray, classes: list[tuple[int, slice]]) -> tuple[np.ndarray, np.ndarray]:
+        """Of the classes, and of the tokens in each position's own class."""
+        s, p, n = self.shape, self.part, h.shape[1]
+        of_class, of_member = columns(s.classes, n, h.dtype), columns(s.members, n, h.dtype)
+        np.matmul(p["class"].T, h, out=of_class)
+        for c, at in classes:
+            np.matmul(p["member"][c].T, h[:, at], out=of_member[:, at])
+        return of_class, of_member
+
+    def bounded(self) -> bool:
+        """Whether no exponential of a logit, and no sum of them, can leave the range of its type: hidden units lie between -1 and 1."""
+        for name in ("class", "member"):
+            whole = self.part[name]
+            reach, bias = np.abs(whole[..., :-1, :]).sum(axis=-2), whole[..., -1, :]
+            if not ((bias + reach).max() < MOST and (bias - reach).max(axis=-1).min() > -MOST):
+                return False
+        return True
+
     @staticmethod
-    def log_shares(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    def log_shares(logits: np.ndarray, chosen: np.ndarray, bounded: bool) -> np.ndarray:
         """Log-probability of the chosen row of each column; overwrites the logits."""
-        logits -= logits.max(axis=0)
+        if not bounded:
+            logits -= logits.max(axis=0)
         own = logits[chosen, np.arange(len(chosen))]
         return own - np.log(np.exp(logits, out=logits).sum(axis=0))
 
     @staticmethod
-    def errors(logits: np.ndarray, chosen: np.ndarray, n: int) -> np.ndarray:
+    def errors(logits: np.ndarray, chosen: np.ndarray, n: int, bounded: bool) -> np.ndarray:
         """Gradient by the logits of the negative log-probability of the chosen rows over n; overwrites the logits."""
-        logits -= logits.max(axis=0)
+        if not bounded:
+            logits -= logits.max(axis=0)
         np.exp(logits, out=logits)
         logits *= 1 / (n * logits.sum(axis=0))
         logits[chosen, np.arange(len(chosen))] -= 1 / n
         return logits
 
-    def class_logits(self, h: np.ndarray) -> np.ndarray:
-        out = self.part["c"].T @ h
-        out += self.part["cb"][:, None]
-        return out
-
-    def member_logits(self, c: int, h: np.ndarray) -> np.ndarray:
-        out = self.part["m"][c].T @ h
-        out += self.part["mb"][c][:, None]
-        return out
-
     def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
+        s, bounded = self.shape, self.bounded()
         order, classes = self.by_class(target)
         target = target[order]
         _, h = self.hide(context[order])
-        logs = self.log_shares(self.class_logits(h), target // self.shape.members).astype(np.float64)
-        for c, at in classes:
-            logs[at] += self.log_shares(self.member_logits(c, h[:, at]), target[at] % self.shape.members)
-        out = np.empty_like(logs)
-        out[order] = logs
+        of_class, of_member = self.logits(h, classes)
+        out = np.empty(len(target))
+        out[order] = self.log_shares(of_class, target // s.members, bounded).astype(np.float64) + self.log_shares(of_member, target % s.members, bounded)
         return out
 
     def gradient(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Of the mean negative log-probability."""
-        s, p, n = self.shape, self.part, len(target)
+        s, p, n, bounded = self.shape, self.part, len(target), self.bounded()
         grad = np.zeros_like(self.flat)
         g = self.parts(grad)
         order, classes = self.by_class(target)
         context, target = context[order], target[order]
         x, h = self.hide(context)
-        d = self.errors(self.class_logits(h), target // s.members, n)
-        g["c"][:], g["cb"][:] = h @ d.T, d.sum(axis=1)
-        dh = p["c"] @ d
+        of_class, of_member = self.logits(h, classes)
+        d = self.errors(of_class, target // s.members, n, bounded)
+        e = self.errors(of_member, target % s.members, n, bounded)
+        np.matmul(h, d.T, out=g["class"])
+        dh = columns(s.hidden, n, h.dtype)
         for c, at in classes:
-            own = h[:, at]
-            e = self.errors(self.member_logits(c, own), target[at] % s.members, n)
-            g["m"][c], g["mb"][c] = own @ e.T, e.sum(axis=1)
-            dh[:, at] += p["m"][c] @ e
-        dh *= 1 - h * h
+            np.matmul(h[:, at], e[:, at].T, out=g["member"][c])
+            np.matmul(p["m"][c], e[:, at], out=dh[:, at])
+        dh += p["c"] @ d
+        dh *= 1 - h[:-1] * h[:-1]
         g["w"][:], g["b"][:] = x.T @ dh.T, dh.sum(axis=1)
-        g["vec"][:] = scattered(context.ravel(), (dh.T @ p["w"].T).reshape(-1, s.width), s.tokens + 1)
+        dx = (p["w"] @ dh).reshape(2 * s.side, s.width, n)
+        near = context.T.ravel()
+        for k in range(s.width):
+            g["vec"][:, k] = np.bincount(near, weights=dx[:, k].ravel(), minlength=s.tokens + 1)
         return grad
 
     def step(self, context: np.ndarray, target: np.ndarray, squares: np.ndarray, rate: float) -> None:
         grad = self.gradient(context, target)
-        squares += grad * grad
-        self.flat -= rate * grad / (np.sqrt(squares) + 1e-6)
+        for a in range(0, len(grad), BLOCK):  # a block stays in the processor's cache
+            g, total = grad[a : a + BLOCK], squares[a : a + BLOCK]
+            total += g * g
+            g *= rate
+            g /= np.sqrt(total) + 1e-6
+        self.flat -= grad
 
 
 def bucket_of(start: np.ndarray, end: np.ndarray, buf: np.ndarray, buckets: int) -> np.ndarray:
@@ -241,9 +266,11 @@ class Model:
         """Number of tokens and sum of log-probabilities of each text."""
         net = Net(self.shape, self.flat)
         tokens, logs, first = self.tokens(texts)
+        row, place = laid(tokens, first, self.shape.side, self.shape.tokens)
+        order, _ = net.by_class(tokens)  # a chunk has few classes
         for a in range(0, len(tokens), chunk):
-            at = np.arange(a, min(a + chunk, len(tokens)))
-            logs[at] += net.log_prob(net.around(tokens, first, at), tokens[at])
+            at = order[a : a + chunk]
+            logs[at] += net.log_prob(net.around(row, place[at]), tokens[at])
         total = np.bincount(np.repeat(np.arange(len(texts)), np.diff(first)), weights=logs, minlength=len(texts))
         return np.diff(first), total
 
@@ -328,12 +355,12 @@ def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np
         for batch in batches:
             for part in tr.slices(batch, "text"):
                 tokens, _, first = own.tokens(part.column("text"))
-                place = np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))
-                at = np.flatnonzero(place % training.rounds == turn)
+                row, place = laid(tokens, first, own.shape.side, own.shape.tokens)
+                at = np.flatnonzero((np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))) % training.rounds == turn)
                 rng.shuffle(at)
                 for a in range(0, len(at), training.batch):
                     rows = at[a : a + training.batch]
-                    net.step(net.around(tokens, first, rows), tokens[rows], squares, rate)
+                    net.step(net.around(row, place[rows]), tokens[rows], squares, rate)
                 n += len(at)
         if n:
             yield shared.in_blocks(np.append(net.flat.astype(np.float64) * n, float(n)), BLOCK)

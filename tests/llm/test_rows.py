@@ -351,6 +351,52 @@ def test_lm_gradient_and_scores():
     assert abs(sum(np.exp(net.log_prob(context[:1], np.array([k]))[0]) for k in range(20)) - 1) < 1e-9
 
 
+def test_lm_scoring_meets_each_class_in_few_chunks(monkeypatch):
+    """Products by class follow the classes and the chunks, and not their product; the scores are those of single positions."""
+    shape = lm_scoring.Shape(8, 5, 2, 3, 6)
+    words = pa.array([f"w{k}" for k in range(shape.words)], pa.large_binary())
+    flat = np.random.default_rng(0).normal(0, 0.5, lm_scoring.Net(shape).flat.shape)
+    model = lm_scoring.Model(shape, words, len(words), np.zeros(len(words)), np.zeros(shape.members), flat)
+    rng = random.Random(3)
+    texts = [" ".join(f"w{rng.randrange(40)}" for _ in range(rng.randrange(60))) for _ in range(30)]
+    by_class, products = lm_scoring.Net.by_class, []
+
+    def counting(net, target):
+        out = by_class(net, target)
+        products.append(len(out[1]))
+        return out
+
+    monkeypatch.setattr(lm_scoring.Net, "by_class", counting)
+    n, total = model.score(pa.array([*texts, ""]), chunk=16)
+    assert sum(products) <= 2 * shape.classes + -(-n.sum() // 16)
+    net = lm_scoring.Net(shape, flat)
+    for k, t in enumerate(texts):
+        own = [int(w[1:]) if int(w[1:]) < shape.words else shape.words + lm_scoring.bucket_of(*(np.array([x]) for x in (0, len(w))), np.frombuffer(w.encode(), np.uint8), shape.members)[0] for w in t.split()]
+        pad = [40, 40, *own, 40, 40]
+        assert n[k] == len(own) and abs(total[k] - sum(brute_log_prob(net, pad, 2 + j) for j in range(len(own)))) < 1e-9 * max(1, len(own))
+    assert n[-1] == 0 and total[-1] == 0
+
+
+def test_lm_logits_beyond_exponentials():
+    """Logits whose exponentials would overflow or vanish get the common term off first."""
+    shape = lm_scoring.Shape(4, 5, 2, 3, 6)
+    rng = np.random.default_rng(5)
+    small = rng.normal(0, 0.5, lm_scoring.Net(shape).flat.shape)
+    context, target = rng.integers(0, 21, (50, 4)), rng.integers(0, 20, 50)
+    for name, by in (("cb", 200), ("mb", 200), ("cb", -200), ("mb", -200), ("c", 400), ("m", 400)):
+        net = lm_scoring.Net(shape, small.astype(np.float32))
+        if by in (200, -200):  # the same for all: no probability changes
+            want = net.log_prob(context, target), net.gradient(context, target)
+            net.part[name][:] += by
+            assert not net.bounded()
+            assert np.allclose(net.log_prob(context, target), want[0], atol=1e-3) and np.allclose(net.gradient(context, target), want[1], atol=1e-4)
+        else:
+            net.part[name][:] *= by
+            wide = lm_scoring.Net(shape, net.flat.astype(np.longdouble))
+            want = [brute_log_prob(wide, [*c[:2], t, *c[2:]], 2) for c, t in zip(context, target)]
+            assert not net.bounded() and np.allclose(net.log_prob(context, target), want, rtol=1e-3, atol=1e-2) and np.isfinite(net.gradient(context, target)).all()
+
+
 def brute_model(texts, shape, room):
     """Tokens and charges of any word, by plain counting."""
     counts = collections.Counter(w for t in texts for w in words_of(t))
