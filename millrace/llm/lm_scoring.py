@@ -22,7 +22,7 @@ network, which is a parameter.
 
 Defined results: a null or empty text has no tokens, the sum 0 and no mean. A
 long text is cut into pieces of positions and takes time by its length. Rows with
-equal or null ids are scored one by one and equal texts get equal scores; of words with
+equal or null ids are scored one by one and equal texts get equal scores but for the last digits; of words with
 equal counts the first in byte order gets a token first; other columns are
 ignored, whatever their names are. An empty table leaves the network as it was at
 first. Sums of parameters depend on the order of their tasks in the last digits.
@@ -45,7 +45,8 @@ from millrace.llm import textrows as tr
 ROOM = 1 << 16  # words of the vocabulary of a small corpus
 STEPS = 16  # of the histogram of counts, for each doubling
 BLOCK = 8192
-MOST = 60  # of logits whose exponentials are summed as they are; 4096 times such a sum is an ordinary single-precision number
+HELD = 1 << 25  # bytes of counts that a task adds up at once
+MOST = 60  # of logits whose exponentials are summed as they are; a batch times such a sum is far from the range's ends
 
 
 @dataclass(frozen=True)
@@ -186,12 +187,26 @@ class Net:
         logits[chosen, np.arange(len(chosen))] -= 1 / n
         return logits
 
-    def log_prob(self, context: np.ndarray, target: np.ndarray) -> np.ndarray:
-        s, bounded = self.shape, self.bounded()
+    def ready(self) -> tuple[list[np.ndarray], bool]:
+        """What ``log_prob`` needs of parameters that stay: what each token adds to the hidden units at each place, and ``bounded``."""
+        p, width = self.part, self.shape.width
+        tables = [np.zeros((self.shape.tokens + 1, self.shape.hidden + 1), self.flat.dtype) for _ in range(2 * self.shape.side)]
+        for k, table in enumerate(tables):
+            table[:, :-1] = p["vec"] @ p["w"][k * width : (k + 1) * width]
+        tables[0][:, :-1] += p["b"]
+        return tables, self.bounded()
+
+    def log_prob(self, context: np.ndarray, target: np.ndarray, ready: tuple[list[np.ndarray], bool] | None = None) -> np.ndarray:
+        s = self.shape
+        tables, bounded = ready or self.ready()
         order, classes = self.by_class(target)
-        target = target[order]
-        _, h = self.hide(context[order])
-        of_class, of_member = self.logits(h, classes)
+        context, target = context[order], target[order]
+        h = tables[0].take(context[:, 0], axis=0)
+        for k in range(1, len(tables)):
+            h += tables[k].take(context[:, k], axis=0)
+        np.tanh(h, out=h)
+        h[:, -1] = 1
+        of_class, of_member = self.logits(h.T, classes)
         out = np.empty(len(target))
         out[order] = self.log_shares(of_class, target // s.members, bounded).astype(np.float64) + self.log_shares(of_member, target % s.members, bounded)
         return out
@@ -248,41 +263,62 @@ class Model:
     rest: np.ndarray
     flat: np.ndarray
 
-    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Tokens of all texts in a row, what each is charged, and the first of each text."""
+    def tokens(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Tokens of all texts in a row, and the first of each text."""
         w = tr.words(texts)
-        found = pc.index_in(w.data, value_set=self.words).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
-        out, charge = found.copy(), np.zeros(len(found))
-        tail = np.flatnonzero((found < 0) | (found >= self.head))
+        return self.found(w, texts, self.words[: self.head])[0], w.first
+
+    def found(self, w: tr.Words, texts: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token of each word, its place in these first words of the vocabulary or -1, and which words are in buckets."""
+        known = pc.index_in(w.data, value_set=words).fill_null(-1).to_numpy(zero_copy_only=False)
+        out = known.astype(np.int64)
+        tail = np.flatnonzero((known < 0) | (known >= self.head))
         buf, _ = tr.text_bytes(texts)
-        bucket = bucket_of(w.start[tail], w.end[tail], buf, self.shape.members)
-        out[tail] = self.shape.words + bucket
-        charge[tail] = self.rest[bucket]
-        own = np.flatnonzero(found[tail] >= 0)
-        charge[tail[own]] = self.charges[found[tail[own]]]
+        out[tail] = self.shape.words + bucket_of(w.start[tail], w.end[tail], buf, self.shape.members)
+        return out, known, tail
+
+    def charged(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``tokens``, with what each is charged in between."""
+        w = tr.words(texts)
+        out, known, tail = self.found(w, texts, self.words)
+        charge = np.zeros(len(out))
+        charge[tail] = self.rest[out[tail] - self.shape.words]
+        own = tail[known[tail] >= 0]
+        charge[own] = self.charges[known[own]]
         return out, charge, w.first
 
     def score(self, texts: pa.Array, chunk: int = 1 << 13) -> tuple[np.ndarray, np.ndarray]:
         """Number of tokens and sum of log-probabilities of each text."""
         net = Net(self.shape, self.flat)
-        tokens, logs, first = self.tokens(texts)
+        tokens, logs, first = self.charged(texts)
         row, place = laid(tokens, first, self.shape.side, self.shape.tokens)
         order, _ = net.by_class(tokens)  # a chunk has few classes
+        ready = net.ready()
         for a in range(0, len(tokens), chunk):
             at = order[a : a + chunk]
-            logs[at] += net.log_prob(net.around(row, place[at]), tokens[at])
+            logs[at] += net.log_prob(net.around(row, place[at]), tokens[at], ready)
         total = np.bincount(np.repeat(np.arange(len(texts)), np.diff(first)), weights=logs, minlength=len(texts))
         return np.diff(first), total
 
 
 def counted(texts: DataFrame) -> DataFrame:
-    """word (its bytes) and n, over all rows of ``text``."""
+    """word (its bytes) and n, over all rows of ``text``. A task adds up the counts of its slices, ``HELD`` bytes at a time."""
+
+    def added(held: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        sums = pa.Table.from_batches(held).group_by("word", use_threads=False).aggregate([("n", "sum")])
+        return sums.select(["word", "n_sum"]).rename_columns(["word", "n"]).to_batches(max_chunksize=1 << 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
             for part in tr.slices(batch, "text"):
                 counts = tr.words(part.column("text")).data.value_counts()
-                yield pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "n"])
+                held.append(pa.RecordBatch.from_arrays([counts.field("values").cast(pa.binary()), counts.field("counts")], names=["word", "n"]))
+                if sum(b.nbytes for b in held) > HELD:
+                    yield from added(held)
+                    held = []
+        if held:
+            yield from added(held)
 
     return texts.mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
@@ -354,7 +390,7 @@ def trained(texts: DataFrame, model: Model, training: Training, turn: int) -> np
         n = 0
         for batch in batches:
             for part in tr.slices(batch, "text"):
-                tokens, _, first = own.tokens(part.column("text"))
+                tokens, first = own.tokens(part.column("text"))
                 row, place = laid(tokens, first, own.shape.side, own.shape.tokens)
                 at = np.flatnonzero((np.arange(len(tokens)) - np.repeat(first[:-1], np.diff(first))) % training.rounds == turn)
                 rng.shuffle(at)

@@ -80,7 +80,7 @@ class Words:
 def words(texts: pa.Array, gap: np.ndarray = SPACE, mapped: np.ndarray | None = None) -> Words:
     """Runs of bytes that are no ``gap``; ``mapped`` replaces bytes first, as for lower case."""
     buf, offsets = text_bytes(texts)
-    inside = gap[buf] == 0
+    inside = gap.take(buf) == 0
     n = len(buf)
     edge = np.zeros(n + 1, bool)
     edge[offsets] = True
@@ -92,9 +92,9 @@ def words(texts: pa.Array, gap: np.ndarray = SPACE, mapped: np.ndarray | None =
     after[:-1] = inside[1:]
     after[-1:] = False
     end = np.flatnonzero(inside & (~after | edge[1:])) + 1
-    own = buf[inside]
+    own = buf.compress(inside)
     if mapped is not None:
-        own = mapped[own]
+        own = mapped.take(own)
     ends = np.zeros(len(start) + 1, np.int64)
     np.cumsum(end - start, out=ends[1:])
     data = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(own)])
