@@ -433,6 +433,26 @@ def brute_log_prob(net, pad, at):
     return both
 
 
+@pytest.mark.parametrize("held", [1, 1 << 25])
+def test_lm_counts_and_tokens(spark, saved, monkeypatch, held):
+    """Counts are the same however often a task sends them; training and scoring see the same tokens."""
+    monkeypatch.setattr(lm_scoring, "HELD", held)
+    monkeypatch.setattr(tr, "slices", lambda batch, column, cut=tr.slices: cut(batch, column, 500))
+    texts = [*mixed_texts(40, seed=12), *EDGES]
+    table = saved(list(enumerate(texts)), "doc_id long, text string").select("text")
+    got = {bytes(r.word).decode(): r.n for r in lm_scoring.counted(table).collect()}
+    assert got == collections.Counter(w for t in texts for w in words_of(t))
+    model = lm_scoring.vocabulary(table, lm_scoring.Shape(3, 4, 2, 3, 6))
+    column = pa.array(texts, pa.string())
+    tokens, first = model.tokens(column)
+    same, charge, start = model.charged(column)
+    assert model.head == 8 < len(model.words) and np.array_equal(tokens, same) and np.array_equal(first, start)
+    token = brute_model(texts, model.shape, lm_scoring.ROOM)
+    want = [token(w) for t in texts for w in words_of(t)[:50]]
+    kept = np.concatenate([np.arange(a, min(a + 50, b)) for a, b in zip(first[:-1], first[1:])])
+    assert tokens[kept].tolist() == [x for x, _ in want] and np.allclose(charge[kept], [c for _, c in want])
+
+
 @pytest.mark.parametrize("room", [5, 1000])
 def test_lm_against_brute_force(spark, saved, monkeypatch, room):
     """Vocabulary, charges and scores of every text, with few and with all words in the vocabulary."""
