@@ -16,7 +16,8 @@ of at most ``BLOCK_PHRASES`` rows. A task builds the index of a shard once and
 searches it for all blocks. Of a block, only phrases are searched whose rarest pair
 of neighbouring words occurs in the shard, so that the cost of a search follows the
 shard and hardly the benchmark. A task holds ``HELD`` blocks at most and reads further
-ones again for each group of ``GROUP`` shards.
+ones again for each group of ``GROUP`` shards; where all blocks are held, it has the
+index of one shard at a time.
 
 Defined results: a null or empty text has no words and no hit; an item without
 words has no phrase; an item that is shorter than a window is one phrase of its
@@ -48,7 +49,7 @@ from millrace.llm.suffixes import Suffixes
 WINDOW = 10
 BLOCK_PHRASES = 250_000  # phrases (with an item each) in a block
 HELD = 4  # blocks that a Python worker remembers
-GROUP = 2  # shards that are searched for a block together
+GROUP = 2  # shards that are searched for a block together if not all blocks are held
 SAMPLE = 16  # one suffix position is kept out of so many
 SHARD_BYTES = 1 << 20
 
@@ -307,6 +308,16 @@ def runs(inside: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return begin, end, np.searchsorted(begin, first)
 
 
+def measured(parts: list[pa.RecordBatch], text_column: str, paths: list[str], window: int) -> list[pa.RecordBatch]:
+    """``measures`` of some parts, searched for the blocks at these paths. Their indexes are gone when it returns."""
+    shards = [Shard(p.column(text_column)) for p in parts]
+    for path in paths:
+        phrases = block_at(path, window)
+        for shard in shards:
+            shard.search(phrases)
+    return [shard.measures() for shard in shards]
+
+
 SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 ADDED = pa.schema([("n_words", pa.int64()), ("n_hit", pa.int64()), ("spans", pa.list_(SPAN)), ("items", pa.list_(pa.string()))])
 
@@ -328,19 +339,14 @@ def with_hits(docs: DataFrame, benchmark: DataFrame, text_column: str = "text",
     """
     added = free_name(docs.columns, added)
     paths = blocks(phrase_rows(benchmark, item_column, "text", window))
+    group = 1 if len(paths) <= HELD else GROUP
     schema = T.StructType([*docs.schema, T.StructField(added, T.StructType.fromDDL(f"x {ADDED_SQL}")["x"].dataType)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             parts = tr.slices(batch, text_column, SHARD_BYTES)
-            while own := list(islice(parts, GROUP)):
-                shards = [Shard(p.column(text_column)) for p in own]
-                for path in paths:
-                    phrases = block_at(path, window)
-                    for shard in shards:
-                        shard.search(phrases)
-                for part, shard in zip(own, shards):
-                    m = shard.measures()
+            while own := list(islice(parts, group)):
+                for part, m in zip(own, measured(own, text_column, paths, window)):
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.StructArray.from_arrays(m.columns, fields=list(ADDED))], names=[*part.schema.names, added])
 
     done = docs.mapInArrow(run, schema)

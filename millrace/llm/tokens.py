@@ -8,13 +8,14 @@ are those of its chunks in a row.
 from __future__ import annotations
 
 from array import array
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 
 from millrace.llm import textrows as tr
 
-CACHED = 400_000  # chunks that a task remembers; later ones are encoded again
+CACHED = 100_000  # chunks that a task remembers; later ones are encoded again
 
 #: Lead bytes of characters without white space among them: U+00C0 to U+07FF, U+4000 to U+9FFF.
 LEAD2 = np.zeros(256, bool)
@@ -56,16 +57,16 @@ class Encoder:
 
     Single chunks are encoded with tiktoken over the same vocabulary, whose ids
     are its merge ranks; that is several times faster for short strings. Chunks
-    with a special token's text go to ``tokenizers``.
+    with a special token's text go to ``tokenizers``, which is loaded for the first
+    of them.
     """
 
     def __init__(self, path: str):
         import json
 
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.path = path
         with open(path, encoding="utf-8") as f:
             data = json.load(f)
         special = [x["content"] for x in data["added_tokens"]]
@@ -75,6 +76,12 @@ class Encoder:
         self.plain = tiktoken.Encoding("chunks", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.known: dict[bytes, bytes] = {}
 
+    @cached_property
+    def tokenizer(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def chunk(self, chunk: bytes) -> list[int]:
         text = chunk.decode()
         if any(x in chunk for x in self.special):

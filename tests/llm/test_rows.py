@@ -3,11 +3,13 @@
 import collections
 import random
 import re
+import weakref
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from millrace.llm import decontamination, lm_scoring, packing, pii, quality_rules, suffixes, token_counts, tokens
 from millrace.llm import textrows as tr
@@ -139,6 +141,14 @@ def test_packing_buckets(spark, saved, tmp_path):
     assert back.count() == packed.count() and back.where("bucket <> length").count() == 0
 
 
+def test_encoder_loads_tokenizers_for_special_texts_only():
+    fast = tokens.Encoder(P.path("byte_bpe_50k.json"))
+    fast.encode(pa.array(["plain words", None, ""]))
+    assert "tokenizer" not in vars(fast)
+    fast.encode(pa.array([f"some {fast.special[0].decode()} text"]))
+    assert "tokenizer" in vars(fast)
+
+
 def test_encoder_is_exact_on_odd_texts():
     from tokenizers import Tokenizer
 
@@ -249,6 +259,29 @@ def test_blocks_of_an_earlier_benchmark_are_forgotten(tmp_path, monkeypatch):
         assert sorted(p.split("/")[-2] for p in decontamination._held) == [folder] * decontamination.HELD
 
 
+def test_decontamination_has_one_index_at_a_time(spark, saved, monkeypatch):
+    alive, most = weakref.WeakSet(), []
+
+    class Counted(decontamination.FMIndex):
+        def __init__(self, *args):
+            alive.add(self)
+            most.append(len(alive))
+            super().__init__(*args)
+
+    table, _ = docs(saved, [f"w{k} a b c" for k in range(40)])
+    bench = saved([("x", "a b c")], "item_id string, text string")
+    tasks = []
+    with monkeypatch.context() as m:  # the function of the task, to be run here
+        m.setattr(type(table), "mapInArrow", lambda self, run, schema: tasks.append(run) or self.withColumn("hits", F.expr(f"CAST(null AS {decontamination.ADDED_SQL})")))
+        decontamination.with_hits(table, bench)
+    monkeypatch.setattr(decontamination, "FMIndex", Counted)
+    monkeypatch.setattr(decontamination, "SHARD_BYTES", 40)
+    batch = pa.RecordBatch.from_pandas(table.toPandas())
+    got = pa.Table.from_batches(list(tasks[0](iter([batch]))))
+    assert got.num_rows == 42 and got.column("hits").combine_chunks().field("n_hit").to_pylist() == [3] * 42
+    assert len(most) > 4 and max(most) == 1
+
+
 def test_quality_method_verdict_with_production_limits():
     """Planted long repeats that the simple rules leave are rejected, by length and by share; clean texts stay."""
     rng = random.Random(4)
